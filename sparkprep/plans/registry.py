@@ -68,3 +68,14 @@ def flagship_prep_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepared = apply_operations(li, FLAGSHIP_OPS)
     out = charts.bar(prepared, "l_quantity_binned", "l_extendedprice_scaled", "mean")
     return round_all(out)
+
+
+def load_all() -> None:
+    """Import every query module (each registers its queries on import)."""
+    import importlib
+    for mod in ("q_clean", "q_features", "q_io", "q_models", "q_profile", "q_scores", "q_text", "q_viz"):
+        try:
+            importlib.import_module(f"sparkprep.plans.{mod}")
+        except ModuleNotFoundError as e:
+            if e.name != f"sparkprep.plans.{mod}":
+                raise
