@@ -44,8 +44,9 @@ def _binned(df: DataFrame, features: Sequence[str], target: str, bins: int) -> D
 
 def contingency(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
     """(feature, bin, y, n, n_x, n_y, n_total) observed cells with margins."""
+    # counts are doubles: products such as n * n_total overflow 64-bit at scale
     cells = _binned(df, features, target, bins).groupBy("feature", "bin", "y").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).cast("double").alias("n"))
     nx = cells.groupBy("feature", "bin").agg(F.sum("n").alias("n_x"))
     ny = cells.groupBy("feature", "y").agg(F.sum("n").alias("n_y"))
     nt = cells.groupBy("feature").agg(F.sum("n").alias("n_total"))

@@ -28,7 +28,7 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
     classes^2, so the joins here are on tiny inputs.
     """
     cm = (df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
-          .groupBy(F.col(label).cast("double").alias("l"), F.col(prediction).cast("double").alias("p"))
+          .groupBy(F.col(label).alias("l"), F.col(prediction).alias("p"))
           .agg(F.count(F.lit(1)).alias("n")))
     sup = cm.groupBy(F.col("l").alias("cls")).agg(F.sum("n").alias("support"))
     prd = cm.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
@@ -40,7 +40,8 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
 def classification_metrics(df: DataFrame, label: str = "label",
                            prediction: str = "prediction") -> DataFrame:
     """accuracy and support-weighted precision/recall/f1 (zero_division = 0)."""
-    pc = per_class(df, label, prediction)
+    pc = per_class(df, label, prediction).select(
+        "cls", *[F.col(c).cast("double").alias(c) for c in ("support", "predicted", "tp")])
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f1 = F.when(F.col("support") + F.col("predicted") > 0,
