@@ -18,14 +18,24 @@ def col(c: str | Column) -> Column:
 
 
 def split_hash(key: str | Column, seed: int = 42) -> Column:
-    """Deterministic hash of an integer key into [0, 2**31)."""
-    k = F.pmod(col(key).cast("bigint"), F.lit(HASH_MOD))
-    return F.pmod(k * F.lit(HASH_MULT) + F.lit(int(seed)), F.lit(HASH_MOD))
+    """Deterministic hash of an integer key into [0, 2**31).
+
+    Two multiplicative rounds with an xor-shift in between, so different
+    seeds give unrelated assignments.  Every intermediate stays below 2**63.
+    """
+    m, mod = F.lit(HASH_MULT), F.lit(HASH_MOD)
+    x = F.pmod(col(key).cast("bigint"), mod)
+    x = F.pmod((x + F.lit(int(seed) % HASH_MOD)) * m, mod)
+    x = x.bitwiseXOR(F.shiftright(x, 13))
+    return F.pmod(x * m, mod)
 
 
 def split_hash_sql(key: str, seed: int = 42) -> str:
     """The same hash as SQL text (for oracles and SQL users)."""
-    return f"(((({key}) % {HASH_MOD} + {HASH_MOD}) % {HASH_MOD}) * {HASH_MULT} + {int(seed)}) % {HASH_MOD}"
+    x0 = f"((({key}) % {HASH_MOD} + {HASH_MOD}) % {HASH_MOD})"
+    x1 = f"((({x0} + {int(seed) % HASH_MOD}) * {HASH_MULT}) % {HASH_MOD})"
+    x2 = f"xor({x1}, ({x1} >> 13))"
+    return f"(({x2} * {HASH_MULT}) % {HASH_MOD})"
 
 
 def equal_width_edges(lo: float, hi: float, bins: int) -> list[float]:

@@ -11,7 +11,7 @@ from sparkprep.plans.registry import bins_sql, register, table
 
 # Fixed scoring rules standing in for a model, identical in both engines.
 REG_PRED = "950.0 * l_quantity + 1000.0"
-CLS_SCORE = "n_chars / (n_chars + 2000.0)"
+CLS_SCORE = "n_chars / (n_chars + CAST(2000 AS DOUBLE))"
 CLS_PRED = "CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END"
 
 
