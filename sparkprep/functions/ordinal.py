@@ -5,9 +5,9 @@ each partition with ``monotonically_increasing_id`` (partition id in the
 upper bits, row number in the lower 33 bits), and turns that into a
 contiguous 0-based ordinal using per-partition counts (one small row per
 partition).  A hot key is spread over several range partitions, so no task
-holds a whole group.  The ranged frame is checkpointed to the shared
-checkpoint directory so both passes see identical partitions and a lost
-executor recomputes nothing upstream.
+holds a whole group.  The ranged frame is written once to the shared
+checkpoint folder, so both passes read identical rows and a lost executor
+recomputes nothing upstream.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.functions.materialize import materialize
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -27,7 +29,7 @@ def with_ordinal(df: DataFrame, order_cols: Sequence[str], name: str = "_ord",
     ranged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, "ordinal")
     counts = (ranged.groupBy(F.shiftright("_mid", 33).alias("pid"))
               .agg(F.count(F.lit(1)).alias("n")).orderBy("pid").collect())
     pids, offsets, acc = [], [], 0
@@ -62,7 +64,7 @@ def prefix_sums(df: DataFrame, order: Sequence, sum_cols: Sequence[str],
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, "prefix")
     totals = (ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sum_cols])
               .orderBy("_pid").collect())
     from pyspark.sql import Window

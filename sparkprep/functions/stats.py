@@ -6,7 +6,8 @@ driver.  ``exact_quantiles`` returns the same values as SQL
 ``percentile``/``quantile_cont`` without holding a value map in one task:
 it narrows a value bracket with bucket counts (bounded group-by output)
 until the bracket holds at most ``slice_limit`` rows, then picks the order
-statistics from that bounded slice.
+statistics from that bounded slice.  All columns advance together, one job
+per refinement level.
 """
 
 from __future__ import annotations
@@ -26,78 +27,102 @@ def one_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return row.asDict() if row is not None else {k: None for k in exprs}
 
 
-def _order_stats(df: DataFrame, c: str, ranks: Sequence[int], n: int,
-                 lo: float, hi: float, below: int,
-                 slice_limit: int, buckets: int) -> dict[int, float]:
-    """Values at 0-based ranks (all inside [lo, hi]; ``below`` rows < lo)."""
-    x = F.col(c)
-    result: dict[int, float] = {}
-    pending = sorted(set(ranks))
-    # Each work item: (lo, hi, below, ranks)
-    work = [(lo, hi, below, pending)]
-    while work:
-        lo, hi, below, rks = work.pop()
-        inside = df.where((x >= F.lit(lo)) & (x <= F.lit(hi)))
-        stats = inside.agg(F.count(x).alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx")).first()
-        if stats["n"] <= slice_limit or stats["mn"] == stats["mx"]:
-            if stats["mn"] == stats["mx"]:
-                for r in rks:
-                    result[r] = stats["mn"]
+def _valid(c: str) -> tuple[Column, Column]:
+    x = F.col(c).cast("double")
+    return x, x.isNotNull() & ~F.isnan(x)
+
+
+def exact_quantiles_multi(df: DataFrame, specs: dict[str, Sequence[float]],
+                          slice_limit: int = SLICE_LIMIT,
+                          buckets: int = REFINE_BUCKETS) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles for several columns at once.
+
+    One job finds count/min/max per column.  Then every refinement level is
+    a single job for all open brackets of all columns: a bracket holding
+    more than ``slice_limit`` rows is cut into ``buckets`` equal-width
+    buckets (count/min/max per bucket), a smaller one returns its distinct
+    values with counts.  Each level shrinks a bracket at least ``buckets``
+    fold, so only a few levels run, and what reaches the driver per level
+    is bounded by brackets x max(buckets, slice_limit) rows.
+    """
+    cols = list(specs)
+    aggs = []
+    for i, c in enumerate(cols):
+        x, ok = _valid(c)
+        v = F.when(ok, x)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
+    st = df.agg(*aggs).first() if cols else None
+    out: dict[str, list[float | None]] = {}
+    positions: dict[str, list[float]] = {}
+    values: dict[tuple[str, int], float] = {}
+    items = []  # (column, lo, hi, below, n, ranks)
+    for i, c in enumerate(cols):
+        n = st[f"n{i}"]
+        if not n:
+            out[c] = [None for _ in specs[c]]
+            continue
+        positions[c] = [p * (n - 1) for p in specs[c]]
+        ranks = sorted({int(math.floor(q)) for q in positions[c]} | {int(math.ceil(q)) for q in positions[c]})
+        items.append((c, st[f"mn{i}"], st[f"mx{i}"], 0, n, ranks))
+    while items:
+        open_items, entries = [], []
+        for c, lo, hi, below, n, ranks in items:
+            if lo == hi:
+                for r in ranks:
+                    values[(c, r)] = lo
                 continue
-            # bounded slice: distinct values with their counts, sorted
-            vals = inside.groupBy(x.alias("v")).count().orderBy("v").collect()
+            idx = len(open_items)
+            open_items.append((c, lo, hi, below, n, ranks))
+            x, ok = _valid(c)
+            inside = ok & (x >= F.lit(lo)) & (x <= F.lit(hi))
+            if n <= slice_limit:
+                key = F.struct(F.lit(idx).alias("i"), F.lit(None).cast("int").alias("b"), x.alias("v"), x.alias("x"))
+            else:
+                width = (hi - lo) / buckets
+                b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+                key = F.struct(F.lit(idx).alias("i"), b.alias("b"), F.lit(None).cast("double").alias("v"),
+                               x.alias("x"))
+            entries.append(F.when(inside, key))
+        if not open_items:
+            break
+        rows = (df.select(F.explode(F.array(*entries)).alias("k")).where(F.col("k").isNotNull())
+                .groupBy("k.i", "k.b", "k.v")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("k.x").alias("mn"), F.max("k.x").alias("mx"))
+                .collect())
+        by_item: dict[int, list] = {}
+        for r in rows:
+            by_item.setdefault(r["i"], []).append(r)
+        items = []
+        for idx, (c, lo, hi, below, n, ranks) in enumerate(open_items):
+            rs = by_item.get(idx, [])
+            small = n <= slice_limit
+            rs.sort(key=lambda r: r["v"] if small else r["b"])
             cum = below
-            i = 0
-            for row in vals:
-                cum_next = cum + row["count"]
-                while i < len(rks) and rks[i] < cum_next:
-                    result[rks[i]] = row["v"]
-                    i += 1
-                cum = cum_next
-            continue
-        lo, hi = stats["mn"], stats["mx"]
-        width = (hi - lo) / buckets
-        b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-        hist = (inside.groupBy(b.alias("b"))
-                .agg(F.count(x).alias("n"), F.min(x).alias("mn"), F.max(x).alias("mx"))
-                .orderBy("b").collect())
-        cum = below
-        groups: dict[int, tuple[float, float, int, list[int]]] = {}
-        for row in hist:
-            cum_next = cum + row["n"]
-            hit = [r for r in rks if cum <= r < cum_next]
-            if hit:
-                groups[row["b"]] = (row["mn"], row["mx"], cum, hit)
-            cum = cum_next
-        for mn, mx, blw, hit in groups.values():
-            work.append((mn, mx, blw, hit))
-    return result
+            for r in rs:
+                nxt = cum + r["n"]
+                hit = [k for k in ranks if cum <= k < nxt]
+                if hit:
+                    if small:
+                        for k in hit:
+                            values[(c, k)] = r["v"]
+                    else:
+                        items.append((c, r["mn"], r["mx"], cum, r["n"], hit))
+                cum = nxt
+    for c, pos in positions.items():
+        res = []
+        for q in pos:
+            lo_r, hi_r = int(math.floor(q)), int(math.ceil(q))
+            a, b = float(values[(c, lo_r)]), float(values[(c, hi_r)])
+            res.append(a if lo_r == hi_r or a == b else a + (b - a) * (q - lo_r))
+        out[c] = res
+    return out
 
 
 def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float],
                     slice_limit: int = SLICE_LIMIT,
                     buckets: int = REFINE_BUCKETS) -> list[float | None]:
     """Linear-interpolated quantiles (SQL ``percentile`` / ``quantile_cont``)."""
-    x = F.col(c)
-    base = df.select(x).where(x.isNotNull() & ~F.isnan(x.cast("double"))) \
-        if dict(df.dtypes).get(c) in ("double", "float") else df.select(x).where(x.isNotNull())
-    s = one_row(base, {"n": F.count(x), "mn": F.min(x), "mx": F.max(x)})
-    n = s["n"]
-    if not n:
-        return [None for _ in probs]
-    positions = [p * (n - 1) for p in probs]
-    ranks = set()
-    for pos in positions:
-        ranks.add(int(math.floor(pos)))
-        ranks.add(int(math.ceil(pos)))
-    vals = _order_stats(base, c, sorted(ranks), n, s["mn"], s["mx"], 0, slice_limit, buckets)
-    out = []
-    for pos in positions:
-        lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
-        a, b = float(vals[lo_r]), float(vals[hi_r])
-        frac = pos - lo_r
-        out.append(a if lo_r == hi_r or a == b else a + (b - a) * frac)
-    return out
+    return exact_quantiles_multi(df, {c: list(probs)}, slice_limit, buckets)[c]
 
 
 def approx_quantiles(df: DataFrame, c: str, probs: Sequence[float],

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import HASH_MOD, bin_index, split_hash
 from sparkprep.functions.ordinal import prefix_sums
-from sparkprep.functions.stats import exact_quantiles, one_row, quantiles
+from sparkprep.functions.stats import exact_quantiles_multi, one_row, quantiles
 
 BAR_AGGS = {
     "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max,
@@ -139,12 +139,31 @@ def box(df: DataFrame, column: str, whis: float = 1.5, exact: bool = True,
 
 
 def box_many(df: DataFrame, columns: Sequence[str], whis: float = 1.5, exact: bool = True) -> DataFrame:
-    """``box`` per column, stacked in long form (variable, ...)."""
-    out = None
-    for c in columns:
-        b = box(df, c, whis, exact)
-        out = b if out is None else out.unionByName(b)
-    return out
+    """``box`` for several columns in long form (variable, ...): one quantile
+    pass for all columns and one aggregate for whiskers and outliers."""
+    cols = list(columns)
+    if exact:
+        qs = exact_quantiles_multi(df, {c: [0.25, 0.5, 0.75] for c in cols})
+    else:
+        qs = {c: quantiles(df, c, [0.25, 0.5, 0.75], exact=False) for c in cols}
+    aggs, structs = [], []
+    for i, c in enumerate(cols):
+        q1, med, q3 = qs[c]
+        x = F.col(c).cast("double")
+        if q1 is None:
+            inside = F.lit(False)
+        else:
+            iqr = q3 - q1
+            inside = (x >= F.lit(q1 - whis * iqr)) & (x <= F.lit(q3 + whis * iqr))
+        aggs += [F.min(F.when(inside, x)).alias(f"wl{i}"), F.max(F.when(inside, x)).alias(f"wh{i}"),
+                 F.sum(F.when(x.isNull(), 0).when(inside, 0).otherwise(1)).cast("bigint").alias(f"o{i}"),
+                 F.count(x).alias(f"n{i}")]
+        structs.append(F.struct(F.lit(c).alias("variable"), F.lit(q1).cast("double").alias("q1"),
+                                F.lit(med).cast("double").alias("median"), F.lit(q3).cast("double").alias("q3"),
+                                F.col(f"wl{i}").alias("whisker_low"), F.col(f"wh{i}").alias("whisker_high"),
+                                F.coalesce(F.col(f"o{i}"), F.lit(0).cast("bigint")).alias("n_outliers"),
+                                F.col(f"n{i}").alias("n")))
+    return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

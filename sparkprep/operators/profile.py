@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType, TimestampNTZType,
                                TimestampType)
 
-from sparkprep.functions.stats import exact_quantiles, one_row
+from sparkprep.functions.stats import approx_quantiles, exact_quantiles_multi, one_row
 
 TEXT_MIN_AVG_TOKENS = 5.0
 
@@ -99,12 +99,10 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact:
         exprs.update({f"n{i}": F.count(x), f"m{i}": F.avg(x), f"lo{i}": F.min(x),
                       f"hi{i}": F.max(x), f"s{i}": F.stddev_samp(x)})
     agg = df.agg(*[e.alias(k) for k, e in exprs.items()])
-    medians = {}
-    for c in cols:
-        if exact:
-            medians[c] = exact_quantiles(df.select(F.col(c).cast("double").alias(c)), c, [0.5])[0]
-        else:
-            medians[c] = df.agg(F.percentile_approx(F.col(c), 0.5, 10000)).first()[0]
+    if exact:
+        medians = {c: v[0] for c, v in exact_quantiles_multi(df, {c: [0.5] for c in cols}).items()}
+    else:
+        medians = {c: approx_quantiles(df, c, [0.5])[0] for c in cols}
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("bigint").alias("count"),
                  F.col(f"m{i}").alias("mean"), F.lit(medians[c]).cast("double").alias("median"),

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkprep.functions.materialize import materialize
+
 DATASET_SCHEMA = (
     "dataset_id string, name string, description string, file_type string, storage_path string, "
     "created_at timestamp, num_rows bigint, num_columns int, "
@@ -67,7 +69,7 @@ def lineage(spark: SparkSession, catalog_path: str, max_depth: int = 32) -> Data
     for d in range(1, max_depth + 1):
         frontier = (frontier.join(edges, frontier["ancestor_id"] == edges["child"])
                     .select("dataset_id", F.col("parent").alias("ancestor_id"), F.lit(d).alias("depth")))
-        frontier = frontier.checkpoint(eager=True)
+        frontier = materialize(frontier, "lineage")
         if frontier.isEmpty():
             break
         result = result.unionByName(frontier)
