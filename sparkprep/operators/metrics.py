@@ -62,3 +62,21 @@ def metrics_for(problem: str, df: DataFrame, label: str = "label",
         df, label, prediction)
     row = frame.first()
     return {k: (None if v is None else float(v)) for k, v in row.asDict().items()}
+
+
+def grouped_metric(df: DataFrame, group: str, metric: str, label: str = "label",
+                   prediction: str = "prediction") -> dict:
+    """{group value: metric} for r2 / rmse / mae / mape / accuracy in one aggregate."""
+    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
+    e = y - p
+    exprs = {
+        "rmse": F.sqrt(F.avg(e * e)),
+        "mae": F.avg(F.abs(e)),
+        "r2": F.lit(1.0) - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y)),
+        "mape": F.avg(F.abs(e / (y + F.lit(1e-10)))) * 100.0,
+        "accuracy": F.avg((y == p).cast("double")),
+    }
+    if metric not in exprs:
+        raise ValueError(f"grouped_metric does not support {metric}")
+    rows = df.where(y.isNotNull() & p.isNotNull()).groupBy(group).agg(exprs[metric].alias("m")).collect()
+    return {r[group]: r["m"] for r in rows}

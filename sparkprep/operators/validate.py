@@ -115,10 +115,17 @@ def learning_curve(df: DataFrame, target: str, model_type: str, key: str, cv_fol
     try:
         for s in sizes:
             for f in range(cv_folds):
-                tr = data.where((F.col("fold") != f) & (F.col("_sub") < F.lit(float(s))))
-                te = data.where(F.col("fold") == f)
-                fitted = fit_pipeline(tr, target, model_type, feats, params)
-                rows.append((float(s), f, evaluate(fitted, tr)[metric], evaluate(fitted, te)[metric]))
+                in_train = (F.col("fold") != f) & (F.col("_sub") < F.lit(float(s)))
+                fitted = fit_pipeline(data.where(in_train), target, model_type, feats, params)
+                if metric in ("r2", "rmse", "mae", "mape", "accuracy"):
+                    # train and held-out rows scored in one grouped job
+                    role = F.when(F.col("fold") == f, "cv").otherwise("train")
+                    scored = fitted.transform(data.where(in_train | (F.col("fold") == f))).withColumn("_role", role)
+                    m = M.grouped_metric(scored, "_role", metric, LABEL_COL, "prediction")
+                    rows.append((float(s), f, m.get("train"), m.get("cv")))
+                else:
+                    tr, te = data.where(in_train), data.where(F.col("fold") == f)
+                    rows.append((float(s), f, evaluate(fitted, tr)[metric], evaluate(fitted, te)[metric]))
     finally:
         data.unpersist()
     spark = df.sparkSession
