@@ -162,13 +162,29 @@ def lag_features(df: DataFrame, column: str, lags: Sequence[int], order_by: Sequ
 
 
 def custom_transformer(df: DataFrame, sql: str | None = None,
-                       fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """A user step: SQL over ``__THIS__`` (SQLTransformer) or a DataFrame function."""
-    if (sql is None) == (fn is None):
-        raise ValueError("give exactly one of sql or fn")
+                       fn: Callable[[DataFrame], DataFrame] | None = None,
+                       batch_fn: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """A user step, in one of three forms:
+
+    sql: a statement over ``__THIS__`` (SQLTransformer, fully optimized);
+    fn: a DataFrame -> DataFrame function (stays in the Catalyst plan);
+    batch_fn: pandas.DataFrame -> pandas.DataFrame applied to Arrow batches
+    of each partition (``mapInPandas``) with output ``schema`` - the slow
+    path, for logic with no built-in equivalent.
+    """
+    if sum(x is not None for x in (sql, fn, batch_fn)) != 1:
+        raise ValueError("give exactly one of sql, fn or batch_fn")
     if sql is not None:
         return SQLTransformer(statement=sql).transform(df)
-    return df.transform(fn)
+    if fn is not None:
+        return df.transform(fn)
+    if schema is None:
+        raise ValueError("batch_fn needs an output schema")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield batch_fn(b)
+    return df.mapInPandas(run, schema)
 
 
 def assemble(df: DataFrame, columns: Sequence[str], output: str = "features",

@@ -86,7 +86,8 @@ OPERATIONS: dict[str, OpFn] = {
         d, o["column"], o.get("lags", [1]),
         o["order_by"] if isinstance(o["order_by"], list) else [o["order_by"]],
         o["partition_by"] if isinstance(o["partition_by"], list) else [o["partition_by"]]),
-    "custom_transformer": lambda d, o: features.custom_transformer(d, sql=o.get("sql"), fn=o.get("fn")),
+    "custom_transformer": lambda d, o: features.custom_transformer(
+        d, sql=o.get("sql"), fn=o.get("fn"), batch_fn=o.get("batch_fn"), schema=o.get("schema")),
 }
 
 REQUIRED = {

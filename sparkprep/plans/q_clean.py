@@ -153,3 +153,25 @@ def cln11_binning_preprocess(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     out = apply_operations(o, [{"type": "binning", "column": "o_totalprice", "bins": 10}])
     return out.select("o_orderkey", "o_totalprice_binned")
+
+
+PIP_OPS = [
+    {"type": "fillna", "value": 0},
+    {"type": "outlier_removal", "columns": ["o_totalprice"], "method": "zscore", "threshold": 2.5},
+    {"type": "normalize", "columns": ["o_totalprice"], "method": "zscore"},
+    {"type": "categorical_encoding", "columns": ["o_orderstatus"], "method": "onehot"},
+    {"type": "datetime_features", "columns": ["o_orderdate"], "parts": ["year", "month"]},
+]
+
+
+@register("pip1_operation_list_summary", """
+WITH s AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd FROM orders),
+f AS (SELECT o.* FROM orders o, s WHERE abs((o_totalprice - m) / sd) <= 2.5)
+SELECT 'success' AS status, 5 AS operations_applied, 6 AS features_created,
+  (SELECT count(*) FROM f) AS rows_processed, 12 AS columns_processed""")
+def pip1_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from sparkprep.plans.operations import run_operations
+    from sparkprep.session import scratch_path, table_path
+    summary = run_operations(spark, table_path(sf, "orders"), scratch_path(spark, "pip1"), PIP_OPS, "parquet")
+    return spark.createDataFrame([summary], "status string, operations_applied int, features_created int, "
+                                            "rows_processed bigint, columns_processed int")

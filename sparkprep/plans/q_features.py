@@ -129,3 +129,26 @@ def fe15_vector_assembly(spark: SparkSession, sf: str) -> DataFrame:
     out = features.assemble(li, ["l_quantity", "l_tax_n"], "features", handle_invalid="skip")
     return out.select("l_orderkey", "l_linenumber", F.col("features")[0].alias("features_0"),
                       F.col("features")[1].alias("features_1"))
+
+
+def _log_features(pdf):  # noqa: ANN001, ANN202
+    import numpy as np
+    import pandas as pd
+    return pd.DataFrame({"l_orderkey": pdf["l_orderkey"], "l_linenumber": pdf["l_linenumber"],
+                         "log_price": np.round(np.log(pdf["l_extendedprice"]), 9)})
+
+
+@register("fe14_custom_transformer_batch_function", """
+SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 9) AS log_price FROM lineitem""")
+def fe14_custom_batch(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return features.custom_transformer(li, batch_fn=_log_features,
+                                       schema="l_orderkey long, l_linenumber int, log_price double")
+
+
+@register("fe14_custom_transformer_dataframe_function", """
+SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def fe14_custom_fn(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return features.custom_transformer(
+        li, fn=lambda d: d.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")))
