@@ -20,6 +20,8 @@ from sparkprep.functions.stats import exact_quantiles_multi, one_row, quantiles
 BAR_AGGS = {
     "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max,
     "count": lambda c: F.count(c).cast("bigint"), "median": F.median,
+    # exact median keeps a value map per group; approx_median is bounded memory
+    "approx_median": lambda c: F.percentile_approx(c, 0.5, 10000),
     "std": F.stddev_samp, "var": F.var_samp,
 }
 
