@@ -19,7 +19,7 @@ from pyspark.sql.types import NumericType
 from sparkprep.functions.exprs import safe_name
 from sparkprep.functions.joins import join_small
 from sparkprep.functions.ordinal import dense_codes
-from sparkprep.functions.stats import one_row, quantiles
+from sparkprep.functions.stats import exact_quantiles_multi, one_row, quantiles
 
 MAX_ONE_HOT_VALUES = 1000
 
@@ -126,11 +126,19 @@ def outlier_removal(df: DataFrame, columns: Sequence[str], method: str = "iqr",
         raise ValueError(f"Unknown outlier method: {method}")
     base = df
     preds: list[Column] = []
+    pre_q = {}
+    if method == "iqr" and not sequential and exact and columns:
+        # simultaneous bounds: all columns' quartiles in one refinement pass
+        pre_q = exact_quantiles_multi(base, {c: [0.25, 0.75] for c in columns})
     for c in columns:
         stats_df = df if sequential else base
         x = F.col(c)
         if method == "iqr":
-            lo, hi = iqr_bounds(stats_df, c, threshold, exact)
+            if c in pre_q:
+                q1, q3 = pre_q[c]
+                lo, hi = (None, None) if q1 is None else (q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1))
+            else:
+                lo, hi = iqr_bounds(stats_df, c, threshold, exact)
             pred = (x >= F.lit(lo)) & (x <= F.lit(hi)) if lo is not None else F.lit(False)
         else:
             p = zscore_params(stats_df, [c])[c]

@@ -175,3 +175,32 @@ def pip1_summary(spark: SparkSession, sf: str) -> DataFrame:
     summary = run_operations(spark, table_path(sf, "orders"), scratch_path(spark, "pip1"), PIP_OPS, "parquet")
     return spark.createDataFrame([summary], "status string, operations_applied int, features_created int, "
                                             "rows_processed bigint, columns_processed int")
+
+
+@register("cln4_normalize_scale_only", """
+SELECT l_orderkey, l_linenumber, round(l_extendedprice / stddev_samp(l_extendedprice) OVER (), 6) AS l_extendedprice_scaled
+FROM lineitem""")
+def cln4_scale_only(spark: SparkSession, sf: str) -> DataFrame:
+    """center=False: x / stddev, what a default StandardScaler computes."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    out = clean.normalize(li, ["l_extendedprice"], "zscore", center=False)
+    return round_all(out.select("l_orderkey", "l_linenumber", "l_extendedprice_scaled"))
+
+
+@register("cln5_outlier_iqr_simultaneous", """
+WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.75) AS b,
+                  quantile_cont(c_nationkey, 0.25) AS c, quantile_cont(c_nationkey, 0.75) AS d FROM customer)
+SELECT c_custkey FROM customer, q
+WHERE c_acctbal >= a - 0.5 * (b - a) AND c_acctbal <= b + 0.5 * (b - a)
+  AND c_nationkey >= c - 0.5 * (d - c) AND c_nationkey <= d + 0.5 * (d - c)""")
+def cln5_simultaneous(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds of every column from the same (unfiltered) rows."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    return clean.outlier_removal(c, ["c_acctbal", "c_nationkey"], "iqr", 0.5, sequential=False).select("c_custkey")
+
+
+@register("cln5_outlier_iqr_approximate")
+def cln5_approx(spark: SparkSession, sf: str) -> DataFrame:
+    """percentile_approx quartiles (bounded sketch memory), rows-only check."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return clean.outlier_removal(o, ["o_totalprice"], "iqr", 1.0, exact=False)

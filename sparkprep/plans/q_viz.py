@@ -282,3 +282,15 @@ def viz18_trend(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"),
                     F.round("x0", 6).alias("x0"), F.round("y0", 4).alias("y0"),
                     F.round("x1", 6).alias("x1"), F.round("y1", 4).alias("y1"))
+
+
+@register("viz3_scatter_all_points", "SELECT p_size AS x, p_retailprice AS y FROM part")
+def viz3_scatter_all(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
+    return charts.scatter(p, "x", "y", max_points=None)
+
+
+@register("viz4_bar_count_by_segment", """
+SELECT c_mktsegment, count(c_custkey) AS c_custkey FROM customer GROUP BY 1""")
+def viz4_bar_count(spark: SparkSession, sf: str) -> DataFrame:
+    return charts.bar(table(spark, sf, "customer"), "c_mktsegment", "c_custkey", "count")
