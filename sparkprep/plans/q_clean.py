@@ -127,9 +127,10 @@ def cln9_target_encoding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("cln10_datetime_features", """
-SELECT event_id, year(ts) AS ts_year, quarter(ts) AS ts_quarter, month(ts) AS ts_month, day(ts) AS ts_day,
-  dayofweek(ts) + 1 AS ts_dayofweek, week(ts) AS ts_weekofyear, hour(ts) AS ts_hour,
-  CASE WHEN dayofweek(ts) IN (0, 6) THEN 1 ELSE 0 END AS ts_is_weekend
+SELECT event_id, CAST(year(ts) AS INTEGER) AS ts_year, CAST(quarter(ts) AS INTEGER) AS ts_quarter,
+  CAST(month(ts) AS INTEGER) AS ts_month, CAST(day(ts) AS INTEGER) AS ts_day,
+  CAST(dayofweek(ts) + 1 AS INTEGER) AS ts_dayofweek, CAST(week(ts) AS INTEGER) AS ts_weekofyear,
+  CAST(hour(ts) AS INTEGER) AS ts_hour, CASE WHEN dayofweek(ts) IN (0, 6) THEN 1 ELSE 0 END AS ts_is_weekend
 FROM events""")
 def cln10_datetime_features(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "ts")
@@ -137,8 +138,10 @@ def cln10_datetime_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("cln10_datetime_features_orders", """
-SELECT o_orderkey, year(o_orderdate) AS o_orderdate_year, month(o_orderdate) AS o_orderdate_month,
-  dayofweek(o_orderdate) + 1 AS o_orderdate_dayofweek, week(o_orderdate) AS o_orderdate_weekofyear
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year,
+  CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month,
+  CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS o_orderdate_dayofweek,
+  CAST(week(o_orderdate) AS INTEGER) AS o_orderdate_weekofyear
 FROM orders""")
 def cln10_datetime_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")

@@ -153,7 +153,7 @@ def _box_sql(col: str, tbl: str) -> str:
     return f"""SELECT '{col}' AS variable, round(q1, 6) AS q1, round(med, 6) AS median, round(q3, 6) AS q3,
   round(min(CASE WHEN {col} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN {col} END), 6) AS whisker_low,
   round(max(CASE WHEN {col} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN {col} END), 6) AS whisker_high,
-  sum(CASE WHEN {col} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS n_outliers,
+  CAST(sum(CASE WHEN {col} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers,
   count(*) AS n
 FROM {tbl}, (SELECT quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.5) AS med,
                     quantile_cont({col}, 0.75) AS q3 FROM {tbl}) WHERE {col} IS NOT NULL
@@ -227,10 +227,10 @@ def viz13_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CUM = f"""WITH s AS ({DOCS_SQL}),
-t AS (SELECT score AS threshold, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS tp,
-             sum(CASE WHEN label > 0 THEN 0 ELSE 1 END) AS fp FROM s GROUP BY 1),
-c AS (SELECT threshold, tp, fp, sum(tp) OVER (ORDER BY threshold DESC) AS cum_tp,
-             sum(fp) OVER (ORDER BY threshold DESC) AS cum_fp,
+t AS (SELECT score AS threshold, CAST(sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+             CAST(sum(CASE WHEN label > 0 THEN 0 ELSE 1 END) AS BIGINT) AS fp FROM s GROUP BY 1),
+c AS (SELECT threshold, tp, fp, CAST(sum(tp) OVER (ORDER BY threshold DESC) AS BIGINT) AS cum_tp,
+             CAST(sum(fp) OVER (ORDER BY threshold DESC) AS BIGINT) AS cum_fp,
              sum(tp) OVER () AS p, sum(fp) OVER () AS n FROM t)"""
 
 
