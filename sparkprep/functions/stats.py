@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 REFINE_BUCKETS = 1024
 SLICE_LIMIT = 50_000
+SKETCH_ACCURACY = 100_000
 
 
 def one_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
@@ -34,48 +35,83 @@ def _valid(c: str) -> tuple[Column, Column]:
 
 def exact_quantiles_multi(df: DataFrame, specs: dict[str, Sequence[float]],
                           slice_limit: int = SLICE_LIMIT,
-                          buckets: int = REFINE_BUCKETS) -> dict[str, list[float | None]]:
+                          buckets: int = REFINE_BUCKETS,
+                          accuracy: int = SKETCH_ACCURACY) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles for several columns at once.
 
-    One job finds count/min/max per column.  Then every refinement level is
-    a single job for all open brackets of all columns: a bracket holding
-    more than ``slice_limit`` rows is cut into ``buckets`` equal-width
-    buckets (count/min/max per bucket), a smaller one returns its distinct
-    values with counts.  Each level shrinks a bracket at least ``buckets``
-    fold, so only a few levels run, and what reaches the driver per level
-    is bounded by brackets x max(buckets, slice_limit) rows.
+    Job 1 computes count/min/max and a percentile_approx sketch per column;
+    its rank error is at most n/accuracy, so the sketch values at
+    p -/+ 2/accuracy bracket every target rank.  Each later job serves all
+    open brackets of all columns together: rows below a bracket are
+    counted, and the bracket itself returns its distinct values (when it
+    holds at most ``slice_limit`` rows) or ``buckets`` equal-width bucket
+    counts to narrow further.  A bracket whose counted ranks miss the target
+    falls back to the full [min, max] range, so the result is always exact.
+    What reaches the driver per job is bounded by brackets x
+    max(buckets, slice_limit) rows.
     """
     cols = list(specs)
+    out: dict[str, list[float | None]] = {}
+    if not cols:
+        return out
+    delta = 2.0 / accuracy
     aggs = []
     for i, c in enumerate(cols):
         x, ok = _valid(c)
         v = F.when(ok, x)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
-    st = df.agg(*aggs).first() if cols else None
-    out: dict[str, list[float | None]] = {}
+        probes = sorted({min(1.0, max(0.0, p + d)) for p in specs[c] for d in (-delta, delta)})
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
+                 F.percentile_approx(v, probes, accuracy).alias(f"a{i}")]
+    st = df.agg(*aggs).first()
     positions: dict[str, list[float]] = {}
     values: dict[tuple[str, int], float] = {}
-    items = []  # (column, lo, hi, below, n, ranks)
+    # work item: (column, lo, hi, below | None, n_inside | None, ranks, fallback_ok)
+    items = []
     for i, c in enumerate(cols):
         n = st[f"n{i}"]
         if not n:
             out[c] = [None for _ in specs[c]]
             continue
         positions[c] = [p * (n - 1) for p in specs[c]]
-        ranks = sorted({int(math.floor(q)) for q in positions[c]} | {int(math.ceil(q)) for q in positions[c]})
-        items.append((c, st[f"mn{i}"], st[f"mx{i}"], 0, n, ranks))
+        mn, mx = st[f"mn{i}"], st[f"mx{i}"]
+        probes = sorted({min(1.0, max(0.0, p + d)) for p in specs[c] for d in (-delta, delta)})
+        approx = dict(zip(probes, st[f"a{i}"] or []))
+        if 6.0 * n / accuracy > slice_limit or len(approx) != len(probes):
+            ranks = sorted({int(math.floor(q)) for q in positions[c]} | {int(math.ceil(q)) for q in positions[c]})
+            items.append((c, mn, mx, 0, n, ranks, False))
+            continue
+        brackets = []
+        for p, q in zip(specs[c], positions[c]):
+            lo = mn if p - delta <= 0 else approx[max(0.0, p - delta)]
+            hi = mx if p + delta >= 1 else approx[min(1.0, p + delta)]
+            brackets.append([lo, hi, {int(math.floor(q)), int(math.ceil(q))}])
+        brackets.sort(key=lambda b: b[0])
+        merged = []
+        for b in brackets:
+            if merged and b[0] <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b[1])
+                merged[-1][2] |= b[2]
+            else:
+                merged.append(b)
+        for lo, hi, rks in merged:
+            items.append((c, lo, hi, None, None, sorted(rks), True))
+    mins = {c: st[f"mn{i}"] for i, c in enumerate(cols)}
+    maxs = {c: st[f"mx{i}"] for i, c in enumerate(cols)}
+    counts = {c: st[f"n{i}"] for i, c in enumerate(cols)}
     while items:
         open_items, entries = [], []
-        for c, lo, hi, below, n, ranks in items:
-            if lo == hi:
+        for it in items:
+            c, lo, hi, below, n, ranks, fb = it
+            if lo == hi and below is not None:
                 for r in ranks:
                     values[(c, r)] = lo
                 continue
             idx = len(open_items)
-            open_items.append((c, lo, hi, below, n, ranks))
+            open_items.append(it)
             x, ok = _valid(c)
             inside = ok & (x >= F.lit(lo)) & (x <= F.lit(hi))
-            if n <= slice_limit:
+            slice_mode = n is None or n <= slice_limit
+            if slice_mode:
                 key = F.struct(F.lit(idx).alias("i"), F.lit(None).cast("int").alias("b"), x.alias("v"), x.alias("x"))
             else:
                 width = (hi - lo) / buckets
@@ -83,6 +119,10 @@ def exact_quantiles_multi(df: DataFrame, specs: dict[str, Sequence[float]],
                 key = F.struct(F.lit(idx).alias("i"), b.alias("b"), F.lit(None).cast("double").alias("v"),
                                x.alias("x"))
             entries.append(F.when(inside, key))
+            if below is None:  # count the rows under the bracket in the same job
+                entries.append(F.when(ok & (x < F.lit(lo)), F.struct(
+                    F.lit(idx).alias("i"), F.lit(-1).alias("b"), F.lit(None).cast("double").alias("v"),
+                    F.lit(None).cast("double").alias("x"))))
         if not open_items:
             break
         rows = (df.select(F.explode(F.array(*entries)).alias("k")).where(F.col("k").isNotNull())
@@ -93,9 +133,17 @@ def exact_quantiles_multi(df: DataFrame, specs: dict[str, Sequence[float]],
         for r in rows:
             by_item.setdefault(r["i"], []).append(r)
         items = []
-        for idx, (c, lo, hi, below, n, ranks) in enumerate(open_items):
+        for idx, (c, lo, hi, below, n, ranks, fb) in enumerate(open_items):
             rs = by_item.get(idx, [])
-            small = n <= slice_limit
+            if below is None:
+                below = sum(r["n"] for r in rs if r["b"] == -1)
+                rs = [r for r in rs if r["b"] != -1]
+                inside_n = sum(r["n"] for r in rs)
+                if not all(below <= k < below + inside_n for k in ranks):
+                    # sketch bracket missed a rank: refine that column from scratch
+                    items.append((c, mins[c], maxs[c], 0, counts[c], ranks, False))
+                    continue
+            small = n is None or n <= slice_limit
             rs.sort(key=lambda r: r["v"] if small else r["b"])
             cum = below
             for r in rs:
@@ -106,7 +154,7 @@ def exact_quantiles_multi(df: DataFrame, specs: dict[str, Sequence[float]],
                         for k in hit:
                             values[(c, k)] = r["v"]
                     else:
-                        items.append((c, r["mn"], r["mx"], cum, r["n"], hit))
+                        items.append((c, r["mn"], r["mx"], cum, r["n"], hit, False))
                 cum = nxt
     for c, pos in positions.items():
         res = []

@@ -64,3 +64,23 @@ def test_lag_hot_key_path_equals_window(spark):
     b = features.lag_features(df, "v", [1, 2], ["eid"], ["user"])
     key = ["eid", "v_lag1", "v_lag2"]
     assert sorted(a.select(*key).collect()) == sorted(b.select(*key).collect())
+
+
+def test_exact_quantiles_bucket_refinement_path(spark):
+    rnd = random.Random(11)
+    vals = [rnd.gauss(0, 1) ** 3 for _ in range(800)] + [3.0] * 200
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.05, 0.25, 0.5, 0.75, 0.99]
+    want = list(df.agg(F.percentile("x", probs)).first()[0])
+    # accuracy=10 forces the bucket path (6n/accuracy > slice_limit)
+    got = stats.exact_quantiles_multi(df, {"x": probs}, slice_limit=7, buckets=4, accuracy=10)["x"]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))
+
+
+def test_exact_quantiles_multi_columns_with_nulls(spark):
+    rows = [(float(i % 13) if i % 5 else None, float((i * 7) % 101)) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = stats.exact_quantiles_multi(df, {"a": [0.1, 0.5], "b": [0.25, 0.75, 1.0]}, slice_limit=5, buckets=3)
+    for c, probs in (("a", [0.1, 0.5]), ("b", [0.25, 0.75, 1.0])):
+        want = list(df.agg(F.percentile(c, probs)).first()[0])
+        assert all(abs(x - y) < 1e-9 for x, y in zip(got[c], want))
