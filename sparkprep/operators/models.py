@@ -206,12 +206,13 @@ def label_labels(df: DataFrame, target: str, problem: str, max_classes: int = 10
 
 
 def feature_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[str]]:
-    stages, assembled = [], []
+    """String features -> one multi-column StringIndexer (a single pass over
+    the data for all of them); numeric/boolean features pass through."""
+    stages, assembled, strings = [], [], []
     for c in features:
         t = df.schema[c].dataType
         if isinstance(t, StringType):
-            stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx",
-                                        stringOrderType="alphabetAsc", handleInvalid="keep"))
+            strings.append(c)
             assembled.append(f"{c}__idx")
         elif isinstance(t, (NumericType, BooleanType)):
             assembled.append(c)
@@ -219,6 +220,9 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[s
             raise ValueError(f"feature {c} is a date/time column; derive datetime features first")
         else:
             raise ValueError(f"feature {c} has unsupported type {t.simpleString()}")
+    if strings:
+        stages.append(StringIndexer(inputCols=strings, outputCols=[f"{c}__idx" for c in strings],
+                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
     stages.append(VectorAssembler(inputCols=assembled, outputCol=FEATURES_COL, handleInvalid="keep"))
     return stages, assembled
 

@@ -70,7 +70,7 @@ def test_unseen_category_uses_saved_encoder(spark):
     out = loaded.predict(score).collect()
     assert len(out) == 2  # unseen "c" is kept, not an error
     idx = loaded.pipeline.stages[0]
-    assert list(idx.labels) == ["a", "b"]  # the fitted alphabetical codes, not refitted
+    assert list(idx.labelsArray[0]) == ["a", "b"]  # the fitted alphabetical codes, not refitted
 
 
 def test_two_vector_ops_in_one_list(spark):
