@@ -43,18 +43,20 @@ def _binned(df: DataFrame, features: Sequence[str], target: str, bins: int) -> D
 
 
 def contingency(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
-    """(feature, bin, y, n, n_x, n_y, n_total) observed cells with margins."""
+    """(feature, bin, y, n, n_x, n_y, n_total) observed cells with margins.
+
+    The data is scanned once into the cell counts; the margins are windows
+    over that cell table, which is bounded by features x bins x classes.
+    """
+    from pyspark.sql import Window
     # counts are doubles: products such as n * n_total overflow 64-bit at scale
     cells = _binned(df, features, target, bins).groupBy("feature", "bin", "y").agg(
         F.count(F.lit(1)).cast("double").alias("n"))
-    nx = cells.groupBy("feature", "bin").agg(F.sum("n").alias("n_x"))
-    ny = cells.groupBy("feature", "y").agg(F.sum("n").alias("n_y"))
-    nt = cells.groupBy("feature").agg(F.sum("n").alias("n_total"))
-    # bin and feature margins are bounded by features x bins; the class
-    # margin is left to the planner (AQE measures it at run time)
-    return (cells.join(F.broadcast(nx), ["feature", "bin"])
-            .join(ny, ["feature", "y"])
-            .join(F.broadcast(nt), ["feature"]))
+    return cells.select(
+        "*",
+        F.sum("n").over(Window.partitionBy("feature", "bin")).alias("n_x"),
+        F.sum("n").over(Window.partitionBy("feature", "y")).alias("n_y"),
+        F.sum("n").over(Window.partitionBy("feature")).alias("n_total"))
 
 
 def mutual_info(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) -> DataFrame:
