@@ -93,7 +93,10 @@ def compare_models(df: DataFrame, target: str, model_types: Sequence[str], key:
     lower_better = F.col("metric").isin("rmse", "mae", "mape")
     summary = summary.withColumn("sort_value", F.when(lower_better, -F.col("mean")).otherwise(F.col("mean")))
     err = spark.createDataFrame(errors, "model string, error string")
-    return summary.join(err, "model", "full")
+    first = F.col("metric") == F.lit(first_metric)
+    # one row per (model, metric): bounded, so a global sort is cheap
+    return (summary.join(err, "model", "full")
+            .orderBy(first.desc_nulls_last(), F.desc_nulls_last("sort_value"), "model", "metric"))
 
 
 def learning_curve(df: DataFrame, target: str, model_type: str, key: str, cv_folds: int = 5,

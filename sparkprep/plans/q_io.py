@@ -192,3 +192,25 @@ WHERE (SELECT count(*) FROM c) > 0""")
 def cat3_lineage(spark: SparkSession, sf: str) -> DataFrame:
     cat = _build_catalog(spark, sf)
     return catalog.lineage(spark, cat)
+
+
+@register("cat2_list_charts_by_dataset_and_type", """
+SELECT 'hist_price' AS chart_id, 'histogram' AS chart_type, 'lineitem' AS dataset_id, CAST(20 AS BIGINT) AS num_rows
+UNION ALL
+SELECT 'hist_qty', 'histogram', 'lineitem', CAST(10 AS BIGINT)
+WHERE (SELECT count(*) FROM lineitem) > 0""")
+def cat2_charts(spark: SparkSession, sf: str) -> DataFrame:
+    from sparkprep.operators import charts
+    cat = scratch_path(spark, "chart_catalog")
+    li = table(spark, sf, "lineitem")
+    o = table(spark, sf, "orders")
+    catalog.register_chart(spark, cat, charts.histogram(li, "l_extendedprice", 20), "histogram", "lineitem",
+                           scratch_path(spark, "chart"), options={"bins": 20}, chart_id="hist_price")
+    catalog.register_chart(spark, cat, charts.histogram(li, "l_quantity", 10), "histogram", "lineitem",
+                           scratch_path(spark, "chart"), options={"bins": 10}, chart_id="hist_qty")
+    catalog.register_chart(spark, cat, charts.box(li, "l_discount"), "box", "lineitem",
+                           scratch_path(spark, "chart"), chart_id="box_discount")
+    catalog.register_chart(spark, cat, charts.pie(o, "o_orderstatus"), "pie", "orders",
+                           scratch_path(spark, "chart"), chart_id="pie_status")
+    return catalog.list_charts(spark, cat, dataset_id="lineitem", chart_type="histogram").select(
+        "chart_id", "chart_type", "dataset_id", "num_rows")

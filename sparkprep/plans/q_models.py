@@ -234,7 +234,13 @@ def scr1_batch(spark: SparkSession, sf: str) -> DataFrame:
     path, e = _saved_event_model(spark, sf)
     out = models.batch_predict(path, e, keep=["event_id", "value"])
     dest = io.write(out, scratch_path(spark, "scored"), "parquet")
-    return io.read(spark, dest, "parquet")
+    scored = io.read(spark, dest, "parquet")
+    # the scored output is registered as a child of the input dataset
+    cat = scratch_path(spark, "catalog")
+    catalog.register_dataset(spark, cat, e, "events", "events", "parquet", dataset_id="events")
+    catalog.register_dataset(spark, cat, scored, "events_scored", dest, "parquet", parent_dataset_id="events",
+                             operations=[{"type": "batch_predict", "model": path}])
+    return scored
 
 
 @register("scr2_stream_scoring")

@@ -96,3 +96,31 @@ def best_model_per_metric(spark: SparkSession, report_path: str) -> DataFrame:
     key = F.when(F.col("metric").isin("rmse", "mae", "mape"), F.col("value")).otherwise(-F.col("value"))
     w = Window.partitionBy("metric").orderBy(key, F.col("model_id"))
     return rep.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+CHART_SCHEMA = ("chart_id string, chart_type string, dataset_id string, model_id string, "
+                "table_path string, num_rows bigint, options string, created_at timestamp")
+
+
+def register_chart(spark: SparkSession, catalog_path: str, chart: DataFrame, chart_type: str,
+                   dataset_id: str | None, table_path: str, model_id: str | None = None,
+                   options: dict | None = None, chart_id: str | None = None) -> str:
+    """Write a chart table and append its catalog row (CAT-2 for charts)."""
+    chart_id = chart_id or uuid.uuid4().hex
+    chart.write.mode("overwrite").parquet(table_path)
+    n = spark.read.parquet(table_path).count()
+    row = (chart_id, chart_type, dataset_id, model_id, table_path, int(n),
+           json.dumps(options or {}, sort_keys=True), _now())
+    spark.createDataFrame([row], CHART_SCHEMA).coalesce(1).write.mode("append").parquet(catalog_path)
+    return chart_id
+
+
+def list_charts(spark: SparkSession, catalog_path: str, dataset_id: str | None = None,
+                model_id: str | None = None, chart_type: str | None = None) -> DataFrame:
+    """Latest row per chart id, filtered by dataset, model and/or chart type."""
+    cat = spark.read.schema(CHART_SCHEMA).parquet(catalog_path)
+    for c, v in (("dataset_id", dataset_id), ("model_id", model_id), ("chart_type", chart_type)):
+        if v is not None:
+            cat = cat.where(F.col(c) == v)
+    w = Window.partitionBy("chart_id").orderBy(F.desc("created_at"))
+    return cat.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
