@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 from pyspark.sql import DataFrame
 
 
+def _has_shuffle(df: DataFrame) -> bool:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return "Exchange" in buf.getvalue()
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than
-    the cluster has cores (e.g. a few fat parquet row groups feeding
-    CPU-heavy per-row work).  On a large scan the partition count already
-    exceeds the cores and the frame is returned untouched (no shuffle)."""
+    """Round-robin repartition only when a plain scan yields fewer partitions
+    than the cluster has cores (e.g. a few fat parquet row groups feeding
+    CPU-heavy per-row work).  Large scans already exceed the core count and
+    are returned untouched (no shuffle).  Plans that already contain a
+    shuffle are left alone too: asking them for their partition count would
+    make adaptive execution run those shuffle stages early.
+    """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if _has_shuffle(df):
+        return df
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df

@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 REFINE_BUCKETS = 1024
 SLICE_LIMIT = 50_000
-SKETCH_ACCURACY = 100_000
+# The sketch buffers of every map partition meet in one final task, so the
+# accuracy stays small (a few KB per partition); with it the sketch brackets
+# inputs up to slice_limit * accuracy / 6 rows, larger inputs refine by buckets.
+SKETCH_ACCURACY = 1_000
 
 
 def one_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
