@@ -201,17 +201,20 @@ def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 10
                   suffix: str = "_te", max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Smoothed category mean of ``target``: (n*mean_c + m*mean) / (n + m).
 
-    Category statistics are one partial+final aggregate (skew-safe); the
-    table is joined back with a size-checked broadcast.  Unseen/null
-    categories get the global mean.
+    Category statistics are one partial+final aggregate (skew-safe) that is
+    persisted; the global mean is derived from that small table (no second
+    scan), and the table is joined back with a size-checked broadcast.
+    Unseen/null categories get the global mean.
     """
-    g = one_row(df, {"gm": F.avg(F.col(target).cast("double"))})["gm"]
-    stats = (df.where(F.col(column).isNotNull())
-             .groupBy(column)
-             .agg(F.count(F.col(target)).alias("_n"), F.avg(F.col(target).cast("double")).alias("_m")))
+    from pyspark import StorageLevel
+    y = F.col(target).cast("double")
+    stats = (df.groupBy(column).agg(F.count(y).alias("_n"), F.sum(y).alias("_s"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    tot = stats.agg(F.sum("_n").alias("n"), F.sum("_s").alias("s")).first()
+    g = (tot["s"] / tot["n"]) if tot["n"] else None
     m = float(smoothing)
-    enc = stats.select(column, ((F.col("_n") * F.col("_m") + F.lit(m) * F.lit(g))
-                                / (F.col("_n") + F.lit(m))).alias(f"{column}{suffix}"))
+    enc = stats.where(F.col(column).isNotNull() & (F.col("_n") > 0)).select(
+        column, ((F.col("_s") + F.lit(m) * F.lit(g)) / (F.col("_n") + F.lit(m))).alias(f"{column}{suffix}"))
     out = join_small(df, enc, column, "left", max_rows=max_broadcast_rows)
     return out.withColumn(f"{column}{suffix}", F.coalesce(F.col(f"{column}{suffix}"), F.lit(g)))
 

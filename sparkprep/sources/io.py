@@ -20,13 +20,16 @@ SUPPORTED = ("csv", "parquet", "json", "jsonl")
 
 def read(spark: SparkSession, path: str | Sequence[str], file_type: str,
          schema: StructType | str | None = None, infer_schema: bool = True,
-         drop_malformed: bool = False, **options) -> DataFrame:
+         drop_malformed: bool = False, sampling_ratio: float | None = None,
+         **options) -> DataFrame:
     """Read one dataset.
 
     csv: header row; column types from ``schema`` when given (no inference
     pass), else inferred.  jsonl: one JSON object per line.  json: a whole
     file holding an array of objects or one (possibly multi-line) object.
     ``drop_malformed`` drops lines that do not parse instead of failing.
+    Without a schema, ``sampling_ratio`` limits the inference pass to a
+    fraction of the rows (csv/json); on large inputs pass a schema instead.
     """
     ft = (file_type or "").lower()
     if ft not in SUPPORTED:
@@ -34,6 +37,8 @@ def read(spark: SparkSession, path: str | Sequence[str], file_type: str,
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
+    elif sampling_ratio is not None and ft != "parquet":
+        reader = reader.option("samplingRatio", float(sampling_ratio))
     for k, v in options.items():
         reader = reader.option(k, v)
     if ft == "csv":
