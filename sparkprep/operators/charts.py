@@ -89,7 +89,7 @@ def kde(df: DataFrame, column: str, grid_points: int = 200, cells: int = 2048,
 
 
 def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, key: str | None = None,
-            max_points: int | None = 10000, seed: int = 42) -> DataFrame:
+            max_points: int | None = None, seed: int = 42) -> DataFrame:
     """(x, y[, hue]) points, thinned by a stable hash sample when the table
     holds more than ``max_points`` rows (``max_points=None`` keeps all)."""
     cols = [x, y] + ([hue] if hue else [])

@@ -25,8 +25,9 @@ def read(spark: SparkSession, path: str | Sequence[str], file_type: str,
     """Read one dataset.
 
     csv: header row; column types from ``schema`` when given (no inference
-    pass), else inferred.  jsonl: one JSON object per line.  json: a whole
-    file holding an array of objects or one (possibly multi-line) object.
+    pass), else inferred.  jsonl: one JSON object per line.  json: files that
+    are JSON Lines, a JSON array, or one (possibly multi-line) object - a
+    file is parsed whole only when its lines do not parse one by one.
     ``drop_malformed`` drops lines that do not parse instead of failing.
     Without a schema, ``sampling_ratio`` limits the inference pass to a
     fraction of the rows (csv/json); on large inputs pass a schema instead.
@@ -50,13 +51,57 @@ def read(spark: SparkSession, path: str | Sequence[str], file_type: str,
         return reader.csv(path)
     if ft == "parquet":
         return reader.parquet(*([path] if isinstance(path, str) else path))
+    if ft == "json":
+        return _read_json_documents(spark, path, schema, drop_malformed, options)
     if drop_malformed:
         reader = reader.option("mode", "DROPMALFORMED")
-    if ft == "json":
-        reader = reader.option("multiLine", True)
     return reader.json(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _read_json_documents(spark: SparkSession, path, schema, drop_malformed: bool,  # noqa: ANN001
+                         options: dict) -> DataFrame:
+    """``json``: each file is JSON Lines, a JSON array, or one multi-line object.
+
+    A multiLine read alone keeps only the first value of a JSON-lines file
+    (rows silently lost), so files are first read as lines; only files with
+    lines that do not parse (pretty-printed documents) are re-read whole.
+    """
+    def base():  # noqa: ANN202
+        r = spark.read
+        for k, v in options.items():
+            r = r.option(k, v)
+        return r
+
+    lines_reader = base().option("columnNameOfCorruptRecord", CORRUPT)
+    if schema is not None:
+        st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+        lines_reader = lines_reader.schema(st.add(CORRUPT, "string"))
+    lines = lines_reader.json(path).withColumn("_file", F.input_file_name())
+    if CORRUPT not in lines.columns:
+        return lines.drop("_file")
+    data_cols = [c for c in lines.columns if c not in (CORRUPT, "_file")]
+    whole = base().option("multiLine", True)
+    if schema is not None:
+        whole = whole.schema(schema)
+    if drop_malformed:
+        whole = whole.option("mode", "DROPMALFORMED")
+    if not data_cols:  # no line parsed anywhere: every file is one document
+        return whole.json(path)
+    probe = lines.where(F.col(CORRUPT).isNotNull())
+    # reference a data column as well: Spark refuses scans that read only the corrupt column
+    bad = [r["_file"] for r in probe.select("_file", *(data_cols[:1])).distinct().collect()]
+    bad = sorted(set(bad))
+    good = lines.where(~F.col("_file").isin(bad)) if bad else lines
+    good = good.drop(CORRUPT, "_file")
+    if not bad:
+        return good
+    docs = whole.json(bad)
+    return good.unionByName(docs, allowMissingColumns=True)
+
+
 def expand_vectors(df: DataFrame) -> DataFrame:
     """Vector and array columns become scalar columns ``<c>_0 .. <c>_{n-1}``.
 

@@ -151,3 +151,22 @@ def test_classification_metrics_string_labels(spark):
     assert m["accuracy"] == 0.5
     # class c never predicted: precision 0 for it (zero_division = 0)
     assert abs(m["precision"] - (2 * 1.0 + 1 * (1 / 3) + 0) / 4) < 1e-12
+
+
+def test_json_type_reads_spark_json_lines_output_completely(spark):
+    df = spark.range(500).select(F.col("id").alias("k"))
+    path = io.write(df.repartition(3), scratch_path(spark, "jsonlines"), "json")
+    assert io.read(spark, path, "json").count() == 500
+    assert io.read(spark, path, "json", schema="k long").count() == 500
+
+
+def test_json_type_mixed_files(spark):
+    d = tempfile.mkdtemp(prefix="json-mixed-")
+    with open(os.path.join(d, "a.json"), "w") as f:
+        f.write('{"a": 1}\n{"a": 2}\n')
+    with open(os.path.join(d, "b.json"), "w") as f:
+        f.write('[\n  {"a": 3},\n  {"a": 4}\n]\n')
+    with open(os.path.join(d, "c.json"), "w") as f:
+        f.write('{\n "a": 5\n}\n')
+    got = sorted(r["a"] for r in io.read(spark, d, "json").collect())
+    assert got == [1, 2, 3, 4, 5]
