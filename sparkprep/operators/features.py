@@ -125,39 +125,56 @@ def lag_features(df: DataFrame, column: str, lags: Sequence[int], order_by: Sequ
                  force_ordinal: bool = False) -> DataFrame:
     """``<c>_lag<k>`` = value k rows earlier in the same partition group.
 
-    ``order_by`` must make the order total (add a unique key).  When the
-    largest group has at most ``max_group_rows`` rows the plain window is
-    used (one shuffle by the group key).  Otherwise a hot group would sit
-    in a single task, so rows get a global ordinal over
-    (partition_by, order_by) from range partitioning and each lag is an
-    equi-join on ordinal - k, which spreads evenly whatever the key skew.
+    ``order_by`` must make the order total (add a unique key).  Group sizes
+    are counted first (one partial+final aggregate).  Groups of at most
+    ``max_group_rows`` rows use the plain window (one shuffle by the group
+    key).  A hot group would sit in a single window task, so the hot groups
+    alone - at most total/max_group_rows keys, a proven bound, routed with
+    broadcast semi/anti joins - get a global ordinal over
+    (partition_by, order_by) from range partitioning, and each lag becomes
+    an equi-join on ordinal - k, which spreads evenly whatever the skew.
     """
     if not partition_by:
         raise ValueError("lag_features needs partition_by (no global window)")
     lags = [int(k) for k in lags]
-    use_window = not force_ordinal
-    if use_window:
-        biggest = (df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("n"))
-                   .agg(F.max("n").alias("m")).first()["m"]) or 0
-        use_window = biggest <= max_group_rows
-    if use_window:
-        w = Window.partitionBy(*partition_by).orderBy(*order_by)
-        return df.select("*", *[F.lag(column, k).over(w).alias(f"{column}_lag{k}") for k in lags])
+    keys = list(partition_by)
+    if force_ordinal:
+        return _lag_by_ordinal(df, column, lags, order_by, keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = sizes.where(F.col("__n") > F.lit(max_group_rows)).select(*keys)
+    n_hot = hot.count()
+    if n_hot == 0:
+        return _lag_by_window(df, column, lags, order_by, keys)
+    hot = df.sparkSession.createDataFrame(hot.collect(), hot.schema)  # <= total / max_group_rows keys
+    cold_part = df.join(F.broadcast(hot), keys, "left_anti")
+    hot_part = df.join(F.broadcast(hot), keys, "left_semi")
+    return _lag_by_window(cold_part, column, lags, order_by, keys).unionByName(
+        _lag_by_ordinal(hot_part, column, lags, order_by, keys))
+
+
+def _lag_by_window(df: DataFrame, column: str, lags: list[int], order_by: Sequence[str],
+                   keys: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order_by)
+    return df.select("*", *[F.lag(column, k).over(w).alias(f"{column}_lag{k}") for k in lags])
+
+
+def _lag_by_ordinal(df: DataFrame, column: str, lags: list[int], order_by: Sequence[str],
+                    keys: list[str]) -> DataFrame:
     ordc = _tmp("ord")
-    ranked = with_ordinal(df, list(partition_by) + list(order_by), ordc)
+    ranked = with_ordinal(df, keys + list(order_by), ordc)
     out = ranked
     for k in lags:
         kc = _tmp("k")
         prev = ranked.select((F.col(ordc) + F.lit(k)).alias(ordc),
-                             *[F.col(p).alias(f"{kc}_{i}") for i, p in enumerate(partition_by)],
+                             *[F.col(p).alias(f"{kc}_{i}") for i, p in enumerate(keys)],
                              F.col(column).alias(f"{column}_lag{k}"))
         out = out.join(prev, ordc, "left")
         same = F.lit(True)
-        for i, p in enumerate(partition_by):
+        for i, p in enumerate(keys):
             same = same & F.col(p).eqNullSafe(F.col(f"{kc}_{i}"))
         out = out.withColumn(f"{column}_lag{k}",
                              F.when(same, F.col(f"{column}_lag{k}"))).drop(
-            *[f"{kc}_{i}" for i in range(len(partition_by))])
+            *[f"{kc}_{i}" for i in range(len(keys))])
     return out.drop(ordc)
 
 

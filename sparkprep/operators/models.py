@@ -112,7 +112,9 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int =
     if model_type == "xgboost_classifier":
         gbt = GBTClassifier(**common, seed=seed, **params)
         if n_classes > 2:
-            return OneVsRest(classifier=gbt, featuresCol=FEATURES_COL, labelCol=LABEL_COL)
+            # the per-class binary fits are independent: run several at once
+            return OneVsRest(classifier=gbt, featuresCol=FEATURES_COL, labelCol=LABEL_COL,
+                             parallelism=min(n_classes, 8))
         return gbt
     raise ValueError(f"Unsupported model type: {model_type}")
 

@@ -152,3 +152,11 @@ def fe14_custom_fn(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return features.custom_transformer(
         li, fn=lambda d: d.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("fe13_lag_features_hot_group_split", LAG_SQL)
+def fe13_lag_hot_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups above 80 rows take the ordinal path, the rest the window (hybrid plan)."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    out = features.lag_features(e, "value", [1, 3], ["ts", "event_id"], ["user_id"], max_group_rows=80)
+    return out.select("event_id", "value_lag1", "value_lag3")

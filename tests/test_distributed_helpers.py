@@ -84,3 +84,14 @@ def test_exact_quantiles_multi_columns_with_nulls(spark):
     for c, probs in (("a", [0.1, 0.5]), ("b", [0.25, 0.75, 1.0])):
         want = list(df.agg(F.percentile(c, probs)).first()[0])
         assert all(abs(x - y) < 1e-9 for x, y in zip(got[c], want))
+
+
+def test_lag_splits_only_hot_groups(spark):
+    rows = [(i, 0 if i % 3 == 0 else i % 17, float(i % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows, "eid long, user long, v double")
+    # user 0 holds 200 rows: with max_group_rows=100 only it takes the ordinal path
+    a = features.lag_features(df, "v", [1, 3], ["eid"], ["user"], max_group_rows=100)
+    b = features.lag_features(df, "v", [1, 3], ["eid"], ["user"], max_group_rows=10_000)
+    key = ["eid", "user", "v", "v_lag1", "v_lag3"]
+    assert sorted(a.select(*key).collect()) == sorted(b.select(*key).collect())
+    assert a.count() == 600
