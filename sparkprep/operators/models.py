@@ -54,7 +54,7 @@ def infer_problem(df: DataFrame, target: str) -> str:
 
 
 def translate_params(model_type: str, params: dict | None, n_rows: int | None = None) -> dict:
-    """Reference-style hyper-parameter names -> pyspark.ml parameter names."""
+    """scikit-learn-style hyper-parameter names -> pyspark.ml parameter names."""
     p = dict(params or {})
     out: dict = {}
     if "n_estimators" in p:

@@ -86,7 +86,7 @@ def compare_models(df: DataFrame, target: str, model_types: Sequence[str], key:
             first_metric = first_metric or names[0]
             rows.extend(fold_scores(df, target, mt, key, cv_folds, features,
                                     (params or {}).get(mt), names, seed))
-        except Exception as e:  # noqa: BLE001 - reported per model, like the reference
+        except Exception as e:  # noqa: BLE001 - reported per model instead of aborting
             errors.append((mt, str(e)[:500]))
     folds = spark.createDataFrame(rows, FOLD_SCHEMA)
     summary = summarize_folds(folds)
