@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import HASH_MOD, bin_index, split_hash
-from sparkprep.functions.ordinal import prefix_sums
+from sparkprep.functions.ordinal import grouped_exact_quantiles, prefix_sums
 from sparkprep.functions.stats import exact_quantiles_multi, one_row, quantiles
 
 BAR_AGGS = {
     "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max,
-    "count": lambda c: F.count(c).cast("bigint"), "median": F.median,
-    # exact median keeps a value map per group; approx_median is bounded memory
+    "count": lambda c: F.count(c).cast("bigint"),
+    "median": None,  # exact, via grouped_exact_quantiles (see bar)
     "approx_median": lambda c: F.percentile_approx(c, 0.5, 10000),
     "std": F.stddev_samp, "var": F.var_samp,
 }
@@ -104,9 +104,17 @@ def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, key: str | No
 
 
 def bar(df: DataFrame, x: str, y: str, aggfunc: str = "mean") -> DataFrame:
-    """(x, y) with y aggregated per category by ``aggfunc``."""
+    """(x, y) with y aggregated per category by ``aggfunc``.
+
+    ``median`` is exact and skew-proof (global ordinal, no per-group value
+    map); ``approx_median`` is a bounded-memory sketch per group.
+    """
     if aggfunc not in BAR_AGGS:
         raise ValueError(f"Unsupported aggfunc: {aggfunc}")
+    if aggfunc == "median":
+        med = grouped_exact_quantiles(df, [x], y, [0.5]).withColumnRenamed("q0", y)
+        cats = df.select(x).distinct()  # categories whose y is all null keep a null median
+        return cats.join(med, x, "left").select(x, y)
     return df.groupBy(x).agg(BAR_AGGS[aggfunc](F.col(y)).alias(y))
 
 

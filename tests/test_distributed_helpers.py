@@ -95,3 +95,19 @@ def test_lag_splits_only_hot_groups(spark):
     key = ["eid", "user", "v", "v_lag1", "v_lag3"]
     assert sorted(a.select(*key).collect()) == sorted(b.select(*key).collect())
     assert a.count() == 600
+
+
+def test_grouped_exact_quantiles_match_percentile(spark):
+    from sparkprep.functions.ordinal import grouped_exact_quantiles
+    rnd = random.Random(3)
+    rows = [("hot" if i % 2 == 0 else f"g{i % 7}", rnd.choice([rnd.uniform(0, 9), 4.0])) for i in range(700)]
+    rows += [("nulls", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(probs))]
+           for r in grouped_exact_quantiles(df, ["g"], "v", probs).collect()}
+    want = {r["g"]: r["p"] for r in df.groupBy("g").agg(F.percentile("v", probs).alias("p")).collect()
+            if r["p"] is not None}
+    assert set(got) == set(want)
+    for g in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g]))
