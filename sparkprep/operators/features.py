@@ -219,7 +219,7 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features",
 
 
 def pca(df: DataFrame, columns: Sequence[str] | str, n_components: int = 2,
-        prefix: str = "pc", seed_input_is_array: bool = False) -> DataFrame:
+        prefix: str = "pc") -> DataFrame:
     """Principal components ``pc1..pck`` (projection of uncentred rows, as
     pyspark.ml PCA does).  ``columns`` may be a list of numeric columns or
     one array<float|double> column.  Skipped when k >= number of inputs.
@@ -242,6 +242,7 @@ def pca(df: DataFrame, columns: Sequence[str] | str, n_components: int = 2,
 
 
 def pca_model(df: DataFrame, column: str, n_components: int = 2):  # noqa: ANN201
+    """The fitted PCA model of an array column (components, explained variance)."""
     from pyspark.ml.functions import array_to_vector
     tmp_in = _tmp("pca_in")
     data = df.withColumn(tmp_in, array_to_vector(F.col(column).cast("array<double>")))

@@ -85,3 +85,20 @@ def test_translate_params():
     assert p == {"numTrees": 50, "maxDepth": 30, "minInstancesPerNode": 5}
     lg = models.translate_params("logistic_regression", {"C": 2.0, "penalty": "l1"}, n_rows=100)
     assert lg["regParam"] == 1.0 / 200 and lg["elasticNetParam"] == 1.0
+
+
+def test_pca_matches_numpy_up_to_sign(spark, sf_small):
+    import numpy as np
+    from sparkprep.operators import features
+    e = spark.read.parquet(f"{sf_small}/embeddings.parquet")
+    rows = e.orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=float)
+    cov = np.cov(x, rowvar=False)
+    w, v = np.linalg.eigh(cov)
+    top = v[:, np.argsort(w)[::-1][:2]]
+    want = np.abs(x @ top)  # projection of uncentred rows, sign-free
+    got = features.pca(e, "embedding", 2).orderBy("vec_id").select("pc1", "pc2").collect()
+    got = np.abs(np.array([[r["pc1"], r["pc2"]] for r in got]))
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-6)
+    ev = features.pca_model(e, "embedding", 2).explainedVariance.toArray()
+    assert np.allclose(ev, np.sort(w)[::-1][:2] / w.sum(), rtol=1e-6)
