@@ -106,6 +106,7 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int =
         return GBTRegressor(**common, seed=seed, **params)
     if model_type == "logistic_regression":
         params.setdefault("family", "auto")
+        params.setdefault("standardization", False)  # penalty on raw coefficients, like C
         return LogisticRegression(**common, **params)
     if model_type == "random_forest_classifier":
         return RandomForestClassifier(**common, seed=seed, **params)
@@ -252,6 +253,8 @@ def fit_pipeline(df: DataFrame, target: str, model_type: str,
     if problem == "classification":
         n_classes = len(labels) if labels is not None else int(
             (data.agg(F.max(LABEL_COL)).first()[0] or 0) + 1)
+    if n_rows is None and params and "C" in params:
+        n_rows = data.count()  # regParam = 1/(C*n) needs the training size
     sp = translate_params(model_type, params, n_rows)
     stages, assembled = feature_stages(df, feats)
     est = make_estimator(model_type, sp, n_classes)

@@ -102,3 +102,10 @@ def test_pca_matches_numpy_up_to_sign(spark, sf_small):
     assert np.allclose(got, want, rtol=1e-6, atol=1e-6)
     ev = features.pca_model(e, "embedding", 2).explainedVariance.toArray()
     assert np.allclose(ev, np.sort(w)[::-1][:2] / w.sum(), rtol=1e-6)
+
+
+def test_c_parameter_uses_training_size(spark, sf_small):
+    df = q_models.document_features(spark, sf_small)
+    fitted = models.fit_pipeline(df, "quality", "logistic_regression", ["n_chars"], {"C": 1.0})
+    n = df.count()
+    assert abs(fitted.meta["params"]["regParam"] - 1.0 / n) < 1e-15
