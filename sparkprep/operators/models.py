@@ -86,7 +86,8 @@ def translate_params(model_type: str, params: dict | None, n_rows: int | None =
         penalty = p.pop("penalty", "l2")
         n = max(int(n_rows or 1), 1)
         out["regParam"] = 0.0 if penalty == "none" else 1.0 / (c * n)
-        out["elasticNetParam"] = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.5, "none": 0.0}.get(penalty, 0.0)
+        out["elasticNetParam"] = {"l2": 0.0, "l1": 1.0, "elasticnet": float(p.pop("l1_ratio", 0.5)),
+                                  "none": 0.0}.get(penalty, 0.0)
     p.pop("solver", None)
     p.pop("random_state", None)
     out.update(p)  # anything left is taken as a pyspark.ml name

@@ -109,3 +109,9 @@ def test_c_parameter_uses_training_size(spark, sf_small):
     fitted = models.fit_pipeline(df, "quality", "logistic_regression", ["n_chars"], {"C": 1.0})
     n = df.count()
     assert abs(fitted.meta["params"]["regParam"] - 1.0 / n) < 1e-15
+
+
+def test_elasticnet_l1_ratio():
+    p = models.translate_params("logistic_regression", {"C": 0.5, "penalty": "elasticnet", "l1_ratio": 0.3},
+                                n_rows=10)
+    assert p == {"regParam": 1.0 / 5.0, "elasticNetParam": 0.3}
