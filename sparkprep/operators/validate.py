@@ -32,24 +32,37 @@ def _metric_names(problem: str, metrics: Sequence[str] | None) -> list[str]:
     return names
 
 
+def _run_parallel(fn, tasks: list, parallelism: int) -> list:  # noqa: ANN001
+    """Independent fits submitted from several driver threads (Spark runs the
+    jobs concurrently, as CrossValidator(parallelism=...) does)."""
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [fn(t) for t in tasks]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(fn, tasks))
+
+
 def fold_scores(df: DataFrame, target: str, model_type: str, key: str, cv_folds: int = 5,
                 features: Sequence[str] | None = None, params: dict | None = None,
-                metrics: Sequence[str] | None = None, seed: int = 42) -> list[tuple]:
+                metrics: Sequence[str] | None = None, seed: int = 42,
+                parallelism: int = 4) -> list[tuple]:
     problem = problem_of(model_type)
     names = _metric_names(problem, metrics)
     feats = [c for c in resolve_features(df, target, features) if c != key]
     data = kfold(df, key, cv_folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+
+    def one(f: int) -> list[tuple]:
+        tr = data.where(F.col("fold") != f)
+        te = data.where(F.col("fold") == f)
+        fitted = fit_pipeline(tr, target, model_type, feats, params)
+        scores = evaluate(fitted, te)
+        return [(model_type, m, f, scores[m]) for m in names]
+
     try:
-        for f in range(cv_folds):
-            tr = data.where(F.col("fold") != f)
-            te = data.where(F.col("fold") == f)
-            fitted = fit_pipeline(tr, target, model_type, feats, params)
-            scores = evaluate(fitted, te)
-            rows.extend((model_type, m, f, scores[m]) for m in names)
+        parts = _run_parallel(one, list(range(cv_folds)), parallelism)
     finally:
         data.unpersist()
-    return rows
+    return [r for part in parts for r in part]
 
 
 def cross_validate(df: DataFrame, target: str, model_type: str, key: str, cv_folds: int = 5,
@@ -102,7 +115,7 @@ def compare_models(df: DataFrame, target: str, model_types: Sequence[str], key:
 def learning_curve(df: DataFrame, target: str, model_type: str, key: str, cv_folds: int = 5,
                    sizes: Sequence[float] = tuple(i / 10 for i in range(1, 11)),
                    features: Sequence[str] | None = None, params: dict | None = None,
-                   metric: str | None = None, seed: int = 42) -> DataFrame:
+                   metric: str | None = None, seed: int = 42, parallelism: int = 4) -> DataFrame:
     """(train_fraction, train_mean, train_std, cv_mean, cv_std).
 
     Training subsets are nested: a row is in the fraction-s subset of a fold
@@ -114,21 +127,22 @@ def learning_curve(df: DataFrame, target: str, model_type: str, key: str, cv_fol
     data = kfold(df, key, cv_folds, seed).withColumn(
         "_sub", split_hash(key, seed + 7919).cast("double") / F.lit(float(HASH_MOD))
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+
+    def one(task: tuple[float, int]) -> tuple:
+        s, f = task
+        in_train = (F.col("fold") != f) & (F.col("_sub") < F.lit(float(s)))
+        fitted = fit_pipeline(data.where(in_train), target, model_type, feats, params)
+        if metric in ("r2", "rmse", "mae", "mape", "accuracy"):
+            # train and held-out rows scored in one grouped job
+            role = F.when(F.col("fold") == f, "cv").otherwise("train")
+            scored = fitted.transform(data.where(in_train | (F.col("fold") == f))).withColumn("_role", role)
+            m = M.grouped_metric(scored, "_role", metric, LABEL_COL, "prediction")
+            return (float(s), f, m.get("train"), m.get("cv"))
+        tr, te = data.where(in_train), data.where(F.col("fold") == f)
+        return (float(s), f, evaluate(fitted, tr)[metric], evaluate(fitted, te)[metric])
+
     try:
-        for s in sizes:
-            for f in range(cv_folds):
-                in_train = (F.col("fold") != f) & (F.col("_sub") < F.lit(float(s)))
-                fitted = fit_pipeline(data.where(in_train), target, model_type, feats, params)
-                if metric in ("r2", "rmse", "mae", "mape", "accuracy"):
-                    # train and held-out rows scored in one grouped job
-                    role = F.when(F.col("fold") == f, "cv").otherwise("train")
-                    scored = fitted.transform(data.where(in_train | (F.col("fold") == f))).withColumn("_role", role)
-                    m = M.grouped_metric(scored, "_role", metric, LABEL_COL, "prediction")
-                    rows.append((float(s), f, m.get("train"), m.get("cv")))
-                else:
-                    tr, te = data.where(in_train), data.where(F.col("fold") == f)
-                    rows.append((float(s), f, evaluate(fitted, tr)[metric], evaluate(fitted, te)[metric]))
+        rows = _run_parallel(one, [(s, f) for s in sizes for f in range(cv_folds)], parallelism)
     finally:
         data.unpersist()
     spark = df.sparkSession
