@@ -89,3 +89,38 @@ def fe10_feature_selection(spark: SparkSession, sf: str) -> DataFrame:
 def fe10_feature_selection_columns(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return importance.feature_selection(li, list(FEATS), "l_returnflag", "f_classif", k=2)
+
+
+DOCS_JOIN = "SELECT d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
+
+
+def _doc_frame(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return d.join(table(spark, sf, "labels"), "doc_id").select("n_chars", "quality", "toxic")
+
+
+@register("imp2_mutual_info_documents_quality", f"""
+WITH j AS ({DOCS_JOIN}),
+s AS (SELECT min(n_chars) AS mn, max(n_chars) AS mx, min(toxic) AS tmn, max(toxic) AS tmx FROM j),
+long AS (SELECT 'n_chars' AS feature, {bins_sql('n_chars', 'mn', 'mx', 10)} AS bin, CAST(quality AS VARCHAR) AS y FROM j, s
+         UNION ALL
+         SELECT 'toxic', {bins_sql('toxic', 'tmn', 'tmx', 10)}, CAST(quality AS VARCHAR) FROM j, s),
+cells AS (SELECT feature, bin, y, CAST(count(*) AS DOUBLE) AS n FROM long GROUP BY feature, bin, y),
+c AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS n_x, sum(n) OVER (PARTITION BY feature, y) AS n_y,
+             sum(n) OVER (PARTITION BY feature) AS n_total FROM cells)
+""" + _rank("SELECT feature, sum((n / n_total) * ln((n * n_total) / (n_x * n_y))) AS score FROM c GROUP BY feature", 9))
+def imp2_mi_documents(spark: SparkSession, sf: str) -> DataFrame:
+    r = importance.univariate_scores(_doc_frame(spark, sf), ["n_chars", "toxic"], "quality", "mutual_info", 10)
+    return r.select("feature", F.round("score", 9).alias("score"), "rank")
+
+
+@register("imp4_f_classif_documents_quality", """
+WITH j AS (SELECT d.n_chars, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+per AS (SELECT quality AS y, CAST(count(*) AS DOUBLE) AS n, sum(CAST(n_chars AS DOUBLE)) AS s,
+               sum(CAST(n_chars AS DOUBLE) * CAST(n_chars AS DOUBLE)) AS ss FROM j GROUP BY quality),
+tot AS (SELECT 'n_chars' AS feature, sum(n) AS nn, sum(s) AS st, CAST(count(*) AS DOUBLE) AS k,
+               sum(s * s / n) AS br, sum(ss) AS sst FROM per)
+""" + _rank("SELECT feature, ((br - st * st / nn) / (k - 1)) / ((sst - br) / (nn - k)) AS score FROM tot", 6))
+def imp4_f_documents(spark: SparkSession, sf: str) -> DataFrame:
+    r = importance.univariate_scores(_doc_frame(spark, sf), ["n_chars"], "quality", "f_classif")
+    return r.select("feature", F.round("score", 6).alias("score"), "rank")
