@@ -1,8 +1,10 @@
 """Joins whose broadcast side is size-checked.
 
-A side is broadcast only when its row count is proven at most
-``max_rows``; otherwise the join is left to a shuffle join, where AQE's
-skew-join handling splits hot partitions of the large side.
+A side is broadcast only when one counting job proves it small: at most
+``max_rows`` rows and at most ``max_bytes`` estimated bytes (8 bytes per
+scalar column, measured length for strings, binaries and nested values).
+Otherwise the join is left to a shuffle join, where AQE's skew-join
+handling splits hot partitions of the large side.
 """
 
 from __future__ import annotations
@@ -10,21 +12,46 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, estimated bytes) in one aggregate: 8 bytes per scalar column,
+    measured length for strings/binaries and (as JSON) for nested values."""
+    from pyspark.sql.types import ArrayType, MapType, StructType
+    aggs = [F.count(F.lit(1)).alias("n")]
+    n_fixed = 0
+    for i, f in enumerate(df.schema.fields):
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            aggs.append(F.sum(F.length(F.col(f.name))).alias(f"l{i}"))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            aggs.append(F.sum(F.length(F.to_json(F.col(f.name)))).alias(f"l{i}"))
+        else:
+            n_fixed += 1
+    r = df.agg(*aggs).first()
+    n = int(r["n"])
+    var = sum(int(v or 0) for k, v in r.asDict().items() if k != "n")
+    return n, n * 8 * (n_fixed + 1) + var
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",  # noqa: ANN001
                max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+               max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
                known_rows: int | None = None) -> DataFrame:
-    """Join ``small`` onto ``big``, broadcasting it only if it is small.
+    """Join ``small`` onto ``big``, broadcasting it only if it is proven small.
 
-    ``known_rows`` skips the count when the caller already has a proven
-    bound (e.g. a vocabulary limited to ``max_features`` rows).
+    ``known_rows`` skips the measurement when the caller already has a
+    proven bound on a narrow table (e.g. a vocabulary of max_features rows).
     """
-    if known_rows is None:
+    if known_rows is not None:
+        fits = known_rows <= max_rows
+    else:
         small = small.persist(StorageLevel.MEMORY_AND_DISK)
-        known_rows = small.count()
-    if known_rows <= max_rows:
+        rows, size = measure(small)
+        fits = rows <= max_rows and size <= max_bytes
+    if fits:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

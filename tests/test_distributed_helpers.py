@@ -111,3 +111,27 @@ def test_grouped_exact_quantiles_match_percentile(spark):
     assert set(got) == set(want)
     for g in want:
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g]))
+
+
+def test_join_small_checks_rows_and_bytes(spark):
+    from sparkprep.functions.joins import join_small, measure
+    big = spark.range(100).select(F.col("id").alias("k"))
+    small = spark.range(10).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("s"))
+    rows, size = measure(small)
+    assert rows == 10 and size >= 10 * 1000
+
+    def plan(df):
+        import contextlib
+        import io
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain()
+        return buf.getvalue()
+    assert "BroadcastHashJoin" in plan(join_small(big, small, "k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in plan(join_small(big, small, "k", max_bytes=5000))
+        assert "BroadcastHashJoin" not in plan(join_small(big, small, "k", max_rows=5))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert join_small(big, small, "k", max_bytes=5000).count() == 100
