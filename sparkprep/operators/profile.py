@@ -62,32 +62,45 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, samples:
                    exact_distinct: bool = True) -> DataFrame:
     """(column, non_null, distinct, sample_values) per column.
 
-    Counts come from one aggregate.  Sample values are the ``samples``
-    smallest distinct values (as strings): the (column, value) pairs are
-    de-duplicated with a shuffle aggregate and ranked per column with a
-    row_number filter, which Spark plans as a per-partition group limit
-    before the shuffle, so a column never ships all its values to one task.
+    Non-null counts come from one narrow aggregate.  The (column, value)
+    pairs are de-duplicated once (a shuffle aggregate); that distinct table
+    gives both the exact distinct count per column (rows per column - no
+    second, per-column expansion of the input as multi-column
+    count(DISTINCT) would do) and the ``samples`` smallest values, ranked
+    with a row_number filter that Spark plans as a per-partition group limit
+    before the shuffle.  ``exact_distinct=False`` uses HyperLogLog counts.
     """
+    from pyspark.sql.types import DoubleType, FloatType
     cols = list(columns or df.columns)
-    dist = F.countDistinct if exact_distinct else F.approx_count_distinct
-    exprs = {}
-    for i, c in enumerate(cols):
-        exprs[f"nn{i}"] = F.count(F.col(c))
-        exprs[f"d{i}"] = dist(F.col(c))
-    agg = df.agg(*[e.alias(k) for k, e in exprs.items()])
-    stats = agg.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"nn{i}").cast("bigint").alias("non_null"),
-                 F.col(f"d{i}").cast("bigint").alias("distinct"))
+    nn = df.agg(*[F.count(F.col(c)).cast("bigint").alias(f"nn{i}") for i, c in enumerate(cols)]
+                + ([F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
+                   if not exact_distinct else []))
+    stats = nn.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"nn{i}").alias("non_null"),
+                 (F.col(f"d{i}").cast("bigint") if not exact_distinct else F.lit(None).cast("bigint"))
+                 .alias("distinct"))
         for i, c in enumerate(cols)])).alias("s")).select("s.*")
+
+    def as_text(c: str):  # noqa: ANN202
+        x = F.col(c)
+        if isinstance(df.schema[c].dataType, (DoubleType, FloatType)):
+            x = F.when(x == 0, F.lit(0.0)).otherwise(x)  # -0.0 and 0.0 are one value
+        return x.cast("string")
+
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column"), as_text(c).alias("value")) for c in cols
     ])).alias("e")).select("e.*").where(F.col("value").isNotNull()).distinct()
     w = Window.partitionBy("column").orderBy("value")
     top = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= samples)
     samp = top.groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda s: s["value"]).alias(
             "sample_values"))
-    return stats.join(samp, "column", "left")
+    out = stats.join(samp, "column", "left")
+    if exact_distinct:
+        dist = long.groupBy("column").agg(F.count(F.lit(1)).alias("__d"))
+        out = (out.join(dist, "column", "left")
+               .withColumn("distinct", F.coalesce(F.col("__d"), F.lit(0)).cast("bigint")).drop("__d"))
+    return out.select("column", "non_null", "distinct", "sample_values")
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
