@@ -61,5 +61,5 @@ def test_text_term_counts_tokenize_once(spark, sf_small):
     from sparkprep.operators import text
     d = spark.read.parquet(f"{sf_small}/documents.parquet")
     plan = _plan(text.term_counts(d, "doc_id", "text"))
-    assert plan.count("regexp_replace(") == 1
+    assert plan.count("rtrim(") == 1
     assert "INSET" in plan
