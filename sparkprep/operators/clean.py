@@ -82,22 +82,24 @@ def zscore_expr(c: str, mean: float | None, std: float | None, center: bool = Tr
 
 
 def normalize(df: DataFrame, columns: Sequence[str], method: str = "minmax",
-              center: bool = True, suffix: str = "_scaled") -> DataFrame:
+              center: bool = True, suffix: str = "_scaled", params: dict | None = None) -> DataFrame:
     """Scale columns into ``<c>_scaled``.
 
     minmax: (x-min)/(max-min), a constant column gives 0.5.
     zscore (any other method): (x-mean)/stddev_samp; ``center=False`` gives
     x/stddev (what a default StandardScaler computes).  Zero spread gives 0.
+    ``params`` ({column: (min, max) | (mean, std)}) skips the statistics job
+    when the caller already computed them (fused operation lists).
     """
     columns = list(columns)
     _numeric_check(df, columns)
     if not columns:
         return df
     if method == "minmax":
-        p = minmax_params(df, columns)
+        p = params or minmax_params(df, columns)
         new = [minmax_expr(c, *p[c]).alias(f"{c}{suffix}") for c in columns]
     else:
-        p = zscore_params(df, columns)
+        p = params or zscore_params(df, columns)
         new = [zscore_expr(c, *p[c], center=center).alias(f"{c}{suffix}") for c in columns]
     keep = [F.col(c) for c in df.columns if c not in {f"{x}{suffix}" for x in columns}]
     return df.select(*keep, *new)

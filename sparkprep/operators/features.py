@@ -63,7 +63,7 @@ def polynomial_count(n: int, degree: int) -> int:
 
 
 def binning(df: DataFrame, column: str, bins: int = 5,
-            labels: Sequence[str] | None = None) -> DataFrame:
+            labels: Sequence[str] | None = None, bounds: tuple | None = None) -> DataFrame:
     """Equal-width bins of ``column`` -> ``<c>_binned`` (double 0..bins-1).
 
     Edges are min + i*(max-min)/bins with open outer edges, bins are
@@ -74,9 +74,11 @@ def binning(df: DataFrame, column: str, bins: int = 5,
         raise ValueError("bins must be >= 1")
     if labels is not None and len(labels) != bins:
         raise ValueError("labels must have exactly `bins` entries")
-    s = one_row(df, {"mn": F.min(F.col(column).cast("double")),
-                     "mx": F.max(F.col(column).cast("double"))})
-    b = bin_index(F.col(column).cast("double"), s["mn"], s["mx"], bins)
+    if bounds is None:
+        s = one_row(df, {"mn": F.min(F.col(column).cast("double")),
+                         "mx": F.max(F.col(column).cast("double"))})
+        bounds = (s["mn"], s["mx"])
+    b = bin_index(F.col(column).cast("double"), bounds[0], bounds[1], bins)
     out = df.withColumn(f"{column}_binned", b)
     if labels is not None:
         arr = F.array(*[F.lit(str(x)) for x in labels])

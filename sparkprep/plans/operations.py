@@ -107,9 +107,76 @@ def validate(ops: Sequence[dict]) -> None:
             raise ValueError(f"operation {i} ({t}): missing {missing}")
 
 
+# Operations that keep every row and never change existing columns: the
+# statistics of later operations in a run of these can be taken from the
+# frame at the start of the run.
+ROW_PRESERVING = {"normalize", "binning", "polynomial_features", "interaction_features",
+                  "datetime_features", "time_features"}
+
+
+def _stat_needs(op: dict) -> list[tuple[str, str]]:
+    if op["type"] == "normalize":
+        kind = "minmax" if op.get("method", "minmax") == "minmax" else "zscore"
+        return [(kind, c) for c in _cols(op)]
+    if op["type"] == "binning":
+        return [("minmax", op["column"])]
+    return []
+
+
+def _prefetch(df: DataFrame, ops: Sequence[dict]) -> dict[tuple[str, str], tuple]:
+    """One aggregate for the statistics of every op in a row-preserving run
+    whose input columns already exist at the start of the run."""
+    needs = []
+    for op in ops:
+        if op["type"] not in ROW_PRESERVING:
+            break
+        needs += [n for n in _stat_needs(op) if n[1] in df.columns and n not in needs]
+    if len(needs) < 2:
+        return {}
+    from pyspark.sql import functions as F
+
+    from sparkprep.functions.stats import one_row
+    exprs = {}
+    for i, (kind, c) in enumerate(needs):
+        x = F.col(c).cast("double")
+        if kind == "minmax":
+            exprs[f"a{i}"], exprs[f"b{i}"] = F.min(x), F.max(x)
+        else:
+            exprs[f"a{i}"], exprs[f"b{i}"] = F.avg(x), F.stddev_samp(x)
+    r = one_row(df, exprs)
+    return {n: (r[f"a{i}"], r[f"b{i}"]) for i, n in enumerate(needs)}
+
+
+def _apply_one(df: DataFrame, op: dict, stats: dict) -> DataFrame:
+    t = op["type"]
+    if t == "normalize" and stats:
+        kind = "minmax" if op.get("method", "minmax") == "minmax" else "zscore"
+        cols = _cols(op)
+        if cols and all((kind, c) in stats for c in cols):
+            return clean.normalize(df, cols, op.get("method", "minmax"), bool(op.get("center", True)),
+                                   params={c: stats[(kind, c)] for c in cols})
+    if t == "binning" and ("minmax", op["column"]) in stats:
+        return features.binning(df, op["column"], int(op.get("bins", 5)), op.get("labels"),
+                                bounds=stats[("minmax", op["column"])])
+    return OPERATIONS[t](df, op)
+
+
 def apply_operations(df: DataFrame, ops: Sequence[dict]) -> DataFrame:
+    """Fold the operations left to right.  Statistics of consecutive
+    row-preserving operations (normalize, binning, ...) are fused into one
+    aggregate at the start of each such run instead of one job per op."""
     validate(ops)
-    return functools.reduce(lambda d, op: OPERATIONS[op["type"]](d, op), ops, df)
+    stats: dict = {}
+    prev_preserving = False
+    for i, op in enumerate(ops):
+        preserving = op["type"] in ROW_PRESERVING
+        if preserving and not prev_preserving:
+            stats = _prefetch(df, ops[i:])
+        elif not preserving:
+            stats = {}
+        df = _apply_one(df, op, stats)
+        prev_preserving = preserving
+    return df
 
 
 def run_operations(spark: SparkSession, input_path: str, output_path: str, ops: Sequence[dict],

@@ -170,3 +170,21 @@ def test_json_type_mixed_files(spark):
         f.write('{\n "a": 5\n}\n')
     got = sorted(r["a"] for r in io.read(spark, d, "json").collect())
     assert got == [1, 2, 3, 4, 5]
+
+
+def test_fused_statistics_equal_per_operation_statistics(spark, sf_small):
+    from sparkprep.plans.operations import OPERATIONS
+    li = spark.read.parquet(f"{sf_small}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity",
+                                                                   "l_extendedprice", "l_discount")
+    ops = [{"type": "outlier_removal", "columns": ["l_extendedprice"]},
+           {"type": "normalize", "columns": ["l_extendedprice"], "method": "minmax"},
+           {"type": "normalize", "columns": ["l_discount"], "method": "zscore"},
+           {"type": "polynomial_features", "columns": ["l_quantity"], "degree": 2},
+           {"type": "binning", "column": "l_quantity", "bins": 4},
+           {"type": "binning", "column": "poly_l_quantity_pow2", "bins": 3}]
+    fused = apply_operations(li, ops)
+    plain = li
+    for op in ops:
+        plain = OPERATIONS[op["type"]](plain, op)
+    assert fused.columns == plain.columns
+    assert sorted(fused.collect()) == sorted(plain.collect())
