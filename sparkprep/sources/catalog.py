@@ -49,15 +49,24 @@ def register_dataset(spark: SparkSession, catalog_path: str, df: DataFrame, name
     return dataset_id
 
 
-def list_datasets(spark: SparkSession, catalog_path: str, name: str | None = None) -> DataFrame:
-    """Latest row per dataset id (optionally filtered by name)."""
+def list_datasets(spark: SparkSession, catalog_path: str, name: str | None = None,
+                  dataset_id: str | None = None) -> DataFrame:
+    """Latest row per dataset id (optionally filtered by name or id)."""
     cat = spark.read.schema(DATASET_SCHEMA).parquet(catalog_path)
     if name is not None:
         cat = cat.where(F.col("name") == name)
+    if dataset_id is not None:
+        cat = cat.where(F.col("dataset_id") == dataset_id)
     w = Window.partitionBy("dataset_id").orderBy(F.desc("created_at"))
     return cat.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def get_dataset(spark: SparkSession, catalog_path: str, dataset_id: str) -> dict | None:
+    """The latest catalog entry of one dataset as a dict (None if unknown)."""
+    row = list_datasets(spark, catalog_path, dataset_id=dataset_id).first()
+    return row.asDict(recursive=True) if row is not None else None
+
+
 def lineage(spark: SparkSession, catalog_path: str, max_depth: int = 32) -> DataFrame:
     """(dataset_id, ancestor_id, depth) for every dataset; depth 0 is itself."""
     edges = list_datasets(spark, catalog_path).select(

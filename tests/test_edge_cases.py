@@ -188,3 +188,19 @@ def test_fused_statistics_equal_per_operation_statistics(spark, sf_small):
         plain = OPERATIONS[op["type"]](plain, op)
     assert fused.columns == plain.columns
     assert sorted(fused.collect()) == sorted(plain.collect())
+
+
+def test_catalog_get_and_lineage(spark, sf_small):
+    from sparkprep.sources import catalog
+    cat = scratch_path(spark, "cat_test")
+    src = f"{sf_small}/region.parquet"
+    df = spark.read.parquet(src)
+    catalog.register_dataset(spark, cat, df, "region", src, "parquet", dataset_id="r0")
+    catalog.register_dataset(spark, cat, df.limit(2), "region2", src, "parquet", parent_dataset_id="r0",
+                             operations=[{"type": "head", "n": 2}], dataset_id="r1")
+    got = catalog.get_dataset(spark, cat, "r1")
+    assert got["parent_dataset_id"] == "r0" and got["num_rows"] == 2
+    assert got["processing_history"] == [{"type": "head", "n": "2"}]
+    assert catalog.get_dataset(spark, cat, "missing") is None
+    lin = {(r["dataset_id"], r["ancestor_id"], r["depth"]) for r in catalog.lineage(spark, cat).collect()}
+    assert lin == {("r0", "r0", 0), ("r1", "r1", 0), ("r1", "r0", 1)}
