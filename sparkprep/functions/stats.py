@@ -39,7 +39,9 @@ def _valid(c: str) -> tuple[Column, Column]:
 def exact_quantiles_multi(df: DataFrame, specs: dict[str, Sequence[float]],
                           slice_limit: int = SLICE_LIMIT,
                           buckets: int = REFINE_BUCKETS,
-                          accuracy: int = SKETCH_ACCURACY) -> dict[str, list[float | None]]:
+                          accuracy: int = SKETCH_ACCURACY,
+                          extra: dict[str, Column] | None = None,
+                          extra_out: dict | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles for several columns at once.
 
     Job 1 computes count/min/max and a percentile_approx sketch per column;
@@ -51,7 +53,9 @@ def exact_quantiles_multi(df: DataFrame, specs: dict[str, Sequence[float]],
     counts to narrow further.  A bracket whose counted ranks miss the target
     falls back to the full [min, max] range, so the result is always exact.
     What reaches the driver per job is bounded by brackets x
-    max(buckets, slice_limit) rows.
+    max(buckets, slice_limit) rows.  ``extra`` aggregates ride along in the
+    first job (their values are stored in ``extra_out``), so a caller's own
+    summary statistics cost no additional scan.
     """
     cols = list(specs)
     out: dict[str, list[float | None]] = {}
@@ -65,7 +69,10 @@ def exact_quantiles_multi(df: DataFrame, specs: dict[str, Sequence[float]],
         probes = sorted({min(1.0, max(0.0, p + d)) for p in specs[c] for d in (-delta, delta)})
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
                  F.percentile_approx(v, probes, accuracy).alias(f"a{i}")]
+    aggs += [e.alias(f"x_{k}") for k, e in (extra or {}).items()]
     st = df.agg(*aggs).first()
+    if extra_out is not None:
+        extra_out.update({k: st[f"x_{k}"] for k in (extra or {})})
     positions: dict[str, list[float]] = {}
     values: dict[tuple[str, int], float] = {}
     # work item: (column, lo, hi, below | None, n_inside | None, ranks, fallback_ok)

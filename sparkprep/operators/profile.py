@@ -104,18 +104,27 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, samples:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """(column, count, mean, median, min, max, std) for numeric columns."""
+    """(column, count, mean, median, min, max, std) for numeric columns.
+
+    With ``exact`` the moments ride in the first job of the exact-quantile
+    pass, so the whole summary costs that pass only (no separate scan).
+    """
     cols = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)])
     exprs = {}
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         exprs.update({f"n{i}": F.count(x), f"m{i}": F.avg(x), f"lo{i}": F.min(x),
                       f"hi{i}": F.max(x), f"s{i}": F.stddev_samp(x)})
-    agg = df.agg(*[e.alias(k) for k, e in exprs.items()])
     if exact:
-        medians = {c: v[0] for c, v in exact_quantiles_multi(df, {c: [0.5] for c in cols}).items()}
-    else:
-        medians = {c: approx_quantiles(df, c, [0.5])[0] for c in cols}
+        moments: dict = {}
+        medians = {c: v[0] for c, v in
+                   exact_quantiles_multi(df, {c: [0.5] for c in cols}, extra=exprs, extra_out=moments).items()}
+        rows = [(c, int(moments[f"n{i}"] or 0), moments[f"m{i}"], medians[c], moments[f"lo{i}"],
+                 moments[f"hi{i}"], moments[f"s{i}"]) for i, c in enumerate(cols)]
+        return df.sparkSession.createDataFrame(
+            rows, "column string, count bigint, mean double, median double, min double, max double, std double")
+    agg = df.agg(*[e.alias(k) for k, e in exprs.items()])
+    medians = {c: approx_quantiles(df, c, [0.5])[0] for c in cols}
     return agg.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("bigint").alias("count"),
                  F.col(f"m{i}").alias("mean"), F.lit(medians[c]).cast("double").alias("median"),
