@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import minhash, mixing, packing, simhash, suffix_dedup, topk, url_filter
+from sparkprep.llm import chat, html_extract, langid, minhash, mixing, packing, simhash, suffix_dedup, topk, url_filter
 from sparkprep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,67 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: A turn that says something is a call to one of two tools.
+CHAT_SCHEMAS = {
+    "reply": {"text": {"type": "string", "required": True, "min": 1, "max": 500},
+              "turn": {"type": "integer", "required": True, "min": 0}},
+    "set_context": {"text": {"type": "string", "required": True, "min": 1, "max": 200},
+                    "turn": {"type": "integer", "required": True, "min": 0, "max": 0}},
+}
+
+
+def chat_tables(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of ``conversations``: user and system turns call a tool
+    under the identifier conv:turn, after the call one or two turns before; an
+    assistant turn is the result of the turn before it."""
+    def key(back: int) -> Column:
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
+    asks = conversations.where(F.col("role").isin("user", "system"))
+    arguments = F.to_json(F.struct("turn", "text"))
+    calls = asks.select("conv_id", key(0).alias("call_id"), "turn",
+                        F.when(F.col("role") == "user", "reply").otherwise("set_context").alias("name"),
+                        arguments.alias("arguments"), F.array(key(1), key(2)).alias("after"))
+    answers = conversations.where(F.col("role") == "assistant")
+    return calls, answers.select("conv_id", key(1).alias("call_id"), "turn", F.col("text").alias("content"))
+
+
+def _chat_error_sql(schemas: dict) -> str:
+    out = "CASE"
+    for tool, schema in schemas.items():
+        t, n = schema["text"], schema["turn"]
+        parts = [f"CASE WHEN text IS NULL THEN 'text: missing' WHEN length(text) < {t['min']} THEN 'text: shorter than {t['min']}' "
+                 f"WHEN length(text) > {t['max']} THEN 'text: longer than {t['max']}' END",
+                 f"CASE WHEN turn < {n['min']} THEN 'turn: less than {n['min']}'"
+                 + (f" WHEN turn > {n['max']} THEN 'turn: more than {n['max']}'" if "max" in n else "") + " END"]
+        out += f" WHEN name = '{tool}' THEN concat_ws('; ', {', '.join(parts)})"
+    return out + " END"
+
+
+@register("op6_tool_call_linking", f"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id,
+         CASE WHEN role = 'user' THEN 'reply' ELSE 'set_context' END AS name
+  FROM conversations WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id, turn, text, conv_id || ':' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+p AS (SELECT c.*, coalesce(c1.call_id, c2.call_id) AS after_id FROM c
+      LEFT JOIN c c1 ON c1.call_id = c.conv_id || ':' || (c.turn - 1)
+      LEFT JOIN c c2 ON c2.call_id = c.conv_id || ':' || (c.turn - 2)),
+d AS (SELECT call_id, 0 AS depth FROM p WHERE after_id IS NULL
+      UNION ALL SELECT p.call_id, d.depth + 1 FROM p JOIN d ON p.after_id = d.call_id),
+l AS (SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, coalesce(p.call_id, r.call_id) AS call_id, p.turn, p.name, p.text,
+             p.after_id, d.depth, r.turn AS result_turn, r.text AS content
+      FROM p JOIN d USING (call_id) FULL JOIN r ON r.call_id = p.call_id)
+SELECT conv_id, call_id, turn, name, after_id, CAST(depth AS BIGINT) AS depth, result_turn,
+  CASE WHEN name IS NULL THEN 'no_call' WHEN result_turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+  {_chat_error_sql(CHAT_SCHEMAS)} AS errors,
+  '{{' || concat_ws(',', CASE WHEN name IS NOT NULL THEN '"arguments":{{"text":' || to_json(text) || ',"turn":' || turn || '}}' END,
+    '"call_id":' || to_json(call_id), '"name":' || to_json(name), '"result":' || to_json(content)) || '}}' AS message
+FROM l""")
+def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.link_calls(*chat_tables(table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
+    return linked.select("conv_id", "call_id", "turn", "name", "after_id", "depth", "result_turn", "status", "errors", "message")
+
+
 @register("op7_suffix_array_dedup")
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -71,6 +132,19 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(suffix_dedup.joined_bytes(F.col("parts")), 256).alias("kept_sha256"), "spans")
 
 
+@register("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit_text_model(table(spark, sf_dir, "documents"))
+    evidence = langid.page_evidence(table(spark, sf_dir, "pages"))
+    return langid.identify(evidence, model, id_cols=["page_id"])
+
+
+@register("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit_labeller(pages))
+
+
 @register("op10_source_mixing")
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
