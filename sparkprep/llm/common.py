@@ -54,6 +54,27 @@ def byte_groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+BROADCAST_BYTES = 48 << 20
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """``_d, _t``: a row is known by its id and its text's hash; rows that share
+    both are the same document."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("_d"), F.xxhash64(text).alias("_t")]
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, keep: list[str], id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_found`` (their key is in ``rows``: _d, _t, ...) and the columns
+    ``keep`` of it.  ``rows`` is broadcast if measured to be small, else shuffled."""
+    rows = materialize(rows.withColumn("_found", F.lit(True)), "rows")
+    small = rows.count() * 16 * (2 + len(keep)) <= BROADCAST_BYTES
+    keyed = docs.select("*", *row_key(id_col, text_col))
+    joined = keyed.join(F.broadcast(rows) if small else rows, ["_d", "_t"], "left")
+    return joined.select(*docs.columns, *keep, F.coalesce("_found", F.lit(False)).alias("_found"))
+
+
 def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: str = "_rank") -> DataFrame:
     """0-based rank of every row in its group, for groups of any size.
 

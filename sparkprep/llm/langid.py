@@ -18,6 +18,7 @@ BUCKETS = 1 << 13
 TRAIN_ROWS = 4000        # most labelled rows that the text model is fitted on
 EVIDENCE = 60            # a text weighs as much as so many of its trigrams, at most
 OTHER_PRIOR = 0.002
+OTHER_COST = 1.0         # nats per trigram by which a language may be worse than chance
 SMOOTHING = 8.0          # rows that a level's parent counts for
 THRESHOLD = 0.5
 GROUP_BYTES = 1 << 20
@@ -67,11 +68,27 @@ def fit_text_model(labelled: DataFrame, languages: Sequence[str] = LANGUAGES, id
     counts = sum((np.frombuffer(r["counts"], np.int64).reshape(len(languages), BUCKETS) for r in parts),
                  np.zeros((len(languages), BUCKETS), np.int64)) + 0.5
     known = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return np.vstack([known, np.full(BUCKETS, -np.log(BUCKETS))]).T.copy()
+    return np.vstack([known, np.full(BUCKETS, -np.log(BUCKETS) - OTHER_COST)]).T.copy()
 
 
-def _log_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """``rows`` (text last) with ``n`` trigrams and ``ll``, the text's weighted log likelihoods, for the text."""
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    weights = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    flat = pa.array(np.ascontiguousarray(values, np.float64).ravel())
+    return pa.FixedSizeListArray.from_arrays(flat, values.shape[1]).cast(pa.list_(pa.float64()))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, width)
+
+
+def _text_posteriors(rows: DataFrame, model: np.ndarray, start: np.ndarray) -> DataFrame:
+    """``rows`` (text last) with, for the text, its number ``n`` of trigrams, the
+    weighted log likelihoods ``ll`` and the posteriors t0, t1, ... by text alone
+    (0 without letters)."""
     classes = model.shape[1]
     kept = rows.columns[:-1]
 
@@ -86,17 +103,12 @@ def _log_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 for c in range(classes):
                     ll[a:b, c] = np.bincount(row, model[bucket, c], minlength=b - a)
             ll *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(ll.ravel()), classes).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), lists], names=[*kept, "n", "ll"])
+            t = _softmax(ll + start) * (n > 0)[:, None]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), _lists(ll), *[pa.array(x) for x in t.T]],
+                                             names=[*kept, "n", "ll", *[f"t{i}" for i in range(classes)]])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, n bigint, ll array<double>")
-
-
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores)
-    weights = [F.exp(s - top) for s in scores]
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
+    shares = ", ".join(f"t{i} double" for i in range(classes))
+    return rows.mapInArrow(run, f"{schema}, n bigint, ll array<double>, {shares}")
 
 
 def _normal_declared(c: Column, languages: Sequence[str]) -> Column:
@@ -122,47 +134,48 @@ def identify(rows: DataFrame, model: np.ndarray, languages: Sequence[str] = LANG
     k = len(classes)
     base = rows.select(*id_cols, _normal_declared(F.col("declared"), languages).alias("declared"),
                        F.coalesce("suffix", F.lit("")).alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), "text")
-    scored = _log_likelihoods(base, model)
-    start = [np.log((1 - OTHER_PRIOR) / len(languages))] * len(languages) + [np.log(OTHER_PRIOR)]
-    text_only = _softmax([F.col("ll")[i] + F.lit(float(start[i])) for i in range(k)])
-    counted = F.col("n") > 0
-    for i, p in enumerate(text_only):
-        scored = scored.withColumn(f"t{i}", F.when(counted, p).otherwise(F.lit(0.0)))
-    scored = materialize(scored, "languages")
-    sums = [F.sum(f"t{i}").alias(f"s{i}") for i in range(k)]
-    # the table of declarations has at most (languages + 2) rows, each suffix or host one
-    channel = scored.groupBy("declared").agg(*sums).collect()
+    start = np.log(np.array([(1 - OTHER_PRIOR) / len(languages)] * len(languages) + [OTHER_PRIOR]))
+    scored = materialize(_text_posteriors(base, model, start), "languages")
+    # declarations are normalised: at most (languages + 2) rows
+    channel = scored.groupBy("declared").agg(*[F.sum(f"t{i}").alias(f"s{i}") for i in range(k)]).collect()
     total = np.array([[r[f"s{i}"] for i in range(k)] for r in channel], float).reshape(-1, k)
-    overall = total.sum(axis=0) + 1e-9 + np.exp(start)
-    prior = (overall / overall.sum()).tolist()
-    share = (total.sum(axis=1) + 1) / (total.sum() + len(channel) + 1) if len(channel) else np.zeros(0)
-    says = (total + SMOOTHING * share[:, None]) / (total.sum(axis=0) + SMOOTHING)
-    names = [r["declared"] for r in channel]
-    declared = []
-    for i in range(k):
-        c = F.lit(0.0)
-        for d, row in zip(names, says):
-            c = F.when(F.col("declared") == d, F.lit(float(np.log(max(row[i], 1e-6))))).otherwise(c)
-        declared.append(c)
-    suffixes = scored.groupBy("suffix").agg(*[F.sum(f"t{i}").alias(f"x{i}") for i in range(k)])
-    hosts = scored.groupBy("host").agg(*[F.sum(f"t{i}").alias(f"h{i}") for i in range(k)])
-    joined = scored.join(hosts, "host").join(suffixes, "suffix")
-
-    def others(prefix: str, i: int) -> Column:
-        return F.greatest(F.col(f"{prefix}{i}") - F.col(f"t{i}"), F.lit(0.0))
-    seen = {p: sum((others(p, i) for i in range(1, k)), others(p, 0)) for p in "xh"}
-    scores = []
-    for i in range(k):
-        by_suffix = (others("x", i) + F.lit(SMOOTHING * prior[i])) / (seen["x"] + SMOOTHING)
-        by_host = (others("h", i) + by_suffix * SMOOTHING) / (seen["h"] + SMOOTHING)
-        scores.append(F.col("ll")[i] + declared[i] + F.log(F.greatest(by_host, F.lit(1e-9))))
-    out = joined.withColumn("_p", F.array(*_softmax(scores)))
-    best = F.array_max("_p")
-    name = F.element_at(F.lit(classes), F.array_position("_p", best).cast("int"))
-    said = F.element_at(F.lit(classes), F.array_position(F.array(*[F.col(f"t{i}") for i in range(k)]),
-                                                         F.greatest(*[F.col(f"t{i}") for i in range(k)])).cast("int"))
-    return out.select(*id_cols, F.when((best >= threshold) & (name != OTHER) & counted, name).alias("lang"),
-                      best.alias("p"), "declared", F.when(counted, said).alias("text_lang"), "n")
+    overall = total.sum(axis=0) + np.exp(start)
+    prior = overall / overall.sum()
+    share = (total.sum(axis=1) + 1) / (total.sum() + len(channel) + 1)
+    says = np.log(np.maximum((total + SMOOTHING * share[:, None]) / (total.sum(axis=0) + SMOOTHING), 1e-6))
+    declared_given = {r["declared"]: row for r, row in zip(channel, says)}
+
+    def summed(key: str) -> DataFrame:
+        sums = scored.groupBy(key).agg(*[F.sum(f"t{i}").alias(f"s{i}") for i in range(k)])
+        return sums.select(key, F.array(*[f"s{i}" for i in range(k)]).alias(f"_{key}"))
+    own = F.array(*[f"t{i}" for i in range(k)]).alias("_own")
+    joined = scored.join(summed("host"), "host").join(summed("suffix"), "suffix").select(
+        *id_cols, "declared", "n", "ll", own, "_host", "_suffix")
+    width = len(id_cols)
+
+    def fuse(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            ll, t, host, suffix = (_matrix(batch.column(width + 2 + i), k) for i in range(4))
+            has = batch.column(width + 1).to_numpy() > 0
+            by_suffix = np.maximum(suffix - t, 0) + SMOOTHING * prior
+            by_suffix /= by_suffix.sum(axis=1, keepdims=True)
+            by_host = np.maximum(host - t, 0) + SMOOTHING * by_suffix
+            by_host /= by_host.sum(axis=1, keepdims=True)
+            said = batch.column(width).to_pylist()
+            scores = ll + np.log(np.maximum(by_host, 1e-9))
+            if said:
+                scores += np.stack([declared_given[d] for d in said])
+            p = _softmax(scores) if len(scores) else scores
+            best, text = p.argmax(axis=1), t.argmax(axis=1)
+            top = p.max(axis=1) if len(p) else np.zeros(0)
+            sure = has & (top >= threshold) & (best < len(languages))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:width], pa.array([classes[b] if s else None for b, s in zip(best, sure)], pa.string()),
+                 pa.array(top), batch.column(width),
+                 pa.array([classes[b] if s else None for b, s in zip(text, has)], pa.string()), batch.column(width + 1)],
+                names=[*id_cols, "lang", "p", "declared", "text_lang", "n"])
+    ids = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in id_cols)
+    return joined.mapInArrow(fuse, f"{ids}, lang string, p double, declared string, text_lang string, n bigint")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

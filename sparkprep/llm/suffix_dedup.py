@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
 from sparkprep.llm.bytehash import Hasher, mix
-from sparkprep.llm.common import byte_groups, utf8
+from sparkprep.llm.common import byte_groups, row_key, utf8
 
 MATCH = 400
 SEED_BYTES = 48
@@ -98,11 +98,7 @@ class Sampler:
 # -- documents and samples -----------------------------------------------------
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_d, _t, _text``: a row is known by its id and its text's hash, so that
-    repeated rows share what is found for them."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("_d"),
-                       F.xxhash64(text).alias("_t"), text.alias("_text"))
+    return docs.select(*row_key(id_col, text_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
 
 def sampled_suffixes(keyed: DataFrame, match: int, seed_bytes: int, batches: int) -> DataFrame:
@@ -288,8 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, id_col, text_col)
     spans = kept_parts(repeated_strings(keyed, match, seed_bytes, batches), match)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = (docs.withColumn("_d", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)))
-              .withColumn("_t", F.xxhash64(text)).withColumn("_bytes", F.encode(text, "UTF-8")))
+    marked = docs.select("*", *row_key(id_col, text_col), F.encode(text, "UTF-8").alias("_bytes"))
     joined = _joined_lists(marked, spans, "_spans", "left")
     spans_ = F.coalesce(F.col("_spans"), F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
     n = F.octet_length("_bytes").cast("bigint")
