@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
 from sparkprep.llm import langid, mixing, packing, simhash, suffix_dedup
-from sparkprep.llm.common import row_key, table, without_rows
+from sparkprep.llm.common import packed, row_key, table, unpacked, with_found
 from sparkprep.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,13 +32,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     evidence = docs.select(*row_key("doc_id", "text"), F.col("text"), F.col("lang").alias("declared"),
                            none.alias("suffix"), F.col("source").alias("host"))
     found = langid.identify(evidence, model, id_cols=["_d", "_t"])
-    changed = (found.select("_d", "_t", F.col("lang").alias("_lang"),
-                            F.col("lang").eqNullSafe(F.col("declared")).alias("_same")).where(~F.col("_same"))
-               .groupBy("_d", "_t").agg(F.max("_lang").alias("_lang")))
+    changed = (found.select("_d", "_t", F.col("lang").alias("_lang"), "declared")
+               .where(~F.col("lang").eqNullSafe(F.col("declared")))
+               .groupBy("_d", "_t").agg(F.max("_lang").alias("_lang"), F.lit(True).alias("_changed")))
     # documents whose language is as declared need no word from the table of the others
-    joined = without_rows(docs, changed, keep=["_lang"])
-    lang = F.when(F.col("_found"), F.col("_lang")).otherwise(F.lower(F.trim("lang")))
-    return joined.withColumn("lang", lang).where(F.col("lang").isNotNull()).select(*docs.columns)
+    joined = with_found(docs, changed)
+    said = F.lower(F.regexp_extract(F.trim(F.col("_row.lang")), "^([A-Za-z]+)", 1))
+    lang = F.when(F.col("_changed"), F.col("_lang")).otherwise(said)
+    return (joined.withColumn("_lang", lang).where(F.col("_lang").isNotNull())
+            .withColumn("_row", F.col("_row").withField("lang", F.col("_lang"))).select(*unpacked(docs.columns)))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,17 +49,20 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     keepers = linked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     keepers = materialize(keepers, "keepers")
     repeated = keepers.where(F.col("_n") > 1).limit(1).count()
-    kept = docs.join(keepers.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    rows = docs.select(F.col("doc_id").alias("_key"), packed(docs))
+    kept = rows.join(keepers.select(F.col("doc_id").alias("_key")), "_key", "left_semi")
+    return (kept.dropDuplicates(["_key"]) if repeated else kept).select(*unpacked(docs.columns))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the long strings that occur more than once."""
     cut = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, suffix_dedup.joined_text(F.col("parts"))).otherwise(F.col("text"))
-    return (cut.withColumn("text", text)
-            .withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
-                        .otherwise(F.col("n_chars"))).select(*docs.columns))
+    changed = F.col("n_removed") > 0
+    text = suffix_dedup.joined_text(F.col("parts"))
+    row = F.col("_row").withField("text", text)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return cut.withColumn("_row", F.when(changed, row).otherwise(F.col("_row"))).select(*unpacked(docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,15 +64,23 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("_d"), F.xxhash64(text).alias("_t")]
 
 
-def without_rows(docs: DataFrame, rows: DataFrame, keep: list[str], id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_found`` (their key is in ``rows``: _d, _t, ...) and the columns
-    ``keep`` of it.  ``rows`` is broadcast if measured to be small, else shuffled."""
-    rows = materialize(rows.withColumn("_found", F.lit(True)), "rows")
-    small = rows.count() * 16 * (2 + len(keep)) <= BROADCAST_BYTES
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    joined = keyed.join(F.broadcast(rows) if small else rows, ["_d", "_t"], "left")
-    return joined.select(*docs.columns, *keep, F.coalesce("_found", F.lit(False)).alias("_found"))
+def packed(docs: DataFrame) -> Column:
+    """A row's own columns as one struct, so that no name clashes with a helper's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in columns]
+
+
+def with_found(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_row`` of every document and the columns of ``rows`` (_d, _t, ...) under its
+    key, null where there is none.  ``rows`` (written here) is broadcast if measured
+    to be small, else both sides are shuffled."""
+    rows = materialize(rows, "rows")
+    small = rows.count() * 32 * len(rows.columns) <= BROADCAST_BYTES
+    keyed = docs.select(packed(docs), *row_key(id_col, text_col))
+    return keyed.join(F.broadcast(rows) if small else rows, ["_d", "_t"], "left")
 
 
 def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: str = "_rank") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
-from sparkprep.llm.common import rank_in_group, word_count
+from sparkprep.llm.common import packed, rank_in_group, unpacked, word_count
 
 MAX_ROUNDS = 10_000
 
@@ -92,7 +92,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """
     taken = (mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
              .where(F.col("_copies") > 0).withColumnRenamed("doc_id", "_id"))
-    one = docs.dropDuplicates(["doc_id"])
-    joined = one.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    one = docs.select(F.col("doc_id").alias("_key"), packed(docs)).dropDuplicates(["_key"])
+    joined = one.join(taken, F.col("_key").eqNullSafe(F.col("_id")))
     return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .select(*docs.columns))
+            .select(*unpacked(docs.columns)))

@@ -33,7 +33,15 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edit_similarity(table(spark, sf_dir, "documents"))
 
 
-@register("op2_exact_top_k")
+@register("op2_exact_top_k", """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id,
+             CAST(coalesce(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)]), 0) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -128,7 +136,7 @@ def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_suffix_array_dedup")
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+    return out.select("_row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
                       F.sha2(suffix_dedup.joined_bytes(F.col("parts")), 256).alias("kept_sha256"), "spans")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
 from sparkprep.llm.bytehash import Hasher, mix
-from sparkprep.llm.common import byte_groups, row_key, utf8
+from sparkprep.llm.common import byte_groups, packed, row_key, utf8
 
 MATCH = 400
 SEED_BYTES = 48
@@ -272,7 +272,7 @@ def kept_parts(strings: DataFrame, match: int = MATCH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH,
                    seed_bytes: int = SEED_BYTES, batches: int = BATCHES) -> DataFrame:
-    """``docs`` with ``spans`` (removed byte runs), ``parts`` (remaining byte
+    """``docs`` (as struct ``_row``) with ``spans`` (removed byte runs), ``parts`` (remaining byte
     strings, in order), ``n_bytes``, ``n_removed``.
 
     A byte is removed if a ``match``-byte string over it also starts anywhere
@@ -284,7 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, id_col, text_col)
     spans = kept_parts(repeated_strings(keyed, match, seed_bytes, batches), match)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marked = docs.select("*", *row_key(id_col, text_col), F.encode(text, "UTF-8").alias("_bytes"))
+    marked = docs.select(packed(docs), *row_key(id_col, text_col), F.encode(text, "UTF-8").alias("_bytes"))
     joined = _joined_lists(marked, spans, "_spans", "left")
     spans_ = F.coalesce(F.col("_spans"), F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
     n = F.octet_length("_bytes").cast("bigint")
@@ -295,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("_bytes"), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["hi"] - x["lo"])
     return (joined.withColumn("spans", spans_).withColumn("n_bytes", n).withColumn("n_removed", removed)
-            .withColumn("parts", cut).select(*docs.columns, "spans", "parts", "n_bytes", "n_removed"))
+            .withColumn("parts", cut).select("_row", "spans", "parts", "n_bytes", "n_removed"))
 
 
 def joined_bytes(parts: Column) -> Column:
