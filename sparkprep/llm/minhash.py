@@ -178,7 +178,7 @@ def neighbour_order(docs: DataFrame, columns: list[str], id_col: str) -> DataFra
     ids = docs.select(number.alias("_x"))
     probs = [i / n for i in range(1, n)] or [0.5]
     found = ids.where(F.col("_x") > float("-inf")).agg(F.percentile_approx("_x", probs, 10 * n + 100)).first()[0]
-    bounds = sorted(set(found or []))
+    bounds = sorted(set(found or [])) or [0.0]
     splits = [float("-inf"), *bounds, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_x", outputCol="_b")
     last = len(splits) - 2

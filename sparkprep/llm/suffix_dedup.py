@@ -221,7 +221,7 @@ def repeated_strings(keyed: DataFrame, match: int = MATCH, seed_bytes: int = SEE
     cells = hulls.join(mixed, "key", "left_semi").select(
         "at._d", "at._t", "at.pos", "key", (F.col("at.pos") - F.col("at.hi")).alias("a1"),
         (F.col("at.pos") - F.col("at.lo")).alias("a2"), (F.col("n") == 1).alias("open"))
-    for width in CELLS:
+    for width in [w for w in CELLS if 2 * w <= match or w == 1]:
         hashed = _hashed_cells(keyed, cells, match, seed_bytes, width)
         strings = hashed.withColumn("_j", F.expr(f"a1 div {width}"))
         group = ["key", "_j", "core"]
