@@ -83,6 +83,14 @@ def with_found(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_co
     return keyed.join(F.broadcast(rows) if small else rows, ["_d", "_t"], "left")
 
 
+def hash_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those of the smallest hash of ``key``.  Only hashes
+    are sorted; the rows themselves are read by a filter."""
+    h = F.xxhash64(key)
+    last = df.select(h.alias("_h")).orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]
+    return df.where(h <= F.lit(last)).limit(rows) if last is not None else df.limit(0)
+
+
 def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: str = "_rank") -> DataFrame:
     """0-based rank of every row in its group, for groups of any size.
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkprep.llm.common import hash_sample
 from sparkprep.llm.html_blocks import Block, leaf_blocks
 
 PATH = 1024       # hashed path parts
@@ -263,9 +264,8 @@ def _varied(blocks: list[Block], rng: np.random.Generator) -> list[Block]:
 def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> Labeller:
     """A labeller trained on at most ``train_pages`` pages, those of the smallest
     id hash, and altered copies of them; the names on tag paths give the labels."""
-    rows = (pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).cast("string").alias("html"),
-                                                            F.xxhash64(id_col).alias("_h"))
-            .orderBy("_h", "html").limit(train_pages).collect())
+    known = hash_sample(pages.where(F.col(html_col).isNotNull()), F.col(id_col), train_pages)
+    rows = sorted(known.select(F.col(html_col).cast("string").alias("html")).collect())
     rng = np.random.Generator(np.random.PCG64(SEED))
     documents = []
     for r in rows:

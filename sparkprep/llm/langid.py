@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
-from sparkprep.llm.common import byte_groups, utf8
+from sparkprep.llm.common import byte_groups, hash_sample, utf8
 
 LANGUAGES = ("de", "en", "es", "fr")
 OTHER = "other"          # a class of its own: text of no known language
@@ -48,10 +48,9 @@ def fit_text_model(labelled: DataFrame, languages: Sequence[str] = LANGUAGES, id
     Fitted on at most ``train_rows`` labelled rows, those of the smallest id
     hash; what reaches the driver is one count vector per language and task.
     """
-    sample = (labelled.where(F.col(lang_col).isin(list(languages)) & F.col(text_col).isNotNull())
-              .select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"),
-                      F.xxhash64(F.col(id_col)).alias("_h"))
-              .orderBy("_h", "lang", F.length("text")).limit(train_rows).repartition(4, "_h"))
+    known = labelled.where(F.col(lang_col).isin(list(languages)) & F.col(text_col).isNotNull())
+    sample = hash_sample(known, F.col(id_col), train_rows).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).repartition(4, F.xxhash64("text"))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), BUCKETS), np.int64)

@@ -122,7 +122,8 @@ d AS (SELECT call_id, 0 AS depth FROM p WHERE after_id IS NULL
 l AS (SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, coalesce(p.call_id, r.call_id) AS call_id, p.turn, p.name, p.text,
              p.after_id, d.depth, r.turn AS result_turn, r.text AS content
       FROM p JOIN d USING (call_id) FULL JOIN r ON r.call_id = p.call_id)
-SELECT conv_id, call_id, turn, name, after_id, CAST(depth AS BIGINT) AS depth, result_turn,
+SELECT conv_id, call_id, CAST(turn AS DOUBLE) AS turn, name, after_id, CAST(depth AS DOUBLE) AS depth,
+  CAST(result_turn AS DOUBLE) AS result_turn,
   CASE WHEN name IS NULL THEN 'no_call' WHEN result_turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
   {_chat_error_sql(CHAT_SCHEMAS)} AS errors,
   '{{' || concat_ws(',', CASE WHEN name IS NOT NULL THEN '"arguments":{{"text":' || to_json(text) || ',"turn":' || turn || '}}' END,
@@ -130,7 +131,8 @@ SELECT conv_id, call_id, turn, name, after_id, CAST(depth AS BIGINT) AS depth, r
 FROM l""")
 def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = chat.link_calls(*chat_tables(table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
-    return linked.select("conv_id", "call_id", "turn", "name", "after_id", "depth", "result_turn", "status", "errors", "message")
+    number = [F.col(c).cast("double").alias(c) for c in ("turn", "depth", "result_turn")]  # nulls compare alike as doubles
+    return linked.select("conv_id", "call_id", "name", "after_id", *number, "status", "errors", "message")
 
 
 @register("op7_suffix_array_dedup")
