@@ -162,7 +162,9 @@ def main(argv: list[str] | None = None) -> int:
             io.write(table, a.output, "parquet")
             result = {"output": a.output}
         else:
-            result = _rows(table, 10_000)
+            if a.kind in ("line", "scatter"):
+                raise SystemExit(f"chart {a.kind} has a row per point: give --output")
+            result = _rows(table)
     json.dump(result, sys.stdout, default=str)
     sys.stdout.write("\n")
     return 0

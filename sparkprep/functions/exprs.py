@@ -47,7 +47,7 @@ def equal_width_edges(lo: float, hi: float, bins: int) -> list[float]:
 def bin_index(x: str | Column, lo: float | None, hi: float | None, bins: int) -> Column:
     """Equal-width bin 0..bins-1 as double, left-closed, outer edges open.
 
-    Written as a sum of comparisons against the same edges a Bucketizer
+    Counts the edges at or below the value - the same edges a Bucketizer
     would use, so there is no floor()/float drift.  A constant column (or
     bins == 1) lands in bin 0; null stays null.
     """
@@ -57,13 +57,7 @@ def bin_index(x: str | Column, lo: float | None, hi: float | None, bins: int) ->
     if bins <= 1 or hi == lo:
         return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.lit(0.0))
     edges = equal_width_edges(lo, hi, bins)
-    if len(edges) <= 64:
-        terms = [F.when(x >= F.lit(e), 1).otherwise(0) for e in edges]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return F.when(x.isNull(), F.lit(None)).otherwise(total).cast("double")
-    arr = F.array(*[F.lit(float(e)) for e in edges])
+    arr = F.lit([float(e) for e in edges])
     return F.when(x.isNull(), F.lit(None)).otherwise(
         F.size(F.filter(arr, lambda e: e <= x))).cast("double")
 

@@ -9,11 +9,14 @@ handling splits hot partitions of the large side.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from sparkprep.functions.materialize import materialize
+
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -43,15 +46,20 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",  # noqa:
                known_rows: int | None = None) -> DataFrame:
     """Join ``small`` onto ``big``, broadcasting it only if it is proven small.
 
-    ``known_rows`` skips the measurement when the caller already has a
-    proven bound on a narrow table (e.g. a vocabulary of max_features rows).
+    Keys are compared null-safely: a null key of ``big`` meets the null key of
+    ``small``.  ``known_rows`` skips the measurement when the caller already
+    has a proven bound on a narrow table (e.g. a vocabulary of max_features
+    rows).
     """
     if known_rows is not None:
         fits = known_rows <= max_rows
     else:
-        small = small.persist(StorageLevel.MEMORY_AND_DISK)
+        small = materialize(small, "small")
         rows, size = measure(small)
         fits = rows <= max_rows and size <= max_bytes
-    if fits:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    renamed = small.select(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)],
+                           *[F.col(f"`{c}`") for c in small.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)])
+    joined = big.join(F.broadcast(renamed) if fits else renamed, same, how)
+    return joined.drop(*[f"__key{i}" for i in range(len(keys))])

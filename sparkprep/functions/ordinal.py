@@ -30,20 +30,24 @@ def with_ordinal(df: DataFrame, order_cols: Sequence[str], name: str = "_ord",
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = materialize(ranged, "ordinal")
-    counts = (ranged.groupBy(F.shiftright("_mid", 33).alias("pid"))
-              .agg(F.count(F.lit(1)).alias("n")).orderBy("pid").collect())
-    pids, offsets, acc = [], [], 0
-    for r in counts:
-        pids.append(int(r["pid"]))
-        offsets.append(acc)
-        acc += int(r["n"])
-    if not pids:
-        return ranged.drop("_mid").withColumn(name, F.lit(None).cast("bigint"))
-    offset_map = F.map_from_arrays(F.array(*[F.lit(p).cast("bigint") for p in pids]),
-                                   F.array(*[F.lit(o).cast("bigint") for o in offsets]))
-    ordinal = (F.element_at(offset_map, F.shiftright("_mid", 33))
-               + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-    return ranged.withColumn(name, ordinal).drop("_mid")
+    ranged = ranged.withColumn("__pid", F.shiftright("_mid", 33))
+    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n"))
+    offsets = _offsets(counts, "__pid", ["n"], ["__off"])
+    ordinal = (F.col("__off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))).cast("bigint")
+    return ranged.join(offsets, "__pid").withColumn(name, ordinal).drop("_mid", "__pid", "__off")
+
+
+def _offsets(totals: DataFrame, key: str, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Sums of the partitions before each, as a table to broadcast (one row per
+    range partition, so its size is the shuffle's partition count)."""
+    spark = totals.sparkSession
+    rows, acc = [], [0] * len(columns)
+    for r in totals.orderBy(key).collect():
+        rows.append((int(r[key]), *acc))
+        acc = [x + (r[c] or 0) for x, c in zip(acc, columns)]
+    kinds = [totals.schema[c].dataType.simpleString() for c in columns]
+    schema = ", ".join([f"{key} bigint", *[f"{n} {k}" for n, k in zip(names, kinds)]])
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def dense_codes(df: DataFrame, column: str, code_name: str) -> DataFrame:
@@ -65,57 +69,46 @@ def prefix_sums(df: DataFrame, order: Sequence, sum_cols: Sequence[str],
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id()))
     ranged = materialize(ranged, "prefix")
-    totals = (ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sum_cols])
-              .orderBy("_pid").collect())
     from pyspark.sql import Window
+    totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    offs = [f"__off{i}" for i in range(len(sum_cols))]
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding,
                                                                 Window.currentRow)
-    out = ranged
-    pids = [int(r["_pid"]) for r in totals]
-    for c in sum_cols:
-        acc, offs = 0, []
-        for r in totals:
-            offs.append(acc)
-            acc += r[c] or 0
-        if pids:
-            m = F.map_from_arrays(F.array(*[F.lit(p) for p in pids]),
-                                  F.array(*[F.lit(o) for o in offs]))
-            off = F.element_at(m, F.col("_pid"))
-        else:
-            off = F.lit(0)
-        out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w) + off)
-    return out.drop("_pid")
+    out = ranged.select("*", *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
+    out = out.join(_offsets(totals, "_pid", sum_cols, offs), "_pid")
+    for c, o in zip(sum_cols, offs):
+        out = out.withColumn(f"{prefix}{c}", F.col(f"{prefix}{c}") + F.col(o))
+    return out.drop("_pid", *offs)
 
 
 def grouped_exact_quantiles(df: DataFrame, group_cols: Sequence[str], column: str,
                             probs: Sequence[float], prefix: str = "q") -> DataFrame:
-    """Exact linear-interpolated quantiles per group, skew-proof.
-
-    Rows are numbered by (group, value) with ``with_ordinal`` (range
-    partitions, so a hot group spans many tasks).  Per group, the first
-    ordinal and the count (one partial+final aggregate) give the ordinals of
-    the needed order statistics, which are fetched with an equi-join on the
-    unique ordinal - no per-group value map and no group in one task.
-    Output: group columns + ``<prefix>0, <prefix>1, ...`` (one per prob).
+    """Exact linear-interpolated quantiles per group, for any skew and any ties.
+
+    Rows are first counted per (group, value); running sums of those counts in
+    (group, value) order (range partitions, so a hot group spans many tasks)
+    place every order statistic, and each group picks its own with one
+    aggregate.  The work after the first aggregate grows with the distinct
+    pairs only.  Output: group columns + ``<prefix>0, <prefix>1, ...``; groups
+    without a value have nulls.
     """
     keys = list(group_cols)
     x = F.col(column).cast("double")
-    base = df.select(*keys, x.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    ranked = with_ordinal(base, keys + ["__v"], "__o")
-    stats = ranked.groupBy(*keys).agg(F.min("__o").alias("__o0"), F.count(F.lit(1)).alias("__n"))
-    needed = []
+    v = F.when(x.isNotNull() & ~F.isnan(x), x)
+    counts = df.groupBy(*keys, v.alias("__v")).agg(F.count(v).alias("__n"))
+    order = [*[F.col(k) for k in keys], F.col("__v")]
+    cum = materialize(prefix_sums(counts, order, ["__n"], prefix="__cum"), "quantiles")
+    stats = cum.groupBy(*keys).agg(F.sum("__n").alias("__size"), F.min(F.col("__cum__n") - F.col("__n")).alias("__first"))
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    both = cum.alias("c").join(stats.alias("s"), on).select(*[F.col(f"c.{k}") for k in keys], "__v", "__n", "__size",
+                                                            (F.col("__cum__n") - F.col("__first")).alias("__upto"))
+    aggs, outs = [], []
     for i, p in enumerate(probs):
-        pos = (F.col("__n") - 1).cast("double") * F.lit(float(p))
-        needed.append(F.struct(F.lit(i).alias("i"), (F.col("__o0") + F.floor(pos)).cast("bigint").alias("lo"),
-                               (F.col("__o0") + F.ceil(pos)).cast("bigint").alias("hi"),
-                               (pos - F.floor(pos)).alias("frac")))
-    want = stats.select(*keys, F.explode(F.array(*needed)).alias("t")).select(*keys, "t.*")
-    vals = ranked.select("__o", "__v")
-    lo = vals.withColumnRenamed("__o", "lo").withColumnRenamed("__v", "vlo")
-    hi = vals.withColumnRenamed("__o", "hi").withColumnRenamed("__v", "vhi")
-    got = want.join(lo, "lo").join(hi, "hi")
-    q = F.when(F.col("vlo") == F.col("vhi"), F.col("vlo")).otherwise(
-        F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
-    long = got.select(*keys, "i", q.alias("q"))
-    return long.groupBy(*keys).pivot("i", list(range(len(probs)))).agg(F.first("q")).select(
-        *keys, *[F.col(str(i)).alias(f"{prefix}{i}") for i in range(len(probs))])
+        pos = (F.col("__size") - 1).cast("double") * F.lit(float(p))
+        for name, at in ((f"__lo{i}", F.floor(pos)), (f"__hi{i}", F.ceil(pos))):
+            here = (F.col("__upto") - F.col("__n") <= at) & (at < F.col("__upto"))
+            aggs.append(F.max(F.when(here, F.col("__v"))).alias(name))
+        aggs.append(F.max(pos - F.floor(pos)).alias(f"__f{i}"))
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        outs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * F.col(f"__f{i}")).alias(f"{prefix}{i}"))
+    return both.groupBy(*keys).agg(*aggs).select(*keys, *outs)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import contextlib
-import io
-
 from pyspark.sql import DataFrame
 
 
 def _has_shuffle(df: DataFrame) -> bool:
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain()
-    return "Exchange" in buf.getvalue()
+    """Whether the optimised plan moves rows (joins, aggregates, sorts, windows, repartitions)."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo, moves = [plan], ("Join", "Aggregate", "Sort", "Window", "Repartition", "RepartitionByExpression",
+                           "RebalancePartitions", "Distinct", "Deduplicate", "GlobalLimit", "Intersect", "Except")
+    while todo:
+        node = todo.pop()
+        if node.nodeName() in moves:
+            return True
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return False
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

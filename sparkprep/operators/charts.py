@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import HASH_MOD, bin_index, split_hash
+from sparkprep.functions.materialize import materialize
 from sparkprep.functions.ordinal import grouped_exact_quantiles, prefix_sums
 from sparkprep.functions.stats import exact_quantiles_multi, one_row, quantiles
 
@@ -47,15 +48,15 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
-def kde(df: DataFrame, column: str, grid_points: int = 200, cells: int = 2048,
-        bandwidth: float | None = None, cut: float = 3.0, support: float = 4.0) -> DataFrame:
+def kde(df: DataFrame, column: str, grid_points: int = 200, cell_width: float | None = None,
+        bandwidth: float | None = None, cut: float = 3.0) -> DataFrame:
     """(grid_index, x, density) of a Gaussian KDE evaluated on a grid.
 
-    Data is pre-aggregated into ``cells`` equal-width cells (one partial
-    aggregate); each cell spreads its mass only to grid points within
-    ``support`` bandwidths (a bounded scatter, not a cross product).
-    Bandwidth: Scott's rule sigma * n^(-1/5); grid spans min - cut*h to
-    max + cut*h.
+    Distinct values are counted first (one partial + final aggregate), then
+    every value adds to every grid point.  ``cell_width`` first rounds values to
+    the centres of cells of that width; the density then errs by at most
+    cell_width / (2 h) * 0.25 / h, h being the bandwidth.  Bandwidth: Scott's
+    rule sigma * n^(-1/5); grid spans min - cut*h to max + cut*h.
     """
     x = F.col(column).cast("double")
     s = one_row(df, {"n": F.count(x), "mn": F.min(x), "mx": F.max(x), "sd": F.stddev_samp(x)})
@@ -66,40 +67,24 @@ def kde(df: DataFrame, column: str, grid_points: int = 200, cells: int = 2048,
     h = bandwidth or sd * n ** (-0.2)
     glo, ghi = lo - cut * h, hi + cut * h
     gstep = (ghi - glo) / (grid_points - 1)
-    cw = (hi - lo) / cells
-    cell = F.least(F.floor((x - F.lit(lo)) / F.lit(cw)), F.lit(cells - 1))
-    agg = df.where(x.isNotNull()).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("cnt"))
-    center = F.lit(lo) + (F.col("cell") + F.lit(0.5)) * F.lit(cw)
-    jlo = F.greatest(F.ceil((center - F.lit(support * h) - F.lit(glo)) / F.lit(gstep)), F.lit(0))
-    jhi = F.least(F.floor((center + F.lit(support * h) - F.lit(glo)) / F.lit(gstep)),
-                  F.lit(grid_points - 1))
-    spread = agg.select("cnt", center.alias("c"), jlo.cast("int").alias("jlo"), jhi.cast("int").alias("jhi"))
-    spread = spread.select("cnt", "c", F.explode(
-        F.when(F.col("jlo") <= F.col("jhi"), F.sequence("jlo", "jhi")).otherwise(F.array().cast("array<int>"))
-    ).alias("grid_index"))
+    value = x if cell_width is None else (F.floor(x / F.lit(float(cell_width))) + F.lit(0.5)) * F.lit(float(cell_width))
+    counts = df.where(x.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    spread = counts.select("cnt", "v", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("grid_index"))
     gx = F.lit(glo) + F.col("grid_index").cast("double") * F.lit(gstep)
-    z = (gx - F.col("c")) / F.lit(h)
-    contrib = F.col("cnt") * F.exp(F.lit(-0.5) * z * z)
-    dens = spread.groupBy("grid_index").agg(F.sum(contrib).alias("w"))
+    z = (gx - F.col("v")) / F.lit(h)
+    dens = spread.groupBy("grid_index").agg(F.sum(F.col("cnt") * F.exp(F.lit(-0.5) * z * z)).alias("w"))
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    grid = spark.range(grid_points).select(F.col("id").cast("int").alias("grid_index"))
-    return (grid.join(F.broadcast(dens), "grid_index", "left")
-            .select("grid_index", (F.lit(glo) + F.col("grid_index").cast("double") * F.lit(gstep)).alias("x"),
-                    (F.coalesce(F.col("w"), F.lit(0.0)) * F.lit(norm)).alias("density")))
+    return dens.select("grid_index", gx.alias("x"), (F.col("w") * F.lit(norm)).alias("density"))
 
 
 def scatter(df: DataFrame, x: str, y: str, hue: str | None = None, key: str | None = None,
-            max_points: int | None = None, seed: int = 42) -> DataFrame:
-    """(x, y[, hue]) points, thinned by a stable hash sample when the table
-    holds more than ``max_points`` rows (``max_points=None`` keeps all)."""
+            fraction: float | None = None, seed: int = 42) -> DataFrame:
+    """(x, y[, hue]) points: all of them, or a stable hash sample of ``fraction``."""
     cols = [x, y] + ([hue] if hue else [])
     out = df.select(*cols, *([key] if key and key not in cols else []))
-    if max_points is not None:
-        n = df.count()
-        if n > max_points:
-            rate = max_points / n
-            h = split_hash(key, seed) if key else F.pmod(F.xxhash64(*cols), F.lit(HASH_MOD))
-            out = out.where(h < F.lit(int(rate * HASH_MOD)))
+    if fraction is not None:
+        h = split_hash(key, seed) if key else F.pmod(F.xxhash64(*cols), F.lit(HASH_MOD))
+        out = out.where(h < F.lit(int(fraction * HASH_MOD)))
     return out.select(*cols)
 
 
@@ -112,9 +97,7 @@ def bar(df: DataFrame, x: str, y: str, aggfunc: str = "mean") -> DataFrame:
     if aggfunc not in BAR_AGGS:
         raise ValueError(f"Unsupported aggfunc: {aggfunc}")
     if aggfunc == "median":
-        med = grouped_exact_quantiles(df, [x], y, [0.5]).withColumnRenamed("q0", y)
-        cats = df.select(x).distinct()  # categories whose y is all null keep a null median
-        return cats.join(med, x, "left").select(x, y)
+        return grouped_exact_quantiles(df, [x], y, [0.5]).withColumnRenamed("q0", y).select(x, y)
     return df.groupBy(x).agg(BAR_AGGS[aggfunc](F.col(y)).alias(y))
 
 
@@ -223,10 +206,16 @@ def category_count(df: DataFrame, column: str, rotate_over: int = 5) -> DataFram
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(label, prediction, count) for the observed cells (zero cells implied)."""
-    return (df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
-            .groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
-            .agg(F.count(F.lit(1)).alias("count")))
+    """(label, prediction, count), zero cells included: every class seen as a
+    label or a prediction against every such class."""
+    cells = materialize(df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+                        .groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
+                        .agg(F.count(F.lit(1)).alias("count")), "cells")
+    names = cells.select(F.explode(F.array("label", "prediction")).alias("c")).distinct()
+    every = names.agg(F.collect_set("c").alias("all"))  # classes only
+    grid = (every.select(F.explode("all").alias("label"), "all").select("label", F.explode("all").alias("prediction")))
+    return grid.join(cells, ["label", "prediction"], "left").select(
+        "label", "prediction", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
 def _threshold_table(df: DataFrame, label: str, score: str, buckets: int | None) -> DataFrame:
@@ -241,43 +230,53 @@ def _threshold_table(df: DataFrame, label: str, score: str, buckets: int | None)
     return prefix_sums(g, [F.desc("threshold")], ["tp", "fp"])
 
 
+def _with_start(points: DataFrame, start: dict) -> DataFrame:
+    """The curve's points and its start, which no row of the table stands for."""
+    values = [F.lit(start.get(f.name)).cast(f.dataType).alias(f.name) for f in points.schema.fields]
+    return points.unionByName(points.sparkSession.range(1).select(*values))
+
+
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
               buckets: int | None = None) -> DataFrame:
-    """(threshold, tpr, fpr, tp, fp, cum_tp, cum_fp) per distinct score.
+    """(threshold, tpr, fpr, tp, fp, cum_tp, cum_fp) per distinct score, from
+    (0, 0), which no threshold reaches, on.
 
     Exact by default; ``buckets`` rounds scores down to a fixed grid first.
     """
     t = _threshold_table(df, label, score, buckets)
     tot = one_row(t, {"p": F.sum("tp"), "n": F.sum("fp")})
     p, n = float(tot["p"] or 0), float(tot["n"] or 0)
-    return t.select("threshold", F.try_divide(F.col("cum_tp"), F.lit(p)).alias("tpr"),
-                    F.try_divide(F.col("cum_fp"), F.lit(n)).alias("fpr"),
-                    "tp", "fp", "cum_tp", "cum_fp")
+    points = t.select(F.col("threshold").cast("double").alias("threshold"), F.try_divide(F.col("cum_tp"), F.lit(p)).alias("tpr"),
+                      F.try_divide(F.col("cum_fp"), F.lit(n)).alias("fpr"), "tp", "fp", "cum_tp", "cum_fp")
+    return _with_start(points, {"tpr": 0.0, "fpr": 0.0, "tp": 0, "fp": 0, "cum_tp": 0, "cum_fp": 0})
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
             buckets: int | None = None) -> DataFrame:
     """Trapezoid AUC: sum fp_i * (2*cum_tp_i - tp_i) / (2*P*N) (no lag needed)."""
     t = _threshold_table(df, label, score, buckets)
-    return t.agg(F.try_divide(F.sum(F.col("fp") * (2 * F.col("cum_tp") - F.col("tp"))).cast("double"),
-                              2.0 * F.sum("tp").cast("double") * F.sum("fp").cast("double")).alias("auc"))
+    tp, fp, cum = (F.col(c).cast("double") for c in ("tp", "fp", "cum_tp"))  # products outgrow a bigint
+    return t.agg(F.try_divide(F.sum(fp * (2.0 * cum - tp)), 2.0 * F.sum(tp) * F.sum(fp)).alias("auc"))
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score",
              buckets: int | None = None) -> DataFrame:
+    """(threshold, precision, recall) per distinct score, and the end point
+    (recall 0, precision 1), which no threshold reaches."""
     t = _threshold_table(df, label, score, buckets)
     p = float(one_row(t, {"p": F.sum("tp")})["p"] or 0)
-    return t.select("threshold",
-                    (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
-                    F.try_divide(F.col("cum_tp"), F.lit(p)).alias("recall"))
+    points = t.select(F.col("threshold").cast("double").alias("threshold"),
+                      (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("precision"),
+                      F.try_divide(F.col("cum_tp"), F.lit(p)).alias("recall"))
+    return _with_start(points, {"precision": 1.0, "recall": 0.0})
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score",
                       buckets: int | None = None) -> DataFrame:
     """AP = sum (R_n - R_{n-1}) P_n = sum tp_i/P * cum_tp_i/(cum_tp_i+cum_fp_i)."""
     t = _threshold_table(df, label, score, buckets)
-    term = F.col("tp") * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
-    return t.agg(F.try_divide(F.sum(term), F.sum("tp").cast("double")).alias("average_precision"))
+    tp, cum_tp, cum_fp = (F.col(c).cast("double") for c in ("tp", "cum_tp", "cum_fp"))
+    return t.agg(F.try_divide(F.sum(tp * cum_tp / (cum_tp + cum_fp)), F.sum(tp)).alias("average_precision"))
 
 
 def residuals(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -300,6 +299,34 @@ def feature_importance_top(fitted, top: int = 10) -> DataFrame:  # noqa: ANN001
     return fitted.importance_frame(SparkSession.getActiveSession(), top=top)
 
 
+MODEL_CHARTS = ("confusion", "roc", "pr", "importance", "residuals", "residual_trend")
+
+
+def model_chart(fitted, df: DataFrame, kind: str) -> DataFrame:  # noqa: ANN001
+    """Score ``df`` with a trained model and chart the result: confusion, roc and
+    pr (binary: the second class against the first) of classifiers, residuals and
+    residual_trend of regressors, importance of any."""
+    if kind not in MODEL_CHARTS:
+        raise ValueError(f"unknown model chart {kind!r}")
+    if kind == "importance":
+        return fitted.importance_frame(df.sparkSession)
+    if (kind in ("residuals", "residual_trend")) != (fitted.problem == "regression"):
+        raise ValueError(f"chart {kind} does not apply to a {fitted.problem} model")
+    if kind in ("roc", "pr"):
+        if fitted.meta.get("n_classes") != 2:
+            raise ValueError(f"chart {kind} needs two classes")
+        from pyspark.ml.functions import vector_to_array
+
+        from sparkprep.operators.models import LABEL_COL
+        scored = fitted.transform(df).select(F.col(LABEL_COL).alias("label"), vector_to_array("probability")[1].alias("score"))
+        return roc_curve(scored) if kind == "roc" else pr_curve(scored)
+    scored = fitted.predict(df.withColumn("__truth", F.col(fitted.target)), ["__truth"])
+    if kind == "confusion":
+        kind_of = scored.schema["prediction"].dataType
+        return confusion_matrix(scored.withColumn("__truth", F.col("__truth").cast(kind_of)), "__truth", "prediction")
+    return residuals(scored, "__truth") if kind == "residuals" else residual_trend(scored, "__truth")
+
+
 def decision_boundary(fitted, df: DataFrame, f1: str, f2: str, grid: int = 50) -> DataFrame:  # noqa: ANN001
     """(x, y, prediction) over a grid spanning the data range of two features;
     other numeric features are held at their mean, string features at their

@@ -18,6 +18,7 @@ from pyspark.sql.types import NumericType
 
 from sparkprep.functions.exprs import safe_name
 from sparkprep.functions.joins import join_small
+from sparkprep.functions.materialize import materialize
 from sparkprep.functions.ordinal import dense_codes
 from sparkprep.functions.stats import exact_quantiles_multi, one_row, quantiles
 
@@ -182,36 +183,63 @@ def one_hot(df: DataFrame, column: str, values: Sequence | None = None,
             drop_last: bool = False, max_values: int = MAX_ONE_HOT_VALUES) -> DataFrame:
     """One 0/1 int column ``<c>_<value>`` per distinct value (sorted).
 
-    The number of output columns is the number of distinct values, so it is
-    capped by ``max_values``; above that use label or target encoding.
+    Names that would be equal get a number.  More than ``max_values`` values
+    are an error: a table cannot be that wide; ``one_hot_sparse`` holds any
+    number of them in one column.
     """
     if values is None:
         top = (df.select(column).where(F.col(column).isNotNull()).distinct()
                .orderBy(column).limit(max_values + 1).collect())
         if len(top) > max_values:
-            raise ValueError(f"{column} has more than {max_values} distinct values")
+            raise ValueError(f"{column} has more than {max_values} distinct values; use the sparse form")
         values = [r[0] for r in top]
     values = list(values)
     if drop_last and values:
         values = values[:-1]
-    new = [F.when(F.col(column) == F.lit(v), 1).otherwise(0).alias(f"{column}_{safe_name(v)}")
-           for v in values]
+    taken = {c.lower() for c in df.columns}
+    new = []
+    for v in values:
+        base = name = f"{column}_{safe_name(v)}"
+        n = 2
+        while name.lower() in taken:
+            name, n = f"{base}_{n}", n + 1
+        taken.add(name.lower())
+        new.append(F.when(F.col(column) == F.lit(v), 1).otherwise(0).alias(name))
     return df.select("*", *new)
 
 
+def one_hot_sparse(df: DataFrame, column: str, output: str | None = None, drop_last: bool = False) -> DataFrame:
+    """``<c>_onehot``: a sparse vector with a 1 at the value's place among the
+    sorted distinct values; null and values unseen in fitting give all zeros."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    output = output or f"{column}_onehot"
+    text, index = f"__{column}_text", f"__{column}_place"
+    data = df.withColumn(text, F.col(column).cast("string"))
+    places = StringIndexer(inputCol=text, outputCol=index, stringOrderType="alphabetAsc", handleInvalid="keep").fit(data)
+    n = len(places.labels)
+    # the last place, of null, is dropped: all zeros
+    encoder = OneHotEncoder(inputCol=index, outputCol=output, dropLast=True)
+    data = places.transform(data)
+    out = encoder.fit(data).transform(data).drop(text, index)
+    if drop_last and n:
+        from pyspark.ml.feature import VectorSlicer
+        full = f"__{output}_full"
+        out = VectorSlicer(inputCol=full, outputCol=output, indices=list(range(n - 1))).transform(
+            out.withColumnRenamed(output, full)).drop(full)
+    return out
+
+
 def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 10.0,
                   suffix: str = "_te", max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Smoothed category mean of ``target``: (n*mean_c + m*mean) / (n + m).
 
     Category statistics are one partial+final aggregate (skew-safe) that is
-    persisted; the global mean is derived from that small table (no second
+    written once; the global mean is derived from that small table (no second
     scan), and the table is joined back with a size-checked broadcast.
     Unseen/null categories get the global mean.
     """
-    from pyspark import StorageLevel
     y = F.col(target).cast("double")
-    stats = (df.groupBy(column).agg(F.count(y).alias("_n"), F.sum(y).alias("_s"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    stats = materialize(df.groupBy(column).agg(F.count(y).alias("_n"), F.sum(y).alias("_s")), "categories")
     tot = stats.agg(F.sum("_n").alias("n"), F.sum("_s").alias("s")).first()
     g = (tot["s"] / tot["n"]) if tot["n"] else None
     m = float(smoothing)

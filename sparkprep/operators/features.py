@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import bin_index
@@ -123,41 +123,17 @@ def aggregation(df: DataFrame, group_by: Sequence[str], columns: Sequence[str],
 
 
 def lag_features(df: DataFrame, column: str, lags: Sequence[int], order_by: Sequence[str],
-                 partition_by: Sequence[str], max_group_rows: int = 20_000_000,
-                 force_ordinal: bool = False) -> DataFrame:
+                 partition_by: Sequence[str]) -> DataFrame:
     """``<c>_lag<k>`` = value k rows earlier in the same partition group.
 
-    ``order_by`` must make the order total (add a unique key).  Group sizes
-    are counted first (one partial+final aggregate).  Groups of at most
-    ``max_group_rows`` rows use the plain window (one shuffle by the group
-    key).  A hot group would sit in a single window task, so the hot groups
-    alone - at most total/max_group_rows keys, a proven bound, routed with
-    broadcast semi/anti joins - get a global ordinal over
-    (partition_by, order_by) from range partitioning, and each lag becomes
-    an equi-join on ordinal - k, which spreads evenly whatever the skew.
+    ``order_by`` must make the order total (add a unique key).  Rows get a
+    global ordinal over (partition_by, order_by) from range partitioning, and
+    each lag is an equi-join on ordinal - k, which spreads evenly whatever the
+    size of a group; the group keys of both rows are compared null-safely.
     """
     if not partition_by:
         raise ValueError("lag_features needs partition_by (no global window)")
-    lags = [int(k) for k in lags]
-    keys = list(partition_by)
-    if force_ordinal:
-        return _lag_by_ordinal(df, column, lags, order_by, keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = sizes.where(F.col("__n") > F.lit(max_group_rows)).select(*keys)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _lag_by_window(df, column, lags, order_by, keys)
-    hot = df.sparkSession.createDataFrame(hot.collect(), hot.schema)  # <= total / max_group_rows keys
-    cold_part = df.join(F.broadcast(hot), keys, "left_anti")
-    hot_part = df.join(F.broadcast(hot), keys, "left_semi")
-    return _lag_by_window(cold_part, column, lags, order_by, keys).unionByName(
-        _lag_by_ordinal(hot_part, column, lags, order_by, keys))
-
-
-def _lag_by_window(df: DataFrame, column: str, lags: list[int], order_by: Sequence[str],
-                   keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order_by)
-    return df.select("*", *[F.lag(column, k).over(w).alias(f"{column}_lag{k}") for k in lags])
+    return _lag_by_ordinal(df, column, [int(k) for k in lags], order_by, list(partition_by))
 
 
 def _lag_by_ordinal(df: DataFrame, column: str, lags: list[int], order_by: Sequence[str],

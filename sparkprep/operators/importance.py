@@ -80,18 +80,28 @@ def chi2(df: DataFrame, features: Sequence[str], target: str, bins: int = 10) ->
 
 
 def f_classif(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """One-way ANOVA F of each feature across the target classes."""
-    long = _long(df, features, target)
-    per = long.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("n"),
-                                           F.sum("value").alias("s"),
-                                           F.sum(F.col("value") * F.col("value")).alias("ss"))
-    tot = per.groupBy("feature").agg(F.sum("n").alias("N"), F.sum("s").alias("S"),
-                                     F.count(F.lit(1)).alias("K"),
-                                     F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between_raw"),
-                                     F.sum("ss").alias("SS"))
-    ssb = F.col("between_raw") - F.col("S") * F.col("S") / F.col("N")
-    ssw = F.col("SS") - F.col("between_raw")
-    score = F.try_divide(ssb / (F.col("K") - 1), ssw / (F.col("N") - F.col("K")))
+    """One-way ANOVA F of each feature across the target classes.
+
+    One group-by on the class with count, mean and population variance per
+    feature (no raw squares, so large means do not cancel); the small class
+    table is unpivoted and combined around the overall mean.
+    """
+    features = list(features)
+    y = F.col(target)
+    aggs = []
+    for i, c in enumerate(features):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).cast("double").alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
+    per = df.where(y.isNotNull()).groupBy(y.alias("y")).agg(*aggs)
+    rows = per.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"))
+        for i, c in enumerate(features)])).alias("s")).select("s.*").where(F.col("n") > 0)
+    mean = rows.groupBy("feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("centre"))
+    apart = F.col("m") - F.col("centre")
+    tot = rows.join(mean, "feature").groupBy("feature").agg(
+        F.sum("n").alias("N"), F.count(F.lit(1)).alias("K"), F.sum(F.col("n") * F.col("v")).alias("within"),
+        F.sum(F.col("n") * apart * apart).alias("between"))
+    score = F.try_divide(F.try_divide(F.col("between"), F.col("K") - 1), F.try_divide(F.col("within"), F.col("N") - F.col("K")))
     return tot.select("feature", score.alias("score"))
 
 
@@ -145,7 +155,7 @@ def numeric_features(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 
 def random_forest_importance(df: DataFrame, target: str, features: Sequence[str] | None = None,
-                             num_trees: int = 10, seed: int = 42,
+                             num_trees: int = 10, max_depth: int = 5, seed: int = 42,
                              problem: str | None = None) -> DataFrame:
     """(feature, importance, rank) from a random forest (classifier for
     string/boolean/integer targets, regressor otherwise); string features
@@ -154,5 +164,5 @@ def random_forest_importance(df: DataFrame, target: str, features: Sequence[str]
     problem = problem or infer_problem(df, target)
     model_type = "random_forest_classifier" if problem == "classification" else "random_forest_regressor"
     fitted = fit_pipeline(df, target, model_type, features,
-                          {"numTrees": num_trees, "seed": seed})
+                          {"numTrees": num_trees, "maxDepth": max_depth, "seed": seed})
     return fitted.importance_frame(df.sparkSession)

@@ -50,39 +50,16 @@ def classification_metrics(df: DataFrame, label: str = "label",
                F.sum(F.col("support") * prec).alias("wp"),
                F.sum(F.col("support") * rec).alias("wr"),
                F.sum(F.col("support") * f1).alias("wf"))
-    return g.select((F.col("tp") / F.col("n")).alias("accuracy"),
-                    (F.col("wp") / F.col("n")).alias("precision"),
-                    (F.col("wr") / F.col("n")).alias("recall"),
-                    (F.col("wf") / F.col("n")).alias("f1"))
+    return g.select(F.try_divide("tp", "n").alias("accuracy"), F.try_divide("wp", "n").alias("precision"),
+                    F.try_divide("wr", "n").alias("recall"), F.try_divide("wf", "n").alias("f1"))
 
 
 def metrics_for(problem: str, df: DataFrame, label: str = "label",
                 prediction: str = "prediction") -> dict[str, float]:
-    """Metric values as a dict (one job).  For classification the observed
-    (label, prediction) cells - at most classes^2 rows - are collected and
-    reduced on the driver; the formulas are those of classification_metrics."""
-    if problem != "classification":
-        row = regression_metrics(df, label, prediction).first()
-        return {k: (None if v is None else float(v)) for k, v in row.asDict().items()}
-    cells = (df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
-             .groupBy(F.col(label).alias("l"), F.col(prediction).alias("p"))
-             .agg(F.count(F.lit(1)).alias("n")).collect())
-    support, predicted, tp = {}, {}, {}
-    for r in cells:
-        support[r["l"]] = support.get(r["l"], 0) + r["n"]
-        predicted[r["p"]] = predicted.get(r["p"], 0) + r["n"]
-        if r["l"] == r["p"]:
-            tp[r["l"]] = r["n"]
-    n = sum(support.values())
-    if n == 0:
-        return {m: None for m in CLASSIFICATION_METRICS}
-    wp = wr = wf = 0.0
-    for c in set(support) | set(predicted):
-        s_, p_, t_ = support.get(c, 0), predicted.get(c, 0), tp.get(c, 0)
-        wp += s_ * (t_ / p_ if p_ else 0.0)
-        wr += s_ * (t_ / s_ if s_ else 0.0)
-        wf += s_ * (2.0 * t_ / (s_ + p_) if s_ + p_ else 0.0)
-    return {"accuracy": sum(tp.values()) / n, "precision": wp / n, "recall": wr / n, "f1": wf / n}
+    """Metric values as a dict: the single row of the metrics plan."""
+    plan = classification_metrics if problem == "classification" else regression_metrics
+    row = plan(df, label, prediction).first()
+    return {k: (None if v is None else float(v)) for k, v in row.asDict().items()}
 
 
 def grouped_metric(df: DataFrame, group: str, metric: str, label: str = "label",

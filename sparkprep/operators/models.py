@@ -13,11 +13,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.classification import (GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest,
+                                       OneVsRestModel, RandomForestClassifier)
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType, TimestampNTZType,
@@ -53,15 +53,44 @@ def infer_problem(df: DataFrame, target: str) -> str:
     return "regression"
 
 
+#: What a model gets where the caller says nothing.
+DEFAULTS = {
+    "linear_regression": {"fit_intercept": True},
+    "logistic_regression": {"C": 1.0, "penalty": "l2", "max_iter": 100},
+    "random_forest_regressor": {"n_estimators": 100, "max_depth": None},
+    "random_forest_classifier": {"n_estimators": 100, "max_depth": None},
+    "xgboost_regressor": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
+    "xgboost_classifier": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
+}
+SPARK_MAX_DEPTH = 30  # pyspark.ml grows no deeper tree
+#: The pyspark.ml name that makes a default unnecessary.
+_NATIVE = {"n_estimators": ("numTrees", "maxIter"), "max_depth": ("maxDepth",), "learning_rate": ("stepSize",),
+           "max_iter": ("maxIter",), "fit_intercept": ("fitIntercept",), "C": ("regParam",), "penalty": ("regParam",)}
+
+
+def with_defaults(model_type: str, params: dict | None) -> dict:
+    given = dict(params or {})
+    for name, value in DEFAULTS[model_type].items():
+        if name not in given and not any(n in given for n in _NATIVE.get(name, ())):
+            given[name] = value
+    return given
+
+
 def translate_params(model_type: str, params: dict | None, n_rows: int | None = None) -> dict:
-    """scikit-learn-style hyper-parameter names -> pyspark.ml parameter names."""
+    """scikit-learn-style hyper-parameter names -> pyspark.ml parameter names.
+
+    ``max_depth`` None means as deep as Spark allows (30); more raises.  An
+    unpenalised logistic fit is ``penalty`` "none"; else regParam = 1 / (C n).
+    """
     p = dict(params or {})
     out: dict = {}
     if "n_estimators" in p:
         out["numTrees" if "random_forest" in model_type else "maxIter"] = int(p.pop("n_estimators"))
     if "max_depth" in p:
         d = p.pop("max_depth")
-        out["maxDepth"] = 30 if d is None else min(int(d), 30)
+        if d is not None and int(d) > SPARK_MAX_DEPTH:
+            raise ValueError(f"max_depth {d} is beyond Spark's limit of {SPARK_MAX_DEPTH}")
+        out["maxDepth"] = SPARK_MAX_DEPTH if d is None else int(d)
     if "min_samples_leaf" in p:
         out["minInstancesPerNode"] = int(p.pop("min_samples_leaf"))
     if "min_samples_split" in p:
@@ -84,12 +113,14 @@ def translate_params(model_type: str, params: dict | None, n_rows: int | None =
     if "C" in p or "penalty" in p:
         c = float(p.pop("C", 1.0))
         penalty = p.pop("penalty", "l2")
-        n = max(int(n_rows or 1), 1)
-        out["regParam"] = 0.0 if penalty == "none" else 1.0 / (c * n)
-        out["elasticNetParam"] = {"l2": 0.0, "l1": 1.0, "elasticnet": float(p.pop("l1_ratio", 0.5)),
-                                  "none": 0.0}.get(penalty, 0.0)
+        if penalty not in ("none", None) and not n_rows:
+            raise ValueError("a penalty needs the number of training rows")
+        out["regParam"] = 0.0 if penalty in ("none", None) else 1.0 / (c * n_rows)
+        out["elasticNetParam"] = {"l2": 0.0, "l1": 1.0, "elasticnet": float(p.pop("l1_ratio", 0.5))}.get(penalty, 0.0)
     p.pop("solver", None)
-    p.pop("random_state", None)
+    seed = p.pop("random_state", None)
+    if seed is not None and model_type not in ("linear_regression", "logistic_regression"):
+        out["seed"] = int(seed)
     out.update(p)  # anything left is taken as a pyspark.ml name
     return out
 
@@ -139,30 +170,35 @@ class FittedModel:
         return self.pipeline.transform(data)
 
     def predict(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
-        """Input columns + ``prediction`` (decoded to the original label text
-        for string targets) + ``score`` (positive-class probability when binary)."""
+        """Input columns + ``prediction`` (the class itself: text for string
+        targets, a double for numeric ones); classifiers with probabilities add
+        ``score`` (of the second class) when binary, else ``probabilities`` in
+        the order of ``label_labels``."""
         out = self.pipeline.transform(df)
         cols = [F.col(c) for c in (keep or df.columns)]
         pred = F.col("prediction")
         if self.label_labels is not None:
-            arr = F.array(*[F.lit(x) for x in self.label_labels])
-            pred = F.element_at(arr, F.col("prediction").cast("int") + 1)
+            out = IndexToString(inputCol="prediction", outputCol="__class", labels=self.label_labels).transform(out)
+            pred = F.col("__class").cast("double") if self.meta.get("numeric_label") else F.col("__class")
         extra = []
         if "probability" in out.columns and self.problem == "classification":
-            extra.append(vector_to_array(F.col("probability"))[1].alias("score"))
+            p = vector_to_array(F.col("probability"))
+            extra.append(p[1].alias("score") if self.meta.get("n_classes", 2) == 2 else p.alias("probabilities"))
         return out.select(*cols, pred.alias("prediction"), *extra)
 
     def importances(self) -> list[tuple[str, float]]:
+        """(feature, importance), best first: impurity gains of trees (one-vs-rest:
+        their mean), absolute coefficients (several classes: their sum)."""
         est = self.pipeline.stages[-1]
-        if hasattr(est, "featureImportances"):
-            vals = est.featureImportances.toArray().tolist()
-        elif hasattr(est, "coefficients"):
-            vals = [abs(v) for v in est.coefficients.toArray().tolist()]
-        elif hasattr(est, "coefficientMatrix"):
-            m = est.coefficientMatrix.toArray()
-            vals = [float(abs(m[:, j]).sum()) for j in range(m.shape[1])]
+        if isinstance(est, OneVsRestModel):
+            parts = [m.featureImportances.toArray() for m in est.models]
+            vals = (sum(parts[1:], parts[0]) / len(parts)).tolist()
+        elif isinstance(est, LogisticRegressionModel):
+            vals = abs(est.coefficientMatrix.toArray()).sum(axis=0).tolist()
+        elif isinstance(est, LinearRegressionModel):
+            vals = abs(est.coefficients.toArray()).tolist()
         else:
-            return []
+            vals = est.featureImportances.toArray().tolist()
         names = self.meta.get("assembled", self.features)
         return sorted(zip(names, vals), key=lambda t: (-t[1], t[0]))
 
@@ -189,24 +225,32 @@ class FittedModel:
                            meta["features"], meta["problem"], meta["label_labels"], meta["meta"])
 
 
-def add_label(df: DataFrame, target: str, problem: str, labels: list[str] | None) -> DataFrame:
-    if labels is not None:
-        arr = F.array(*[F.lit(x) for x in labels])
-        idx = F.array_position(arr, F.col(target).cast("string")) - 1
-        return df.withColumn(LABEL_COL, F.when(idx >= 0, idx.cast("double")))
-    return df.withColumn(LABEL_COL, F.col(target).cast("double"))
+def _class_text(df: DataFrame, target: str):  # noqa: ANN202
+    c = F.col(target)
+    return (c.cast("double") if isinstance(df.schema[target].dataType, NumericType) else c).cast("string")
 
 
-def label_labels(df: DataFrame, target: str, problem: str, max_classes: int = 10_000):  # noqa: ANN201
-    """Sorted class names for string/boolean targets (bounded by max_classes)."""
-    t = df.schema[target].dataType
-    if problem != "classification" or isinstance(t, NumericType):
+def add_label(df: DataFrame, target: str, problem: str, labels: list[str] | None) -> DataFrame:
+    """``__label``: the number, or the class's index; a class unseen in training
+    has the index after the last, so no prediction is ever right for it."""
+    if labels is None:
+        return df.withColumn(LABEL_COL, F.col(target).cast("double"))
+    indexer = StringIndexerModel.from_labels(labels, inputCol="__class_text", outputCol="__class_index",
+                                             handleInvalid="keep")
+    out = indexer.transform(df.withColumn("__class_text", _class_text(df, target)))
+    # the arithmetic drops the indexer's metadata, which would count the class "unseen" in
+    label = F.when(F.col("__class_text").isNotNull(), F.col("__class_index") + F.lit(0.0))
+    return out.withColumn(LABEL_COL, label).drop("__class_text", "__class_index")
+
+
+def label_labels(df: DataFrame, target: str, problem: str) -> list[str] | None:
+    """Sorted class names (numeric targets: by number).  They live on the driver,
+    as in any fitted indexer; a classifier keeps parameters per class as well."""
+    if problem != "classification":
         return None
-    vals = (df.select(F.col(target).cast("string").alias("v")).where(F.col("v").isNotNull())
-            .distinct().orderBy("v").limit(max_classes + 1).collect())
-    if len(vals) > max_classes:
-        raise ValueError(f"target {target} has more than {max_classes} classes")
-    return [r["v"] for r in vals]
+    rows = df.select(_class_text(df, target).alias("v")).where(F.col("v").isNotNull()).distinct().collect()
+    names = [r["v"] for r in rows]
+    return sorted(names, key=float) if isinstance(df.schema[target].dataType, NumericType) else sorted(names)
 
 
 def feature_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[str]]:
@@ -217,7 +261,7 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[s
         t = df.schema[c].dataType
         if isinstance(t, StringType):
             strings.append(c)
-            assembled.append(f"{c}__idx")
+            assembled.append(f"{c}__code")
         elif isinstance(t, (NumericType, BooleanType)):
             assembled.append(c)
         elif isinstance(t, (DateType, TimestampType, TimestampNTZType)):
@@ -227,18 +271,22 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[s
     if strings:
         stages.append(StringIndexer(inputCols=strings, outputCols=[f"{c}__idx" for c in strings],
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
+        # codes are plain numbers to every model (arithmetic drops the nominal metadata, and
+        # with it the trees' limit of maxBins categories)
+        codes = ", ".join(f"`{c}__idx` + 0.0D AS `{c}__code`" for c in strings)
+        stages.append(SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__"))
     stages.append(VectorAssembler(inputCols=assembled, outputCol=FEATURES_COL, handleInvalid="keep"))
     return stages, assembled
 
 
 def resolve_features(df: DataFrame, target: str, features: Sequence[str] | None) -> list[str]:
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in dataset")
+        raise ValueError(f"no target column {target!r}")
     if features is None:
         return [c for c in df.columns if c != target]
     missing = [c for c in features if c not in df.columns]
     if missing:
-        raise ValueError(f"Feature columns not found in dataset: {missing}")
+        raise ValueError(f"no feature columns {missing}")
     return list(features)
 
 
@@ -250,18 +298,17 @@ def fit_pipeline(df: DataFrame, target: str, model_type: str,
     labels = label_labels(df, target, problem)
     data = add_label(df.select(*feats, target), target, problem, labels).where(
         F.col(LABEL_COL).isNotNull())
-    n_classes = 2
-    if problem == "classification":
-        n_classes = len(labels) if labels is not None else int(
-            (data.agg(F.max(LABEL_COL)).first()[0] or 0) + 1)
-    if n_rows is None and params and "C" in params:
+    n_classes = max(2, len(labels)) if labels is not None else 2
+    given = with_defaults(model_type, params)
+    if n_rows is None and given.get("penalty", "none") not in ("none", None):
         n_rows = data.count()  # regParam = 1/(C*n) needs the training size
-    sp = translate_params(model_type, params, n_rows)
+    sp = translate_params(model_type, given, n_rows)
     stages, assembled = feature_stages(df, feats)
     est = make_estimator(model_type, sp, n_classes)
     pipe = Pipeline(stages=stages + [est]).fit(data)
     return FittedModel(pipe, model_type, target, feats, problem, labels,
-                       {"assembled": feats, "n_classes": n_classes, "params": sp})
+                       {"assembled": feats, "n_classes": n_classes, "params": sp,
+                        "numeric_label": isinstance(df.schema[target].dataType, NumericType)})
 
 
 def evaluate(fitted: FittedModel, df: DataFrame) -> dict[str, float]:
@@ -279,7 +326,10 @@ def train(df: DataFrame, target: str, model_type: str, key: str,
     te = split.where(F.col("split") == "test").drop("split")
     feats = [c for c in resolve_features(df, target, features) if c != key] if features is None \
         else list(features)
+    n = split.groupBy("split").count().collect()  # two rows
+    sizes = {r["split"]: r["count"] for r in n}
     fitted = fit_pipeline(tr, target, model_type, feats, params)
+    fitted.meta |= {"train_samples": sizes.get("train", 0), "test_samples": sizes.get("test", 0)}
     return fitted, evaluate(fitted, te)
 
 
@@ -290,6 +340,18 @@ def batch_predict(model: FittedModel | str, df: DataFrame,
     return model.predict(df, keep)
 
 
+def batch_predict_to(spark: SparkSession, model: FittedModel | str, df: DataFrame, output: str, catalog_path: str,
+                     parent_dataset_id: str, keep: Sequence[str] | None = None, name: str | None = None) -> str:
+    """Score, write as Parquet and register the result as a child of its input
+    dataset; returns the child's id."""
+    from sparkprep.sources import catalog
+    fitted = FittedModel.load(model) if isinstance(model, str) else model
+    fitted.predict(df, keep).write.mode("overwrite").parquet(output)
+    return catalog.register_dataset(spark, catalog_path, spark.read.parquet(output), name or f"{parent_dataset_id}_scored", output,
+                                    "parquet", parent_dataset_id=parent_dataset_id,
+                                    operations=[{"type": "batch_predict", "model_type": fitted.model_type}])
+
+
 RECOMMENDATIONS = {
     # FIXED VALUES: model suggestions by problem and size (rows < 10000 = small)
     ("classification", "small"): [
@@ -320,8 +382,11 @@ RECOMMENDATIONS = {
          {"n_estimators": 200, "max_depth": 15, "min_samples_split": 10}),
     ],
 }
+# FIXED VALUES: fewer rows are a small dataset, fewer distinct values a categorical target
 SMALL_DATASET_ROWS = 10000
 CATEGORICAL_UNIQUE_LIMIT = 10
+MISMATCH = {"classification": "the target looks continuous; classification expects a few distinct values",
+            "regression": "the target looks categorical; regression expects many numeric values"}
 
 
 def recommend_models(df: DataFrame, target: str, problem_type: str) -> DataFrame:
@@ -333,11 +398,8 @@ def recommend_models(df: DataFrame, target: str, problem_type: str) -> DataFrame
     s = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(target).alias("u")).first()
     n, u = int(s["n"]), int(s["u"])
     categorical = is_string or u < CATEGORICAL_UNIQUE_LIMIT
-    warning = None
-    if problem_type == "classification" and not categorical:
-        warning = "Regression target detected but classification problem specified"
-    elif problem_type == "regression" and categorical:
-        warning = "Categorical target detected but regression problem specified"
+    fits = categorical if problem_type == "classification" else not categorical
+    warning = None if fits else MISMATCH[problem_type]
     size = "small" if n < SMALL_DATASET_ROWS else "large"
     rows = [(i + 1, m, r, json.dumps(h, sort_keys=True), n, u, categorical, warning)
             for i, (m, r, h) in enumerate(RECOMMENDATIONS[(problem_type, size)])]

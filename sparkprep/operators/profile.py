@@ -144,10 +144,10 @@ def target_info(df: DataFrame, target: str, unique_limit: int = 10) -> DataFrame
 def project(df: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
     """Features (default: all but target) + target, with a missing-column error."""
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in dataset")
+        raise ValueError(f"no target column {target!r}")
     if features is None:
         features = [c for c in df.columns if c != target]
     missing = [c for c in features if c not in df.columns]
     if missing:
-        raise ValueError(f"Feature columns not found in dataset: {missing}")
+        raise ValueError(f"no feature columns {missing}")
     return df.select(*features, target)

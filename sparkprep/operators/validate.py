@@ -48,8 +48,9 @@ def fold_scores(df: DataFrame, target: str, model_type: str, key: str, cv_folds:
                 parallelism: int = 4) -> list[tuple]:
     problem = problem_of(model_type)
     names = _metric_names(problem, metrics)
-    feats = [c for c in resolve_features(df, target, features) if c != key]
-    data = kfold(df, key, cv_folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = [c for c in resolve_features(df, target, features) if c not in (key, "fold")]
+    own = "fold" not in df.columns  # compare_models hands over one frame with folds
+    data = kfold(df, key, cv_folds, seed).persist(StorageLevel.MEMORY_AND_DISK) if own else df
 
     def one(f: int) -> list[tuple]:
         tr = data.where(F.col("fold") != f)
@@ -61,7 +62,8 @@ def fold_scores(df: DataFrame, target: str, model_type: str, key: str, cv_folds:
     try:
         parts = _run_parallel(one, list(range(cv_folds)), parallelism)
     finally:
-        data.unpersist()
+        if own:
+            data.unpersist()
     return [r for part in parts for r in part]
 
 
@@ -92,15 +94,17 @@ def compare_models(df: DataFrame, target: str, model_types: Sequence[str], key:
     spark = df.sparkSession
     rows, errors = [], []
     first_metric = None
+    data = kfold(df, key, cv_folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
     for mt in model_types:
         try:
             problem = problem_of(mt)
             names = _metric_names(problem, metrics)
             first_metric = first_metric or names[0]
-            rows.extend(fold_scores(df, target, mt, key, cv_folds, features,
+            rows.extend(fold_scores(data, target, mt, key, cv_folds, features,
                                     (params or {}).get(mt), names, seed))
         except Exception as e:  # noqa: BLE001 - reported per model instead of aborting
-            errors.append((mt, str(e)[:500]))
+            errors.append((mt, str(e)))
+    data.unpersist()
     folds = spark.createDataFrame(rows, FOLD_SCHEMA)
     summary = summarize_folds(folds)
     lower_better = F.col("metric").isin("rmse", "mae", "mape")

@@ -33,7 +33,8 @@ def _categorical(df: DataFrame, op: dict) -> DataFrame:
     method = op.get("method", "label")
     for c in _cols(op):
         if method == "onehot" or method == "one_hot":
-            df = clean.one_hot(df, c, drop_last=bool(op.get("drop_last", False)))
+            encode = clean.one_hot_sparse if op.get("sparse") else clean.one_hot
+            df = encode(df, c, drop_last=bool(op.get("drop_last", False)))
         elif method == "label":
             df = clean.label_encode(df, [c])
         else:
@@ -107,9 +108,8 @@ def validate(ops: Sequence[dict]) -> None:
             raise ValueError(f"operation {i} ({t}): missing {missing}")
 
 
-# Operations that keep every row and never change existing columns: the
-# statistics of later operations in a run of these can be taken from the
-# frame at the start of the run.
+# Operations that keep every row: in a run of these, the statistics of a column
+# can be taken from the frame at the start of the run, until one writes it.
 ROW_PRESERVING = {"normalize", "binning", "polynomial_features", "interaction_features",
                   "datetime_features", "time_features"}
 
@@ -123,14 +123,24 @@ def _stat_needs(op: dict) -> list[tuple[str, str]]:
     return []
 
 
+def _writes(op: dict) -> set[str]:
+    """Columns that an operation of a run may write anew."""
+    if op["type"] == "normalize":
+        return {f"{c}_scaled" for c in _cols(op)}
+    if op["type"] == "binning":
+        return {f"{op['column']}_binned", f"{op['column']}_bin_label"}
+    return set()
+
+
 def _prefetch(df: DataFrame, ops: Sequence[dict]) -> dict[tuple[str, str], tuple]:
     """One aggregate for the statistics of every op in a row-preserving run
     whose input columns already exist at the start of the run."""
-    needs = []
+    needs, written = [], set()
     for op in ops:
         if op["type"] not in ROW_PRESERVING:
             break
-        needs += [n for n in _stat_needs(op) if n[1] in df.columns and n not in needs]
+        needs += [n for n in _stat_needs(op) if n[1] in df.columns and n[1] not in written and n not in needs]
+        written |= _writes(op)
     if len(needs) < 2:
         return {}
     from pyspark.sql import functions as F
@@ -175,6 +185,7 @@ def apply_operations(df: DataFrame, ops: Sequence[dict]) -> DataFrame:
         elif not preserving:
             stats = {}
         df = _apply_one(df, op, stats)
+        stats = {k: v for k, v in stats.items() if k[1] not in _writes(op)}
         prev_preserving = preserving
     return df
 

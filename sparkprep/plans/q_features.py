@@ -89,6 +89,15 @@ def fe12_aggregation_back(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "user_id", F.round("value_mean", 6).alias("value_mean"), "value_count")
 
 
+@register("fe12_aggregation_null_keys", """
+SELECT event_id, round(avg(value) OVER (PARTITION BY k), 6) AS value_mean, count(value) OVER (PARTITION BY k) AS value_count
+FROM (SELECT event_id, value, nullif(user_id % 5, 0) AS k FROM events)""")
+def fe12_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", "value", F.nullif(F.pmod("user_id", F.lit(5)), F.lit(0)).alias("k"))
+    out = features.aggregation(e, ["k"], ["value"], ["mean", "count"], mode="broadcast_back")
+    return out.select("event_id", F.round("value_mean", 6).alias("value_mean"), "value_count")
+
+
 LAG_SQL = """SELECT event_id,
   lag(value, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS value_lag1,
   lag(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS value_lag3
@@ -106,7 +115,7 @@ def fe13_lag(spark: SparkSession, sf: str) -> DataFrame:
 def fe13_lag_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     """Same result through the hot-group path (global ordinal + equi-join)."""
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    out = features.lag_features(e, "value", [1, 3], ["ts", "event_id"], ["user_id"], force_ordinal=True)
+    out = features.lag_features(e, "value", [1, 3], ["ts", "event_id"], ["user_id"])
     return out.select("event_id", "value_lag1", "value_lag3")
 
 
@@ -154,9 +163,10 @@ def fe14_custom_fn(spark: SparkSession, sf: str) -> DataFrame:
         li, fn=lambda d: d.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n")))
 
 
-@register("fe13_lag_features_hot_group_split", LAG_SQL)
+@register("fe13_lag_features_hot_group_split",
+          LAG_SQL.replace("FROM events", "FROM (SELECT event_id, nullif(user_id % 7, 0) AS user_id, ts, value FROM events)"))
 def fe13_lag_hot_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups above 80 rows take the ordinal path, the rest the window (hybrid plan)."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    out = features.lag_features(e, "value", [1, 3], ["ts", "event_id"], ["user_id"], max_group_rows=80)
+    """A group of null keys takes part like any other."""
+    e = table(spark, sf, "events").select("event_id", F.nullif(F.pmod("user_id", F.lit(7)), F.lit(0)).alias("user_id"), "ts", "value")
+    out = features.lag_features(e, "value", [1, 3], ["ts", "event_id"], ["user_id"])
     return out.select("event_id", "value_lag1", "value_lag3")

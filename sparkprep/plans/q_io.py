@@ -84,6 +84,17 @@ def src4_json_drop_malformed(spark: SparkSession, sf: str) -> DataFrame:
     return io.read(spark, path, "jsonl", schema=o.schema, drop_malformed=True)
 
 
+@register("src4_json_type_bad_line", ORDERS_SQL + " WHERE o_orderkey % 10 <> 3")
+def src4_json_type_bad_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Type json: every tenth line is cut short; the others all come back."""
+    o = table(spark, sf, "orders").select(*ORDERS_COLS)
+    js = F.to_json(F.struct(*ORDERS_COLS))
+    lines = o.select(F.when(F.col("o_orderkey") % 10 == 3, F.substring(js, 1, 17)).otherwise(js).alias("value"))
+    path = scratch_path(spark, "src4j")
+    lines.write.text(path)
+    return io.read(spark, path, "json", schema=o.schema)
+
+
 @register("src5_format_dispatch_parquet", "SELECT count(*) AS n FROM orders")
 def src5_dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return io.read(spark, table_path(sf, "orders"), "PARQUET").agg(F.count(F.lit(1)).alias("n"))

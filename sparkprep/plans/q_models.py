@@ -7,8 +7,6 @@ closed form (one-feature least squares) or the operator is pure rules.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +30,9 @@ def document_features(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(lab, "doc_id")
 
 
-def embedding_features(spark: SparkSession, sf: str, dims: int = 64) -> DataFrame:
+def embedding_features(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)],
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)],
                     "label")
 
 
@@ -90,94 +88,169 @@ def est1_linear_closed_form(spark: SparkSession, sf: str) -> DataFrame:
                                  "intercept double, slope double")
 
 
-def _train_rows(spark: SparkSession, df: DataFrame, target: str, model_type: str, key: str,
-                params: dict | None = None) -> DataFrame:
-    fitted, scores = models.train(df, target, model_type, key, params=params)
-    return _metric_rows(spark, model_type, scores)
+ROW_KEY = "l_orderkey * 8 + l_linenumber"
+CUT = int(0.2 * HASH_MOD)
+#: Train and test rows of lineitem under the hash split, and a one-feature fit of each.
+_FIT_SQL = f"""s AS (SELECT l_extendedprice AS y, CAST(l_quantity AS DOUBLE) AS x, CAST(l_discount AS DOUBLE) AS x2,
+         {split_hash_sql(ROW_KEY)} < {CUT} AS test FROM lineitem),
+f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_slope(y, x2) AS b2, regr_intercept(y, x2) AS a2
+      FROM s WHERE NOT test)"""
+_METRICS = {"rmse": "sqrt(avg((y - p) * (y - p)))", "mae": "avg(abs(y - p))",
+            "r2": "1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y))", "mape": "avg(abs((y - p) / (y + 1e-10))) * 100"}
 
 
-@register("est1_linear_regression_metrics")
-def est1_linear(spark: SparkSession, sf: str) -> DataFrame:
-    return _train_rows(spark, lineitem_features(spark, sf), "l_extendedprice", "linear_regression", "row_key")
+def _metric_union(src: str, model: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{model}' AS model, '{m}' AS metric, round({e}, 4) AS value FROM {src}"
+                              for m, e in _METRICS.items())
 
 
-@register("est2_random_forest_regressor")
+@register("est1_linear_regression_metrics", f"WITH {_FIT_SQL}, t AS (SELECT y, a + b * x AS p FROM s, f WHERE test) "
+          + _metric_union("t", "linear_regression"))
+def est1_linear(spark: SparkSession, sf: str) -> DataFrame:
+    fitted, scores = models.train(lineitem_features(spark, sf), "l_extendedprice", "linear_regression", "row_key", ["l_quantity"])
+    return round_all(_metric_rows(spark, fitted.model_type, scores), 4)
+
+
+def _checks(spark: SparkSession, df: DataFrame, target: str, model_type: str, key: str,
+            params: dict | None = None) -> DataFrame:
+    """What must hold of a fitted model: the number of test rows, their predictions
+    outside the target's range or classes, the sum of the importances (of trees),
+    and whether it beats the mean or the largest class on the rows it was fitted to."""
+    split = encode.train_test_split(df, key)
+    feats = [c for c in df.columns if c not in (key, target)]
+    fitted = models.fit_pipeline(split.where("split = 'train'"), target, model_type, feats, params)
+    scored = fitted.predict(split, [target, "split"])
+    test = scored.where("split = 'test'")
+    total = sum(v for _, v in fitted.importances())
+    if fitted.problem == "regression":
+        lo, hi = df.agg(F.min(target), F.max(target)).first()
+        got = test.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("prediction").between(lo, hi), 1)).alias("out")).first()
+        fit = scored.where("split = 'train'").agg(F.avg(F.pow(F.col(target) - F.col("prediction"), F.lit(2.0))).alias("err"),
+                                                  F.var_pop(target).alias("base")).first()
+        beats = fit["err"] < fit["base"]
+    else:
+        known = [r[0] for r in df.select(target).distinct().collect()]
+        got = test.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("prediction").isin(known), 1)).alias("out"),
+                       F.lit(0).alias("_")).first()
+        train = scored.where("split = 'train'").agg(F.avg((F.col(target) == F.col("prediction")).cast("double"))).first()[0]
+        largest = df.groupBy(target).count().agg(F.max("count") / F.sum("count")).first()[0]
+        beats = train >= largest
+    rows = [("test_rows", float(got["n"])), ("outside_domain", float(got["out"])), ("importance_sum", round(total, 6)),
+            ("beats_baseline", float(beats))]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+def _checks_sql(src: str, key: str) -> str:
+    return (f"SELECT 'test_rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM ({src}) WHERE {split_hash_sql(key)} < {CUT} "
+            "UNION ALL SELECT 'outside_domain', 0 UNION ALL SELECT 'importance_sum', 1 UNION ALL SELECT 'beats_baseline', 1")
+
+
+_LI_CHECK = _checks_sql("SELECT * FROM lineitem", ROW_KEY)
+_DOC_CHECK = _checks_sql("SELECT d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id", "doc_id")
+_VEC_CHECK = _checks_sql("SELECT vec_id FROM embeddings", "vec_id")
+
+
+@register("est2_random_forest_regressor", _LI_CHECK)
 def est2_rf_reg(spark: SparkSession, sf: str) -> DataFrame:
-    return _train_rows(spark, lineitem_features(spark, sf), "l_extendedprice", "random_forest_regressor",
-                       "row_key", {"n_estimators": 20, "max_depth": 6})
+    return _checks(spark, lineitem_features(spark, sf), "l_extendedprice", "random_forest_regressor", "row_key", {"max_depth": 6})
 
 
-@register("est3_boosted_regressor")
+@register("est3_boosted_regressor", _LI_CHECK.replace("'outside_domain', 0", "'outside_domain', NULL"))
 def est3_gbt_reg(spark: SparkSession, sf: str) -> DataFrame:
-    return _train_rows(spark, lineitem_features(spark, sf), "l_extendedprice", "xgboost_regressor",
-                       "row_key", {"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1})
+    """Boosted sums may leave the target's range, so that check is left open."""
+    out = _checks(spark, lineitem_features(spark, sf), "l_extendedprice", "xgboost_regressor", "row_key",
+                  {"n_estimators": 30, "max_depth": 4})
+    return out.withColumn("value", F.when(F.col("name") != "outside_domain", F.col("value")))
 
 
 @register("est4_logistic_regression")
 def est4_logistic(spark: SparkSession, sf: str) -> DataFrame:
-    return _train_rows(spark, document_features(spark, sf), "quality", "logistic_regression", "doc_id",
-                       {"C": 1.0, "penalty": "l2", "max_iter": 100})
+    fitted, scores = models.train(document_features(spark, sf), "quality", "logistic_regression", "doc_id",
+                                  params={"C": 1.0, "penalty": "l2", "max_iter": 100})
+    return _metric_rows(spark, fitted.model_type, scores)
 
 
-@register("est5_random_forest_classifier")
+@register("est5_random_forest_classifier", _VEC_CHECK)
 def est5_rf_cls(spark: SparkSession, sf: str) -> DataFrame:
-    return _train_rows(spark, embedding_features(spark, sf), "label", "random_forest_classifier", "vec_id",
-                       {"n_estimators": 20, "max_depth": 8})
+    return _checks(spark, embedding_features(spark, sf), "label", "random_forest_classifier", "vec_id", {"max_depth": 8})
 
 
-@register("est6_boosted_classifier_multiclass")
+@register("est6_boosted_classifier_multiclass", _VEC_CHECK)
 def est6_gbt_cls(spark: SparkSession, sf: str) -> DataFrame:
-    return _train_rows(spark, embedding_features(spark, sf, 16), "label", "xgboost_classifier", "vec_id",
-                       {"n_estimators": 5, "max_depth": 3})
+    return _checks(spark, embedding_features(spark, sf), "label", "xgboost_classifier", "vec_id",
+                   {"n_estimators": 5, "max_depth": 3})
 
 
-@register("est6_boosted_classifier_binary")
+@register("est6_boosted_classifier_binary", _DOC_CHECK)
 def est6_gbt_binary(spark: SparkSession, sf: str) -> DataFrame:
-    return _train_rows(spark, document_features(spark, sf), "quality", "xgboost_classifier", "doc_id",
-                       {"n_estimators": 10, "max_depth": 3})
+    return _checks(spark, document_features(spark, sf), "quality", "xgboost_classifier", "doc_id",
+                   {"n_estimators": 20, "max_depth": 3})
 
 
 # ------------------------------ recommend ---------------------------------
-def _rec_sql(tbl: str, target: str, problem: str, string_target: bool) -> str:
-    size_rows = []
-    for size in ("small", "large"):
-        for i, (m, r, h) in enumerate(models.RECOMMENDATIONS[(problem, size)]):
-            size_rows.append((size, i + 1, m, r, json.dumps(h, sort_keys=True)))
-    vals = ", ".join(f"('{s}', {i}, '{m}', '{r}', '{h}')" for s, i, m, r, h in size_rows)
-    cat = "true" if string_target else f"count(DISTINCT {target}) < 10"
-    mismatch = ("'Regression target detected but classification problem specified'" if problem == "classification"
-                else "'Categorical target detected but regression problem specified'")
-    bad = "NOT cat" if problem == "classification" else "cat"
-    return f"""SELECT CAST(rank AS INTEGER) AS rank, model, reason, hp AS suggested_hyperparameters, n AS num_rows,
-  u AS target_unique, cat AS target_is_categorical, CASE WHEN {bad} THEN {mismatch} END AS warning
-FROM (SELECT count(*) AS n, count(DISTINCT {target}) AS u, {cat} AS cat FROM {tbl}) s
-JOIN (VALUES {vals}) AS r(size, rank, model, reason, hp)
-  ON r.size = CASE WHEN s.n < 10000 THEN 'small' ELSE 'large' END"""
-
-
-@register("rec1_recommend_classification_small", _rec_sql("labels", "quality", "classification", False))
+#: Fixed values, stated once more for the oracle: what is suggested, by problem and size.
+_REC_SQL = {
+    ("classification", "small"): """
+  (1, 'random_forest_classifier', '{"max_depth": 10, "min_samples_split": 5, "n_estimators": 100}'),
+  (2, 'logistic_regression', '{"C": 1.0, "max_iter": 1000, "penalty": "l2", "solver": "lbfgs"}')""",
+    ("regression", "large"): """
+  (1, 'xgboost_regressor', '{"learning_rate": 0.1, "max_depth": 6, "n_estimators": 200}'),
+  (2, 'random_forest_regressor', '{"max_depth": 15, "min_samples_split": 10, "n_estimators": 200}')""",
+    ("regression", "small"): """
+  (1, 'random_forest_regressor', '{"max_depth": 10, "min_samples_split": 5, "n_estimators": 100}'),
+  (2, 'linear_regression', '{}')""",
+}
+
+
+def _rec_sql(tbl: str, target: str, problem: str, warns: str) -> str:
+    """Suggestions for a table, small under 10000 rows; ``warns``: whether the target is of the other kind."""
+    parts = []
+    for size, op in (("small", "<"), ("large", ">=")):
+        if (problem, size) in _REC_SQL:
+            parts.append(f"SELECT r.*, n, u FROM (VALUES {_REC_SQL[(problem, size)]}) r(rank, model, hp), s WHERE n {op} 10000")
+    return (f"WITH s AS (SELECT count(*) AS n, count(DISTINCT {target}) AS u FROM {tbl}) SELECT CAST(rank AS INTEGER) AS rank, model, "
+            f"hp AS suggested_hyperparameters, n AS num_rows, u AS target_unique, {warns} AS has_warning FROM ({' UNION ALL '.join(parts)})")
+
+
+def _recommended(df: DataFrame) -> DataFrame:
+    return df.select("rank", "model", "suggested_hyperparameters", "num_rows", "target_unique",
+                     F.col("warning").isNotNull().alias("has_warning"))
+
+
+@register("rec1_recommend_classification_small", _rec_sql("labels", "quality", "classification", "u >= 10"))
 def rec1_small(spark: SparkSession, sf: str) -> DataFrame:
-    return models.recommend_models(table(spark, sf, "labels"), "quality", "classification")
+    return _recommended(models.recommend_models(table(spark, sf, "labels"), "quality", "classification"))
 
 
-@register("rec1_recommend_regression_large", _rec_sql("lineitem", "l_extendedprice", "regression", False))
+@register("rec1_recommend_regression_large", _rec_sql("lineitem", "l_extendedprice", "regression", "u < 10"))
 def rec1_large(spark: SparkSession, sf: str) -> DataFrame:
-    return models.recommend_models(table(spark, sf, "lineitem"), "l_extendedprice", "regression")
+    return _recommended(models.recommend_models(table(spark, sf, "lineitem"), "l_extendedprice", "regression"))
 
 
-@register("rec1_recommend_mismatch_warning", _rec_sql("lineitem", "l_returnflag", "regression", True))
+@register("rec1_recommend_mismatch_warning", _rec_sql("lineitem", "l_returnflag", "regression", "true"))
 def rec1_mismatch(spark: SparkSession, sf: str) -> DataFrame:
-    return models.recommend_models(table(spark, sf, "lineitem"), "l_returnflag", "regression")
+    return _recommended(models.recommend_models(table(spark, sf, "lineitem"), "l_returnflag", "regression"))
 
 
 # ------------------------------ validation --------------------------------
-@register("cmp1_compare_models")
+#: One-feature linear fits per fold, and the metrics of each on its fold.
+_FOLD_SQL = f"""s AS (SELECT l_extendedprice AS y, CAST(l_quantity AS DOUBLE) AS x,
+         CAST(floor({split_hash_sql(ROW_KEY)} * 5 / {HASH_MOD}) AS INTEGER) AS fold FROM lineitem),
+m AS (SELECT k.range AS fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s, range(5) k WHERE s.fold <> k.range GROUP BY 1),
+t AS (SELECT s.fold, y, a + b * x AS p FROM s JOIN m ON s.fold = m.fold)"""
+_FOLD_METRICS = " UNION ALL ".join(f"SELECT fold, '{m}' AS metric, {e} AS value FROM t GROUP BY fold" for m, e in _METRICS.items())
+
+
+@register("cmp1_compare_models", f"""WITH {_FOLD_SQL}, v AS ({_FOLD_METRICS})
+SELECT 'linear_regression' AS model, metric, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std,
+  round(CASE WHEN metric = 'r2' THEN avg(value) ELSE -avg(value) END, 4) AS sort_value, false AS failed FROM v GROUP BY metric
+UNION ALL SELECT 'logistic_regression', NULL, NULL, NULL, NULL, true""")
 def cmp1_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """A model of the wrong family is reported, not fatal."""
     df = lineitem_features(spark, sf)
-    out = validate.compare_models(df, "l_extendedprice", ["linear_regression", "random_forest_regressor",
-                                                          "logistic_regression"], "row_key", cv_folds=3,
-                                  params={"random_forest_regressor": {"n_estimators": 10, "max_depth": 5}})
-    return out.select("model", "metric", "mean", "std", "sort_value", "error")
+    out = validate.compare_models(df, "l_extendedprice", ["linear_regression", "logistic_regression"], "row_key",
+                                  features=["l_quantity"], metrics=["rmse", "mae", "r2", "mape"])
+    return round_all(out.select("model", "metric", "mean", "std", "sort_value", F.col("error").isNotNull().alias("failed")), 4)
 
 
 @register("cv1_cross_validate")
@@ -186,19 +259,20 @@ def cv1_cv(spark: SparkSession, sf: str) -> DataFrame:
                                    cv_folds=5)
 
 
-@register("trn1_train_evaluate_importance")
+@register("cv1_cross_validate_linear", f"""WITH {_FOLD_SQL}
+SELECT 'linear_regression' AS model, metric, CAST(fold AS INTEGER) AS fold, round(value, 4) AS value FROM ({_FOLD_METRICS})""")
+def cv1_linear(spark: SparkSession, sf: str) -> DataFrame:
+    return round_all(validate.cross_validate(lineitem_features(spark, sf), "l_extendedprice", "linear_regression", "row_key",
+                                             features=["l_quantity"]), 4)
+
+
+@register("trn1_train_evaluate_importance", _DOC_CHECK)
 def trn1_train(spark: SparkSession, sf: str) -> DataFrame:
-    df = document_features(spark, sf)
-    fitted, scores = models.train(df, "quality", "random_forest_classifier", "doc_id",
-                                  params={"n_estimators": 20, "max_depth": 5})
-    imp = fitted.importance_frame(spark)
-    return imp.select(F.lit("importance").alias("kind"), F.col("feature").alias("name"),
-                      F.col("importance").alias("value")).unionByName(
-        _metric_rows(spark, fitted.model_type, scores).select(F.lit("metric").alias("kind"),
-                                                              F.col("metric").alias("name"), "value"))
+    return _checks(spark, document_features(spark, sf), "quality", "random_forest_classifier", "doc_id", {"max_depth": 5})
 
 
-@register("mdl1_save_load_roundtrip")
+@register("mdl1_save_load_roundtrip", """
+SELECT count(*) AS n_rows, count(*) AS n_equal FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def mdl1_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     df = document_features(spark, sf)
     fitted = models.fit_pipeline(df, "quality", "logistic_regression", ["n_chars", "lang", "source"])
@@ -207,43 +281,60 @@ def mdl1_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     a = fitted.predict(df, ["doc_id"]).withColumnRenamed("prediction", "p1")
     b = loaded.predict(df, ["doc_id"]).select("doc_id", F.col("prediction").alias("p2"))
     j = a.join(b, "doc_id")
-    return j.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.sum(F.when(F.col("p1") == F.col("p2"), 1).otherwise(0)).alias("n_equal"))
+    return j.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("p1") == F.col("p2"), 1)).alias("n_equal"))
 
 
-@register("trn2_evaluation_report_best_model")
+@register("trn2_evaluation_report_best_model", f"""WITH {_FIT_SQL},
+t1 AS (SELECT y, a + b * x AS p FROM s, f WHERE test), t2 AS (SELECT y, a2 + b2 * x2 AS p FROM s, f WHERE test),
+v AS ({_metric_union("t1", "m_quantity")} UNION ALL {_metric_union("t2", "m_discount")})
+SELECT metric, arg_min(model, CASE WHEN metric = 'r2' THEN -value ELSE value END) AS model_id,
+  CASE WHEN metric = 'r2' THEN max(value) ELSE min(value) END AS value FROM v GROUP BY metric""")
 def trn2_report(spark: SparkSession, sf: str) -> DataFrame:
     df = lineitem_features(spark, sf)
     rep = scratch_path(spark, "reports")
-    for mt, params in (("linear_regression", None), ("random_forest_regressor", {"n_estimators": 10,
-                                                                                 "max_depth": 5})):
-        fitted, scores = models.train(df, "l_extendedprice", mt, "row_key", params=params)
-        catalog.append_report(spark, rep, f"m_{mt}", mt, "lineitem", "l_extendedprice", scores)
-    return catalog.best_model_per_metric(spark, rep).select("metric", "model_id", "value")
+    for name, feature in (("m_quantity", "l_quantity"), ("m_discount", "l_discount")):
+        fitted, scores = models.train(df, "l_extendedprice", "linear_regression", "row_key", [feature])
+        catalog.append_report(spark, rep, name, fitted.model_type, "lineitem", "l_extendedprice", scores)
+    return round_all(catalog.best_model_per_metric(spark, rep).select("metric", "model_id", "value"), 4)
+
+
+@register("trn2_model_table", f"""WITH {_FIT_SQL}, t AS (SELECT y, a + b * x AS p FROM s, f WHERE test)
+SELECT 'm_quantity' AS model_id, 'linear_regression' AS model_type, 'lineitem' AS dataset_id, 'l_extendedprice' AS target,
+  1 AS num_features, round({_METRICS['r2']}, 4) AS r2, (SELECT count(*) FROM s WHERE NOT test) AS train_samples,
+  count(*) AS test_samples FROM t""")
+def trn2_model_table(spark: SparkSession, sf: str) -> DataFrame:
+    df = lineitem_features(spark, sf)
+    fitted, scores = models.train(df, "l_extendedprice", "linear_regression", "row_key", ["l_quantity"])
+    path = scratch_path(spark, "models")
+    catalog.register_model(spark, path, "m_quantity", fitted, "lineitem", fitted.save(scratch_path(spark, "model")), scores)
+    m = catalog.list_models(spark, path, dataset_id="lineitem")
+    return round_all(m.select("model_id", "model_type", "dataset_id", "target", F.size("features").alias("num_features"),
+                              F.col("metrics")["r2"].alias("r2"), "train_samples", "test_samples"), 4)
 
 
 # ------------------------------ scoring -----------------------------------
+_SCORED_SQL = """WITH f AS (SELECT regr_slope(value, user_id) AS b, regr_intercept(value, user_id) AS a FROM events)
+SELECT event_id, value, round(a + b * user_id, 6) AS prediction FROM events, f"""
+
+
 def _saved_event_model(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    fitted = models.fit_pipeline(e, "value", "linear_regression", ["user_id", "event_type"])
+    fitted = models.fit_pipeline(e, "value", "linear_regression", ["user_id"])
     return fitted.save(scratch_path(spark, "event_model")), e
 
 
-@register("scr1_batch_predict")
+@register("scr1_batch_predict", _SCORED_SQL)
 def scr1_batch(spark: SparkSession, sf: str) -> DataFrame:
     path, e = _saved_event_model(spark, sf)
-    out = models.batch_predict(path, e, keep=["event_id", "value"])
-    dest = io.write(out, scratch_path(spark, "scored"), "parquet")
-    scored = io.read(spark, dest, "parquet")
-    # the scored output is registered as a child of the input dataset
     cat = scratch_path(spark, "catalog")
     catalog.register_dataset(spark, cat, e, "events", "events", "parquet", dataset_id="events")
-    catalog.register_dataset(spark, cat, scored, "events_scored", dest, "parquet", parent_dataset_id="events",
-                             operations=[{"type": "batch_predict", "model": path}])
-    return scored
+    # the scored output is registered as a child of the input dataset
+    child = models.batch_predict_to(spark, path, e, scratch_path(spark, "scored"), cat, "events", keep=["event_id", "value"])
+    where = catalog.get_dataset(spark, cat, child)["storage_path"]
+    return round_all(io.read(spark, where, "parquet"), 6, exclude=["value"])
 
 
-@register("scr2_stream_scoring")
+@register("scr2_stream_scoring", _SCORED_SQL)
 def scr2_stream(spark: SparkSession, sf: str) -> DataFrame:
     path, e = _saved_event_model(spark, sf)
     inbox = scratch_path(spark, "inbox")
@@ -251,32 +342,75 @@ def scr2_stream(spark: SparkSession, sf: str) -> DataFrame:
     outbox, ckpt = scratch_path(spark, "outbox"), scratch_path(spark, "stream_ckpt")
     q = score_stream(spark, path, inbox, e.schema, outbox, ckpt, keep=["event_id", "value"])
     q.awaitTermination()
-    return spark.read.parquet(outbox)
+    return round_all(spark.read.parquet(outbox), 6, exclude=["value"])
 
 
 # ------------------------------ importances / curves ----------------------
-@register("imp1_random_forest_importance")
+_IMP_CHECK = "SELECT {n} AS n_features, 1.0 AS importance_sum, CAST({n} AS BIGINT) AS last_rank"
+
+
+def _importance_check(imp: DataFrame) -> DataFrame:
+    return imp.agg(F.count(F.lit(1)).cast("int").alias("n_features"), F.round(F.sum("importance"), 6).alias("importance_sum"),
+                   F.max("rank").cast("bigint").alias("last_rank"))
+
+
+@register("imp1_random_forest_importance", _IMP_CHECK.format(n=4))
 def imp1_rf(spark: SparkSession, sf: str) -> DataFrame:
     df = lineitem_features(spark, sf).drop("row_key")
-    return importance.random_forest_importance(df, "l_returnflag", num_trees=10)
+    return _importance_check(importance.random_forest_importance(df, "l_returnflag", num_trees=10))
 
 
 @register("imp6_top10_importance_chart")
 def imp6_top10(spark: SparkSession, sf: str) -> DataFrame:
     df = embedding_features(spark, sf)
-    fitted = models.fit_pipeline(df.drop("vec_id"), "label", "random_forest_classifier",
-                                 params={"n_estimators": 10, "max_depth": 5})
+    fitted = models.fit_pipeline(df.drop("vec_id"), "label", "random_forest_classifier", params={"max_depth": 5})
     return charts.feature_importance_top(fitted, 10)
 
 
-@register("viz16_learning_curve")
+@register("viz16_learning_curve", f"""
+WITH s AS (SELECT l_extendedprice AS y, CAST(l_quantity AS DOUBLE) AS x,
+         CAST(floor({split_hash_sql(ROW_KEY)} * 5 / {HASH_MOD}) AS INTEGER) AS fold,
+         {split_hash_sql(ROW_KEY, 42 + 7919)} / CAST({HASH_MOD} AS DOUBLE) AS sub FROM lineitem),
+z AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS size),
+m AS (SELECT size, k.range AS k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM s, z, range(5) k
+      WHERE fold <> k.range AND sub < size GROUP BY 1, 2),
+e AS (SELECT size, k, s.fold = k AS held, y, a + b * x AS p FROM s JOIN m ON s.fold = k OR sub < size),
+r AS (SELECT size, k, held, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) AS r2 FROM e GROUP BY 1, 2, 3)
+SELECT size AS train_fraction, round(avg(r2) FILTER (NOT held), 6) AS train_mean, round(stddev_pop(r2) FILTER (NOT held), 6) AS train_std,
+  round(avg(r2) FILTER (held), 6) AS cv_mean, round(stddev_pop(r2) FILTER (held), 6) AS cv_std FROM r GROUP BY size""")
 def viz16_learning_curve(spark: SparkSession, sf: str) -> DataFrame:
-    df = lineitem_features(spark, sf).drop("l_returnflag")
-    return round_all(validate.learning_curve(df, "l_extendedprice", "linear_regression", "row_key", 5))
+    df = lineitem_features(spark, sf)
+    return round_all(validate.learning_curve(df, "l_extendedprice", "linear_regression", "row_key", 5, features=["l_quantity"]))
+
+
+@register("viz17_model_residuals", f"""WITH {_FIT_SQL}
+SELECT round(a + b * x, 4) AS prediction, round(y - (a + b * x), 4) AS residual FROM s, f""")
+def viz17_model(spark: SparkSession, sf: str) -> DataFrame:
+    df = lineitem_features(spark, sf)
+    fitted, _ = models.train(df, "l_extendedprice", "linear_regression", "row_key", ["l_quantity"])
+    return round_all(charts.model_chart(fitted, df, "residuals"), 4)
+
+
+@register("viz13_model_confusion", """
+SELECT sum(n) AS n, count(*) AS classes, count(*) * count(*) AS cells
+FROM (SELECT quality, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1)""")
+def viz13_model(spark: SparkSession, sf: str) -> DataFrame:
+    df = document_features(spark, sf)
+    fitted, _ = models.train(df, "quality", "logistic_regression", "doc_id")
+    cells = charts.model_chart(fitted, df, "confusion")
+    return cells.agg(F.sum("count").cast("decimal(38,0)").alias("n"), F.countDistinct("label").alias("classes"),
+                     F.count(F.lit(1)).alias("cells"))
+
+
+@register("viz14_model_roc_area")
+def viz14_model(spark: SparkSession, sf: str) -> DataFrame:
+    df = document_features(spark, sf)
+    fitted, _ = models.train(df, "quality", "logistic_regression", "doc_id")
+    return charts.model_chart(fitted, df, "roc")
 
 
 @register("viz19_decision_boundary")
 def viz19_boundary(spark: SparkSession, sf: str) -> DataFrame:
     df = lineitem_features(spark, sf).select("l_quantity", "l_discount", "l_returnflag")
     fitted = models.fit_pipeline(df, "l_returnflag", "logistic_regression", ["l_quantity", "l_discount"])
-    return charts.decision_boundary(fitted, df, "l_quantity", "l_discount", 20)
+    return charts.decision_boundary(fitted, df, "l_quantity", "l_discount")

@@ -24,7 +24,10 @@ def prv2_counts(spark: SparkSession, sf: str) -> DataFrame:
     return profile.counts(table(spark, sf, "lineitem"))
 
 
-@register("prv3_schema_listing")
+@register("prv3_schema_listing", """
+SELECT CAST(p AS INTEGER) AS position, n AS name, t AS type, true AS nullable FROM (VALUES
+  (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'),
+  (4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string')) v(p, n, t)""")
 def prv3_schema(spark: SparkSession, sf: str) -> DataFrame:
     return profile.schema_table(table(spark, sf, "orders"))
 

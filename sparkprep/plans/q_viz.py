@@ -94,32 +94,30 @@ def viz1_histogram(spark: SparkSession, sf: str) -> DataFrame:
 WITH s AS (SELECT count(l_quantity) AS n, min(l_quantity) AS mn, max(l_quantity) AS mx,
                   stddev_samp(l_quantity) AS sd FROM lineitem),
 p AS (SELECT n, mn, mx, sd * pow(n, -0.2) AS h FROM s),
-g AS (SELECT n, mn, mx, h, mn - 3.0 * h AS glo, mx + 3.0 * h AS ghi FROM p),
-g2 AS (SELECT *, (ghi - glo) / 199 AS gstep, (mx - mn) / 2048 AS cw FROM g),
-cells AS (SELECT least(floor((l_quantity - mn) / cw), 2047) AS cell, count(*) AS cnt FROM lineitem, g2
-          WHERE l_quantity IS NOT NULL GROUP BY 1),
-sp AS (SELECT cnt, mn + (cell + 0.5) * cw AS c, glo, gstep, h, n FROM cells, g2),
-sp2 AS (SELECT cnt, c, glo, gstep, h, n,
-               CAST(greatest(ceil((c - 4.0 * h - glo) / gstep), 0) AS INTEGER) AS jlo,
-               CAST(least(floor((c + 4.0 * h - glo) / gstep), 199) AS INTEGER) AS jhi FROM sp),
-ex AS (SELECT cnt, c, glo, gstep, h, unnest(range(jlo, jhi + 1)) AS j FROM sp2),
-dens AS (SELECT j, sum(cnt * exp(-0.5 * ((glo + j * gstep - c) / h) * ((glo + j * gstep - c) / h))) AS w
-         FROM ex GROUP BY j)
-SELECT CAST(gi.range AS INTEGER) AS grid_index, round(glo + gi.range * gstep, 6) AS x,
-  round(coalesce(w, 0.0) * (1.0 / (n * h * sqrt(2 * pi()))), 9) AS density
-FROM range(200) gi LEFT JOIN dens ON gi.range = dens.j, g2""")
+g AS (SELECT n, h, mn - 3.0 * h AS glo, (mx + 3.0 * h - (mn - 3.0 * h)) / 199 AS gstep FROM p)
+SELECT CAST(j.range AS INTEGER) AS grid_index, round(min(glo + j.range * gstep), 6) AS x,
+  round(sum(exp(-0.5 * pow((glo + j.range * gstep - l_quantity) / h, 2)) / (n * h * sqrt(2 * pi()))), 9) AS density
+FROM lineitem, g, range(200) j WHERE l_quantity IS NOT NULL GROUP BY j.range""")
 def viz2_kde(spark: SparkSession, sf: str) -> DataFrame:
-    k = charts.kde(table(spark, sf, "lineitem"), "l_quantity", 200, 2048)
+    k = charts.kde(table(spark, sf, "lineitem"), "l_quantity", 200)
     return k.select("grid_index", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
 @register("viz3_scatter_sampled", f"""
-WITH c AS (SELECT count(*) AS n FROM lineitem)
-SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem, c
-WHERE {split_hash_sql('l_orderkey')} < CAST(floor(5000 / n * 2147483648) AS BIGINT)""")
+SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem
+WHERE {split_hash_sql('l_orderkey')} < CAST(floor(0.25 * 2147483648) AS BIGINT)""")
 def viz3_scatter(spark: SparkSession, sf: str) -> DataFrame:
     return charts.scatter(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag",
-                          key="l_orderkey", max_points=5000)
+                          key="l_orderkey", fraction=0.25)
+
+
+@register("viz4_bar_median_null_category", """
+SELECT nullif(p_type, (SELECT min(p_type) FROM part)) AS p_type, round(median(p_size), 6) AS p_size FROM part GROUP BY 1""")
+def viz4_bar_median_null(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    lowest = part.agg(F.min("p_type")).first()[0]
+    rows = part.withColumn("p_type", F.nullif(F.col("p_type"), F.lit(lowest)))
+    return round_all(charts.bar(rows, "p_type", "p_size", "median"))
 
 
 @register("viz4_bar_mean", """
@@ -220,12 +218,26 @@ def viz12_category_count(spark: SparkSession, sf: str) -> DataFrame:
     return charts.category_count(table(spark, sf, "part"), "p_type")
 
 
-@register("viz13_confusion_matrix",
-          f"SELECT label, prediction, count(*) AS count FROM ({DOCS_SQL}) GROUP BY 1, 2")
+def _confusion_sql(src: str) -> str:
+    return f"""WITH s AS ({src}), c AS (SELECT label AS c FROM s UNION SELECT prediction FROM s)
+SELECT a.c AS label, b.c AS prediction, count(s.label) AS count
+FROM c a CROSS JOIN c b LEFT JOIN s ON s.label = a.c AND s.prediction = b.c GROUP BY 1, 2"""
+
+
+@register("viz13_confusion_matrix", _confusion_sql(DOCS_SQL))
 def viz13_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return charts.confusion_matrix(scored_documents(spark, sf))
 
 
+ONE_SIDED = "CASE WHEN l_returnflag = 'A' THEN 'N' ELSE l_returnflag END"
+
+
+@register("viz13_confusion_zero_cells", _confusion_sql(f"SELECT l_returnflag AS label, {ONE_SIDED} AS prediction FROM lineitem"))
+def viz13_zero_cells(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("label"), F.expr(ONE_SIDED).alias("prediction"))
+    return charts.confusion_matrix(li)
+
+
 _CUM = f"""WITH s AS ({DOCS_SQL}),
 t AS (SELECT score AS threshold, CAST(sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
              CAST(sum(CASE WHEN label > 0 THEN 0 ELSE 1 END) AS BIGINT) AS fp FROM s GROUP BY 1),
@@ -236,7 +248,7 @@ c AS (SELECT threshold, tp, fp, CAST(sum(tp) OVER (ORDER BY threshold DESC) AS B
 
 @register("viz14_roc_curve", _CUM + """
 SELECT round(threshold, 9) AS threshold, round(cum_tp / p, 9) AS tpr, round(cum_fp / n, 9) AS fpr, tp, fp,
-  cum_tp, cum_fp FROM c""")
+  cum_tp, cum_fp FROM c UNION ALL SELECT NULL, 0, 0, 0, 0, 0, 0""")
 def viz14_roc(spark: SparkSession, sf: str) -> DataFrame:
     r = charts.roc_curve(scored_documents(spark, sf))
     return round_all(r, 9)
@@ -253,7 +265,7 @@ def viz14_auc(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("viz15_precision_recall_curve", _CUM + """
 SELECT round(threshold, 9) AS threshold, round(cum_tp / (cum_tp + cum_fp), 9) AS precision,
-  round(cum_tp / p, 9) AS recall FROM c""")
+  round(cum_tp / p, 9) AS recall FROM c UNION ALL SELECT NULL, 1, 0""")
 def viz15_pr(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(charts.pr_curve(scored_documents(spark, sf)), 9)
 
@@ -287,7 +299,7 @@ def viz18_trend(spark: SparkSession, sf: str) -> DataFrame:
 @register("viz3_scatter_all_points", "SELECT p_size AS x, p_retailprice AS y FROM part")
 def viz3_scatter_all(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
-    return charts.scatter(p, "x", "y", max_points=None)
+    return charts.scatter(p, "x", "y")
 
 
 @register("viz4_bar_count_by_segment", """

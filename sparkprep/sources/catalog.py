@@ -3,7 +3,7 @@
 The catalog is an append-only parquet table at a shared path; an entry is
 never updated in place, the latest row per id wins.  Lineage is a
 transitive walk over ``parent_dataset_id`` by repeated joins, one hop per
-iteration, bounded by ``max_depth``.
+iteration.
 """
 
 from __future__ import annotations
@@ -67,22 +67,51 @@ def get_dataset(spark: SparkSession, catalog_path: str, dataset_id: str) -> dict
     return row.asDict(recursive=True) if row is not None else None
 
 
-def lineage(spark: SparkSession, catalog_path: str, max_depth: int = 32) -> DataFrame:
-    """(dataset_id, ancestor_id, depth) for every dataset; depth 0 is itself."""
-    edges = list_datasets(spark, catalog_path).select(
-        F.col("dataset_id").alias("child"), F.col("parent_dataset_id").alias("parent")
-    ).where(F.col("parent").isNotNull())
-    frontier = list_datasets(spark, catalog_path).select(
-        "dataset_id", F.col("dataset_id").alias("ancestor_id"), F.lit(0).alias("depth"))
-    result = frontier
-    for d in range(1, max_depth + 1):
+def lineage(spark: SparkSession, catalog_path: str) -> DataFrame:
+    """(dataset_id, ancestor_id, depth) for every dataset; depth 0 is itself.
+
+    One join per generation until no dataset has a further ancestor; pairs
+    found before are left out, so a cycle of parents ends as well.
+    """
+    latest = materialize(list_datasets(spark, catalog_path).select("dataset_id", "parent_dataset_id"), "lineage")
+    edges = latest.where(F.col("parent_dataset_id").isNotNull()).select(
+        F.col("dataset_id").alias("child"), F.col("parent_dataset_id").alias("parent"))
+    frontier = latest.select("dataset_id", F.col("dataset_id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    result, d = frontier, 0
+    while True:
+        d += 1
         frontier = (frontier.join(edges, frontier["ancestor_id"] == edges["child"])
-                    .select("dataset_id", F.col("parent").alias("ancestor_id"), F.lit(d).alias("depth")))
+                    .select("dataset_id", F.col("parent").alias("ancestor_id"), F.lit(d).alias("depth"))
+                    .join(result.select("dataset_id", "ancestor_id"), ["dataset_id", "ancestor_id"], "left_anti"))
         frontier = materialize(frontier, "lineage")
         if frontier.isEmpty():
-            break
+            return result
         result = result.unionByName(frontier)
-    return result
+
+
+MODEL_SCHEMA = ("model_id string, model_type string, problem string, dataset_id string, target string, features array<string>, "
+                "hyperparameters string, metrics map<string,double>, train_samples bigint, test_samples bigint, "
+                "storage_path string, created_at timestamp")
+
+
+def register_model(spark: SparkSession, models_path: str, model_id: str, fitted, dataset_id: str,  # noqa: ANN001
+                   storage_path: str, metrics: dict[str, float]) -> str:
+    """Append one row describing a trained model (saved at ``storage_path``)."""
+    row = (model_id, fitted.model_type, fitted.problem, dataset_id, fitted.target, list(fitted.features),
+           json.dumps(fitted.meta.get("params", {}), sort_keys=True), {k: v for k, v in metrics.items() if v is not None},
+           fitted.meta.get("train_samples"), fitted.meta.get("test_samples"), storage_path, _now())
+    spark.createDataFrame([row], MODEL_SCHEMA).coalesce(1).write.mode("append").parquet(models_path)
+    return model_id
+
+
+def list_models(spark: SparkSession, models_path: str, dataset_id: str | None = None, model_type: str | None = None) -> DataFrame:
+    """Latest row per model id, of one dataset or type."""
+    rows = spark.read.schema(MODEL_SCHEMA).parquet(models_path)
+    for c, v in (("dataset_id", dataset_id), ("model_type", model_type)):
+        if v is not None:
+            rows = rows.where(F.col(c) == v)
+    w = Window.partitionBy("model_id").orderBy(F.desc("created_at"))
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def append_report(spark: SparkSession, report_path: str, model_id: str, model_type: str,

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from sparkprep.functions.materialize import materialize
+
 SUPPORTED = ("csv", "parquet", "json", "jsonl")
 
 
@@ -26,9 +28,9 @@ def read(spark: SparkSession, path: str | Sequence[str], file_type: str,
 
     csv: header row; column types from ``schema`` when given (no inference
     pass), else inferred.  jsonl: one JSON object per line.  json: files that
-    are JSON Lines, a JSON array, or one (possibly multi-line) object - a
-    file is parsed whole only when its lines do not parse one by one.
-    ``drop_malformed`` drops lines that do not parse instead of failing.
+    are JSON Lines, a JSON array, or one (possibly multi-line) object; lines
+    that do not parse are left out.
+    ``drop_malformed`` drops csv and jsonl lines that do not parse.
     Without a schema, ``sampling_ratio`` limits the inference pass to a
     fraction of the rows (csv/json); on large inputs pass a schema instead.
     """
@@ -52,79 +54,80 @@ def read(spark: SparkSession, path: str | Sequence[str], file_type: str,
     if ft == "parquet":
         return reader.parquet(*([path] if isinstance(path, str) else path))
     if ft == "json":
-        return _read_json_documents(spark, path, schema, drop_malformed, options)
+        return _read_json_documents(spark, path, schema, options)
     if drop_malformed:
         reader = reader.option("mode", "DROPMALFORMED")
     return reader.json(path)
 
 
-CORRUPT = "_corrupt_record"
-
+def _document_files(spark: SparkSession, path, options: dict) -> DataFrame:  # noqa: ANN001
+    """(_file) of the files that hold one JSON value over several lines.
 
-def _read_json_documents(spark: SparkSession, path, schema, drop_malformed: bool,  # noqa: ANN001
-                         options: dict) -> DataFrame:
+    Told by their lines alone: some line opens a value without ending it, some
+    line ends one that it did not open, and at most one line is a value by
+    itself (the last element of an array written one element a line).  Lines are
+    parsed only in files that show the first two signs.
+    """
+    reader = spark.read
+    for k in ("recursiveFileLookup", "pathGlobFilter"):
+        if k in options:
+            reader = reader.option(k, options[k])
+    text = reader.text(path).select(F.rtrim(F.ltrim(F.col("value"))).alias("line"), F.col("_metadata.file_path").alias("_file"))
+    starts, stops = F.col("line").rlike(r"^[\[{]"), F.col("line").rlike(r"[\]}]$")
+    goes_on = F.col("line").rlike(r"[\]}],$")
+    signs = text.groupBy("_file").agg(F.max(starts & ~stops).alias("opens"), F.max((stops | goes_on) & ~starts).alias("ends"))
+    likely = materialize(signs.where(F.col("opens") & F.col("ends")).select("_file"), "files")
+    if likely.isEmpty():
+        return likely
+    alone = starts & stops & F.try_parse_json("line").isNotNull()
+    counted = text.join(likely, "_file", "left_semi").groupBy("_file").agg(F.count(F.when(alone, 1)).alias("alone"))
+    return counted.where(F.col("alone") <= 1).select("_file")
+
+
+def _read_json_documents(spark: SparkSession, path, schema, options: dict) -> DataFrame:  # noqa: ANN001
     """``json``: each file is JSON Lines, a JSON array, or one multi-line object.
 
-    A multiLine read alone keeps only the first value of a JSON-lines file
-    (rows silently lost), so files are first read as lines; only files with
-    lines that do not parse (pretty-printed documents) are re-read whole.
+    Files are read as lines; lines that do not parse are left out, the others
+    stay.  Only files that hold one value over several lines are read whole
+    (a multiLine read of a JSON-lines file would keep its first value only).
     """
     def base():  # noqa: ANN202
-        r = spark.read
+        r = spark.read.option("mode", "DROPMALFORMED")
         for k, v in options.items():
             r = r.option(k, v)
-        return r
+        return r if schema is None else r.schema(schema)
 
-    lines_reader = base().option("columnNameOfCorruptRecord", CORRUPT)
-    if schema is not None:
-        st = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
-        lines_reader = lines_reader.schema(st.add(CORRUPT, "string"))
-    lines = lines_reader.json(path).withColumn("_file", F.input_file_name())
-    if CORRUPT not in lines.columns:
-        return lines.drop("_file")
-    data_cols = [c for c in lines.columns if c not in (CORRUPT, "_file")]
-    whole = base().option("multiLine", True)
-    if schema is not None:
-        whole = whole.schema(schema)
-    if drop_malformed:
-        whole = whole.option("mode", "DROPMALFORMED")
-    if not data_cols:  # no line parsed anywhere: every file is one document
+    lines, whole = base().json(path), base().option("multiLine", True)
+    documents = materialize(_document_files(spark, path, options), "files")
+    if documents.isEmpty():
+        return lines
+    if not lines.columns:  # no line parsed anywhere: every file is one value
         return whole.json(path)
-    probe = lines.where(F.col(CORRUPT).isNotNull())
-    # reference a data column as well: Spark refuses scans that read only the corrupt column
-    bad = [r["_file"] for r in probe.select("_file", *(data_cols[:1])).distinct().collect()]
-    bad = sorted(set(bad))
-    good = lines.where(~F.col("_file").isin(bad)) if bad else lines
-    good = good.drop(CORRUPT, "_file")
-    if not bad:
-        return good
-    docs = whole.json(bad)
+    good = lines.select("*", F.col("_metadata.file_path").alias("_file")).join(documents, "_file", "left_anti").drop("_file")
+    docs = whole.json(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    docs = docs.join(documents, "_file", "left_semi").drop("_file")
     return good.unionByName(docs, allowMissingColumns=True)
 
 
 def expand_vectors(df: DataFrame) -> DataFrame:
-    """Vector and array columns become scalar columns ``<c>_0 .. <c>_{n-1}``.
-
-    The width comes from the first non-null value (one row), so this is
-    meant for fixed-width outputs such as scalers, PCA or assembled features.
-    """
-    vec_cols = [f.name for f in df.schema.fields
-                if isinstance(f.dataType, (VectorUDT, ArrayType))]
-    if not vec_cols:
-        return df
-    arr = df
-    for c in vec_cols:
-        if isinstance(df.schema[c].dataType, VectorUDT):
-            arr = arr.withColumn(c, vector_to_array(F.col(c)))
-    widths = arr.select(*[F.max(F.size(c)).alias(c) for c in vec_cols]).first()
+    """For text sinks: vector columns become scalar columns ``<c>_0 .. <c>_{n-1}``
+    (the width from the column's ML metadata, else one pass), array columns JSON text."""
+    vectors = [f.name for f in df.schema.fields if isinstance(f.dataType, VectorUDT)]
+    widths = {c: df.schema[c].metadata.get("ml_attr", {}).get("num_attrs") for c in vectors}
+    unknown = [c for c in vectors if widths[c] is None]
+    if unknown:
+        row = df.agg(*[F.max(F.size(vector_to_array(F.col(c)))).alias(c) for c in unknown]).first()
+        widths |= {c: row[c] or 0 for c in unknown}
     out = []
-    for f in arr.schema.fields:
-        if f.name in vec_cols:
-            w = widths[f.name] or 0
-            out.extend(F.col(f.name)[i].alias(f"{f.name}_{i}") for i in range(w))
+    for f in df.schema.fields:
+        if f.name in widths:
+            values = vector_to_array(F.col(f.name))
+            out.extend(values[i].alias(f"{f.name}_{i}") for i in range(widths[f.name]))
+        elif isinstance(f.dataType, ArrayType):
+            out.append(F.to_json(F.col(f.name)).alias(f.name))
         else:
             out.append(F.col(f.name))
-    return arr.select(*out)
+    return df.select(*out)
 
 
 def write(df: DataFrame, path: str, file_type: str, mode: str = "overwrite",
