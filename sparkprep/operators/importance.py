@@ -106,13 +106,18 @@ def f_classif(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
 
 
 def f_regression(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """F = r^2/(1-r^2)*(n-2) from the Pearson correlation with a numeric target."""
-    long = _long(df, features, target)
-    g = long.groupBy("feature").agg(F.corr("value", F.col("y").cast("double")).alias("r"),
-                                    F.count(F.lit(1)).alias("n"))
+    """F = r^2/(1-r^2)*(n-2) from the Pearson correlation with a numeric target;
+    one aggregate for all features."""
+    y = F.col(target).cast("double")
+    aggs = []
+    for i, c in enumerate(features):
+        x = F.when(y.isNotNull(), F.col(c).cast("double"))
+        aggs += [F.corr(x, y).alias(f"r{i}"), F.count(x).alias(f"n{i}")]
+    g = df.agg(*aggs).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
+        for i, c in enumerate(features)])).alias("s")).select("s.*").where(F.col("n") > 0)
     r2 = F.col("r") * F.col("r")
-    return g.select("feature", F.try_divide(r2, 1 - r2) * (F.col("n") - 2).cast("double")).toDF(
-        "feature", "score")
+    return g.select("feature", (F.try_divide(r2, 1 - r2) * (F.col("n") - 2).cast("double")).alias("score"))
 
 
 def rank_scores(scores: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType, TimestampNTZType,
+from pyspark.sql.types import (BooleanType, DateType, DoubleType, FloatType, NumericType, StringType, TimestampNTZType,
                                TimestampType)
 
 from sparkprep.functions.stats import approx_quantiles, exact_quantiles_multi, one_row
@@ -58,48 +58,49 @@ def feature_types(df: DataFrame, text_min_avg_tokens: float = TEXT_MIN_AVG_TOKEN
     return df.sparkSession.createDataFrame(rows, "position int, column string, kind string")
 
 
+def _as_text(df: DataFrame, c: str):  # noqa: ANN202
+    x = F.col(c)
+    if isinstance(df.schema[c].dataType, (DoubleType, FloatType)):
+        x = F.when(x == 0, F.lit(0.0)).otherwise(x)  # -0.0 and 0.0 are one value
+    return x.cast("string")
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, samples: int = 3,
-                   exact_distinct: bool = True) -> DataFrame:
+                   exact_distinct: bool = False) -> DataFrame:
     """(column, non_null, distinct, sample_values) per column.
 
-    Non-null counts come from one narrow aggregate.  The (column, value)
-    pairs are de-duplicated once (a shuffle aggregate); that distinct table
-    gives both the exact distinct count per column (rows per column - no
-    second, per-column expansion of the input as multi-column
-    count(DISTINCT) would do) and the ``samples`` smallest values, ranked
-    with a row_number filter that Spark plans as a per-partition group limit
-    before the shuffle.  ``exact_distinct=False`` uses HyperLogLog counts.
+    One narrow aggregate counts all columns (distinct values by HyperLogLog);
+    the ``samples`` smallest values (as text) take one more each: the minimum of
+    what lies above the one before.  ``exact_distinct`` counts distinct values
+    exactly: the (column, value) pairs are then de-duplicated in a shuffle, once
+    for all columns.
     """
-    from pyspark.sql.types import DoubleType, FloatType
     cols = list(columns or df.columns)
-    nn = df.agg(*[F.count(F.col(c)).cast("bigint").alias(f"nn{i}") for i, c in enumerate(cols)]
-                + ([F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
-                   if not exact_distinct else []))
-    stats = nn.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"nn{i}").alias("non_null"),
-                 (F.col(f"d{i}").cast("bigint") if not exact_distinct else F.lit(None).cast("bigint"))
-                 .alias("distinct"))
-        for i, c in enumerate(cols)])).alias("s")).select("s.*")
-
-    def as_text(c: str):  # noqa: ANN202
-        x = F.col(c)
-        if isinstance(df.schema[c].dataType, (DoubleType, FloatType)):
-            x = F.when(x == 0, F.lit(0.0)).otherwise(x)  # -0.0 and 0.0 are one value
-        return x.cast("string")
-
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), as_text(c).alias("value")) for c in cols
-    ])).alias("e")).select("e.*").where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    top = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= samples)
-    samp = top.groupBy("column").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda s: s["value"]).alias(
-            "sample_values"))
-    out = stats.join(samp, "column", "left")
+    texts = {c: _as_text(df, c) for c in cols}
+    aggs = [F.count(F.col(c)).alias(f"nn{i}") for i, c in enumerate(cols)]
+    if not exact_distinct:
+        aggs += [F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
+    found: dict[str, list[str]] = {c: [] for c in cols}
+    row = df.agg(*aggs, *[F.min(texts[c]).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    stats = {c: (row[f"nn{i}"], None if exact_distinct else row[f"d{i}"]) for i, c in enumerate(cols)}
+    lowest = {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    for k in range(samples):
+        for c in cols:
+            if lowest[c] is not None:
+                found[c].append(lowest[c])
+        open_ = [c for c in cols if lowest[c] is not None]
+        if not open_ or k == samples - 1:
+            break
+        row = df.agg(*[F.min(F.when(texts[c] > F.lit(lowest[c]), texts[c])).alias(f"m{i}") for i, c in enumerate(open_)]).first()
+        lowest = dict.fromkeys(cols) | {c: row[f"m{i}"] for i, c in enumerate(open_)}
+    rows = [(c, stats[c][0], stats[c][1], found[c] or None) for c in cols]
+    out = df.sparkSession.createDataFrame(rows, "column string, non_null bigint, distinct bigint, sample_values array<string>")
     if exact_distinct:
-        dist = long.groupBy("column").agg(F.count(F.lit(1)).alias("__d"))
-        out = (out.join(dist, "column", "left")
-               .withColumn("distinct", F.coalesce(F.col("__d"), F.lit(0)).cast("bigint")).drop("__d"))
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), texts[c].alias("value")) for c in cols])).alias("e"))
+        pairs = long.select("e.*").where(F.col("value").isNotNull()).distinct()
+        counts = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("_d"))
+        out = (out.drop("distinct").join(counts, "column", "left")
+               .withColumn("distinct", F.coalesce("_d", F.lit(0)).cast("bigint")))
     return out.select("column", "non_null", "distinct", "sample_values")
 
 

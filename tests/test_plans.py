@@ -24,10 +24,12 @@ def test_outlier_bounds_reach_the_parquet_scan(spark, sf_small):
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double>" in scan
 
 
-def test_profile_samples_use_partial_group_limit(spark, sf_small):
-    c = spark.read.parquet(f"{sf_small}/customer.parquet")
-    plan = _plan(profile.column_profile(c, ["c_name", "c_mktsegment"]))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_profile_values(spark):
+    df = spark.createDataFrame([("b", 1.0, None), ("a", -0.0, None), ("c", 0.0, None), ("a", None, None)], "s string, x double, n string")
+    for exact in (False, True):
+        got = {r["column"]: (r["non_null"], r["distinct"], r["sample_values"]) for r in
+               profile.column_profile(df, samples=2, exact_distinct=exact).collect()}
+        assert got == {"s": (4, 3, ["a", "b"]), "x": (3, 2, ["0.0", "1.0"]), "n": (0, 0, None)}
 
 
 def test_target_encoding_broadcasts_checked_small_side(spark, sf_small):
