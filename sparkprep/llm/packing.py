@@ -17,7 +17,7 @@ from sparkprep.functions.materialize import materialize
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
-SHARD_PIECES = 16_384
+SHARD_PIECES = 4_096
 CACHE_WORDS = 400_000
 #: A split of the text before the merges, as published with the vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
