@@ -99,8 +99,8 @@ _METRICS = {"rmse": "sqrt(avg((y - p) * (y - p)))", "mae": "avg(abs(y - p))",
             "r2": "1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y))", "mape": "avg(abs((y - p) / (y + 1e-10))) * 100"}
 
 
-def _metric_union(src: str, model: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{model}' AS model, '{m}' AS metric, round({e}, 4) AS value FROM {src}"
+def _metric_union(src: str, model: str, digits: int = 4) -> str:
+    return " UNION ALL ".join(f"SELECT '{model}' AS model, '{m}' AS metric, round({e}, {digits}) AS value FROM {src}"
                               for m, e in _METRICS.items())
 
 
@@ -286,9 +286,9 @@ def mdl1_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("trn2_evaluation_report_best_model", f"""WITH {_FIT_SQL},
 t1 AS (SELECT y, a + b * x AS p FROM s, f WHERE test), t2 AS (SELECT y, a2 + b2 * x2 AS p FROM s, f WHERE test),
-v AS ({_metric_union("t1", "m_quantity")} UNION ALL {_metric_union("t2", "m_discount")})
+v AS ({_metric_union("t1", "m_quantity", 12)} UNION ALL {_metric_union("t2", "m_discount", 12)})
 SELECT metric, arg_min(model, CASE WHEN metric = 'r2' THEN -value ELSE value END) AS model_id,
-  CASE WHEN metric = 'r2' THEN max(value) ELSE min(value) END AS value FROM v GROUP BY metric""")
+  round(CASE WHEN metric = 'r2' THEN max(value) ELSE min(value) END, 4) AS value FROM v GROUP BY metric""")
 def trn2_report(spark: SparkSession, sf: str) -> DataFrame:
     df = lineitem_features(spark, sf)
     rep = scratch_path(spark, "reports")
