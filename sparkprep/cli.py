@@ -6,7 +6,8 @@
   recommend | compare | cross-validate            model selection
   train                                           fit, evaluate on a hash split, save the model, append a report
   predict                                         batch-score a dataset with a saved model
-  chart                                           write a chart table (histogram, kde, box, bar, pie, heatmap, line, scatter)
+  chart                                           write a chart table (histogram, kde, box, bar, pie, heatmap, line, scatter,
+                                                  or of a saved model: confusion, roc, pr, importance, residuals)
 
 Every command prints one JSON document; tables are written as directories.
 """
@@ -88,8 +89,9 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--output", required=True)
     c = data_cmd("chart")
     c.add_argument("--kind", required=True,
-                   choices=["histogram", "kde", "box", "bar", "pie", "heatmap", "line", "scatter"])
-    c.add_argument("--columns", nargs="+", required=True)
+                   choices=["histogram", "kde", "box", "bar", "pie", "heatmap", "line", "scatter", *charts.MODEL_CHARTS])
+    c.add_argument("--columns", nargs="*", default=[])
+    c.add_argument("--model", help="saved model, for the charts of a model")
     c.add_argument("--bins", type=int, default=20)
     c.add_argument("--aggfunc", default="mean")
     c.add_argument("--output")
@@ -157,12 +159,18 @@ def main(argv: list[str] | None = None) -> int:
             "line": lambda: charts.line(df, cols[0], cols[1:]),
             "scatter": lambda: charts.scatter(df, cols[0], cols[1]),
         }
-        table = kinds[a.kind]()
+        if a.kind in charts.MODEL_CHARTS:
+            if not a.model:
+                raise SystemExit(f"chart {a.kind} needs --model")
+            fitted = models.FittedModel.load(a.model)
+            table = charts.model_chart(fitted, df, a.kind)
+        else:
+            table = kinds[a.kind]()
         if a.output:
             io.write(table, a.output, "parquet")
             result = {"output": a.output}
         else:
-            if a.kind in ("line", "scatter"):
+            if a.kind in ("line", "scatter", "residuals"):
                 raise SystemExit(f"chart {a.kind} has a row per point: give --output")
             result = _rows(table)
     json.dump(result, sys.stdout, default=str)

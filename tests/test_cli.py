@@ -32,3 +32,7 @@ def test_cli_preprocess_train_predict(spark, sf_small):
     assert {r["column"]: r["kind"] for r in types}["text"] == "text"
     hist = _run(["chart", src, "--kind", "histogram", "--columns", "o_totalprice", "--bins", "5"])
     assert len(hist) == 5
+    trend = _run(["chart", out, "--kind", "residual_trend", "--model", model])
+    assert set(trend[0]) == {"slope", "intercept", "x0", "y0", "x1", "y1"}
+    imp = _run(["chart", out, "--kind", "importance", "--model", model])
+    assert {r["feature"] for r in imp} == {"o_totalprice_binned", "o_orderstatus"}
