@@ -180,6 +180,25 @@ def pip1_summary(spark: SparkSession, sf: str) -> DataFrame:
                                             "rows_processed bigint, columns_processed int")
 
 
+TWICE_OPS = [
+    {"type": "normalize", "columns": ["o_totalprice"]},
+    {"type": "normalize", "columns": ["o_totalprice"], "method": "zscore"},
+    {"type": "binning", "column": "o_totalprice_scaled", "bins": 4},
+]
+
+
+@register("pip1_normalize_twice_then_bin", f"""
+WITH s AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd FROM orders),
+z AS (SELECT o_orderkey, (o_totalprice - m) / sd AS z FROM orders, s),
+b AS (SELECT min(z) AS mn, max(z) AS mx FROM z)
+SELECT o_orderkey, round(z, 6) AS o_totalprice_scaled, {bins_sql('z', 'mn', 'mx', 4)} AS o_totalprice_scaled_binned FROM z, b""")
+def pip1_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """A column written twice is binned by its last values."""
+    from sparkprep.plans.operations import apply_operations
+    out = apply_operations(table(spark, sf, "orders"), TWICE_OPS)
+    return round_all(out.select("o_orderkey", "o_totalprice_scaled", "o_totalprice_scaled_binned"))
+
+
 @register("cln4_normalize_scale_only", """
 SELECT l_orderkey, l_linenumber, round(l_extendedprice / stddev_samp(l_extendedprice) OVER (), 6) AS l_extendedprice_scaled
 FROM lineitem""")
