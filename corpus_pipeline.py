@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
 from sparkprep.llm import langid, mixing, packing, simhash, suffix_dedup
-from sparkprep.llm.common import packed, row_key, table, unpacked, with_found
+from sparkprep.llm.common import packed, row_key, table, text_hash, unpacked, with_found
 from sparkprep.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -44,14 +44,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every near-duplicate group: that of the smallest doc_id."""
-    linked = simhash.near_duplicates(docs)
-    keepers = linked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    keepers = materialize(keepers, "keepers")
-    repeated = keepers.where(F.col("_n") > 1).limit(1).count()
-    rows = docs.select(F.col("doc_id").alias("_key"), packed(docs))
-    kept = rows.join(keepers.select(F.col("doc_id").alias("_key")), "_key", "left_semi")
-    return (kept.dropDuplicates(["_key"]) if repeated else kept).select(*unpacked(docs.columns))
+    """One document of every near-duplicate group: that of the smallest doc_id
+    (null last) and text hash.  Rows that share both are the same document."""
+    keepers = materialize(simhash.keepers(docs), "keepers")
+    repeated = keepers.where(F.col("n") > 1).limit(1).count()
+    rows = docs.select(F.col("doc_id").alias("_d"), text_hash("text").alias("_t"), packed(docs))
+    own = F.col("_d").eqNullSafe(F.col("id")) & (F.col("_t") == F.col("text_hash"))
+    kept = rows.join(keepers, own, "left_semi")
+    return (kept.dropDuplicates(["_d", "_t"]) if repeated else kept).select(*unpacked(docs.columns))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,11 +57,15 @@ def byte_groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 BROADCAST_BYTES = 48 << 20
 
 
+def text_hash(text_col: str) -> Column:
+    """64-bit hash of a text; null reads as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """``_d, _t``: a row is known by its id and its text's hash; rows that share
     both are the same document."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("_d"), F.xxhash64(text).alias("_t")]
+    return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).alias("_d"), text_hash(text_col).alias("_t")]
 
 
 def packed(docs: DataFrame) -> Column:

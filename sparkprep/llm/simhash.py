@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
+from sparkprep.llm.common import text_hash
 from sparkprep.llm.components import connected_components
 
 SHINGLE = 3
@@ -263,3 +264,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = (classes.join(named, F.col("fp") == F.col("linked"), "left")
            .select("fp", F.coalesce("name", "rep").alias("component_id")))
     return fps.join(own, "fp").select("doc_id", "fp", "component_id")
+
+
+def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+            max_bits: int = MAX_BITS) -> DataFrame:
+    """``id, text_hash, n``: the row key of one document of every component of
+    ``near_duplicates``, and the number of rows under that key.
+
+    It is the smallest by id (null last) and text hash.  Components are told
+    apart by their smallest fingerprint, which is never null; rows under one key
+    have one text, so no two components have the same key.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash"))
+    fps = fingerprints(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle)
+    first = fps.groupBy("fp", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    classes = materialize(first.groupBy("fp").agg(F.min(F.struct("doc_id", "n")).alias("first")), "classes")
+    parts = connected_components(links(classes, max_bits))
+    named = classes.join(parts, F.col("fp") == F.col("node"), "left")
+    best = named.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    return best.select("first.doc_id.id", "first.doc_id.text_hash", "first.n")

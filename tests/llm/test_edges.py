@@ -342,3 +342,21 @@ def test_pipeline_stages_on_odd_rows(spark, docs, none, tmp_path):
             if i < 4:
                 assert frame.columns == docs.columns
         assert (frame.count() > 0) == (name == "odd")
+
+
+def test_pipeline_near_dedup_keeps_one_of_every_group(spark):
+    import corpus_pipeline
+    prose = [" ".join(f"w{k}x{i * i % 97}" for i in range(300)) for k in range(6)]
+    rows = [(None, prose[0]), (None, prose[1]), (None, prose[1]), (5, prose[2]), (5, prose[3]), (7, prose[4]), (None, prose[4]),
+            (9, prose[4]), (9, prose[5]), (9, prose[5]), (11, None), (None, "")]
+    df = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()]
+    want = [(None, prose[0]), (None, prose[1]), (5, prose[2]), (5, prose[3]), (7, prose[4]), (9, prose[5]), (11, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_pipeline_near_dedup_on_odd_rows(spark, docs):
+    import corpus_pipeline
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
+    assert (None, "no id here at all") in got and len(got) == len(set(got))
+    assert {d for d, _ in got} >= {1, 3, 4, 5, None, 8}
