@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
-from sparkprep.llm.common import packed, rank_in_group, unpacked, word_count
+from sparkprep.llm.common import BROADCAST_BYTES, packed, rank_in_group, unpacked, word_count
 
 MAX_ROUNDS = 10_000
 
@@ -63,8 +63,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents; an empty table gives an empty result.  Other columns of
     ``docs`` are not read.
     """
-    sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                                    word_count(F.col(text_col)).alias("size")), "sizes")
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+                        word_count(F.col(text_col)).alias("size"))
+    return _copies(sizes, weights, share, cap, seed)
+
+
+def _copies(sizes: DataFrame, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
+    """``mix`` of rows (doc_id, source, size, ...); further columns come last."""
+    more = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
+    sizes = materialize(sizes, "sizes")
     targets = source_targets(sizes, weights, share, cap)
     ranked = rank_in_group(sizes, ["source"], [F.col("size").desc(), F.col("doc_id").asc_nulls_last()])
     joined = ranked.alias("d").join(targets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
@@ -81,18 +88,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     crossed = F.floor(offset + (place + 1) * ratio) - F.floor(offset + place * ratio)
     copies = F.least(crossed, F.ceil(ratio)).cast("bigint")
     out = joined.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.weight", "s.target",
-                        copies.alias("copies"))
+                        copies.alias("copies"), *[f"d.{c}" for c in more])
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """``docs`` with every document repeated as often as the mix takes it.
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+              weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 42) -> DataFrame:
+    """``docs`` with every row repeated as often as ``mix`` takes it.
 
-    Rows that share a doc_id are one document here (one of them is kept).
+    Rows are written once under a key of their own, so rows that share a doc_id,
+    or have none, are taken each by its own copies.  The table of copies is
+    broadcast if measured to be small, else both sides are shuffled.
     """
-    taken = (mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-             .where(F.col("_copies") > 0).withColumnRenamed("doc_id", "_id"))
-    one = docs.select(F.col("doc_id").alias("_key"), packed(docs)).dropDuplicates(["_key"])
-    joined = one.join(taken, F.col("_key").eqNullSafe(F.col("_id")))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_key"), packed(docs)), "rows")
+    own = F.col("_row")
+    sizes = rows.select("_key", own.getField(id_col).alias("doc_id"), own.getField(source_col).alias("source"),
+                        word_count(own.getField(text_col)).alias("size"))
+    taken = materialize(_copies(sizes, weights, share, cap, seed).where(F.col("copies") > 0)
+                        .select("_key", F.col("copies").alias("_copies")), "taken")
+    small = taken.count() * 32 * len(taken.columns) <= BROADCAST_BYTES
+    joined = rows.join(F.broadcast(taken) if small else taken, "_key")
     return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
             .select(*unpacked(docs.columns)))

@@ -360,3 +360,15 @@ def test_pipeline_near_dedup_on_odd_rows(spark, docs):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
     assert (None, "no id here at all") in got and len(got) == len(set(got))
     assert {d for d, _ in got} >= {1, 3, 4, 5, None, 8}
+
+
+def test_mix_takes_every_row_by_its_own_copies(spark):
+    rows = [(None if i % 3 == 0 else i % 5, f"{'w ' * (i % 11 + 1)}t{i // 2}", "en", "ab"[i % 2], i) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = {r.source: r.n for r in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = mixing.apply_mix(df).collect()
+    for source, n in taken.items():
+        assert sum(len(r.text.split()) for r in got if r.source == source) == n > 0
+    assert {tuple(r) for r in got} <= set(rows)
+    times = [sum(r.n_chars == i for r in got) for i in range(120)]
+    assert max(times) <= 2 and sum(times) == sum(r.copies for r in mixing.mix(df).collect())
