@@ -372,3 +372,14 @@ def test_mix_takes_every_row_by_its_own_copies(spark):
     assert {tuple(r) for r in got} <= set(rows)
     times = [sum(r.n_chars == i for r in got) for i in range(120)]
     assert max(times) <= 2 and sum(times) == sum(r.copies for r in mixing.mix(df).collect())
+
+
+def test_leaf_blocks_after_raw_elements():
+    def texts(page):
+        return [b.text for b in leaf_blocks(page)]
+    assert texts('<p>a</p><svg class="i"/><p>b</p><p>c</p>') == ["a", "b", "c"]
+    assert texts("<p>a</p><svg/><p>b</p><SVG viewBox='0 0 > 1' />c<svg>no</svg>") == ["a", "b", "c"]
+    assert texts('<p>a</p><svg-icon name="x"></svg-icon><p>b</p>') == ["a", "b"]
+    assert texts("<p>a</p><object-view>b</object-view><script-x/><p>c</p><style-guide>d</style-guide>") == ["a", "b", "c", "d"]
+    assert texts('<p>a</p><svg class="i"><path d="M0"/><text>no</text></svg><p>b</p>') == ["a", "b"]
+    assert texts("<p>a</p><script src=x />no</script\n><object>no</object><style\n>no</style><p>b</p>") == ["a", "b"]
