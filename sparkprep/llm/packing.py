@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,11 +43,17 @@ class WordIds(dict):
         import tiktoken
         super().__init__()
         with open(tokenizer_path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            tokenizer = json.load(f)
+        vocabulary = tokenizer["model"]["vocab"]
         to_byte = _byte_of_char()
         ranks = {bytes(to_byte[c] for c in word): i for word, i in vocabulary.items()
                  if all(c in to_byte for c in word) and i < len(vocabulary) and not word.startswith("<|")}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokenizer.get("added_tokens") or []}
+        if any(t[k] for t in tokenizer.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in white space, words or normalised text are not supported")
+        longest = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= CACHE_WORDS:
@@ -56,7 +63,15 @@ class WordIds(dict):
             self[part] = ids
         return ids
 
+    def tokenize(self, text: str) -> bytes:
+        """Ids of a text in which the tokenizer's added tokens stand for themselves."""
+        if self.split is None or not self.split.search(text):
+            return self.encode(text)
+        # odd places hold the added tokens, the text between them is encoded by itself
+        return b"".join([self.added[p] if i % 2 else self.encode(p) for i, p in enumerate(self.split.split(text))])
+
     def encode(self, text: str) -> bytes:
+        """Ids of a text whose added tokens are ordinary text."""
         parts = text.split(" ")
         if len(parts) == 1:
             return self[text]
@@ -81,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = words.encode(text or "") + end
+                ids = words.tokenize(text or "") + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % sequence_tokens or sequence_tokens, n + 1, sequence_tokens)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):

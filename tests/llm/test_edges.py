@@ -383,3 +383,19 @@ def test_leaf_blocks_after_raw_elements():
     assert texts("<p>a</p><object-view>b</object-view><script-x/><p>c</p><style-guide>d</style-guide>") == ["a", "b", "c", "d"]
     assert texts('<p>a</p><svg class="i"><path d="M0"/><text>no</text></svg><p>b</p>') == ["a", "b"]
     assert texts("<p>a</p><script src=x />no</script\n><object>no</object><style\n>no</style><p>b</p>") == ["a", "b"]
+
+
+def test_added_tokens_have_their_ids(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(tokenizer_path())
+    words = packing.WordIds(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "x  <|endoftext|>  y\n", " <|endoftext|", "a<|endoftext|>b c",
+             "<|endoftext|>\n\n it's", "plain text", ""]
+    for text in texts:
+        assert np.frombuffer(words.tokenize(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id bigint, text string")
+    for r in packing.pack_documents(df, tokenizer_path()).collect():
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids + [packing.END_ID]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
