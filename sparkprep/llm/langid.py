@@ -178,11 +178,12 @@ def identify(rows: DataFrame, model: np.ndarray, languages: Sequence[str] = LANG
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """``page_id, text, declared, suffix, host`` of raw pages; tags, scripts and styles are not text."""
+    """``page_id, text, declared, suffix, host`` of raw pages; tags, scripts and styles are not text.
+    ``declared`` is from the first ``html`` tag, anywhere outside comments, that has a ``lang``."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "&#?[A-Za-z0-9]+;", " ")
+    page = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(F.regexp_replace(page, "<[^>]*>", " "), "&#?[A-Za-z0-9]+;", " ")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     return pages.select("page_id", text.alias("text"),
-                        F.regexp_extract(html, r"(?is)^.{0,2000}?<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("declared"),
+                        F.regexp_extract(page, r"(?is)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("declared"),
                         F.regexp_extract(host, r"\.([a-z]+)(?::\d+)?$", 1).alias("suffix"), host.alias("host"))

@@ -399,3 +399,11 @@ def test_added_tokens_have_their_ids(spark):
     for r in packing.pack_documents(df, tokenizer_path()).collect():
         ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids + [packing.END_ID]
         assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_declared_language_is_read_anywhere(spark):
+    rows = [(1, "<!-- " + "x" * 5000 + " --><!DOCTYPE html>\n<html class=a lang='fr-CA'><p>a"), (2, " " * 5000 + '<HTML LANG="de"><p>a'),
+            (3, '<!-- <html lang="es"> --><html><p>a'), (4, "<html lang=en>"), (5, None), (6, "y" * 5000)]
+    df = spark.createDataFrame([(i, "http://a.org/", h) for i, h in rows], "page_id bigint, url string, html string")
+    got = {r.page_id: r.declared for r in langid.page_evidence(df).collect()}
+    assert got == {1: "fr-CA", 2: "de", 3: "", 4: "en", 5: "", 6: ""}
