@@ -81,41 +81,53 @@ def call_depths(calls: DataFrame) -> DataFrame:
     return base.join(state.select("call_id", depth.alias("depth")), "call_id")
 
 
+def _first_and_further(rows: DataFrame, columns: list[str], count: str) -> tuple[DataFrame, DataFrame]:
+    """The first row, by ``columns``, under every key (conv_id, call_id), with the
+    number ``count`` of its rows; and the rows after it."""
+    key = F.struct("conv_id", "call_id").alias("key")  # as a struct, null conversations compare equal
+    numbered = materialize(rows.where(F.col("call_id").isNotNull())
+                           .select(key, F.struct(*columns, F.monotonically_increasing_id().alias("_n")).alias("row")), "numbered")
+    first = materialize(numbered.groupBy("key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias(count)), "first")
+    further = numbered.join(first.select(F.col("row._n").alias("n")), F.col("row._n") == F.col("n"), "left_anti")
+    return first.select("key", "row.*", count).drop("_n"), further.select("key.*", "row.*").drop("_n")
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Schema]) -> DataFrame:
-    """One row per call, and per result without a call.
+    """One row per call, and per result that no call is linked to.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after (array
-    of call ids).  ``results``: conv_id, call_id, turn, content.  Both are
-    reduced to one row per identifier (the first by turn; ``n_calls`` and
-    ``n_results`` count them) and joined on it.  Returns conv_id, call_id, turn,
-    name, after_id, depth (place in topological order), result_turn, n_calls,
-    n_results, status (linked, no_result, no_call, cycle), errors (of the
-    arguments, "; " between), message: canonical JSON, keys sorted, no white
-    space, absent parts left out.
-
-    Rows without an identifier are left out of linking and have status no_id;
-    arguments that are not a JSON object have no message; empty tables give
-    empty results; other columns are not read.
+    of call ids).  ``results``: conv_id, call_id, turn, content.  Identifiers
+    hold within a conversation.  The first call and the first result by turn
+    under each identifier are joined on it (``n_calls`` and ``n_results`` count
+    all).  Returns conv_id, call_id, turn, name, after_id, depth (place in
+    topological order), result_turn, n_calls, n_results, status (linked,
+    no_result, no_call, cycle, duplicate), errors (of the arguments, "; "
+    between), message: canonical JSON, keys sorted, no white space, absent parts
+    left out.
+
+    Every further call or result of an identifier is a row of its own with
+    status duplicate; rows without an identifier are left out of linking and
+    have status no_id; arguments that are not a JSON object have no message;
+    empty tables give empty results; other columns are not read.
     """
-    first = F.struct("turn", "conv_id", "name", "arguments", "after")
-    one = (calls.where(F.col("call_id").isNotNull()).groupBy("call_id")
-           .agg(F.min(first).alias("c"), F.count(F.lit(1)).alias("n_calls")))
-    one = materialize(one.select("call_id", "c.*", "n_calls"), "calls")
-    got = (results.where(F.col("call_id").isNotNull()).groupBy("call_id")
-           .agg(F.min(F.struct("turn", "conv_id", "content")).alias("r"), F.count(F.lit(1)).alias("n_results")))
-    placed = one.join(call_depths(one.select("call_id", "after")), "call_id")
-    both = placed.join(got, "call_id", "full")
+    one, more_calls = _first_and_further(calls, ["turn", "name", "arguments", "after"], "n_calls")
+    got, more_results = _first_and_further(results, ["turn", "content"], "n_results")
+    after = F.transform("after", lambda c: F.struct(F.col("key.conv_id").alias("conv_id"), c.alias("call_id")))
+    depths = call_depths(one.select(F.col("key").alias("call_id"), after.alias("after")))
+    placed = one.join(depths.withColumnRenamed("call_id", "key"), "key")
+    both = placed.join(got.withColumnRenamed("turn", "result_turn"), "key", "full")
     status = (F.when(F.col("n_calls").isNull(), "no_call").when(F.col("depth").isNull(), "cycle")
               .when(F.col("n_results").isNull(), "no_result").otherwise("linked"))
-    linked = both.select(F.coalesce("conv_id", "r.conv_id").alias("conv_id"), "call_id", "turn", "name", "after_id", "depth",
-                         F.col("r.turn").alias("result_turn"), "n_calls", "n_results", status.alias("status"),
-                         "arguments", F.col("r.content").alias("content"))
-    none = F.lit(None)
-    lost = [calls.where(F.col("call_id").isNull()).select("conv_id", "turn", "name", "arguments", none.cast("string").alias("content")),
-            results.where(F.col("call_id").isNull()).select("conv_id", "turn", none.cast("string").alias("name"),
-                                                            none.cast("string").alias("arguments"), "content")]
-    for rows in lost:
-        linked = linked.unionByName(rows.withColumn("status", F.lit("no_id")), allowMissingColumns=True)
+    linked = both.select("key.*", "turn", "name", F.col("after_id.call_id").alias("after_id"), "depth", "result_turn",
+                         "n_calls", "n_results", status.alias("status"), "arguments", "content")
+    lost = [("duplicate", more_calls.drop("after")),
+            ("duplicate", more_results.withColumnRenamed("turn", "result_turn")),
+            ("no_id", calls.where(F.col("call_id").isNull()).select("conv_id", "turn", "name", "arguments")),
+            ("no_id", results.where(F.col("call_id").isNull()).select("conv_id", "turn", "content"))]
+    out = linked.where("false")
+    for why, rows in lost:
+        out = out.unionByName(rows.withColumn("status", F.lit(why)), allowMissingColumns=True)
+    linked = out.unionByName(linked)
     said = F.when(F.col("name").isNotNull() | F.col("arguments").isNotNull(),
                   F.concat_ws("; ", argument_errors(F.col("name"), F.col("arguments"), schemas)))
     parts = F.struct(F.try_parse_json("arguments").alias("arguments"), "call_id", "name", F.col("content").alias("result"))

@@ -130,7 +130,17 @@ SELECT conv_id, call_id, CAST(turn AS DOUBLE) AS turn, name, after_id, CAST(dept
     '"call_id":' || to_json(call_id), '"name":' || to_json(name), '"result":' || to_json(content)) || '}}' AS message
 FROM l""")
 def op6_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chat.link_calls(*chat_tables(table(spark, sf_dir, "conversations")), CHAT_SCHEMAS)
+    return linked_turns(table(spark, sf_dir, "conversations"))
+
+
+def linked_turns(conversations: DataFrame) -> DataFrame:
+    """Every row of ``conversations``, linked; further rows of a turn have status
+    duplicate, rows of other roles other_role and the role as ``name``."""
+    linked = chat.link_calls(*chat_tables(conversations), CHAT_SCHEMAS)
+    other = conversations.where(~F.coalesce(F.col("role").isin("user", "system", "assistant"), F.lit(False))).select(
+        "conv_id", "turn", F.col("role").alias("name"), F.lit("other_role").alias("status"),
+        F.to_json(F.struct(F.col("role").alias("name"), F.col("text").alias("result"))).alias("message"))
+    linked = linked.unionByName(other, allowMissingColumns=True)
     number = [F.col(c).cast("double").alias(c) for c in ("turn", "depth", "result_turn")]  # nulls compare alike as doubles
     return linked.select("conv_id", "call_id", "name", "after_id", *number, "status", "errors", "message")
 

@@ -407,3 +407,33 @@ def test_declared_language_is_read_anywhere(spark):
     df = spark.createDataFrame([(i, "http://a.org/", h) for i, h in rows], "page_id bigint, url string, html string")
     got = {r.page_id: r.declared for r in langid.page_evidence(df).collect()}
     assert got == {1: "fr-CA", 2: "de", 3: "", 4: "en", 5: "", 6: ""}
+
+
+def test_chat_links_within_a_conversation_and_keeps_every_row(spark):
+    calls = spark.createDataFrame(
+        [(c, k, t, "reply", f'{{"text":"{c} {t}","turn":{t}}}', ["call_0"]) for c in (1, 2, None)
+         for k, t in (("call_0", 0), ("call_1", 2))] + [(1, "call_1", 2, "reply", '{"text":"1 2","turn":2}', ["call_0"])] * 2,
+        "conv_id bigint, call_id string, turn bigint, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([(1, "call_0", 1, "one"), (2, "call_1", 3, "two"), (2, "call_1", 4, "again"), (None, "call_0", 1, "none"),
+                                     (3, "call_0", 1, "lost")], "conv_id bigint, call_id string, turn bigint, content string")
+    got = [(r.conv_id, r.call_id, r.turn, r.after_id, r.depth, r.result_turn, r.n_calls, r.n_results, r.status)
+           for r in chat.link_calls(calls, results, CHAT_SCHEMAS).collect()]
+    want = [(1, "call_0", 0, None, 0, 1, 1, 1, "linked"), (1, "call_1", 2, "call_0", 1, None, 3, None, "no_result"),
+            (2, "call_0", 0, None, 0, None, 1, None, "no_result"), (2, "call_1", 2, "call_0", 1, 3, 1, 2, "linked"),
+            (None, "call_0", 0, None, 0, 1, 1, 1, "linked"), (None, "call_1", 2, "call_0", 1, None, 1, None, "no_result"),
+            (3, "call_0", None, None, None, 1, None, 1, "no_call"), (2, "call_1", None, None, None, 4, None, None, "duplicate"),
+            *[(1, "call_1", 2, None, None, None, None, None, "duplicate")] * 2]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_op6_returns_every_row(spark):
+    from sparkprep.llm.queries import linked_turns
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "or no"), (1, 2, "tool", "42"),
+            (1, 3, None, "who"), (None, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    got = [(r.name, r.status, r.message) for r in linked_turns(df).collect()]
+    arguments = '"arguments":{"text":"hi","turn":0},"call_id":"1:0","name":"reply"'
+    want = [("reply", "linked", f'{{{arguments},"result":"or no"}}'), ("reply", "duplicate", f"{{{arguments}}}"),
+            (None, "duplicate", '{"call_id":"1:0","result":"yes"}'), ("tool", "other_role", '{"name":"tool","result":"42"}'),
+            (None, "other_role", '{"result":"who"}'), ("reply", "no_id", '{"arguments":{"text":"x","turn":0},"name":"reply"}')]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
