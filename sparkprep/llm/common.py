@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkprep.functions.joins import join_small
 from sparkprep.functions.materialize import materialize
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -116,3 +117,18 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[Column], name: st
     joined = ranked.alias("r").join(offsets.alias("o"), on)
     return joined.select(*[F.col(f"r.{c}") for c in df.columns],
                          (F.col("r._in") + F.col("o._before")).cast("bigint").alias(name))
+
+
+HEAVY = 1000
+
+
+def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` with the other columns of ``facts``, which has one row per key and,
+    as ``weight``, the number of rows under it.  Keys of many rows are few: they
+    come by a broadcast measured to be small, the others by an equi-join."""
+    heavy = facts.where(F.col(weight) > HEAVY).withColumn("_heavy", F.lit(True))
+    first = materialize(join_small(rows, heavy, keys), "heavy")
+    light = facts.where(F.col(weight) <= HEAVY)
+    rest = first.where(F.col("_heavy").isNull()).select(*rows.columns).join(light, keys)
+    out = [*rows.columns, *[c for c in facts.columns if c not in keys]]
+    return first.where("_heavy").select(*out).unionByName(rest.select(*out))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkprep.llm import chat, html_extract, langid, minhash, mixing, packing, simhash, suffix_dedup, topk, url_filter
+from sparkprep.llm import (chat, hard_negatives, html_extract, langid, minhash, mixing, packing, prefix_trie, projections,
+                           simhash, suffix_dedup, topk, url_filter)
 from sparkprep.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +171,63 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double"), "taken", "source",
                         "copies")
+
+
+@register("op11_prefix_trie", r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT c, s, 0 AS k, CAST(4294967295 AS BIGINT) AS r FROM ids
+  UNION ALL
+  SELECT c, s, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+  FROM (SELECT c, s, k, CASE WHEN k % 8 = 0 THEN xor(r, CAST(ascii(substr(s, CAST(k // 8 + 1 AS INTEGER), 1)) AS BIGINT)) ELSE r END AS v
+        FROM crc WHERE k < 8 * length(s))),
+heads AS (SELECT c, xor(r, 4294967295) % 4 AS h FROM crc WHERE k = 8 * length(s)),
+own AS (SELECT conv_id AS c, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST, role, text) AS l
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+seq AS (SELECT own.c, list_concat(coalesce(b.l, [])[1:h], own.l[h + 1:]) AS q
+        FROM own JOIN heads USING (c) LEFT JOIN own b ON b.c = own.c - own.c % 20),
+r AS (SELECT c, d, q[1:d] AS k, len(q) AS n, q FROM (SELECT c, q, unnest(range(0, len(q) + 1)) AS d FROM seq)),
+nodes AS (SELECT k, CAST(d AS BIGINT) AS depth, min(c) AS conv_id, count(*) AS n_convs,
+            (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d][2], '[^\x20\x09-\x0D]+')) END AS value,
+            sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+          FROM r GROUP BY k, d),
+kids AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+under AS (SELECT DISTINCT a.k AS top, b.k AS k FROM r a JOIN r b ON a.c = b.c AND b.d >= a.d),
+below AS (SELECT u.top AS k, sum(x.value) AS saved_tokens, count(*) FILTER (kids.n_children IS NULL) AS n_leaves
+          FROM under u JOIN nodes x ON x.k = u.k LEFT JOIN kids ON kids.k = u.k GROUP BY 1)
+SELECT n.conv_id, n.depth, CAST(p.conv_id AS HUGEINT) AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children,
+       below.n_leaves, CAST(below.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below ON below.k = n.k LEFT JOIN kids ON kids.k = n.k
+LEFT JOIN nodes p ON n.depth > 0 AND p.k = n.k[1:n.depth - 1]""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, parts = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    taken = F.crc32(conv.cast("string").cast("binary")) % 4
+    nodes = prefix_trie.prefix_nodes(*prefix_trie.grafted_sequences(turns, parts, taken, conv - conv % 20))
+    return nodes.drop("single")
+
+
+@register("op12_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             CAST(coalesce(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)]), 0) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@register("op13_embedding_near_dedup")
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near_duplicates(table(spark, sf_dir, "embeddings"))
