@@ -269,7 +269,7 @@ def _meet(batches: Iterator[pa.RecordBatch], wanted: int, ratio: tuple[int, int]
                 if len(states) >= GROUP_BLOCKS:
                     yield rows(states.pop(next(iter(states))))
                 states[number] = Anchors(labels, ids, data, wide, theta, norms, wanted)
-                blocks[number] = [[(x["id"], int(x["score"])) for x in f or []] for f in found]
+                blocks[number] = [sorted({(x["id"], int(x["score"])) for x in f or []}) for f in found]
             one = Block(label, cell, *block)
             if ratio is None:
                 states[number].positives(one)
