@@ -17,6 +17,18 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def number(c: str | Column) -> Column:
+    """A column as double, NaN as null: NaN is missing in every statistic."""
+    x = col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def finite_number(c: str | Column) -> Column:
+    """As ``number``, without infinite values."""
+    x = col(c).cast("double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
 def split_hash(key: str | Column, seed: int = 42) -> Column:
     """Deterministic hash of an integer key into [0, 2**31).
 
@@ -49,9 +61,9 @@ def bin_index(x: str | Column, lo: float | None, hi: float | None, bins: int) ->
 
     Counts the edges at or below the value - the same edges a Bucketizer
     would use, so there is no floor()/float drift.  A constant column (or
-    bins == 1) lands in bin 0; null stays null.
+    bins == 1) lands in bin 0; null and NaN give null.
     """
-    x = col(x)
+    x = number(x)
     if lo is None or hi is None:
         return F.lit(None).cast("double")
     if bins <= 1 or hi == lo:

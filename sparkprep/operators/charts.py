@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.exprs import HASH_MOD, bin_index, split_hash
+from sparkprep.functions.comoments import correlations
+from sparkprep.functions.exprs import HASH_MOD, bin_index, finite_number, number, split_hash
 from sparkprep.functions.materialize import materialize
 from sparkprep.functions.ordinal import grouped_exact_quantiles, prefix_sums
 from sparkprep.functions.stats import exact_quantiles_multi, one_row, quantiles
@@ -28,15 +29,16 @@ BAR_AGGS = {
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """(bin, bin_start, bin_end, count): equal width, last bin closed, empty bins kept."""
-    s = one_row(df, {"mn": F.min(F.col(column).cast("double")),
-                     "mx": F.max(F.col(column).cast("double"))})
+    """(bin, bin_start, bin_end, count): equal width, last bin closed, empty bins kept.
+    Null, NaN and infinite values take no part."""
+    x = finite_number(column)
+    s = one_row(df, {"mn": F.min(x), "mx": F.max(x)})
     lo, hi = s["mn"], s["mx"]
     spark = df.sparkSession
     if lo is None:
         return spark.createDataFrame([], "bin int, bin_start double, bin_end double, count bigint")
-    b = bin_index(F.col(column).cast("double"), lo, hi, bins).cast("int")
-    counts = (df.where(F.col(column).isNotNull()).groupBy(b.alias("bin"))
+    b = bin_index(x, lo, hi, bins).cast("int")
+    counts = (df.where(x.isNotNull()).groupBy(b.alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
     step = (hi - lo) / bins
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -58,7 +60,7 @@ def kde(df: DataFrame, column: str, grid_points: int = 200, cell_width: float |
     cell_width / (2 h) * 0.25 / h, h being the bandwidth.  Bandwidth: Scott's
     rule sigma * n^(-1/5); grid spans min - cut*h to max + cut*h.
     """
-    x = F.col(column).cast("double")
+    x = finite_number(column)
     s = one_row(df, {"n": F.count(x), "mn": F.min(x), "mx": F.max(x), "sd": F.stddev_samp(x)})
     spark = df.sparkSession
     n, lo, hi, sd = s["n"], s["mn"], s["mx"], s["sd"]
@@ -114,7 +116,7 @@ def box(df: DataFrame, column: str, whis: float = 1.5, exact: bool = True,
         variable: str | None = None) -> DataFrame:
     """One row: q1, median, q3, whiskers (extreme values inside whis*IQR), outliers."""
     q1, med, q3 = quantiles(df, column, [0.25, 0.5, 0.75], exact=exact)
-    x = F.col(column).cast("double")
+    x = number(column)
     name = F.lit(variable or column)
     if q1 is None:
         return df.agg(name.alias("variable")).select(
@@ -142,7 +144,7 @@ def box_many(df: DataFrame, columns: Sequence[str], whis: float = 1.5, exact: bo
     aggs, structs = [], []
     for i, c in enumerate(cols):
         q1, med, q3 = qs[c]
-        x = F.col(c).cast("double")
+        x = number(c)
         if q1 is None:
             inside = F.lit(False)
         else:
@@ -159,13 +161,19 @@ def box_many(df: DataFrame, columns: Sequence[str], whis: float = 1.5, exact: bo
     return df.agg(*aggs).select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
+WIDE = 24
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(col_a, col_b, corr) Pearson, pairwise-complete, full symmetric matrix."""
+    """(col_a, col_b, corr) Pearson, pairwise-complete, full symmetric matrix.
+    More than ``WIDE`` columns go through block states, not one expression a pair."""
     cols = list(columns)
+    if len(cols) > WIDE:
+        return correlations(df, cols)
     exprs = {}
     for i in range(len(cols)):
         for j in range(i + 1, len(cols)):
-            exprs[f"c_{i}_{j}"] = F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double"))
+            exprs[f"c_{i}_{j}"] = F.corr(number(cols[i]), number(cols[j]))
     one = df.agg(*[e.alias(k) for k, e in exprs.items()]) if exprs else df.limit(1).select()
     entries = []
     for i, a in enumerate(cols):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from sparkprep.functions.exprs import safe_name
+from sparkprep.functions.exprs import number, safe_name
 from sparkprep.functions.joins import join_small
 from sparkprep.functions.materialize import materialize
 from sparkprep.functions.ordinal import dense_codes
@@ -48,8 +48,8 @@ def _numeric_check(df: DataFrame, columns: Sequence[str]) -> None:
 def minmax_params(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
     exprs: dict[str, Column] = {}
     for i, c in enumerate(columns):
-        exprs[f"mn{i}"] = F.min(F.col(c).cast("double"))
-        exprs[f"mx{i}"] = F.max(F.col(c).cast("double"))
+        exprs[f"mn{i}"] = F.min(number(c))
+        exprs[f"mx{i}"] = F.max(number(c))
     r = one_row(df, exprs)
     return {c: (r[f"mn{i}"], r[f"mx{i}"]) for i, c in enumerate(columns)}
 
@@ -57,8 +57,8 @@ def minmax_params(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
 def zscore_params(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
     exprs: dict[str, Column] = {}
     for i, c in enumerate(columns):
-        exprs[f"m{i}"] = F.avg(F.col(c).cast("double"))
-        exprs[f"s{i}"] = F.stddev_samp(F.col(c).cast("double"))
+        exprs[f"m{i}"] = F.avg(number(c))
+        exprs[f"s{i}"] = F.stddev_samp(number(c))
     r = one_row(df, exprs)
     return {c: (r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(columns)}
 
@@ -68,7 +68,7 @@ def minmax_expr(c: str, mn: float | None, mx: float | None) -> Column:
     if mn is None:
         return F.lit(None).cast("double")
     if mx == mn:  # constant column: MinMaxScaler maps it to the middle of [0, 1]
-        return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.lit(0.5))
+        return F.when(x.isNull() | F.isnan(x), x).otherwise(F.lit(0.5))
     return (x - F.lit(mn)) / F.lit(mx - mn)
 
 
@@ -77,7 +77,7 @@ def zscore_expr(c: str, mean: float | None, std: float | None, center: bool = Tr
     if mean is None:
         return F.lit(None).cast("double")
     if std is None or std == 0.0:
-        return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.lit(0.0))
+        return F.when(x.isNull() | F.isnan(x), x).otherwise(F.lit(0.0))
     num = (x - F.lit(mean)) if center else x
     return num / F.lit(std)
 
@@ -89,6 +89,7 @@ def normalize(df: DataFrame, columns: Sequence[str], method: str = "minmax",
     minmax: (x-min)/(max-min), a constant column gives 0.5.
     zscore (any other method): (x-mean)/stddev_samp; ``center=False`` gives
     x/stddev (what a default StandardScaler computes).  Zero spread gives 0.
+    NaN takes no part in the statistics and stays NaN.
     ``params`` ({column: (min, max) | (mean, std)}) skips the statistics job
     when the caller already computed them (fused operation lists).
     """
@@ -117,7 +118,7 @@ def iqr_bounds(df: DataFrame, c: str, threshold: float = 1.5, exact: bool = True
 def outlier_removal(df: DataFrame, columns: Sequence[str], method: str = "iqr",
                     threshold: float = 1.5, exact: bool = True,
                     sequential: bool = True) -> DataFrame:
-    """Keep rows inside the per-column bounds (nulls in those columns are dropped).
+    """Keep rows inside the per-column bounds (nulls and NaN in those columns are dropped).
 
     iqr: q1 - t*iqr <= x <= q3 + t*iqr (exact linear quantiles by default,
     ``exact=False`` uses percentile_approx).  zscore: |x-mean|/stddev <= t;
@@ -149,9 +150,9 @@ def outlier_removal(df: DataFrame, columns: Sequence[str], method: str = "iqr",
             if mean is None:
                 pred = F.lit(False)
             elif std is None or std == 0.0:
-                pred = x.isNotNull()
+                pred = number(c).isNotNull()
             else:
-                pred = F.abs((x.cast("double") - F.lit(mean)) / F.lit(std)) <= F.lit(float(threshold))
+                pred = F.abs((number(c) - F.lit(mean)) / F.lit(std)) <= F.lit(float(threshold))
         if sequential:
             df = df.filter(pred)
         else:

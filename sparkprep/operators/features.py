@@ -11,15 +11,17 @@ import itertools
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkprep.functions.exprs import bin_index
+from sparkprep.functions.exprs import bin_index, number
+from sparkprep.functions.halo import lagged
 from sparkprep.functions.joins import join_small
 from sparkprep.functions.ordinal import with_ordinal
 from sparkprep.functions.stats import one_row
+from sparkprep.operators import principal
 
 AGG_FUNCS: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max,
@@ -75,8 +77,7 @@ def binning(df: DataFrame, column: str, bins: int = 5,
     if labels is not None and len(labels) != bins:
         raise ValueError("labels must have exactly `bins` entries")
     if bounds is None:
-        s = one_row(df, {"mn": F.min(F.col(column).cast("double")),
-                         "mx": F.max(F.col(column).cast("double"))})
+        s = one_row(df, {"mn": F.min(number(column)), "mx": F.max(number(column))})
         bounds = (s["mn"], s["mx"])
     b = bin_index(F.col(column).cast("double"), bounds[0], bounds[1], bins)
     out = df.withColumn(f"{column}_binned", b)
@@ -126,14 +127,20 @@ def lag_features(df: DataFrame, column: str, lags: Sequence[int], order_by: Sequ
                  partition_by: Sequence[str]) -> DataFrame:
     """``<c>_lag<k>`` = value k rows earlier in the same partition group.
 
-    ``order_by`` must make the order total (add a unique key).  Rows get a
-    global ordinal over (partition_by, order_by) from range partitioning, and
-    each lag is an equi-join on ordinal - k, which spreads evenly whatever the
-    size of a group; the group keys of both rows are compared null-safely.
+    ``order_by`` must make the order total (add a unique key).  Rows are shuffled
+    once by range of (partition_by, order_by), so a group of any size spans many
+    tasks; the first rows of a range look back through a small table of the
+    ranges' ends (``functions.halo``).  Null keys equal each other.  A lag of 0 or
+    less (a lead) takes an equi-join on the rows' ordinals.
     """
     if not partition_by:
         raise ValueError("lag_features needs partition_by (no global window)")
-    return _lag_by_ordinal(df, column, [int(k) for k in lags], order_by, list(partition_by))
+    lags = [int(k) for k in lags]
+    if not lags:
+        return df
+    if min(lags) < 1:
+        return _lag_by_ordinal(df, column, lags, order_by, list(partition_by))
+    return lagged(df, column, lags, list(partition_by), list(order_by))
 
 
 def _lag_by_ordinal(df: DataFrame, column: str, lags: list[int], order_by: Sequence[str],
@@ -198,30 +205,16 @@ def assemble(df: DataFrame, columns: Sequence[str], output: str = "features",
 
 def pca(df: DataFrame, columns: Sequence[str] | str, n_components: int = 2,
         prefix: str = "pc") -> DataFrame:
-    """Principal components ``pc1..pck`` (projection of uncentred rows, as
-    pyspark.ml PCA does).  ``columns`` may be a list of numeric columns or
-    one array<float|double> column.  Skipped when k >= number of inputs.
+    """Principal components ``pc1..pck`` (projection of uncentred rows).
+    ``columns`` may be a list of numeric columns, one array<float|double> column
+    or one vector column.  Skipped when k >= number of inputs.
     """
-    tmp_in, tmp_out = _tmp("pca_in"), _tmp("pca_out")
-    if isinstance(columns, str):
-        from pyspark.ml.functions import array_to_vector
-        width = df.select(F.max(F.size(columns))).first()[0] or 0
-        if n_components >= width:
-            return df
-        data = df.withColumn(tmp_in, array_to_vector(F.col(columns).cast("array<double>")))
-    else:
-        if n_components >= len(columns):
-            return df
-        data = VectorAssembler(inputCols=list(columns), outputCol=tmp_in).transform(df)
-    model = PCA(k=n_components, inputCol=tmp_in, outputCol=tmp_out).fit(data)
-    out = model.transform(data).withColumn(tmp_out, vector_to_array(F.col(tmp_out)))
-    out = out.select("*", *[F.col(tmp_out)[i].alias(f"{prefix}{i + 1}") for i in range(n_components)])
-    return out.drop(tmp_in, tmp_out)
-
-
-def pca_model(df: DataFrame, column: str, n_components: int = 2):  # noqa: ANN201
-    """The fitted PCA model of an array column (components, explained variance)."""
-    from pyspark.ml.functions import array_to_vector
-    tmp_in = _tmp("pca_in")
-    data = df.withColumn(tmp_in, array_to_vector(F.col(column).cast("array<double>")))
-    return PCA(k=n_components, inputCol=tmp_in, outputCol="pca_features").fit(data)
+    width = principal.feature_rows(df, columns)[1]
+    if n_components >= width:
+        return df
+    return principal.transform(df, columns, principal.fit(df, columns, n_components), prefix)
+
+
+def pca_model(df: DataFrame, column: str, n_components: int = 2) -> principal.Principal:
+    """The fitted components of an array or vector column, their variances and shares."""
+    return principal.fit(df, column, n_components)

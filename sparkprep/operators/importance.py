@@ -14,16 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from sparkprep.functions.exprs import bin_index
+from sparkprep.functions.exprs import bin_index, number
 from sparkprep.functions.stats import one_row
 
 METHODS = ("mutual_info", "chi2", "f_classif", "f_regression", "random_forest")
 
 
 def _long(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """(feature, value, y) rows; nulls dropped per feature."""
+    """(feature, value, y) rows; nulls and NaN dropped per feature."""
     stack = df.select(F.col(target).alias("y"),
-                      *[F.col(c).cast("double").alias(c) for c in features])
+                      *[number(c).alias(c) for c in features])
     long = stack.unpivot("y", list(features), "feature", "value")
     return long.where(F.col("value").isNotNull() & F.col("y").isNotNull())
 
@@ -31,8 +31,8 @@ def _long(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
 def _binned(df: DataFrame, features: Sequence[str], target: str, bins: int) -> DataFrame:
     exprs = {}
     for i, c in enumerate(features):
-        exprs[f"mn{i}"] = F.min(F.col(c).cast("double"))
-        exprs[f"mx{i}"] = F.max(F.col(c).cast("double"))
+        exprs[f"mn{i}"] = F.min(number(c))
+        exprs[f"mx{i}"] = F.max(number(c))
     s = one_row(df, exprs)
     long = _long(df, features, target)
     b = None
@@ -90,7 +90,7 @@ def f_classif(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     y = F.col(target)
     aggs = []
     for i, c in enumerate(features):
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.count(x).cast("double").alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
     per = df.where(y.isNotNull()).groupBy(y.alias("y")).agg(*aggs)
     rows = per.select(F.explode(F.array(*[

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DateType, DoubleType, FloatType, NumericType, StringType, TimestampNTZType,
                                TimestampType)
 
+from sparkprep.functions.exprs import number
 from sparkprep.functions.stats import approx_quantiles, exact_quantiles_multi, one_row
 
 TEXT_MIN_AVG_TOKENS = 5.0
@@ -113,7 +114,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact:
     cols = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)])
     exprs = {}
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = number(c)
         exprs.update({f"n{i}": F.count(x), f"m{i}": F.avg(x), f"lo{i}": F.min(x),
                       f"hi{i}": F.max(x), f"s{i}": F.stddev_samp(x)})
     if exact:

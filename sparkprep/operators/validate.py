@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import HASH_MOD, split_hash
+from sparkprep.functions.comoments import merged
+from sparkprep.operators import linear_states
 from sparkprep.operators import metrics as M
 from sparkprep.operators.encode import kfold
 from sparkprep.operators.models import (LABEL_COL, evaluate, fit_pipeline, problem_of,
@@ -50,6 +52,8 @@ def fold_scores(df: DataFrame, target: str, model_type: str, key: str, cv_folds:
     names = _metric_names(problem, metrics)
     feats = [c for c in resolve_features(df, target, features) if c not in (key, "fold")]
     own = "fold" not in df.columns  # compare_models hands over one frame with folds
+    if linear_states.applies(df, feats, target, model_type, params):
+        return _linear_fold_scores(kfold(df, key, cv_folds, seed) if own else df, target, feats, cv_folds, params, names)
     data = kfold(df, key, cv_folds, seed).persist(StorageLevel.MEMORY_AND_DISK) if own else df
 
     def one(f: int) -> list[tuple]:
@@ -67,6 +71,41 @@ def fold_scores(df: DataFrame, target: str, model_type: str, key: str, cv_folds:
     return [r for part in parts for r in part]
 
 
+def _linear_fold_scores(data: DataFrame, target: str, feats: Sequence[str], cv_folds: int, params: dict | None,
+                        names: Sequence[str]) -> list[tuple]:
+    """Least squares of all folds from one scan; a second one only for absolute errors."""
+    held, fits = linear_states.fold_fits(data, feats, target, cv_folds, params)
+    rest = [m for m in names if m not in ("r2", "rmse")]
+    errors = linear_states.absolute_errors(data, feats, target, fits) if rest else {}
+
+    def value(f: int, m: str) -> float | None:
+        if m in rest:
+            return errors.get(f, {}).get(m)
+        return fits[f].metric(m, held[f]) if f in held else None
+    return [("linear_regression", m, f, value(f, m)) for f in range(cv_folds) for m in names]
+
+
+def _linear_curve(data: DataFrame, target: str, feats: Sequence[str], cv_folds: int, sizes: Sequence[float], params: dict | None,
+                  metric: str) -> list[tuple]:
+    """All sizes and folds from one scan: states per (fold, smallest size that takes the row)."""
+    order = sorted(sizes)
+    step = F.lit(len(order))
+    for i, s in reversed(list(enumerate(order))):
+        step = F.when(F.col("_sub") < F.lit(float(s)), F.lit(i)).otherwise(step)
+    width = len(order) + 1
+    found = linear_states.states(data, feats, target, F.col("fold") * width + step)
+    p = params or {}
+    intercept = bool(p.get("fit_intercept", p.get("fitIntercept", True)))
+    rows = []
+    for s in sizes:
+        for f in range(cv_folds):
+            seen = merged([m for g, m in found.items() if g // width != f and g % width <= order.index(s)])
+            held = merged([m for g, m in found.items() if g // width == f])
+            fit = linear_states.solve(seen, intercept)
+            rows.append((float(s), f, fit.metric(metric, seen), fit.metric(metric, held)))
+    return rows
+
+
 def cross_validate(df: DataFrame, target: str, model_type: str, key: str, cv_folds: int = 5,
                    features: Sequence[str] | None = None, params: dict | None = None,
                    metrics: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
@@ -95,16 +134,18 @@ def compare_models(df: DataFrame, target: str, model_types: Sequence[str], key:
     rows, errors = [], []
     first_metric = None
     data = kfold(df, key, cv_folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    for mt in model_types:
-        try:
-            problem = problem_of(mt)
-            names = _metric_names(problem, metrics)
-            first_metric = first_metric or names[0]
-            rows.extend(fold_scores(data, target, mt, key, cv_folds, features,
-                                    (params or {}).get(mt), names, seed))
-        except Exception as e:  # noqa: BLE001 - reported per model instead of aborting
-            errors.append((mt, str(e)))
-    data.unpersist()
+    try:
+        for mt in model_types:
+            try:
+                problem = problem_of(mt)
+                names = _metric_names(problem, metrics)
+                first_metric = first_metric or names[0]
+                rows.extend(fold_scores(data, target, mt, key, cv_folds, features,
+                                        (params or {}).get(mt), names, seed))
+            except Exception as e:  # noqa: BLE001 - reported per model instead of aborting
+                errors.append((mt, str(e)))
+    finally:
+        data.unpersist()
     folds = spark.createDataFrame(rows, FOLD_SCHEMA)
     summary = summarize_folds(folds)
     lower_better = F.col("metric").isin("rmse", "mae", "mape")
@@ -128,9 +169,10 @@ def learning_curve(df: DataFrame, target: str, model_type: str, key: str, cv_fol
     problem = problem_of(model_type)
     metric = metric or ("accuracy" if problem == "classification" else "r2")
     feats = [c for c in resolve_features(df, target, features) if c != key]
-    data = kfold(df, key, cv_folds, seed).withColumn(
-        "_sub", split_hash(key, seed + 7919).cast("double") / F.lit(float(HASH_MOD))
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    data = kfold(df, key, cv_folds, seed).withColumn("_sub", split_hash(key, seed + 7919).cast("double") / F.lit(float(HASH_MOD)))
+    if metric in ("r2", "rmse") and linear_states.applies(df, feats, target, model_type, params):
+        return _curve(df.sparkSession, _linear_curve(data, target, feats, cv_folds, sizes, params, metric))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(task: tuple[float, int]) -> tuple:
         s, f = task
@@ -149,7 +191,10 @@ def learning_curve(df: DataFrame, target: str, model_type: str, key: str, cv_fol
         rows = _run_parallel(one, [(s, f) for s in sizes for f in range(cv_folds)], parallelism)
     finally:
         data.unpersist()
-    spark = df.sparkSession
+    return _curve(df.sparkSession, rows)
+
+
+def _curve(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     curve = spark.createDataFrame(rows, "train_fraction double, fold int, train double, cv double")
     return curve.groupBy("train_fraction").agg(
         F.avg("train").alias("train_mean"), F.stddev_pop("train").alias("train_std"),

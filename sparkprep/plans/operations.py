@@ -3,9 +3,9 @@
 Every operation is validated before any job runs; an unknown ``type``
 raises.  Scalar operations only extend the lazy plan; the ones that must
 learn something (statistics, vocabularies, PCA) run one small job each.
-``preprocess_data`` / ``engineer_features`` read a dataset, fold the
-operations, write the result as a directory, and report a summary whose
-row count comes from the written output (the plan is not re-run).
+``run_operations`` reads a dataset, folds the operations, writes the result
+as a directory, and reports a summary whose row count comes from the written
+output (the plan is not re-run).
 """
 
 from __future__ import annotations
@@ -145,10 +145,11 @@ def _prefetch(df: DataFrame, ops: Sequence[dict]) -> dict[tuple[str, str], tuple
         return {}
     from pyspark.sql import functions as F
 
+    from sparkprep.functions.exprs import number
     from sparkprep.functions.stats import one_row
     exprs = {}
     for i, (kind, c) in enumerate(needs):
-        x = F.col(c).cast("double")
+        x = number(c)
         if kind == "minmax":
             exprs[f"a{i}"], exprs[f"b{i}"] = F.min(x), F.max(x)
         else:
@@ -204,6 +205,3 @@ def run_operations(spark: SparkSession, input_path: str, output_path: str, ops:
             "features_created": len([c for c in out.columns if c not in before]),
             "rows_processed": written.count(), "columns_processed": len(written.columns)}
 
-
-preprocess_data = run_operations
-engineer_features = run_operations
