@@ -13,17 +13,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest,
-                                       OneVsRestModel, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType, TimestampNTZType,
                                TimestampType)
 
 from sparkprep.operators import metrics as M
+from sparkprep.operators.boosting import BoostedTrees
 
 MODEL_TABLE = {
     "linear_regression": "regression",
@@ -63,6 +63,9 @@ DEFAULTS = {
     "xgboost_classifier": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
 }
 SPARK_MAX_DEPTH = 30  # pyspark.ml grows no deeper tree
+#: Further parameters of boosted trees, and the estimator's name for each.
+_BOOSTED = {"reg_lambda": "regLambda", "gamma": "gamma", "min_child_weight": "minChildWeight", "max_bin": "maxBins",
+            "colsample_bytree": "columnRate"}
 #: The pyspark.ml name that makes a default unnecessary.
 _NATIVE = {"n_estimators": ("numTrees", "maxIter"), "max_depth": ("maxDepth",), "learning_rate": ("stepSize",),
            "max_iter": ("maxIter",), "fit_intercept": ("fitIntercept",), "C": ("regParam",), "penalty": ("regParam",)}
@@ -84,6 +87,10 @@ def translate_params(model_type: str, params: dict | None, n_rows: int | None =
     """
     p = dict(params or {})
     out: dict = {}
+    boosted = model_type.startswith("xgboost")
+    for name, native in _BOOSTED.items() if boosted else ():
+        if name in p:
+            out[native] = p.pop(name)
     if "n_estimators" in p:
         out["numTrees" if "random_forest" in model_type else "maxIter"] = int(p.pop("n_estimators"))
     if "max_depth" in p:
@@ -91,6 +98,8 @@ def translate_params(model_type: str, params: dict | None, n_rows: int | None =
         if d is not None and int(d) > SPARK_MAX_DEPTH:
             raise ValueError(f"max_depth {d} is beyond Spark's limit of {SPARK_MAX_DEPTH}")
         out["maxDepth"] = SPARK_MAX_DEPTH if d is None else int(d)
+    if boosted and ("min_samples_leaf" in p or "min_samples_split" in p):
+        raise ValueError("boosted trees bound a child by min_child_weight")
     if "min_samples_leaf" in p:
         out["minInstancesPerNode"] = int(p.pop("min_samples_leaf"))
     if "min_samples_split" in p:
@@ -102,8 +111,6 @@ def translate_params(model_type: str, params: dict | None, n_rows: int | None =
         out["stepSize"] = float(p.pop("learning_rate"))
     if "subsample" in p:
         out["subsamplingRate"] = float(p.pop("subsample"))
-    if "colsample_bytree" in p:
-        out["featureSubsetStrategy"] = str(float(p.pop("colsample_bytree")))
     if "fit_intercept" in p:
         out["fitIntercept"] = bool(p.pop("fit_intercept"))
     if "normalize" in p:
@@ -135,7 +142,7 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int =
     if model_type == "random_forest_regressor":
         return RandomForestRegressor(**common, seed=seed, **params)
     if model_type == "xgboost_regressor":
-        return GBTRegressor(**common, seed=seed, **params)
+        return BoostedTrees(**common, objective="squared", seed=seed, **params)
     if model_type == "logistic_regression":
         params.setdefault("family", "auto")
         params.setdefault("standardization", False)  # penalty on raw coefficients, like C
@@ -143,12 +150,8 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int =
     if model_type == "random_forest_classifier":
         return RandomForestClassifier(**common, seed=seed, **params)
     if model_type == "xgboost_classifier":
-        gbt = GBTClassifier(**common, seed=seed, **params)
-        if n_classes > 2:
-            # the per-class binary fits are independent: run several at once
-            return OneVsRest(classifier=gbt, featuresCol=FEATURES_COL, labelCol=LABEL_COL,
-                             parallelism=min(n_classes, 8))
-        return gbt
+        objective = "softmax" if n_classes > 2 else "logistic"
+        return BoostedTrees(**common, objective=objective, numClasses=n_classes, seed=seed, **params)
     raise ValueError(f"Unsupported model type: {model_type}")
 
 
@@ -187,13 +190,10 @@ class FittedModel:
         return out.select(*cols, pred.alias("prediction"), *extra)
 
     def importances(self) -> list[tuple[str, float]]:
-        """(feature, importance), best first: impurity gains of trees (one-vs-rest:
-        their mean), absolute coefficients (several classes: their sum)."""
+        """(feature, importance), best first: impurity gains of trees, absolute
+        coefficients (several classes: their sum)."""
         est = self.pipeline.stages[-1]
-        if isinstance(est, OneVsRestModel):
-            parts = [m.featureImportances.toArray() for m in est.models]
-            vals = (sum(parts[1:], parts[0]) / len(parts)).tolist()
-        elif isinstance(est, LogisticRegressionModel):
+        if isinstance(est, LogisticRegressionModel):
             vals = abs(est.coefficientMatrix.toArray()).sum(axis=0).tolist()
         elif isinstance(est, LinearRegressionModel):
             vals = abs(est.coefficients.toArray()).tolist()
@@ -245,10 +245,14 @@ def add_label(df: DataFrame, target: str, problem: str, labels: list[str] | None
 
 def label_labels(df: DataFrame, target: str, problem: str) -> list[str] | None:
     """Sorted class names (numeric targets: by number).  They live on the driver,
-    as in any fitted indexer; a classifier keeps parameters per class as well."""
+    as in any fitted indexer; a classifier keeps parameters per class as well, so
+    a target of more than ``MAX_CLASSES`` values is refused."""
     if problem != "classification":
         return None
-    rows = df.select(_class_text(df, target).alias("v")).where(F.col("v").isNotNull()).distinct().collect()
+    found = df.select(_class_text(df, target).alias("v")).where(F.col("v").isNotNull()).distinct()
+    rows = found.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} distinct values; it is not a class")
     names = [r["v"] for r in rows]
     return sorted(names, key=float) if isinstance(df.schema[target].dataType, NumericType) else sorted(names)
 
@@ -290,6 +294,22 @@ def resolve_features(df: DataFrame, target: str, features: Sequence[str] | None)
     return list(features)
 
 
+def missing_values(df: DataFrame, features: Sequence[str]) -> dict[str, int]:
+    """Numeric features with nulls or NaN, and how many rows have them."""
+    def gap(c: str):  # noqa: ANN202
+        x = F.col(f"`{c}`")
+        return x.isNull() | F.isnan(x.cast("double"))
+    numeric = [c for c in features if isinstance(df.schema[c].dataType, (NumericType, BooleanType))]
+    if not numeric:
+        return {}
+    row = df.agg(*[F.count(F.when(gap(c), 1)).alias(f"_{i}") for i, c in enumerate(numeric)]).first()
+    return {c: n for c, n in zip(numeric, row) if n}
+
+
+#: More distinct targets than this are not classes.
+MAX_CLASSES = 10_000
+
+
 def fit_pipeline(df: DataFrame, target: str, model_type: str,
                  features: Sequence[str] | None = None, params: dict | None = None,
                  n_rows: int | None = None) -> FittedModel:
@@ -305,7 +325,14 @@ def fit_pipeline(df: DataFrame, target: str, model_type: str,
     sp = translate_params(model_type, given, n_rows)
     stages, assembled = feature_stages(df, feats)
     est = make_estimator(model_type, sp, n_classes)
-    pipe = Pipeline(stages=stages + [est]).fit(data)
+    try:
+        pipe = Pipeline(stages=stages + [est]).fit(data)
+    except Exception as e:
+        gaps = {} if model_type.startswith("xgboost") else missing_values(data, feats)
+        if gaps:
+            listed = ", ".join(f"{c} ({n} rows)" for c, n in gaps.items())
+            raise ValueError(f"{model_type} takes no nulls or NaN; fill or remove them in: {listed}") from e
+        raise
     return FittedModel(pipe, model_type, target, feats, problem, labels,
                        {"assembled": feats, "n_classes": n_classes, "params": sp,
                         "numeric_label": isinstance(df.schema[target].dataType, NumericType)})

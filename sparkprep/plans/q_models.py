@@ -7,6 +7,9 @@ closed form (one-feature least squares) or the operator is pure rules.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,12 +158,70 @@ def est2_rf_reg(spark: SparkSession, sf: str) -> DataFrame:
     return _checks(spark, lineitem_features(spark, sf), "l_extendedprice", "random_forest_regressor", "row_key", {"max_depth": 6})
 
 
-@register("est3_boosted_regressor", _LI_CHECK.replace("'outside_domain', 0", "'outside_domain', NULL"))
+#: Best first split of boosted trees, from (c, i, f, v, g, h): class, feature, value, derivatives of the training rows.
+#: Features of at most 254 values are cut at each but the least, others at the values of rank j n / 254.
+_ROOT_SQL = """
+n AS (SELECT c, i, f, count(DISTINCT v) AS values, count(v) AS n, min(v) AS least, sum(g) AS g, sum(h) AS h,
+        coalesce(sum(g) FILTER (v IS NULL), 0) AS ng, coalesce(sum(h) FILTER (v IS NULL), 0) AS nh FROM long GROUP BY 1, 2, 3),
+ranked AS (SELECT i, v, row_number() OVER (PARTITION BY i ORDER BY v) AS r FROM long WHERE c = 0 AND v IS NOT NULL),
+cut AS (SELECT DISTINCT n.c, n.i, v AS cut FROM ranked JOIN n USING (i)
+        WHERE CASE WHEN n.values <= 254 THEN v > n.least
+                   ELSE r IN (SELECT CAST(ceil(j * n.n / 254.0) AS BIGINT) FROM range(1, 254) t(j)) END
+        UNION ALL SELECT c, i, CAST('inf' AS DOUBLE) FROM n),
+lefts AS (SELECT cut.c, cut.i, cut.cut, coalesce(sum(g), 0) AS gl, coalesce(sum(h), 0) AS hl FROM cut
+          LEFT JOIN long ON long.c = cut.c AND long.i = cut.i AND long.v < cut.cut GROUP BY 1, 2, 3),
+sides AS (SELECT n.*, cut, side, gl + CASE WHEN side THEN ng ELSE 0 END AS gl, hl + CASE WHEN side THEN nh ELSE 0 END AS hl
+          FROM lefts JOIN n USING (c, i), (VALUES (false), (true)) w(side) WHERE NOT side OR nh > 0),
+gains AS (SELECT *, (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) / 2 AS gain
+          FROM sides WHERE hl >= 1 AND h - hl >= 1),
+best AS (SELECT * FROM gains WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY c ORDER BY round(log10(gain), 8) DESC, i, side, cut) = 1)"""
+_ROOT_COLUMNS = """SELECT CAST(c AS INTEGER) AS class, f AS feature, round(cut, 6) AS threshold, CAST(side AS INTEGER) AS null_left,
+  round(log10(gain), 6) AS log_gain, round(hl, 4) AS left_cover, round(h - hl, 4) AS right_cover, """
+
+
+def _root_splits(spark: SparkSession, df: DataFrame, target: str, model_type: str, key: str) -> DataFrame:
+    """Default fit on the training rows: the root of every first tree, the rounds,
+    and how many of all rows have probabilities (or a value) as they should."""
+    split = encode.train_test_split(df, key)
+    feats = [c for c in df.columns if c not in (key, target)]
+    fitted = models.fit_pipeline(split.where("split = 'train'"), target, model_type, feats)
+    model = fitted.pipeline.stages[-1].fitted
+    scored = fitted.transform(df)
+    if fitted.problem == "regression":
+        whole = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    else:
+        p = vector_to_array("probability")
+        whole = F.abs(F.aggregate(p, F.lit(0.0), lambda s, x: s + x) - 1) < 1e-9
+    n = scored.where(whole).count()
+    rows = []
+    for c, t in enumerate(model["rounds"][0]):
+        if t["feature"][0] < 0:  # no split gains anything
+            continue
+        left, right = t["cover"][t["left"][0]], t["cover"][t["right"][0]]
+        rows.append((c, feats[t["feature"][0]], round(t["threshold"][0], 6), int(t["null_left"][0]), round(math.log10(t["gain"][0]), 6),
+                     round(left, 4), round(right, 4), len(model["rounds"]), n))
+    return spark.createDataFrame(rows, "class int, feature string, threshold double, null_left int, log_gain double, "
+                                       "left_cover double, right_cover double, rounds int, whole_rows bigint")
+
+
+def lineitem_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Taxes of nothing and every sixth quantity are unknown."""
+    df = lineitem_features(spark, sf)
+    return (df.withColumn("l_tax", F.expr("nullif(l_tax, 0.0)"))
+            .withColumn("l_quantity", F.when(F.col("row_key") % 6 != 0, F.col("l_quantity"))))
+
+
+@register("est3_boosted_regressor", f"""WITH s AS (
+  SELECT CASE WHEN ({ROW_KEY}) % 6 <> 0 THEN CAST(l_quantity AS DOUBLE) END AS l_quantity, CAST(l_discount AS DOUBLE) AS l_discount,
+         nullif(CAST(l_tax AS DOUBLE), 0) AS l_tax, l_returnflag, l_extendedprice AS y, {split_hash_sql(ROW_KEY)} < {CUT} AS test FROM lineitem),
+flag AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS code FROM s WHERE NOT test GROUP BY 1),
+r AS (SELECT s.*, code, (SELECT avg(y) FROM s WHERE NOT test) - y AS g FROM s JOIN flag USING (l_returnflag) WHERE NOT test),
+long AS (SELECT 0 AS c, 0 AS i, 'l_quantity' AS f, l_quantity AS v, g, 1.0::DOUBLE AS h FROM r
+         UNION ALL SELECT 0, 1, 'l_discount', l_discount, g, 1 FROM r UNION ALL SELECT 0, 2, 'l_tax', l_tax, g, 1 FROM r
+         UNION ALL SELECT 0, 3, 'l_returnflag', code, g, 1 FROM r), {_ROOT_SQL}
+{_ROOT_COLUMNS} 100 AS rounds, (SELECT count(*) FROM s) AS whole_rows FROM best""")
 def est3_gbt_reg(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted sums may leave the target's range, so that check is left open."""
-    out = _checks(spark, lineitem_features(spark, sf), "l_extendedprice", "xgboost_regressor", "row_key",
-                  {"n_estimators": 30, "max_depth": 4})
-    return out.withColumn("value", F.when(F.col("name") != "outside_domain", F.col("value")))
+    return _root_splits(spark, lineitem_with_gaps(spark, sf), "l_extendedprice", "xgboost_regressor", "row_key")
 
 
 @register("est4_logistic_regression")
@@ -175,16 +236,32 @@ def est5_rf_cls(spark: SparkSession, sf: str) -> DataFrame:
     return _checks(spark, embedding_features(spark, sf), "label", "random_forest_classifier", "vec_id", {"max_depth": 8})
 
 
-@register("est6_boosted_classifier_multiclass", _VEC_CHECK)
+@register("est6_boosted_classifier_multiclass", f"""WITH s AS (
+  SELECT vec_id, label, embedding FROM embeddings WHERE {split_hash_sql('vec_id')} >= {CUT}),
+x AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, 64)) AS i FROM s),
+classes AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS c, count(*) OVER () AS k
+            FROM (SELECT DISTINCT label FROM s)),
+long AS (SELECT k.c, i, 'e' || i AS f, v, 1.0 / k - (x.label = k.label)::INTEGER::DOUBLE AS g, 1.0 / k * (1 - 1.0 / k) AS h
+         FROM x, classes k), {_ROOT_SQL}
+{_ROOT_COLUMNS} 100 AS rounds, (SELECT count(*) FROM embeddings) AS whole_rows FROM best""")
 def est6_gbt_cls(spark: SparkSession, sf: str) -> DataFrame:
-    return _checks(spark, embedding_features(spark, sf), "label", "xgboost_classifier", "vec_id",
-                   {"n_estimators": 5, "max_depth": 3})
+    return _root_splits(spark, embedding_features(spark, sf), "label", "xgboost_classifier", "vec_id")
 
 
-@register("est6_boosted_classifier_binary", _DOC_CHECK)
+@register("est6_boosted_classifier_binary", f"""WITH s AS (
+  SELECT CASE WHEN ({ROW_KEY}) % 6 <> 0 THEN CAST(l_quantity AS DOUBLE) END AS l_quantity, CAST(l_discount AS DOUBLE) AS l_discount,
+         nullif(CAST(l_tax AS DOUBLE), 0) AS l_tax, l_returnflag, 0.5::DOUBLE - (l_extendedprice > 30000)::INTEGER AS g,
+         {split_hash_sql(ROW_KEY)} < {CUT} AS test FROM lineitem),
+flag AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS code FROM s WHERE NOT test GROUP BY 1),
+r AS (SELECT s.*, code FROM s JOIN flag USING (l_returnflag) WHERE NOT test),
+long AS (SELECT 0 AS c, 0 AS i, 'l_quantity' AS f, l_quantity AS v, g, 0.25::DOUBLE AS h FROM r
+         UNION ALL SELECT 0, 1, 'l_discount', l_discount, g, 0.25 FROM r UNION ALL SELECT 0, 2, 'l_tax', l_tax, g, 0.25 FROM r
+         UNION ALL SELECT 0, 3, 'l_returnflag', code, g, 0.25 FROM r), {_ROOT_SQL}
+{_ROOT_COLUMNS} 100 AS rounds, (SELECT count(*) FROM s) AS whole_rows FROM best""")
 def est6_gbt_binary(spark: SparkSession, sf: str) -> DataFrame:
-    return _checks(spark, document_features(spark, sf), "quality", "xgboost_classifier", "doc_id",
-                   {"n_estimators": 20, "max_depth": 3})
+    dear = (F.col("l_extendedprice") > 30000).cast("int").alias("dear")
+    df = lineitem_with_gaps(spark, sf).select("row_key", "l_quantity", "l_discount", "l_tax", "l_returnflag", dear)
+    return _root_splits(spark, df, "dear", "xgboost_classifier", "row_key")
 
 
 # ------------------------------ recommend ---------------------------------
