@@ -41,11 +41,11 @@ def _offsets(totals: DataFrame, key: str, columns: Sequence[str], names: Sequenc
     """Sums of the partitions before each, as a table to broadcast (one row per
     range partition, so its size is the shuffle's partition count)."""
     spark = totals.sparkSession
-    rows, acc = [], [0] * len(columns)
+    kinds = [totals.schema[c].dataType.simpleString() for c in columns]
+    rows, acc = [], [0.0 if k in ("double", "float") else 0 for k in kinds]
     for r in totals.orderBy(key).collect():
         rows.append((int(r[key]), *acc))
         acc = [x + (r[c] or 0) for x, c in zip(acc, columns)]
-    kinds = [totals.schema[c].dataType.simpleString() for c in columns]
     schema = ", ".join([f"{key} bigint", *[f"{n} {k}" for n, k in zip(names, kinds)]])
     return F.broadcast(spark.createDataFrame(rows, schema))
 
