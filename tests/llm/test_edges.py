@@ -72,7 +72,7 @@ def test_densification_is_unbiased():
 def test_top_k(spark):
     rows = [(0, [0.5, 0.5]), (50, [1.0, -1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [float("nan"), 1.0]),
             (5, [None, 1.0]), (6, [1.0]), (7, []), (8, [float("inf"), 0.0]), (None, [1.0, 1.0]), (0, [0.5, 0.5]),
-            (9, [1e30, 1.0]), (10, [-0.001, 0.003])]
+            (9, [-1e30, 1.0]), (10, [-0.001, 0.003])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit(1))
     got = topk.search(df, F.col("vec_id") % 50 == 0, k=3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [
@@ -88,6 +88,16 @@ def test_top_k(spark):
         assert r.vec_id == np.argsort(-score, kind="stable")[r["rank"] - 1] and r.score == score[r.vec_id]
 
 
+def test_top_k_keeps_every_finite_vector(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e8, 0.0]), (2, [3.0, 3.0]), (3, [-1e300, 1e-300]), (4, [2.0**53, -(2.0**52)])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = topk.search(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    want = sorted(((int(a * 256) * 256 + int(b * 256) * 512, -i) for i, (a, b) in rows[1:]), reverse=True)
+    assert [(r.score, -r.vec_id) for r in got] == want[:3] and got[0].score == 256 * 256 * 10**8
+    with pytest.raises(Exception, match="BIGINT"):  # the fourth score, -6.5e304, is no bigint
+        topk.search(df, F.col("vec_id") == 0, k=4).collect()
+
+
 def test_url_filter(spark):
     rows = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.COM/en/x?y#z"), (4, "http://example.com"), (5, "x://a.net/fr/" + "p" * 5000),
             (6, "http://?q"), (1, None), (None, "http://b.org/é")]
