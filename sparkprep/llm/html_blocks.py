@@ -8,7 +8,7 @@ import re
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<svg(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?<=/>)"  # closed by itself
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object)(?=[\s/>])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>?).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?a-zA-Z][^>]*>",
     re.DOTALL | re.IGNORECASE)

@@ -269,7 +269,7 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     rng = np.random.Generator(np.random.PCG64(SEED))
     documents = []
     for r in rows:
-        blocks = leaf_blocks(r["html"])[:400]
+        blocks = leaf_blocks(r["html"])
         if blocks:
             documents += [blocks, *(_varied(blocks, rng) for _ in range(VARIANTS))]
     labeller = Labeller()
