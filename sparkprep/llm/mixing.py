@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
+from sparkprep.functions.ordinal import prefix_sums
 from sparkprep.llm.common import BROADCAST_BYTES, packed, rank_in_group, unpacked, word_count
 
-MAX_ROUNDS = 10_000
-
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """One row per source: source_size, weight, target.
 
     Sources take the weights in code-point order (null last), repeating.  All
     share ``share`` times the total size; a target stops at ``cap`` times its
-    source's size and the excess goes to the others by weight.  Every round
-    is one aggregate over the table of sources that brings back two sums, and
-    only ever adds capped sources, so it ends.
+    source's size and the excess goes to the others by weight.  With sources in
+    the order of limit / weight, those that stop come first: a source stops
+    while the level that its predecessors leave to the rest is above its ratio.
+    Prefix sums over range partitions of that order give every level, and the
+    smallest one that does not stop its source is the level of all.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = rank_in_group(sources.withColumn("_all", F.lit(0)), ["_all"],
@@ -28,19 +29,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                           (F.col("_rank") % len(weights) + 1).cast("int"))
     ranked = materialize(ranked.select("source", "source_size", weight.alias("weight")), "sources")
-    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    row = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    whole = float(share) * (row["size"] or 0)
     limit = F.col("source_size") * F.lit(float(cap))
-    level, capped = 0.0, -1
-    for _ in range(MAX_ROUNDS):
-        full = (limit <= F.col("weight") * F.lit(level)) if capped >= 0 else F.lit(False)
-        row = ranked.agg(F.count(F.when(full, 1)).alias("n"),
-                         F.sum(F.when(full, limit)).alias("held"),
-                         F.sum(F.when(~full, F.col("weight"))).alias("weight")).first()
-        if row["n"] == capped or not row["weight"]:
-            break
-        capped = row["n"]
-        level = (float(share) * total - (row["held"] or 0.0)) / row["weight"]
-    target = F.least(limit, F.col("weight") * F.lit(level))
+    order = ranked.withColumn("limit", limit).withColumn("ratio", F.col("limit") / F.col("weight"))
+    sums = prefix_sums(order, ["ratio", F.col("source").asc_nulls_last()], ["limit", "weight"], "upto_")
+    before, left = F.col("upto_limit") - F.col("limit"), F.lit(row["weight"]) - F.col("upto_weight") + F.col("weight")
+    level = (F.lit(whole) - before) / left
+    # the first source that its level does not stop sets the level of it and of all after it
+    open_ = sums.select("ratio", level.alias("level")).where(F.col("level") < F.col("ratio"))
+    first = open_.agg(F.min(F.struct("ratio", "level")).alias("s")).first()["s"] if row["weight"] else None
+    target = F.least(limit, F.col("weight") * F.lit(first["level"])) if first else limit
     return ranked.withColumn("target", F.greatest(target, F.lit(0.0)))
 
 
