@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
 from sparkprep.llm.bytehash import Hasher, mix
-from sparkprep.llm.common import byte_groups, packed, row_key, utf8
+from sparkprep.llm.common import WORD, byte_groups, packed, row_key, utf8
 
 MATCH = 400
 SEED_BYTES = 48
@@ -270,14 +270,26 @@ def kept_parts(strings: DataFrame, match: int = MATCH) -> DataFrame:
                        "spans")
 
 
+def whole_words(data: Column, lo: Column, hi: Column) -> Column:
+    """Number of words of the bytes that lie wholly in lo..hi (0-based, end excluded)."""
+    def piece(start: Column, n: Column) -> Column:
+        return F.substring(data, (start + 1).cast("int"), n.cast("int")).cast("string")
+    inside = F.regexp_count(piece(lo, hi - lo), F.lit(WORD))
+    # a word that goes on beyond either end is not whole
+    cut_first = (lo > 0) & piece(lo - 1, F.lit(2)).rlike(f"^{WORD}$")
+    cut_last = (hi < F.octet_length(data)) & piece(hi - 1, F.lit(2)).rlike(f"^{WORD}$")
+    return F.greatest(inside - cut_first.cast("int") - cut_last.cast("int"), F.lit(0))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH,
-                   seed_bytes: int = SEED_BYTES, batches: int = BATCHES) -> DataFrame:
+                   seed_bytes: int = SEED_BYTES, batches: int = BATCHES, min_words: int = 0) -> DataFrame:
     """``docs`` (as struct ``_row``) with ``spans`` (removed byte runs), ``parts`` (remaining byte
     strings, in order), ``n_bytes``, ``n_removed``.
 
     A byte is removed if a ``match``-byte string over it also starts anywhere
     else, in another document or this one; strings never cross documents and
-    are judged on the input.  Null texts read as empty; repeated rows are each
+    are judged on the input.  With ``min_words``, only runs of so many whole words
+    go.  Null texts read as empty; repeated rows are each
     other's copies; texts shorter than ``match`` stay whole; an empty table
     gives an empty result.
     """
@@ -287,6 +299,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = docs.select(packed(docs), *row_key(id_col, text_col), F.encode(text, "UTF-8").alias("_bytes"))
     joined = _joined_lists(marked, spans, "_spans", "left")
     spans_ = F.coalesce(F.col("_spans"), F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
+    if min_words:
+        spans_ = F.filter(spans_, lambda s: whole_words(F.col("_bytes"), s["lo"], s["hi"]) >= F.lit(min_words))
     n = F.octet_length("_bytes").cast("bigint")
     # a part starts at 0 and at every run's end, and stops at the next run's start or the end
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("spans", lambda s: s["hi"]))

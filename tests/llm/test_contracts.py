@@ -213,7 +213,13 @@ def test_pipeline_stages(spark, docs, tmp_path):
     label = components(np.array([simhash(t) for t in known.text], np.uint64), known.doc_id.to_numpy())
     assert sorted(single.doc_id) == sorted(set(label))
     single = single.sort_values("doc_id", ignore_index=True)
-    gone = repeated_bytes([t.encode() for t in single.text], 400)
+    gone = repeated_bytes([t.encode() for t in single.text], corpus_pipeline.REPEAT_BYTES)
+    for t, g in zip(single.text, gone):
+        words = [m.span() for m in re.finditer(WORD.pattern.encode(), t.encode())]
+        edge = np.flatnonzero(np.diff(np.r_[0, g.astype(int), 0]))
+        for lo, hi in zip(edge[::2], edge[1::2]):
+            if sum(lo <= a and b <= hi for a, b in words) <= 50:
+                g[lo:hi] = False
     for t, g, row in zip(single.text, gone, cut.sort_values("doc_id").itertuples()):
         kept = np.frombuffer(t.encode(), np.uint8)[~g].tobytes()
         assert row.text == kept.decode(errors="ignore") and row.n_chars == len(row.text)
