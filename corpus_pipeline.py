@@ -25,7 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rejects texts without letters and texts that no language explains better
     than chance.  The declared language is the column ``lang``, the host the
-    column ``source``.
+    column ``source``.  Rows of one doc_id and text are decided alike, whatever
+    they declare; null texts have no letters; further columns are carried.
     """
     model = langid.fit_text_model(docs)
     none = F.lit(None).cast("string")
@@ -54,9 +55,20 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return (kept.dropDuplicates(["_d", "_t"]) if repeated else kept).select(*unpacked(docs.columns))
 
 
+#: A run of text that occurs again goes if it has more than 50 words.  Strings of so many
+#: bytes are compared: 51 words of prose are longer (285 bytes at least in the test documents).
+REPEAT_WORDS = 51
+REPEAT_BYTES = 224
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long strings that occur more than once."""
-    cut = suffix_dedup.remove_repeats(docs)
+    """Texts without the passages of over 50 words that occur more than once.
+
+    A run of fewer whole words stays, and so does one of under ``REPEAT_BYTES``
+    bytes.  Null and empty texts stay as they are; repeated rows are each other's
+    copies; an empty table gives an empty result; further columns are carried.
+    """
+    cut = suffix_dedup.remove_repeats(docs, match=REPEAT_BYTES, min_words=REPEAT_WORDS)
     changed = F.col("n_removed") > 0
     text = suffix_dedup.joined_text(F.col("parts"))
     row = F.col("_row").withField("text", text)
@@ -66,12 +78,20 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Null and empty texts have size 0; a null source is a source of its own;
+    repeated rows are taken each by its own copies; further columns are carried.
+    """
     return mixing.apply_mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its place in a training sequence."""
+    """One row per piece of a document, with its place in a training sequence.
+
+    A null text is an empty one; repeated rows are packed each; an empty table
+    gives an empty result; further columns are not read.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
