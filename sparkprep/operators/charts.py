@@ -50,6 +50,50 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
+KDE_CELLS = 64           # cells a bandwidth
+KDE_REACH = 9.0          # bandwidths beyond which a kernel is under 1e-17 of its height
+
+
+def kde_binned(df: DataFrame, column: str, grid_points: int = 200, cells: int = KDE_CELLS, bandwidth: float | None = None,
+               cut: float = 3.0) -> DataFrame:
+    """(grid_index, x, density) as ``kde``, with work bounded by cells, not by values.
+
+    Every value's weight is split linearly between the two nearest nodes of a
+    fine grid (``cells`` a bandwidth h); the nodes' sums are then met with the
+    kernel, each node with the grid points in reach.  Linear interpolation of the
+    kernel errs by at most an eighth of the squared node distance times its
+    largest second derivative, so the density errs by at most
+    phi(0) / (8 * cells**2 * h), phi(0) = 0.3989: 0.000012 / h by default.
+    """
+    x = finite_number(column)
+    s = one_row(df, {"n": F.count(x), "mn": F.min(x), "mx": F.max(x), "sd": F.stddev_samp(x)})
+    spark = df.sparkSession
+    n, lo, hi, sd = s["n"], s["mn"], s["mx"], s["sd"]
+    if not n or sd is None or sd == 0.0 or hi == lo:
+        return spark.createDataFrame([], "grid_index int, x double, density double")
+    h = bandwidth or sd * n ** (-0.2)
+    glo, ghi = lo - cut * h, hi + cut * h
+    gstep, width = (ghi - glo) / (grid_points - 1), h / cells
+    at = (x - F.lit(lo)) / F.lit(width)
+    node = F.floor(at)
+    parts = df.where(x.isNotNull()).select(node.alias("node"), (at - node).alias("w"))
+    # both shares of a cell are sums over its values, so each cell is one row
+    sums = parts.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    ends = F.array(F.struct("node", (F.col("n") - F.col("w")).alias("w")), F.struct((F.col("node") + 1).alias("node"), "w"))
+    nodes = sums.select(F.explode(ends).alias("e")).select("e.node", "e.w").groupBy("node").agg(F.sum("w").alias("w"))
+    v = F.lit(lo) + F.col("node").cast("double") * F.lit(width)
+    first = F.greatest(F.lit(0), F.ceil((v - F.lit(KDE_REACH * h + glo)) / F.lit(gstep)).cast("int"))
+    last = F.least(F.lit(grid_points - 1), F.floor((v + F.lit(KDE_REACH * h - glo)) / F.lit(gstep)).cast("int"))
+    met = nodes.where(first <= last).select("w", v.alias("v"), F.explode(F.sequence(first, last)).alias("grid_index"))
+    gx = F.lit(glo) + F.col("grid_index").cast("double") * F.lit(gstep)
+    z = (gx - F.col("v")) / F.lit(h)
+    dens = met.groupBy("grid_index").agg(F.sum(F.col("w") * F.exp(F.lit(-0.5) * z * z)).alias("w"))
+    grid = spark.range(grid_points).select(F.col("id").cast("int").alias("grid_index"))
+    norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
+    return (grid.join(F.broadcast(dens), "grid_index", "left")
+            .select("grid_index", gx.alias("x"), (F.coalesce("w", F.lit(0.0)) * F.lit(norm)).alias("density")))
+
+
 def kde(df: DataFrame, column: str, grid_points: int = 200, cell_width: float | None = None,
         bandwidth: float | None = None, cut: float = 3.0) -> DataFrame:
     """(grid_index, x, density) of a Gaussian KDE evaluated on a grid.

@@ -250,6 +250,42 @@ def target_encode(df: DataFrame, column: str, target: str, smoothing: float = 10
     return out.withColumn(f"{column}{suffix}", F.coalesce(F.col(f"{column}{suffix}"), F.lit(g)))
 
 
+def target_encode_folds(df: DataFrame, column: str, target: str, key: str, folds: int = 5, smoothing: float = 10.0, seed: int = 42,
+                        suffix: str = "_te") -> tuple[DataFrame, DataFrame]:
+    """(``df`` with ``<c>_te``, fitted table): every row is encoded from the other folds.
+
+    Sums are taken once per (category, fold); a row's code is the smoothed mean
+    of its category's sums less those of its own fold, so its target is not in
+    its feature.  A category that the other folds do not have gets their mean,
+    null is a category like any other, and null targets count nowhere.  The
+    table (category, value) is what ``target_encode`` would give: it encodes rows
+    that took no part in the fit.
+    """
+    from sparkprep.operators.encode import kfold
+    y, fold = F.col(f"`{target}`").cast("double"), "_te_fold"
+    data = kfold(df, key, folds, seed, fold)
+    sums = materialize(data.groupBy(F.col(f"`{column}`").alias("_c"), F.col(fold)).agg(F.count(y).alias("_n"), F.sum(y).alias("_s")), "sums")
+    rest = {r[fold]: (r["n"], r["s"]) for r in sums.groupBy(fold).agg(F.sum("_n").alias("n"), F.sum("_s").alias("s")).collect()}
+    n, s = (sum(v[i] or 0 for v in rest.values()) for i in range(2))
+
+    def mean(count: float, total: float) -> float | None:
+        return total / count if count else None
+    base = F.create_map(*[x for f in range(folds) for x in (
+        F.lit(f), F.lit(mean(n - (rest.get(f, (0, 0))[0] or 0), s - (rest.get(f, (0, 0))[1] or 0))).cast("double"))])
+    m = F.lit(float(smoothing))
+    whole = sums.groupBy("_c").agg(F.sum("_n").alias("_an"), F.sum("_s").alias("_as"))
+    own = sums.alias("o").join(whole.alias("w"), F.col("o._c").eqNullSafe(F.col("w._c")))
+    left_n = F.col("w._an") - F.col("o._n")
+    left_s = F.coalesce("w._as", F.lit(0.0)) - F.coalesce("o._s", F.lit(0.0))
+    value = F.try_divide(left_s + m * base[F.col(f"o.{fold}")], left_n + m)
+    table = own.select(F.col("o._c").alias(column), F.col(f"o.{fold}").alias(fold), F.when(left_n > 0, value).alias(f"{column}{suffix}"))
+    out = join_small(data.drop(f"{column}{suffix}"), table, [column, fold])
+    out = out.withColumn(f"{column}{suffix}", F.coalesce(F.col(f"{column}{suffix}"), base[F.col(fold)])).drop(fold)
+    fitted = whole.where(F.col("_an") > 0).select(F.col("_c").alias(column), ((F.col("_as") + m * F.lit(mean(n, s))) / (F.col("_an") + m))
+                                                  .alias(f"{column}{suffix}"))
+    return out, fitted
+
+
 DATETIME_PARTS = ("year", "quarter", "month", "day", "dayofweek", "weekofyear", "hour", "is_weekend")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType, T
 
 from sparkprep.operators import metrics as M
 from sparkprep.operators.boosting import BoostedTrees
+from sparkprep.operators.table_encoder import TableIndexer
 
 MODEL_TABLE = {
     "linear_regression": "regression",
@@ -62,6 +63,7 @@ DEFAULTS = {
     "xgboost_regressor": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
     "xgboost_classifier": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 6},
 }
+MAX_LABELS = 100_000  # values of a text feature that a fitted indexer keeps on the driver
 SPARK_MAX_DEPTH = 30  # pyspark.ml grows no deeper tree
 #: Further parameters of boosted trees, and the estimator's name for each.
 _BOOSTED = {"reg_lambda": "regLambda", "gamma": "gamma", "min_child_weight": "minChildWeight", "max_bin": "maxBins",
@@ -259,7 +261,8 @@ def label_labels(df: DataFrame, target: str, problem: str) -> list[str] | None:
 
 def feature_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[str]]:
     """String features -> one multi-column StringIndexer (a single pass over
-    the data for all of them); numeric/boolean features pass through."""
+    the data for all of them), those of more than ``MAX_LABELS`` values a
+    ``TableIndexer`` each; numeric/boolean features pass through."""
     stages, assembled, strings = [], [], []
     for c in features:
         t = df.schema[c].dataType
@@ -273,8 +276,13 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> tuple[list, list[s
         else:
             raise ValueError(f"feature {c} has unsupported type {t.simpleString()}")
     if strings:
-        stages.append(StringIndexer(inputCols=strings, outputCols=[f"{c}__idx" for c in strings],
-                                    stringOrderType="alphabetAsc", handleInvalid="keep"))
+        sizes = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(strings)]).first()
+        few = [c for c, n in zip(strings, sizes) if n <= MAX_LABELS]
+        if few:
+            stages.append(StringIndexer(inputCols=few, outputCols=[f"{c}__idx" for c in few],
+                                        stringOrderType="alphabetAsc", handleInvalid="keep"))
+        # the map of a column of many values stays a table
+        stages += [TableIndexer(c, f"{c}__idx") for c in strings if c not in few]
         # codes are plain numbers to every model (arithmetic drops the nominal metadata, and
         # with it the trees' limit of maxBins categories)
         codes = ", ".join(f"`{c}__idx` + 0.0D AS `{c}__code`" for c in strings)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DateType, DoubleType, FloatType, NumericType, StringType, TimestampNTZType,
                                TimestampType)
@@ -59,42 +63,53 @@ def feature_types(df: DataFrame, text_min_avg_tokens: float = TEXT_MIN_AVG_TOKEN
     return df.sparkSession.createDataFrame(rows, "position int, column string, kind string")
 
 
-def _as_text(df: DataFrame, c: str):  # noqa: ANN202
+def as_text(df: DataFrame, c: str):  # noqa: ANN202
     x = F.col(c)
     if isinstance(df.schema[c].dataType, (DoubleType, FloatType)):
         x = F.when(x == 0, F.lit(0.0)).otherwise(x)  # -0.0 and 0.0 are one value
     return x.cast("string")
 
 
+def least_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """(column, least): the ``k`` least distinct values as text, ascending.  One scan:
+    a task sends at most ``k`` values a column."""
+    cols = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[bytes]] = [[] for _ in cols]
+        for batch in batches:
+            for i in range(len(cols)):
+                found = pc.unique(pc.drop_null(batch.column(i).cast(pa.binary())))
+                if len(held[i]) == k and k:
+                    found = found.filter(pc.less(found, pa.scalar(held[i][-1], pa.binary())))
+                held[i] = sorted({*held[i], *found.take(pc.array_sort_indices(found)[:k]).to_pylist()})[:k]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, h in enumerate(held) for _ in h], pa.int32()),
+                                          pa.array([v.decode() for h in held for v in h], pa.string())], names=["i", "v"])
+    found = df.select(*[as_text(df, c).alias(f"_{i}") for i, c in enumerate(cols)]).mapInArrow(run, "i int, v string")
+    ranked = found.distinct().withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("v"))).where(F.col("r") <= k)
+    lists = ranked.groupBy("i").agg(F.array_sort(F.collect_list("v")).alias("least"))
+    return lists.select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("column"), "least")
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, samples: int = 3,
                    exact_distinct: bool = False) -> DataFrame:
     """(column, non_null, distinct, sample_values) per column.
 
     One narrow aggregate counts all columns (distinct values by HyperLogLog);
-    the ``samples`` smallest values (as text) take one more each: the minimum of
-    what lies above the one before.  ``exact_distinct`` counts distinct values
+    one more scan finds the ``samples`` smallest values (as text) of all of them.
+    ``exact_distinct`` counts distinct values
     exactly: the (column, value) pairs are then de-duplicated in a shuffle, once
     for all columns.
     """
     cols = list(columns or df.columns)
-    texts = {c: _as_text(df, c) for c in cols}
+    texts = {c: as_text(df, c) for c in cols}
     aggs = [F.count(F.col(c)).alias(f"nn{i}") for i, c in enumerate(cols)]
     if not exact_distinct:
         aggs += [F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
-    found: dict[str, list[str]] = {c: [] for c in cols}
-    row = df.agg(*aggs, *[F.min(texts[c]).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*aggs).first()
     stats = {c: (row[f"nn{i}"], None if exact_distinct else row[f"d{i}"]) for i, c in enumerate(cols)}
-    lowest = {c: row[f"m{i}"] for i, c in enumerate(cols)}
-    for k in range(samples):
-        for c in cols:
-            if lowest[c] is not None:
-                found[c].append(lowest[c])
-        open_ = [c for c in cols if lowest[c] is not None]
-        if not open_ or k == samples - 1:
-            break
-        row = df.agg(*[F.min(F.when(texts[c] > F.lit(lowest[c]), texts[c])).alias(f"m{i}") for i, c in enumerate(open_)]).first()
-        lowest = dict.fromkeys(cols) | {c: row[f"m{i}"] for i, c in enumerate(open_)}
-    rows = [(c, stats[c][0], stats[c][1], found[c] or None) for c in cols]
+    found = {r["column"]: r["least"] for r in least_values(df, cols, samples).collect()}
+    rows = [(c, stats[c][0], stats[c][1], found.get(c)) for c in cols]
     out = df.sparkSession.createDataFrame(rows, "column string, non_null bigint, distinct bigint, sample_values array<string>")
     if exact_distinct:
         long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), texts[c].alias("value")) for c in cols])).alias("e"))
@@ -153,3 +168,7 @@ def project(df: DataFrame, target: str, features: Sequence[str] | None = None) -
     if missing:
         raise ValueError(f"no feature columns {missing}")
     return df.select(*features, target)
+
+
+# tasks get this module with the functions that use it, so a cluster needs no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

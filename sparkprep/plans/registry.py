@@ -72,5 +72,5 @@ def flagship_prep_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_all() -> None:
     """Import every query module (each registers its queries on import)."""
     import importlib
-    for mod in ("q_clean", "q_features", "q_gaps", "q_io", "q_models", "q_profile", "q_scores", "q_text", "q_viz"):
+    for mod in ("q_clean", "q_features", "q_gaps", "q_growth", "q_io", "q_models", "q_profile", "q_scores", "q_text", "q_viz"):
         importlib.import_module(f"sparkprep.plans.{mod}")
