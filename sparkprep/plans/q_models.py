@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkprep.functions.exprs import HASH_MOD, round_all, split_hash_sql
@@ -148,14 +148,68 @@ def _checks_sql(src: str, key: str) -> str:
             "UNION ALL SELECT 'outside_domain', 0 UNION ALL SELECT 'importance_sum', 1 UNION ALL SELECT 'beats_baseline', 1")
 
 
+def _stump(spark: SparkSession, df: DataFrame, target: str, model_type: str, key: str) -> DataFrame:
+    """Leaves of one tree of depth 1 grown on all training rows: for every leaf the
+    number of those rows and their mean (a regressor) or share of the first class."""
+    train = encode.train_test_split(df, key).where("split = 'train'").drop("split")
+    feats = [c for c in df.columns if c not in (key, target)]
+    fitted = models.fit_pipeline(train, target, model_type, feats, {"n_estimators": 1, "max_depth": 1, "bootstrap": False,
+                                                                    "featureSubsetStrategy": "all", "maxBins": 64})
+    scored = fitted.transform(train)
+    value = F.col("prediction") if fitted.problem == "regression" else vector_to_array("probability")[0]
+    leaves = scored.groupBy(F.round(value, 6).alias("value")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    leaves = leaves.withColumn("side", F.row_number().over(Window.orderBy("value")).cast("string"))  # two rows
+    return leaves.select(F.explode(F.array(
+        F.struct(F.concat(F.lit("stump_value_"), "side").alias("name"), F.col("value").alias("value")),
+        F.struct(F.concat(F.lit("stump_rows_"), "side").alias("name"), F.col("n").alias("value")))).alias("s")).select("s.*")
+
+
+def _stump_sql(long: str, classes: bool) -> str:
+    """The same by trying every midpoint between neighbouring values: ``long`` has
+    (i, v, y), one row per training row and feature; y is a number or a class."""
+    stat = "y AS y, count(*) AS n, 0.0 AS s" if classes else "0 AS y, count(*) AS n, sum(y) AS s"
+    score = "sum(n * n / side_n)" if classes else "sum(s * s / side_n)"
+    share = "sum(n) FILTER (y = first)"
+    value = f"{share} / max(side_n)" if classes else "max(s) / max(side_n)"
+    # leaves that predict one class are one leaf
+    whole = f"coalesce({share}, 0) / sum(n)" if classes else "0"
+    apart = "(SELECT count(DISTINCT says) FROM leaf)" if classes else "2"
+    return f"""SELECT 'stump_value_' || r AS name, value FROM stump UNION ALL SELECT 'stump_rows_' || r, side_n FROM stump""", f"""
+long AS ({long}),
+vals AS (SELECT i, v, lead(v) OVER (PARTITION BY i ORDER BY v) AS nxt FROM (SELECT DISTINCT i, v FROM long)),
+cuts AS (SELECT i, (v + nxt) / 2 AS cut FROM vals WHERE nxt IS NOT NULL),
+parts AS (SELECT cuts.i, cut, v <= cut AS l, {stat} FROM cuts JOIN long USING (i) GROUP BY cuts.i, cut, v <= cut{', y' if classes else ''}),
+sides AS (SELECT *, sum(n) OVER (PARTITION BY i, cut, l) AS side_n FROM parts),
+top AS (SELECT i, cut FROM sides GROUP BY i, cut ORDER BY {score} DESC, i, cut LIMIT 1),
+chosen AS (SELECT * FROM sides JOIN top USING (i, cut), (SELECT min(y) AS first FROM long)),
+leaf AS (SELECT l, max(side_n) AS side_n, round(coalesce({value}, 0), 6) AS value, arg_max(y, n - y * 1e-6) AS says FROM chosen GROUP BY l),
+one AS (SELECT round({whole}, 6) AS value, sum(n) AS side_n FROM chosen GROUP BY first),
+stump AS (SELECT row_number() OVER (ORDER BY value) AS r, value, CAST(side_n AS DOUBLE) AS side_n
+          FROM (SELECT value, side_n FROM leaf WHERE {apart} = 2 UNION ALL SELECT value, side_n FROM one WHERE {apart} = 1))"""
+
+
+def _with_stump_sql(checks: str, ctes: str, long: str, classes: bool) -> str:
+    rows, stump = _stump_sql(long, classes)
+    return f"WITH {ctes}, {stump} {checks} UNION ALL {rows}"
+
+
+_TRAIN_LI = f"""lt AS (SELECT l.*, row_number() OVER (ORDER BY 1) AS z, (SELECT count(DISTINCT f.l_returnflag) FROM lineitem f
+    WHERE f.l_returnflag < l.l_returnflag AND {split_hash_sql('f.l_orderkey * 8 + f.l_linenumber')} >= {CUT}) AS flag
+  FROM lineitem l WHERE {split_hash_sql(ROW_KEY)} >= {CUT})"""
+_LONG_LI = " UNION ALL ".join(f"SELECT {i} AS i, CAST({c} AS DOUBLE) AS v, {{y}} AS y FROM lt"
+                              for i, c in enumerate(("l_quantity", "l_discount", "l_tax", "flag")))
+
 _LI_CHECK = _checks_sql("SELECT * FROM lineitem", ROW_KEY)
 _DOC_CHECK = _checks_sql("SELECT d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id", "doc_id")
 _VEC_CHECK = _checks_sql("SELECT vec_id FROM embeddings", "vec_id")
 
 
-@register("est2_random_forest_regressor", _LI_CHECK)
+@register("est2_random_forest_regressor", _with_stump_sql(_LI_CHECK, _TRAIN_LI, _LONG_LI.format(y="l_extendedprice"), False))
 def est2_rf_reg(spark: SparkSession, sf: str) -> DataFrame:
-    return _checks(spark, lineitem_features(spark, sf), "l_extendedprice", "random_forest_regressor", "row_key", {"max_depth": 6})
+    """A forest's checks, and the leaves of one stump against a search over all splits."""
+    df = lineitem_features(spark, sf)
+    forest = _checks(spark, df, "l_extendedprice", "random_forest_regressor", "row_key", {"max_depth": 6})
+    return forest.unionByName(_stump(spark, df, "l_extendedprice", "random_forest_regressor", "row_key"))
 
 
 #: Best first split of boosted trees, from (c, i, f, v, g, h): class, feature, value, derivatives of the training rows.
@@ -224,16 +278,48 @@ def est3_gbt_reg(spark: SparkSession, sf: str) -> DataFrame:
     return _root_splits(spark, lineitem_with_gaps(spark, sf), "l_extendedprice", "xgboost_regressor", "row_key")
 
 
-@register("est4_logistic_regression")
+def _newton_sql(steps: int = 14) -> str:
+    """Penalised logistic regression on one feature by Newton steps from 0, one query a step."""
+    out = [f"""s AS (SELECT CAST(l_quantity AS DOUBLE) / 10 AS x, (l_extendedprice > 30000)::INTEGER AS y, {split_hash_sql(ROW_KEY)} < {CUT} AS test FROM lineitem),
+t AS (SELECT * FROM s WHERE NOT test), n AS (SELECT count(*) AS n FROM t), p0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"""]
+    for k in range(steps):
+        out.append(f"""d{k} AS (SELECT avg(q - y) AS ga, avg((q - y) * x) + max(b) / max(n) AS gb, avg(q * (1 - q)) AS haa,
+  avg(q * (1 - q) * x) AS hab, avg(q * (1 - q) * x * x) + 1.0 / max(n) AS hbb
+  FROM (SELECT x, y, a, b, n, 1 / (1 + exp(-(a + b * x))) AS q FROM t, p{k}, n)),
+p{k + 1} AS (SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM p{k}, d{k})""")
+    rows = f"""SELECT 'intercept' AS name, round(a, 3) AS value FROM p{steps} UNION ALL SELECT 'slope', round(b, 3) FROM p{steps}
+UNION ALL SELECT 'test_accuracy', round(avg(((a + b * x > 0)::INTEGER = y)::INTEGER), 6) FROM s, p{steps} WHERE test"""
+    return "WITH " + ",\n".join(out) + "\n" + rows
+
+
+@register("est4_logistic_regression", _newton_sql())
 def est4_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients of the penalised fit, and its accuracy on the test rows."""
+    df = lineitem_features(spark, sf).select("row_key", (F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") > 30000).cast("int").alias("y"))
+    fitted, scores = models.train(df, "y", "logistic_regression", "row_key", ["x"], {"C": 1.0, "penalty": "l2", "tol": 1e-12, "max_iter": 300})
+    lr = fitted.pipeline.stages[-1]
+    rows = [("intercept", round(lr.intercept, 3)), ("slope", round(float(lr.coefficients[0]), 3)), ("test_accuracy", round(scores["accuracy"], 6))]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+@register("est4_logistic_regression_documents")
+def est4_documents(spark: SparkSession, sf: str) -> DataFrame:
     fitted, scores = models.train(document_features(spark, sf), "quality", "logistic_regression", "doc_id",
                                   params={"C": 1.0, "penalty": "l2", "max_iter": 100})
     return _metric_rows(spark, fitted.model_type, scores)
 
 
-@register("est5_random_forest_classifier", _VEC_CHECK)
+_LONG_VEC = " UNION ALL ".join(f"SELECT {i} AS i, round(CAST(embedding[{i + 1}] AS DOUBLE) * 16) AS v, label AS y FROM vt" for i in range(8))
+
+
+@register("est5_random_forest_classifier", _with_stump_sql(
+    _VEC_CHECK, f"vt AS (SELECT * FROM embeddings WHERE {split_hash_sql('vec_id')} >= {CUT})", _LONG_VEC, True))
 def est5_rf_cls(spark: SparkSession, sf: str) -> DataFrame:
-    return _checks(spark, embedding_features(spark, sf), "label", "random_forest_classifier", "vec_id", {"max_depth": 8})
+    """A forest's checks, and the leaves of one stump on eight rounded components."""
+    df = embedding_features(spark, sf)
+    forest = _checks(spark, df, "label", "random_forest_classifier", "vec_id", {"max_depth": 8})
+    rounded = df.select("vec_id", "label", *[F.round(F.col(f"e{i}") * 16).alias(f"e{i}") for i in range(8)])
+    return forest.unionByName(_stump(spark, rounded, "label", "random_forest_classifier", "vec_id"))
 
 
 @register("est6_boosted_classifier_multiclass", f"""WITH s AS (
@@ -343,9 +429,18 @@ def cv1_linear(spark: SparkSession, sf: str) -> DataFrame:
                                              features=["l_quantity"]), 4)
 
 
-@register("trn1_train_evaluate_importance", _DOC_CHECK)
+_TRAIN_DOC = f"""dt AS (SELECT d.doc_id, lang, source, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+  WHERE {split_hash_sql('d.doc_id')} >= {CUT})"""
+_LONG_DOC = " UNION ALL ".join(f"SELECT {i} AS i, CAST((SELECT count(DISTINCT x.{c}) FROM dt x WHERE x.{c} < dt.{c}) AS DOUBLE) AS v, quality AS y FROM dt"
+                               for i, c in enumerate(("lang", "source")))
+
+
+@register("trn1_train_evaluate_importance", _with_stump_sql(_DOC_CHECK, _TRAIN_DOC, _LONG_DOC, True))
 def trn1_train(spark: SparkSession, sf: str) -> DataFrame:
-    return _checks(spark, document_features(spark, sf), "quality", "random_forest_classifier", "doc_id", {"max_depth": 5})
+    """A forest's checks, and the leaves of one stump on two text features."""
+    df = document_features(spark, sf)
+    forest = _checks(spark, df, "quality", "random_forest_classifier", "doc_id", {"max_depth": 5})
+    return forest.unionByName(_stump(spark, df.drop("n_chars"), "quality", "random_forest_classifier", "doc_id"))
 
 
 @register("mdl1_save_load_roundtrip", """
@@ -423,18 +518,37 @@ def scr2_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------ importances / curves ----------------------
-_IMP_CHECK = "SELECT {n} AS n_features, 1.0 AS importance_sum, CAST({n} AS BIGINT) AS last_rank"
-
-
 def _importance_check(imp: DataFrame) -> DataFrame:
     return imp.agg(F.count(F.lit(1)).cast("int").alias("n_features"), F.round(F.sum("importance"), 6).alias("importance_sum"),
-                   F.max("rank").cast("bigint").alias("last_rank"))
+                   F.max("rank").cast("bigint").alias("last_rank"), F.min_by("feature", "rank").alias("best"))
+
+
+@register("imp1_random_forest_importance", """WITH lt AS (SELECT *, (l_extendedprice > 30000)::INTEGER AS dear FROM lineitem),
+long AS (SELECT 'l_quantity' AS i, CAST(l_quantity AS DOUBLE) AS v, dear AS y FROM lt UNION ALL SELECT 'l_discount', l_discount, dear FROM lt
+         UNION ALL SELECT 'l_tax', l_tax, dear FROM lt),
+vals AS (SELECT i, v, lead(v) OVER (PARTITION BY i ORDER BY v) AS nxt FROM (SELECT DISTINCT i, v FROM long)),
+cuts AS (SELECT i, (v + nxt) / 2 AS cut FROM vals WHERE nxt IS NOT NULL),
+parts AS (SELECT cuts.i, cut, v <= cut AS l, y, count(*) AS n FROM cuts JOIN long USING (i) GROUP BY cuts.i, cut, v <= cut, y),
+sides AS (SELECT *, sum(n) OVER (PARTITION BY i, cut, l) AS side_n FROM parts)
+SELECT 3 AS n_features, 1.0 AS importance_sum, CAST(3 AS BIGINT) AS last_rank,
+  (SELECT i FROM sides GROUP BY i, cut ORDER BY sum(n * n / side_n) DESC, i LIMIT 1) AS best""")
+def imp1_rf(spark: SparkSession, sf: str) -> DataFrame:
+    """The most important of three features is the one with the best first split."""
+    df = lineitem_features(spark, sf).select("l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") > 30000).cast("int").alias("dear"))
+    return _importance_check(importance.random_forest_importance(df, "dear", num_trees=10))
 
 
-@register("imp1_random_forest_importance", _IMP_CHECK.format(n=4))
-def imp1_rf(spark: SparkSession, sf: str) -> DataFrame:
-    df = lineitem_features(spark, sf).drop("row_key")
-    return _importance_check(importance.random_forest_importance(df, "l_returnflag", num_trees=10))
+@register("imp6_linear_importance_chart", """WITH c AS (SELECT covar_pop(l_quantity, l_quantity) AS s11, covar_pop(l_discount, l_discount) AS s22,
+  covar_pop(l_quantity, l_discount) AS s12, covar_pop(l_quantity, l_extendedprice) AS s1y, covar_pop(l_discount, l_extendedprice) AS s2y FROM lineitem),
+b AS (SELECT 'l_quantity' AS feature, abs((s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12)) AS w FROM c
+      UNION ALL SELECT 'l_discount', abs((s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12)) FROM c)
+SELECT feature, round(w, 4) AS importance, CAST(row_number() OVER (ORDER BY w DESC) AS INTEGER) AS rank FROM b""")
+def imp6_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Importances of a saved and loaded linear model are its absolute coefficients."""
+    df = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    fitted = models.fit_pipeline(df, "l_extendedprice", "linear_regression")
+    loaded = models.FittedModel.load(fitted.save(scratch_path(spark, "model")))
+    return round_all(charts.feature_importance_top(loaded, 10), 4)
 
 
 @register("imp6_top10_importance_chart")
@@ -491,3 +605,18 @@ def viz19_boundary(spark: SparkSession, sf: str) -> DataFrame:
     df = lineitem_features(spark, sf).select("l_quantity", "l_discount", "l_returnflag")
     fitted = models.fit_pipeline(df, "l_returnflag", "logistic_regression", ["l_quantity", "l_discount"])
     return charts.decision_boundary(fitted, df, "l_quantity", "l_discount")
+
+
+@register("viz19_decision_boundary_stump", f"""WITH r AS (SELECT CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d,
+  0.5::DOUBLE - (l_extendedprice > 30000)::INTEGER AS g FROM lineitem),
+long AS (SELECT 0 AS c, 0 AS i, 'q' AS f, q AS v, g, 0.25::DOUBLE AS h FROM r UNION ALL SELECT 0, 1, 'd', d, g, 0.25 FROM r), {_ROOT_SQL},
+b AS (SELECT min(q) AS a0, (max(q) - min(q)) / 19 AS ax, min(d) AS b0, (max(d) - min(d)) / 19 AS bx FROM r)
+SELECT round(a0 + x.range * ax, 6) AS l_quantity, round(b0 + y.range * bx, 6) AS l_discount,
+  CAST(CASE WHEN CASE WHEN best.f = 'q' THEN a0 + x.range * ax ELSE b0 + y.range * bx END < cut THEN gl < 0 ELSE g - gl < 0 END AS DOUBLE) AS prediction
+FROM range(20) x, range(20) y, b, best""")
+def viz19_stump(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid, and on which side of a boosted stump's split its points lie."""
+    df = table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("l_quantity"), "l_discount",
+                                             (F.col("l_extendedprice") > 30000).cast("int").alias("dear"))
+    fitted = models.fit_pipeline(df, "dear", "xgboost_classifier", params={"n_estimators": 1, "max_depth": 1})
+    return round_all(charts.decision_boundary(fitted, df, "l_quantity", "l_discount", 20).select("l_quantity", "l_discount", "prediction"))
