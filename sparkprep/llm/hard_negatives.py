@@ -305,12 +305,14 @@ def _anchor_blocks(anchors: DataFrame, dims: int, scale: float, refs: np.ndarray
              "found array<array<struct<id:bigint,score:string>>>")
 
 
-def _searched(anchors: DataFrame, blocks: DataFrame, k: int, ratio: tuple[int, int] | None) -> DataFrame:
+def _searched(anchors: DataFrame, blocks: DataFrame, rows: int, k: int, ratio: tuple[int, int] | None) -> DataFrame:
     """Anchor blocks and row blocks meet in an equi-join on (group of anchor
-    blocks, shard of row blocks)."""
+    blocks, shard of row blocks).  Every shard sends its best rows of each anchor,
+    so there are no more shards than full blocks of ``rows``."""
     spark = blocks.sparkSession
     anchors = materialize(anchors, "anchors")
-    groups, shards = max(1, -(-anchors.count() // GROUP_BLOCKS)), shuffle_partitions(spark)
+    groups = max(1, -(-anchors.count() // GROUP_BLOCKS))
+    shards = max(1, min(shuffle_partitions(spark), -(-rows // ROWS)))
     q = (anchors.withColumn("g", F.pmod(F.hash("number"), F.lit(groups)))
          .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
     c = (blocks.withColumn("s", F.pmod(F.hash("block"), F.lit(shards)))
@@ -360,7 +362,8 @@ def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_c
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("bigint").alias("label"),
                           F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("is_anchor"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(F.col("v")))
-    dims = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
+    facts = rows.agg(F.max(F.size("v")).alias("dims"), F.count(F.lit(1)).alias("n")).first()
+    dims = max(1, facts["dims"] or 1)
     sample = hash_sample(rows.select("vec_id", "v"), F.col("vec_id"), SAMPLE_ROWS).select("v").collect()
     raw = np.zeros((max(1, len(sample)), dims))
     for i, r in enumerate(sample):
@@ -383,11 +386,11 @@ def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_c
     anchors = rows.where("is_anchor").groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("_a"))
     anchors = materialize(anchors.select("vec_id", "_a.label", "_a.v"), "anchors")
     none = F.lit(None).cast("array<struct<id:bigint,score:string>>").alias("found")
-    near = _searched(_anchor_blocks(anchors.select("*", none), dims, scale, refs, ANCHOR_ROWS), blocks, positives, None)
+    near = _searched(_anchor_blocks(anchors.select("*", none), dims, scale, refs, ANCHOR_ROWS), blocks, facts["n"], positives, None)
     near = materialize(near.groupBy("anchor_id").agg(F.collect_list(F.struct(F.col("vec_id").alias("id"), "score")).alias("found")),
                        "positives")
     asking = anchors.join(near, F.col("vec_id") == F.col("anchor_id")).select("vec_id", "label", "v", "found")
-    far = _searched(_anchor_blocks(asking, dims, scale, refs, ANCHOR_ROWS), blocks, negatives, (least, most))
+    far = _searched(_anchor_blocks(asking, dims, scale, refs, ANCHOR_ROWS), blocks, facts["n"], negatives, (least, most))
     # a row may be a positive twice (repeated rows): its negatives are returned for each
     twice = near.select("anchor_id", F.explode("found").alias("f")).groupBy(
         "anchor_id", F.col("f.id").alias("positive_id"), F.col("f.score").alias("positive_score")).agg(F.count(F.lit(1)).alias("n"))
