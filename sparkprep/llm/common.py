@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,31 @@ def byte_groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 BROADCAST_BYTES = 48 << 20
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on texts reach Python tasks in Arrow batches of about ``BATCH_BYTES``
+    (a longer text comes alone), unless the session already asks for less.
+    Spark's own limit of 64 MB takes several times that in every task."""
+    now = spark.conf.get(_BATCH_SETTING)
+    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:].lower(), 0)
+    limit = int(now[:-1]) * unit if unit else int(now)
+    if limit <= 0 or limit > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for mapInArrow, returning a worker's unused memory when its task ends:
+    workers stay for later tasks."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    return wrapped
 
 
 def text_hash(text_col: str) -> Column:

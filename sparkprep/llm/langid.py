@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
-from sparkprep.llm.common import byte_groups, hash_sample, utf8
+from sparkprep.llm.common import bounded_batches, byte_groups, hash_sample, tidy, utf8
 
 LANGUAGES = ("de", "en", "es", "fr")
 OTHER = "other"          # a class of its own: text of no known language
@@ -48,6 +48,7 @@ def fit_text_model(labelled: DataFrame, languages: Sequence[str] = LANGUAGES, id
     Fitted on at most ``train_rows`` labelled rows, those of the smallest id
     hash; what reaches the driver is one count vector per language and task.
     """
+    bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang_col).isin(list(languages)) & F.col(text_col).isNotNull())
     sample = hash_sample(known, F.col(id_col), train_rows).select(
         F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).repartition(4, F.xxhash64("text"))
@@ -63,7 +64,7 @@ def fit_text_model(labelled: DataFrame, languages: Sequence[str] = LANGUAGES, id
                 cell = index[a + row] * BUCKETS + bucket
                 counts += np.bincount(cell, minlength=counts.size).reshape(counts.shape)
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()])], names=["counts"])
-    parts = sample.select("lang", "text").mapInArrow(run, "counts binary").collect()
+    parts = sample.select("lang", "text").mapInArrow(tidy(run), "counts binary").collect()
     counts = sum((np.frombuffer(r["counts"], np.int64).reshape(len(languages), BUCKETS) for r in parts),
                  np.zeros((len(languages), BUCKETS), np.int64)) + 0.5
     known = np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -107,7 +108,7 @@ def _text_posteriors(rows: DataFrame, model: np.ndarray, start: np.ndarray) -> D
                                              names=[*kept, "n", "ll", *[f"t{i}" for i in range(classes)]])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     shares = ", ".join(f"t{i} double" for i in range(classes))
-    return rows.mapInArrow(run, f"{schema}, n bigint, ll array<double>, {shares}")
+    return rows.mapInArrow(tidy(run), f"{schema}, n bigint, ll array<double>, {shares}")
 
 
 def _normal_declared(c: Column, languages: Sequence[str]) -> Column:
@@ -129,6 +130,7 @@ def identify(rows: DataFrame, model: np.ndarray, languages: Sequence[str] = LANG
     letters.  Null suffixes and hosts form a group of their own each; repeated
     rows count separately; empty tables give empty results.
     """
+    bounded_batches(rows.sparkSession)
     classes = [*languages, OTHER]
     k = len(classes)
     base = rows.select(*id_cols, _normal_declared(F.col("declared"), languages).alias("declared"),
@@ -174,7 +176,7 @@ def identify(rows: DataFrame, model: np.ndarray, languages: Sequence[str] = LANG
                  pa.array([classes[b] if s else None for b, s in zip(text, has)], pa.string()), batch.column(width + 1)],
                 names=[*id_cols, "lang", "p", "declared", "text_lang", "n"])
     ids = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in id_cols)
-    return joined.mapInArrow(fuse, f"{ids}, lang string, p double, declared string, text_lang string, n bigint")
+    return joined.mapInArrow(tidy(fuse), f"{ids}, lang string, p double, declared string, text_lang string, n bigint")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

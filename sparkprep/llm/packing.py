@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
+from sparkprep.llm.common import bounded_batches, tidy
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
@@ -88,6 +89,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     end id, cut only when longer than a sequence; then the first piece may be
     shorter and the others are full.  Null texts read as empty (one id).
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -107,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                  *[pa.array(c, pa.int64()) for c in columns[2:]]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"))
-            .mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"))
+            .mapInArrow(tidy(run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"))
 
 
 def best_fit(demands: np.ndarray, capacity: np.ndarray, weights: np.ndarray) -> np.ndarray:

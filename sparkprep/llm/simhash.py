@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
-from sparkprep.llm.common import text_hash
+from sparkprep.llm.common import bounded_batches, text_hash, tidy
 from sparkprep.llm.components import connected_components
 
 SHINGLE = 3
@@ -44,6 +44,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (signed 64-bit) of every whole text; one pass, no shuffle."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"))
-            .mapInArrow(run, f"doc_id {kind}, fp bigint"))
+            .mapInArrow(tidy(run), f"doc_id {kind}, fp bigint"))
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,9 +237,9 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                     [pa.array(shard.astype(np.int32)), pa.array(owner), pa.array(fps[i + at])],
                     names=["shard", "owner", "fp"])
 
-    placed = classes.select("fp").mapInArrow(route, "shard int, owner boolean, fp bigint")
+    placed = classes.select("fp").mapInArrow(tidy(route), "shard int, owner boolean, fp bigint")
     dealt = placed.repartitionById(2**depth, F.col("shard")).sortWithinPartitions(F.col("owner").desc())
-    return dealt.select("owner", "fp").mapInArrow(lambda b: shard_links(b, max_bits), "a bigint, b bigint")
+    return dealt.select("owner", "fp").mapInArrow(tidy(lambda b: shard_links(b, max_bits)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

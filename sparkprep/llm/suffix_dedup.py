@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkprep.functions.materialize import materialize
 from sparkprep.llm.bytehash import Hasher, mix
-from sparkprep.llm.common import WORD, byte_groups, packed, row_key, utf8
+from sparkprep.llm.common import WORD, bounded_batches, byte_groups, packed, row_key, tidy, utf8
 
 MATCH = 400
 SEED_BYTES = 48
@@ -118,7 +118,7 @@ def sampled_suffixes(keyed: DataFrame, match: int, seed_bytes: int, batches: int
                          pa.array(key.view(np.int64)), pa.array(hull.view(np.int64))],
                         names=["_d", "_t", "pos", "lo", "hi", "key", "hull"])
     rows = keyed.where(F.octet_length("_text") >= match).mapInArrow(
-        run, "_d bigint, _t bigint, pos int, lo int, hi int, key bigint, hull bigint")
+        tidy(run), "_d bigint, _t bigint, pos int, lo int, hi int, key bigint, hull bigint")
     return rows.withColumn("batch", F.pmod(F.xxhash64("_d", "_t"), F.lit(batches)).cast("int"))
 
 
@@ -197,7 +197,7 @@ def _hashed_cells(keyed: DataFrame, cells: DataFrame, match: int, seed_bytes: in
                      pa.array(open_.astype(bool)), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))],
                     names=["_d", "_t", "pos", "key", "a1", "a2", "open", "core", "hull"])
     hashed = texts.select("_d", "_t", "_text", "_cells").mapInArrow(
-        run, "_d bigint, _t bigint, pos int, key bigint, a1 int, a2 int, open boolean, core bigint, hull bigint")
+        tidy(run), "_d bigint, _t bigint, pos int, key bigint, a1 int, a2 int, open boolean, core bigint, hull bigint")
     return materialize(hashed, "hashed")
 
 
@@ -266,7 +266,7 @@ def kept_parts(strings: DataFrame, match: int = MATCH) -> DataFrame:
             kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)],
                                              names=["_d", "_t", "_spans"])
-    return materialize(lists.mapInArrow(run, "_d bigint, _t bigint, _spans array<struct<lo:bigint,hi:bigint>>"),
+    return materialize(lists.mapInArrow(tidy(run), "_d bigint, _t bigint, _spans array<struct<lo:bigint,hi:bigint>>"),
                        "spans")
 
 
@@ -293,6 +293,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other's copies; texts shorter than ``match`` stay whole; an empty table
     gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     spans = kept_parts(repeated_strings(keyed, match, seed_bytes, batches), match)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
