@@ -225,3 +225,21 @@ def cat2_charts(spark: SparkSession, sf: str) -> DataFrame:
                            scratch_path(spark, "chart"), chart_id="pie_status")
     return catalog.list_charts(spark, cat, dataset_id="lineitem", chart_type="histogram").select(
         "chart_id", "chart_type", "dataset_id", "num_rows")
+
+
+@register("src4_json_rejects", """WITH l AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS line FROM orders),
+r AS (SELECT line, o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 10 = 3 THEN 'not json ' || o_orderkey
+  WHEN o_orderkey % 10 = 7 THEN '{"o_orderkey":"seven","o_orderpriority":"x"}' END AS bad FROM l)
+SELECT CASE WHEN bad IS NULL THEN 'row' ELSE 'reject' END AS kind, CAST(CASE WHEN bad IS NULL THEN o_orderkey ELSE line END AS BIGINT) AS number,
+  CASE WHEN bad IS NULL THEN o_orderpriority ELSE bad END AS text FROM r""")
+def src4_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """orders as JSON lines of which two in ten do not parse: rows, and rejects with their lines."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    key = F.col("o_orderkey")
+    line = (F.when(key % 10 == 3, F.concat(F.lit("not json "), key.cast("string")))
+            .when(key % 10 == 7, F.lit('{"o_orderkey":"seven","o_orderpriority":"x"}')).otherwise(F.to_json(F.struct("o_orderkey", "o_orderpriority"))))
+    path = scratch_path(spark, "lines")
+    o.orderBy("o_orderkey").coalesce(1).select(line.alias("value")).write.text(path)
+    rows, rejects = io.read_with_rejects(spark, path, "jsonl", "o_orderkey bigint, o_orderpriority string", scratch_path(spark, "rejects"))
+    return (rows.select(F.lit("row").alias("kind"), F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("text"))
+            .unionByName(rejects.select(F.lit("reject").alias("kind"), F.col("line").alias("number"), "text")))

@@ -18,7 +18,7 @@ from sparkprep.operators import charts, encode, importance, models, validate
 from sparkprep.plans.registry import register, table
 from sparkprep.session import scratch_path
 from sparkprep.sources import catalog, io
-from sparkprep.streaming.scoring import score_stream
+from sparkprep.streaming.scoring import registered_rows, score_stream, score_stream_registered
 
 
 def lineitem_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -517,6 +517,20 @@ def scr2_stream(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(spark.read.parquet(outbox), 6, exclude=["value"])
 
 
+@register("scr2_stream_scoring_registered", "SELECT r.*, 4 AS children FROM (" + _SCORED_SQL + ") r")
+def scr2_registered(spark: SparkSession, sf: str) -> DataFrame:
+    """Every batch of a stream is a registered child of its input; run again, it adds none."""
+    path, e = _saved_event_model(spark, sf)
+    cat, inbox, outbox, ckpt = (scratch_path(spark, n) for n in ("catalog", "inbox", "outbox", "stream_ckpt"))
+    e.repartition(4).write.parquet(inbox)
+    for _ in range(2):
+        score_stream_registered(spark, path, inbox, e.schema, outbox, ckpt, cat, "events", ["event_id", "value"],
+                                max_files_per_trigger=1).awaitTermination()
+    rows = registered_rows(spark, cat, "events")
+    children = catalog.list_datasets(spark, cat).where("parent_dataset_id = 'events'").count()
+    return round_all(rows.withColumn("children", F.lit(children)), 6, exclude=["value"])
+
+
 # ------------------------------ importances / curves ----------------------
 def _importance_check(imp: DataFrame) -> DataFrame:
     return imp.agg(F.count(F.lit(1)).cast("int").alias("n_features"), F.round(F.sum("importance"), 6).alias("importance_sum"),

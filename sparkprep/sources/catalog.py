@@ -57,10 +57,18 @@ def list_datasets(spark: SparkSession, catalog_path: str, name: str | None = Non
         cat = cat.where(F.col("name") == name)
     if dataset_id is not None:
         cat = cat.where(F.col("dataset_id") == dataset_id)
-    w = Window.partitionBy("dataset_id").orderBy(F.desc("created_at"))
+    w = Window.partitionBy("dataset_id").orderBy(F.desc("created_at"), F.desc("num_rows"), "storage_path")
     return cat.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def is_registered(spark: SparkSession, catalog_path: str, dataset_id: str) -> bool:
+    """Whether the catalog has the dataset; a catalog that does not exist yet has none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(catalog_path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return False
+    return get_dataset(spark, catalog_path, dataset_id) is not None
+
+
 def get_dataset(spark: SparkSession, catalog_path: str, dataset_id: str) -> dict | None:
     """The latest catalog entry of one dataset as a dict (None if unknown)."""
     row = list_datasets(spark, catalog_path, dataset_id=dataset_id).first()
@@ -110,7 +118,7 @@ def list_models(spark: SparkSession, models_path: str, dataset_id: str | None =
     for c, v in (("dataset_id", dataset_id), ("model_type", model_type)):
         if v is not None:
             rows = rows.where(F.col(c) == v)
-    w = Window.partitionBy("model_id").orderBy(F.desc("created_at"))
+    w = Window.partitionBy("model_id").orderBy(F.desc("created_at"), "storage_path")
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

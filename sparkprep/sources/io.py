@@ -11,10 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from sparkprep.functions.joins import join_small
 from sparkprep.functions.materialize import materialize
 
 SUPPORTED = ("csv", "parquet", "json", "jsonl")
@@ -109,6 +110,52 @@ def _read_json_documents(spark: SparkSession, path, schema, options: dict) -> Da
     return good.unionByName(docs, allowMissingColumns=True)
 
 
+REJECT_SCHEMA = "file string, line bigint, text string"
+
+
+def read_with_rejects(spark: SparkSession, path, file_type: str, schema, rejects_path: str | None = None,  # noqa: ANN001
+                      **options) -> tuple[DataFrame, DataFrame]:  # noqa: ANN003
+    """(rows, rejects) of JSON-lines or CSV files, from one read of them.
+
+    ``rejects``: file, line (from 1) and text of every line that does not parse
+    under ``schema``; written to ``rejects_path`` where one is given.  Rows and
+    rejects together are all lines but blank ones (and, with ``header``, the first
+    of every CSV file).  Lines are numbered by the counts of the blocks of their file that come
+    before theirs, so files of any size are split as usual; a value over several
+    lines is no record here.
+    """
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    if file_type not in ("json", "jsonl", "csv"):
+        raise ValueError(f"no rejects for file type {file_type}")
+    bad, header = "_corrupt_text", str(options.pop("header", "false")).lower() == "true"
+    wide = StructType([*kind.fields, StructField(bad, StringType())])
+    parse = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, **{k: str(v) for k, v in options.items()}}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.fields)
+    parsed = F.from_csv("value", F.lit(ddl), parse) if file_type == "csv" else F.from_json("value", wide, parse)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                         F.monotonically_increasing_id().alias("_at"))
+    record = materialize(lines.select("_file", "_block", "_at", "value", parsed.alias("_row")), "lines")
+    # the lines of a block lie together in one task
+    blocks = record.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    blank = F.trim("value") == ""
+    # of a block's own first line alone it must be known whether it is a header
+    kept = record.where(~blank)
+    if header:
+        first = blocks.where(F.col("_before") == 0).groupBy("_file").agg(F.min("_first").alias("_at")).withColumn("_head", F.lit(True))
+        kept = join_small(kept, first, ["_file", "_at"]).where(F.col("_head").isNull()).drop("_head")
+    good = F.col("_row").isNotNull() & F.col(f"_row.{bad}").isNull()
+    rows = kept.where(good).select(*[F.col("_row").getField(f.name).alias(f.name) for f in kind.fields])
+    wrong = join_small(kept.where(~good).select("_file", "_block", "_at", "value"), blocks, ["_file", "_block"])
+    line = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    rejects = wrong.select(F.col("_file").alias("file"), line.cast("bigint").alias("line"), F.col("value").alias("text"))
+    if rejects_path is not None:
+        rejects.write.mode("append").parquet(rejects_path)
+        rejects = spark.read.schema(REJECT_SCHEMA).parquet(rejects_path)
+    return rows, rejects
+
+
 def expand_vectors(df: DataFrame) -> DataFrame:
     """For text sinks: vector columns become scalar columns ``<c>_0 .. <c>_{n-1}``
     (the width from the column's ML metadata, else one pass), array columns JSON text."""
