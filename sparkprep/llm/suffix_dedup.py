@@ -18,7 +18,7 @@ MATCH = 400
 SEED_BYTES = 48
 BATCHES = 4
 CELLS = (64, 8, 1)         # widths in which undecided strings are looked at
-BROADCAST_BYTES = 48 << 20  # largest lists of cells or spans that are broadcast
+BROADCAST_BYTES = 24 << 20  # largest lists of cells or spans that are broadcast
 ITEM_BYTES = 32            # bytes that a cell, a span or a text's key may take there
 LIST_BYTES = 1 << 20       # a list of cells covers so many bytes of one text
 SEED = 7
