@@ -537,7 +537,7 @@ def _importance_check(imp: DataFrame) -> DataFrame:
                    F.max("rank").cast("bigint").alias("last_rank"), F.min_by("feature", "rank").alias("best"))
 
 
-@register("imp1_random_forest_importance", """WITH lt AS (SELECT *, (l_extendedprice > 30000)::INTEGER AS dear FROM lineitem),
+@register("imp1_random_forest_importance", """WITH lt AS (SELECT *, (l_quantity * (1 + l_discount) > 30)::INTEGER AS dear FROM lineitem),
 long AS (SELECT 'l_quantity' AS i, CAST(l_quantity AS DOUBLE) AS v, dear AS y FROM lt UNION ALL SELECT 'l_discount', l_discount, dear FROM lt
          UNION ALL SELECT 'l_tax', l_tax, dear FROM lt),
 vals AS (SELECT i, v, lead(v) OVER (PARTITION BY i ORDER BY v) AS nxt FROM (SELECT DISTINCT i, v FROM long)),
@@ -548,7 +548,7 @@ SELECT 3 AS n_features, 1.0 AS importance_sum, CAST(3 AS BIGINT) AS last_rank,
   (SELECT i FROM sides GROUP BY i, cut ORDER BY sum(n * n / side_n) DESC, i LIMIT 1) AS best""")
 def imp1_rf(spark: SparkSession, sf: str) -> DataFrame:
     """The most important of three features is the one with the best first split."""
-    df = lineitem_features(spark, sf).select("l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") > 30000).cast("int").alias("dear"))
+    df = lineitem_features(spark, sf).select("l_quantity", "l_discount", "l_tax", (F.col("l_quantity") * (1 + F.col("l_discount")) > 30).cast("int").alias("dear"))
     return _importance_check(importance.random_forest_importance(df, "dear", num_trees=10))
 
 
