@@ -6,7 +6,9 @@ and second derivatives of the loss, summed by (node, feature, bin).  A split
 sends nulls to the side that gains more.  Several classes grow one tree each
 per round under a softmax.
 
-Codes and margins live in a table under the shared checkpoint folder, which
+Rows of equal codes have equal margins, so they are one weighted row wherever that
+at least halves the table (exact but for the rounding of sums; not where rows are
+drawn).  Codes and margins live in a table under the shared checkpoint folder, which
 is written anew every ``REFRESH`` rounds; in between a task adds the newest
 trees to the margins it reads, so a lost executor costs one level's work.
 """
@@ -39,6 +41,8 @@ EQUAL = 1e-9            # gains are equal up to this share
 REFRESH = 10            # rounds between two writes of the margins
 TASK_BYTES = 4 << 20    # codes and margins that one task should read
 COLLECT_BYTES = 64 << 20  # partial sums of a level that the driver adds up itself
+ALONE_BYTES = 16 << 20  # a table of at most this is one task's
+BLOCK = 1 << 16           # rows that are summed at a time
 
 
 @dataclass
@@ -78,6 +82,19 @@ class Tree:
             node[rows] = np.where(np.where(null, null_left[at], v < border[at]), left[at], right[at])
         return node
 
+    def step(self, codes: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Nodes one level below ``node`` (itself where that is a leaf) of rows given
+        as bin codes, features x rows."""
+        feature, left, right = (np.array(a, np.int32) for a in (self.feature, self.left, self.right))
+        inner = feature >= 0
+        if not inner.any():
+            return node
+        leaf = np.arange(len(feature), dtype=np.int32)
+        left, right = np.where(inner, left, leaf), np.where(inner, right, leaf)
+        v = codes[np.where(inner, feature, 0)[node], np.arange(len(node))]
+        go_left = np.where(v == MISSING, np.array(self.null_left, bool)[node], v < np.array(self.code, np.int32)[node])
+        return np.where(go_left, left[node], right[node])
+
     def margin(self, x: np.ndarray, coded: bool = False) -> np.ndarray:
         return np.array(self.value)[self.leaves(x, coded)]
 
@@ -185,8 +202,9 @@ class Level:
         """Margins with the trees that are not yet in them."""
         return margin + sum((np.stack([t.margin(codes, True) for t in r], axis=1) for r in self.done), np.zeros(1))
 
-    def derivatives(self, codes: np.ndarray, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return gradients(self.objective, self.margins(codes, margin), y)
+    def derivatives(self, codes: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g, h = gradients(self.objective, self.margins(codes, margin), y)
+        return g * weight[:, None], h * weight[:, None]
 
     def places(self, codes: np.ndarray) -> np.ndarray:
         """Cell of every code among the cells of a node."""
@@ -230,20 +248,20 @@ class Settings:
     seed: int = 42
 
 
-def _batch(batch: pa.RecordBatch, width: int, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, labels and margins of a batch."""
+def _batch(batch: pa.RecordBatch, width: int, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, labels, margins and weights of a batch."""
     def raw(column: pa.Array, kind: type, n: int) -> np.ndarray:
         buffer = b"".join(column.to_pylist())
         return np.frombuffer(buffer, kind).reshape(batch.num_rows, n)
-    return raw(batch.column(0), np.uint8, width), batch.column(1).to_numpy(), raw(batch.column(2), np.float64, trees)
+    return raw(batch.column(0), np.uint8, width), batch.column(1).to_numpy(), raw(batch.column(2), np.float64, trees), batch.column(3).to_numpy()
 
 
 def _sums(batches: Iterator[pa.RecordBatch], level: Level) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(g, h) of a task, slots x cells."""
     total, rng = level.empty(), level.draws(TaskContext.get().partitionId())
     for batch in batches:
-        codes, y, margin = _batch(batch, len(level.starts), len(level.growing))
-        level.add(total, codes, level.places(codes), level.drawn(rng, len(y)), *level.derivatives(codes, y, margin))
+        codes, y, margin, weight = _batch(batch, len(level.starts), len(level.growing))
+        level.add(total, codes, level.places(codes), level.drawn(rng, len(y)), *level.derivatives(codes, y, margin, weight))
     yield total[0], total[1]
 
 
@@ -387,34 +405,66 @@ class SpreadRows:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 width = len(batch.column(0)[0].as_py()) if batch.num_rows else 0
-                codes, _, margin = _batch(batch, width, width_trees)
+                codes, _, margin, _ = _batch(batch, width, width_trees)
                 margin = margin + sum((np.stack([t.margin(codes, True) for t in r], axis=1) for r in done), np.zeros(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.tobytes() for m in margin], pa.binary())],
-                                                 names=["codes", "label", "margin"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m.tobytes() for m in margin], pa.binary()),
+                                                  batch.column(3)], names=["codes", "label", "margin", "weight"])
         self.table = materialize(self.table.mapInArrow(run, _CODED), "margins")
 
 
 class HeldRows:
-    """The same for rows of one task, which needs no job a level."""
+    """The same for rows of one task, which needs no job a level: every level moves
+    each row one node down and sums the rows block by block."""
+
+    def __init__(self, codes: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray, settings: Settings) -> None:
+        self.codes, self.y, self.margin, self.weight, self.settings = np.ascontiguousarray(codes.T), y, margin, weight, settings
+        self.round = None
+        self.nodes = np.zeros((margin.shape[1], len(y)), np.int32)
+        self.known = np.zeros((2, margin.shape[1], len(y)))  # derivatives
 
-    def __init__(self, codes: np.ndarray, y: np.ndarray, margin: np.ndarray, settings: Settings) -> None:
-        self.codes, self.y, self.margin, self.settings = codes, y, margin, settings
-        self.round, self.known, self.places = None, (), None
+    def _blocks(self) -> Iterator[slice]:
+        return (slice(i, i + BLOCK) for i in range(0, len(self.y), BLOCK))
 
     def splits(self, level: Level, allowed: np.ndarray) -> list[Split | None]:
         if self.round != level.seed:  # the levels of a round share derivatives and drawn rows
             self.round = level.seed
-            self.places = level.places(self.codes) if self.places is None else self.places
-            self.known = (level.drawn(level.draws(0), len(self.y)), *level.derivatives(self.codes, self.y, self.margin))
+            self.nodes[:] = 0
+            drawn = level.drawn(level.draws(0), len(self.y))
+            for rows in self._blocks():
+                for known, d in zip(self.known, gradients(level.objective, self.margin[rows], self.y[rows])):
+                    known[:, rows] = np.where(drawn[rows], d.T * self.weight[rows], 0.0)
         total = level.empty()
-        level.add(total, self.codes, self.places, *self.known)
+        cells = [np.arange(256) for _ in level.starts]
+        for place, start, size in zip(cells, level.starts, level.sizes):
+            place[MISSING] = size
+            place += start
+        for rows in self._blocks():
+            codes = self.codes[:, rows]
+            for k, tree in enumerate(level.growing):
+                if not (level.slots[k] >= 0).any():
+                    continue
+                node = self.nodes[k, rows] = tree.step(codes, self.nodes[k, rows])
+                slot = level.slots[k][node]
+                g, h = self.known[:, k, rows]
+                some = np.flatnonzero(slot >= 0)
+                all_ = len(some) == len(slot)
+                slot, g, h = (slot, g, h) if all_ else (slot[some], g[some], h[some])
+                first = slot * level.cells
+                for place, code in zip(cells, codes):
+                    cell = first + place[code if all_ else code[some]]
+                    for sums, part in zip(total, (g, h)):
+                        sums += np.bincount(cell, part, len(sums))
         return _best_splits(total, level, self.settings, allowed)
 
     def advance(self, done: list[list[Tree]]) -> None:
-        self.margin = self.margin + sum((np.stack([t.margin(self.codes, True) for t in r], axis=1) for r in done), np.zeros(1))
+        """Takes in the trees of one round, whose nodes the rows know but for the last level."""
+        (trees,) = done
+        for rows in self._blocks():
+            for k, tree in enumerate(trees):
+                self.margin[rows, k] += np.array(tree.value)[tree.step(self.codes[:, rows], self.nodes[k, rows])]
 
 
-_CODED = "codes binary, label double, margin binary"
+_CODED = "codes binary, label double, margin binary, weight double"
 
 
 def _best_splits(total: list[np.ndarray], level: Level, p: Settings, allowed: np.ndarray) -> list[Split | None]:
@@ -474,13 +524,13 @@ def grow(rows: SpreadRows | HeldRows, cuts: list[np.ndarray], p: Settings, refre
 
 
 def boost(rows: DataFrame, settings: Settings, bins: int = MAX_BINS, collect_bytes: int = COLLECT_BYTES, task_bytes: int = TASK_BYTES,
-          alone: bool = True) -> dict:
+          alone: bool = True, alone_bytes: int = ALONE_BYTES) -> dict:
     """Fits trees to ``rows`` (x array<double>, NaN for null; label double) and
     returns the model as plain values: objective, base margin, rounds of trees.
 
     ``settings.n_trees``: trees a round (classes of a softmax, else 1).  A squared
     loss starts from the mean label, the others from margin 0.  A coded table of
-    at most ``task_bytes`` is one task's: unless ``alone`` is off, that task grows
+    at most ``alone_bytes`` is one task's: unless ``alone`` is off, that task grows
     all rounds in one job, for there is nothing to merge between levels.
     """
     if not 2 <= bins <= MAX_BINS:
@@ -498,16 +548,25 @@ def boost(rows: DataFrame, settings: Settings, bins: int = MAX_BINS, collect_byt
         for batch in batches:
             codes = coded(_matrix(batch.column(0), width), cuts)
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1),
-                                              pa.array([start] * batch.num_rows, pa.binary())], names=["codes", "label", "margin"])
-    tasks = int(max(1, -(-facts["n"] * (width + 8 + 8 * n_trees) // task_bytes)))
-    table = materialize(rows.select("x", "label").mapInArrow(code, _CODED), "codes")
+                                              pa.array([start] * batch.num_rows, pa.binary()), pa.array(np.ones(batch.num_rows))],
+                                             names=["codes", "label", "margin", "weight"])
+    table, n = materialize(rows.select("x", "label").mapInArrow(code, _CODED), "codes"), facts["n"]
+    if settings.sample >= 1:
+        same = ["codes", "label"] if objective == "softmax" else ["codes"]
+        if table.agg(F.approx_count_distinct(F.struct(*same)).alias("n")).first()["n"] <= n / 2:
+            mean = F.avg("label") if objective != "softmax" else F.col("label")
+            few = table.groupBy(*same).agg(mean.alias("_y"), F.first("margin").alias("margin"), F.sum("weight").alias("weight"))
+            table = materialize(few.select("codes", F.col("_y").alias("label"), "margin", "weight"), "equal_codes")
+            n = table.count()
+    size = n * (width + 16 + 8 * n_trees)
+    tasks = int(max(1, -(-size // task_bytes)))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_batch(b, width, n_trees) for b in batches if b.num_rows]
         held = HeldRows(*(np.concatenate(x) for x in zip(*parts)), settings)
         found = json.dumps([[asdict(t) for t in r] for r in grow(held, cuts, settings, 1)])
         yield pa.RecordBatch.from_arrays([pa.array([found])], names=["trees"])
-    if tasks == 1 and alone:
+    if size <= alone_bytes and alone:
         rounds = json.loads(table.coalesce(1).mapInArrow(whole, "trees string").first()[0])
     else:
         rounds = [[asdict(t) for t in r] for r in grow(SpreadRows(table.coalesce(tasks), settings, collect_bytes), cuts, settings, REFRESH)]

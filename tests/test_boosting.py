@@ -128,3 +128,25 @@ def test_other_models_name_the_columns_with_nulls(spark):
             models.fit_pipeline(df.where("a < 10"), "y", kind, ["a", "b"])
     with pytest.raises(ValueError, match="distinct values"):
         models.label_labels(spark.range(20000).withColumn("t", F.col("id").cast("double")), "t", "classification")
+
+
+def test_rows_of_equal_codes_are_one_weighted_row(spark, monkeypatch):
+    """Thirty thousand rows of sixty codes are held as sixty, with the same trees."""
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 20, 30000), rng.integers(0, 3, 30000)], axis=1).astype(float)
+    x[x[:, 0] == 7, 0] = np.nan
+    y = np.nan_to_num(x[:, 0]) ** 2 + x[:, 1] + rng.normal(size=30000)
+    seen = []
+    write = boosting.materialize
+    monkeypatch.setattr(boosting, "materialize", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1])
+    for kind, label in (("squared", y), ("logistic", (y > 50).astype(float)), ("softmax", (y > 50).astype(float) + (y > 200))):
+        settings = boosting.Settings(kind, 3 if kind == "softmax" else 1, rounds=2, depth=2)
+        model = boosting.boost(table(spark, x, label), settings)
+        held = dict(seen)["equal_codes"]
+        assert held.count() <= 180 and held.agg(F.sum("weight")).first()[0] == 30000
+        cuts = boosting.feature_cuts(table(spark, x, label), 2, boosting.MAX_BINS)
+        base = np.full((30000, settings.n_trees), model["base"])
+        plain = boosting.grow(boosting.HeldRows(boosting.coded(x, cuts), label, base, np.ones(30000), settings), cuts, settings, 1)
+        for a, b in zip(model["rounds"], plain, strict=True):
+            for s, t in zip(a, b, strict=True):
+                assert s["feature"] == t.feature and s["threshold"] == t.threshold and np.allclose(s["value"], t.value, atol=1e-9)
