@@ -156,3 +156,12 @@ def test_word_vectors_of_planted_synonyms(spark):
         return a @ b / np.linalg.norm(a) / np.linalg.norm(b)
     assert cosine(v[0], v[1]) > cosine(v[0], v[2]) + 0.1 and cosine(v[2], v[3]) > cosine(v[3], v[1]) + 0.1
     assert np.allclose(v[4], (v[0] + v[2]) / 2, atol=1e-6)
+
+
+def test_median_bounds_pass_no_table_through_one_task(spark):
+    """The bounds come from brackets of the ranks, not from one map of all values."""
+    from sparkprep.plans import q_growth
+    from tests.conftest import SF_SMALL
+    out = q_growth.prv6_parts(spark, SF_SMALL)
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["median_in_range"] for r in out.collect())
