@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from sparkprep.operators import charts, clean, features, importance, profile
+from sparkprep.operators import charts, clean, features, importance, profile, text
 from sparkprep.plans.q_viz import scored_documents
 
 
@@ -65,3 +65,20 @@ def test_text_term_counts_tokenize_once(spark, sf_small):
     plan = _plan(text.term_counts(d, "doc_id", "text"))
     assert plan.count("rtrim(") == 1
     assert "INSET" in plan
+
+
+def test_terms_of_a_document_are_not_shuffled(spark):
+    """Texts are dealt by document; (doc, term) rows stay where they are."""
+    docs = spark.createDataFrame([(i % 40, f"w{i} w{i % 7} w{i}") for i in range(80)], "doc_id long, text string")
+    plan = _plan(text.term_counts(docs, "doc_id", "text", tasks=3))
+    assert plan.count("Exchange") == 1 and "hashpartitioning(doc_id" in plan and "term#" not in plan[plan.index("Exchange"):].split("\n")[0]
+
+
+def test_tfidf_shuffles_rare_terms_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i % 4} c{i} c{i}") for i in range(24)], "doc_id long, text string")
+    whole = sorted(text.tfidf_long(docs, "doc_id", "text").collect())
+    monkeypatch.setattr(text, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(text, "FREQUENT_TERMS", 4)
+    found = text.tfidf_long(docs, "doc_id", "text")
+    assert sorted(found.collect()) == whole and len(whole) == 48
+    assert "explode" not in _plan(found).lower()
