@@ -82,3 +82,10 @@ def test_tfidf_shuffles_rare_terms_only(spark, monkeypatch):
     found = text.tfidf_long(docs, "doc_id", "text")
     assert sorted(found.collect()) == whole and len(whole) == 48
     assert "explode" not in _plan(found).lower()
+
+
+def test_count_vectors_keep_ties_in_order(spark):
+    rows = [(["t9", "t1", "t5", "all"],)] * 3 + [(["t5", "once", "all"],)] + [(["all"],)] * 2 + [([],)]
+    data = spark.createDataFrame(rows, "tk array<string>")
+    assert text.row_vocabulary(data, "tk", 2) == ["t5", "t1"]
+    assert text.row_vocabulary(data, "tk", 9, 1.0, 0.9) == ["all", "t5", "t1", "t9", "once"]
