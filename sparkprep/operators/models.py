@@ -314,6 +314,18 @@ def missing_values(df: DataFrame, features: Sequence[str]) -> dict[str, int]:
     return {c: n for c, n in zip(numeric, row) if n}
 
 
+#: Rows of a forest's task: at least (where cores are free), and at most, for it keeps counts of every tree by row.
+FOREST_ROWS = (1 << 14, 1 << 18)
+
+
+def deal_rows(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to the tasks that grow a forest: its work is rows x trees x
+    levels, and a scan has as many tasks as row groups, however few and uneven."""
+    n, (least, most) = df.count(), FOREST_ROWS
+    tasks = max(-(-n // most), min(df.sparkSession.sparkContext.defaultParallelism, n // least))
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 #: More distinct targets than this are not classes.
 MAX_CLASSES = 10_000
 
@@ -333,6 +345,8 @@ def fit_pipeline(df: DataFrame, target: str, model_type: str,
     sp = translate_params(model_type, given, n_rows)
     stages, assembled = feature_stages(df, feats)
     est = make_estimator(model_type, sp, n_classes)
+    if model_type.startswith("random_forest"):
+        data = deal_rows(data)
     try:
         pipe = Pipeline(stages=stages + [est]).fit(data)
     except Exception as e:

@@ -115,3 +115,15 @@ def test_elasticnet_l1_ratio():
     p = models.translate_params("logistic_regression", {"C": 0.5, "penalty": "elasticnet", "l1_ratio": 0.3},
                                 n_rows=10)
     assert p == {"regParam": 1.0 / 5.0, "elasticNetParam": 0.3}
+
+
+def test_forest_rows_of_one_row_group_are_dealt_evenly(spark, monkeypatch):
+    """A scan with all rows in one task grows its forest in four, and small tables stay as they are."""
+    seen, fit = [], models.RandomForestRegressor._fit
+    monkeypatch.setattr(models.RandomForestRegressor, "_fit", lambda self, ds: seen.append(
+        [r["count"] for r in ds.groupBy(F.spark_partition_id()).count().collect()]) or fit(self, ds))
+    df = spark.range(70_000).coalesce(1).select((F.col("id") % 7).alias("x"), (F.col("id") % 11).cast("double").alias("y"))
+    models.fit_pipeline(df, "y", "random_forest_regressor", ["x"], {"n_estimators": 2, "max_depth": 2})
+    assert len(seen[0]) == min(4, spark.sparkContext.defaultParallelism) and max(seen[0]) < 1.1 * min(seen[0])
+    models.fit_pipeline(df.limit(5000), "y", "random_forest_regressor", ["x"], {"n_estimators": 2, "max_depth": 2})
+    assert len(seen[1]) == 1
