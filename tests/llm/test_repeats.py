@@ -54,3 +54,39 @@ def test_whole_words(spark):
     df = spark.createDataFrame(rows, "text string, lo bigint, hi bigint, n int").withColumn("b", F.encode("text", "UTF-8"))
     got = df.select("n", suffix_dedup.whole_words(F.col("b"), F.col("lo"), F.col("hi")).alias("found")).collect()
     assert [r.found for r in got] == [r.n for r in got]
+
+
+def test_rows_of_a_common_passage_stay_spread(spark, monkeypatch):
+    """One passage in 1,500 documents: no task gets all samples of one key, and every copy goes."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = " ".join(word() for _ in range(100))
+    rows = [(i, f"{word()} {i} {passage} {i} {word()}") for i in range(1500)]
+    largest = {}
+
+    def watched(df, name="stage"):
+        out = real(df, name)
+        if name == "again":
+            per_task = df.groupBy("key", F.spark_partition_id()).count()
+            top = per_task.groupBy("key").agg(F.sum("count").alias("n"), F.max("count").alias("most")).orderBy(F.desc("n")).first()
+            largest[name] = (top.most, top.n)
+        return out
+
+    real = suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", watched)
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+        got = suffix_dedup.remove_repeats(df).select("_row.text", "spans", suffix_dedup.joined_text(F.col("parts")).alias("kept")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most, total = largest["again"]
+    assert total >= 1500 and most <= 0.5 * total
+    assert len(got) == 1500
+    for r in got:
+        (span,) = r.spans
+        assert r.text.encode()[span.lo:span.hi].decode().find(passage) >= 0 and passage not in r.kept
