@@ -1,5 +1,6 @@
 """Passages of over 50 words that two documents share, in the pipeline's stage."""
 
+import hashlib
 import random
 
 import pytest
@@ -90,3 +91,34 @@ def test_rows_of_a_common_passage_stay_spread(spark, monkeypatch):
     for r in got:
         (span,) = r.spans
         assert r.text.encode()[span.lo:span.hi].decode().find(passage) >= 0 and passage not in r.kept
+
+
+def test_op7_returns_the_remaining_text(spark, planted, tmp_path):
+    """The query's ``text`` is what stays of a document: n_bytes is the input's size, planted or not."""
+    from sparkprep.llm import queries
+    texts, short, _ = planted  # passages of 51 to 70 words that are shorter than 400 bytes stay, longer ones go
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(10))
+    long = [" ".join(word() for _ in range(51 + j)) for j in range(20)]
+    texts = texts[:200] + [f"{'ab'[k]}{i}<{p}>{i}{'yz'[k]}" for i, p in enumerate(long) for k in range(2)]
+    texts += [f"1{long[0][:250]}{word()}{long[1][:250]}é", f"2{'x' * 399}é", f"3{'x' * 399}è", None]
+    rows = [(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in queries.op7_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts[:-3]):
+        r, t = out[i], t or ""
+        assert r.n_bytes == len(t.encode())
+        inside = [p for p in short + long if p in t]
+        if inside and len(inside[0].encode()) >= 400:
+            before, after = t.split(inside[0])
+            assert inside[0] not in r.text and r.n_removed >= len(inside[0].encode())
+            assert len(before) + len(after) - 12 <= len(r.text) <= len(before) + len(after)
+        else:
+            assert r.text == t and r.n_removed == 0
+        assert r.kept_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+    # the run ends inside é and è: its second byte stays in the digest, but is no text
+    for i, b in ((-3, b"2\xa9"), (-2, b"3\xa8")):
+        r = out[len(texts) + i]
+        assert (r.text, r.n_removed, r.kept_sha256) == (b[:1].decode(), 400, hashlib.sha256(b).hexdigest())
+    assert (out[len(texts) - 1].text, out[len(texts) - 1].n_bytes) == ("", 0)
