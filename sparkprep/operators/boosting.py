@@ -43,6 +43,8 @@ TASK_BYTES = 4 << 20    # codes and margins that one task should read
 COLLECT_BYTES = 64 << 20  # partial sums of a level that the driver adds up itself
 ALONE_BYTES = 16 << 20  # a table of at most this is one task's
 BLOCK = 1 << 16           # rows that are summed at a time
+KEPT_BYTES = 256 << 20    # sums of a level that one task keeps for the next
+SPLIT_CELLS = 1 << 16     # cells that are searched for splits at a time
 
 
 @dataclass
@@ -206,23 +208,35 @@ class Level:
         g, h = gradients(self.objective, self.margins(codes, margin), y)
         return g * weight[:, None], h * weight[:, None]
 
-    def places(self, codes: np.ndarray) -> np.ndarray:
-        """Cell of every code among the cells of a node."""
-        return np.where(codes == MISSING, self.sizes, codes.astype(np.int64)) + self.starts
+    def placed(self, codes: np.ndarray) -> np.ndarray:
+        """Codes, features x rows, with nulls in the bin after the last."""
+        return np.ascontiguousarray(np.where(codes == MISSING, self.sizes[:, None].astype(np.uint8), codes))
 
     def drawn(self, rng: np.random.Generator, n: int) -> np.ndarray:
         return rng.random(n) < self.sample if self.sample < 1 else np.ones(n, bool)
 
-    def add(self, total: list[np.ndarray], codes: np.ndarray, places: np.ndarray, drawn: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+    def add(self, total: list[np.ndarray], codes: np.ndarray, placed: np.ndarray, drawn: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
         """Adds the derivatives of some rows to the sums, slots x cells."""
+        both = [t.reshape(self.n_slots, self.cells) for t in total]
         for k, tree in enumerate(self.growing):
-            if not (self.slots[k] >= 0).any():
-                continue
-            slot = self.slots[k][tree.leaves(codes, True)]
-            rows = np.flatnonzero((slot >= 0) & drawn)
-            cell = (slot[rows, None] * self.cells + places[rows]).ravel()
-            for sums, part in zip(total, (g, h)):
-                sums += np.bincount(cell, np.repeat(part[rows, k], codes.shape[1]), len(sums))
+            some = self.slots[k][self.slots[k] >= 0]
+            if len(some):  # the slots of a tree are neighbours
+                slot = self.slots[k][tree.leaves(codes, True)]
+                own = slice(some.min(), some.max() + 1)
+                self.sum_rows(*(t[own] for t in both), placed, np.where((slot >= 0) & drawn, slot - own.start, -1), g[:, k], h[:, k])
+
+    def sum_rows(self, total_g: np.ndarray, total_h: np.ndarray, placed: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+        """Adds rows to the sums (nodes x cells) of the node ``slot``, -1: of none.
+        The cells of one feature are few enough to stay in the cache."""
+        rows = np.flatnonzero(slot >= 0)
+        whole = len(rows) == len(slot)
+        if not whole:
+            slot, g, h = slot[rows], g[rows], h[rows]
+        g, h, slot, n = np.ascontiguousarray(g), np.ascontiguousarray(h), slot.astype(np.intp), len(total_g)
+        for start, size, code in zip(self.starts.tolist(), (self.sizes + 1).tolist(), placed):
+            cell = slot * size + (code if whole else code[rows])
+            for total, part in ((total_g, g), (total_h, h)):
+                total[:, start:start + size] += np.bincount(cell, part, n * size).reshape(n, size)
 
     def empty(self) -> list[np.ndarray]:
         return [np.zeros(self.n_slots * self.cells), np.zeros(self.n_slots * self.cells)]
@@ -261,7 +275,7 @@ def _sums(batches: Iterator[pa.RecordBatch], level: Level) -> Iterator[tuple[np.
     total, rng = level.empty(), level.draws(TaskContext.get().partitionId())
     for batch in batches:
         codes, y, margin, weight = _batch(batch, len(level.starts), len(level.growing))
-        level.add(total, codes, level.places(codes), level.drawn(rng, len(y)), *level.derivatives(codes, y, margin, weight))
+        level.add(total, codes, level.placed(codes.T), level.drawn(rng, len(y)), *level.derivatives(codes, y, margin, weight))
     yield total[0], total[1]
 
 
@@ -311,28 +325,48 @@ def best_splits(g: np.ndarray, h: np.ndarray, starts: np.ndarray, sizes: np.ndar
     place = np.arange(most)
     inside = place[None, :] < sizes[:, None]
     at = np.where(inside, starts[:, None] + place[None, :], 0)
-    chunk = max(1, (32 << 20) // (16 * at.size))
+    usable = inside & allowed[:, None]
+    even, open_ = bool(inside.all()) and len(g[0]) == len(starts) * (most + 1), bool(usable.all())
+    chunk = max(1, SPLIT_CELLS // at.size)
     out: list[Split] = []
+
+    def by_bin(x: np.ndarray) -> np.ndarray:
+        return x.reshape(len(x), len(starts), most + 1)[:, :, :most] if even else np.where(inside, x[:, at], 0.0)
     for i in range(0, len(g), chunk):
         gs, hs = g[i:i + chunk], h[i:i + chunk]
         first = slice(int(starts[0]), int(starts[0] + sizes[0] + 1))
         total_g, total_h = gs[:, first].sum(axis=1), hs[:, first].sum(axis=1)
         null_g, null_h = gs[:, starts + sizes], hs[:, starts + sizes]
-        left_g, left_h = (np.cumsum(np.where(inside, x[:, at], 0.0), axis=2) for x in (gs, hs))
-        # nodes x features x (nulls right, left) x bins
-        left_g = np.stack([left_g, left_g + null_g[:, :, None]], axis=2)
-        left_h = np.stack([left_h, left_h + null_h[:, :, None]], axis=2)
         whole = np.where(total_h + p.lam > 0, total_g**2 / np.maximum(total_h + p.lam, 1e-300), 0.0)
+        # nodes x features x (nulls right, left) x bins
+        left_g, left_h = (np.cumsum(by_bin(x), axis=2)[:, :, None] for x in (gs, hs))
+        sides = 2 if (null_h > 0).any() else 1
+        if sides == 2:
+            left_g = np.concatenate([left_g, left_g + null_g[:, :, None, None]], axis=2)
+            left_h = np.concatenate([left_h, left_h + null_h[:, :, None, None]], axis=2)
         right_g, right_h = total_g[:, None, None, None] - left_g, total_h[:, None, None, None] - left_h
+        good = (left_h >= p.least) & (right_h >= p.least)
+        if p.least <= 1e-12 * total_h.max(initial=0.0):
+            good &= (left_h > 0) & (right_h > 1e-12 * total_h[:, None, None, None])
+        if not open_:
+            good &= usable[None, :, None, :]
+        if sides == 2:
+            good[:, :, 1] &= (null_h > 0)[:, :, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = 0.5 * (left_g**2 / (left_h + p.lam) + right_g**2 / (right_h + p.lam) - whole[:, None, None, None]) - p.gamma
-        good = (left_h >= p.least) & (right_h >= p.least) & (left_h > 0) & (right_h > 1e-12 * total_h[:, None, None, None])
-        good &= inside[None, :, None, :] & allowed[None, :, None, None]
-        good[:, :, 1] &= (null_h > 0)[:, :, None]
-        gain = np.where(good, gain, -np.inf).reshape(len(gs), -1)
+            gain = left_g * left_g
+            gain /= left_h + p.lam
+            right_g *= right_g
+            right_h += p.lam
+            right_g /= right_h
+            gain += right_g
+            gain -= whole[:, None, None, None]
+            gain *= 0.5
+            gain -= p.gamma
+        gain[~good] = -np.inf
+        gain = gain.reshape(len(gs), -1)
         top = gain.max(axis=1)
         pick = (gain >= np.where(np.isfinite(top), top - EQUAL * np.abs(top), np.inf)[:, None]).argmax(axis=1)
-        f, side, b = np.unravel_index(pick, (len(starts), 2, most))
+        f, side, b = np.unravel_index(pick, (len(starts), sides, most))
         for n in range(len(gs)):
             s = Split(float(total_g[n]), float(total_h[n]))
             if top[n] > EQUAL * whole[n] and top[n] > 0:
@@ -414,47 +448,71 @@ class SpreadRows:
 
 class HeldRows:
     """The same for rows of one task, which needs no job a level: every level moves
-    each row one node down and sums the rows block by block."""
+    each row one node down and sums the rows tree by tree.  Of two children only the
+    one of fewer rows is summed; the other has what that leaves of their parent."""
 
     def __init__(self, codes: np.ndarray, y: np.ndarray, margin: np.ndarray, weight: np.ndarray, settings: Settings) -> None:
         self.codes, self.y, self.margin, self.weight, self.settings = np.ascontiguousarray(codes.T), y, margin, weight, settings
+        self.placed = None
         self.round = None
         self.nodes = np.zeros((margin.shape[1], len(y)), np.int32)
         self.known = np.zeros((2, margin.shape[1], len(y)))  # derivatives
+        self.kept: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []  # sums of the level above, by tree and node
 
     def _blocks(self) -> Iterator[slice]:
         return (slice(i, i + BLOCK) for i in range(0, len(self.y), BLOCK))
 
     def splits(self, level: Level, allowed: np.ndarray) -> list[Split | None]:
+        if self.placed is None:
+            self.placed = level.placed(self.codes) if (self.codes == MISSING).any() else self.codes
         if self.round != level.seed:  # the levels of a round share derivatives and drawn rows
             self.round = level.seed
             self.nodes[:] = 0
+            self.kept = [{} for _ in level.growing]
             drawn = level.drawn(level.draws(0), len(self.y))
             for rows in self._blocks():
                 for known, d in zip(self.known, gradients(level.objective, self.margin[rows], self.y[rows])):
                     known[:, rows] = np.where(drawn[rows], d.T * self.weight[rows], 0.0)
-        total = level.empty()
-        cells = [np.arange(256) for _ in level.starts]
-        for place, start, size in zip(cells, level.starts, level.sizes):
-            place[MISSING] = size
-            place += start
+        out: list[Split | None] = [None] * level.n_slots
+        keep = 16 * level.n_slots * level.cells <= KEPT_BYTES
+        for k, slots in enumerate(level.slots):
+            nodes = np.flatnonzero(slots >= 0)
+            if len(nodes):
+                g, h = self._sums(k, nodes, level)
+                self.kept[k] = dict(zip(nodes.tolist(), zip(g, h))) if keep else {}
+                for s, found in zip(slots[nodes].tolist(), best_splits(g, h, level.starts, level.sizes, self.settings, allowed)):
+                    out[s] = found
+        return out
+
+    def _sums(self, k: int, nodes: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
+        """(g, h) of the open nodes of a tree, nodes x cells."""
+        tree = level.growing[k]
         for rows in self._blocks():
-            codes = self.codes[:, rows]
-            for k, tree in enumerate(level.growing):
-                if not (level.slots[k] >= 0).any():
-                    continue
-                node = self.nodes[k, rows] = tree.step(codes, self.nodes[k, rows])
-                slot = level.slots[k][node]
-                g, h = self.known[:, k, rows]
-                some = np.flatnonzero(slot >= 0)
-                all_ = len(some) == len(slot)
-                slot, g, h = (slot, g, h) if all_ else (slot[some], g[some], h[some])
-                first = slot * level.cells
-                for place, code in zip(cells, codes):
-                    cell = first + place[code if all_ else code[some]]
-                    for sums, part in zip(total, (g, h)):
-                        sums += np.bincount(cell, part, len(sums))
-        return _best_splits(total, level, self.settings, allowed)
+            self.nodes[k, rows] = tree.step(self.codes[:, rows], self.nodes[k, rows])
+        n_rows = np.bincount(self.nodes[k], minlength=len(tree.feature))
+        pairs = {child: (up, a + b - child) for up, (a, b) in enumerate(zip(tree.left, tree.right)) if a >= 0 for child in (a, b)}
+        rest = {}  # nodes that are what a sibling leaves of their parent
+        for node in nodes.tolist():
+            up, other = pairs.get(node, (-1, -1))
+            if up in self.kept[k] and (n_rows[other], other) < (n_rows[node], node):
+                rest[node] = (up, other)
+        summed = sorted({*nodes.tolist(), *(other for _, other in rest.values())} - {*rest})
+        local = np.full(len(tree.feature), -1)
+        local[summed] = np.arange(len(summed))
+        some = [np.zeros((len(summed), level.cells)) for _ in range(2)]
+        for rows in self._blocks():
+            level.sum_rows(*some, self.placed[:, rows], local[self.nodes[k, rows]], *self.known[:, k, rows])
+        if not rest and len(summed) == len(nodes):
+            return some[0], some[1]
+        out = [np.empty((len(nodes), level.cells)) for _ in range(2)]
+        for i, node in enumerate(nodes.tolist()):
+            for j in range(2):
+                if node in rest:
+                    up, other = rest[node]
+                    np.subtract(self.kept[k][up][j], some[j][local[other]], out=out[j][i])
+                else:
+                    out[j][i] = some[j][local[node]]
+        return out[0], out[1]
 
     def advance(self, done: list[list[Tree]]) -> None:
         """Takes in the trees of one round, whose nodes the rows know but for the last level."""

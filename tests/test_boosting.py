@@ -150,3 +150,29 @@ def test_rows_of_equal_codes_are_one_weighted_row(spark, monkeypatch):
         for a, b in zip(model["rounds"], plain, strict=True):
             for s, t in zip(a, b, strict=True):
                 assert s["feature"] == t.feature and s["threshold"] == t.threshold and np.allclose(s["value"], t.value, atol=1e-9)
+
+
+def test_sums_of_a_round_cost_its_cells_and_rows(monkeypatch):
+    """Ten classes, forty features: sums of a feature are no longer than its nodes' cells, and of two
+    children the one of more rows is what the other leaves of their parent."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(600, 40)).round(1), rng.integers(0, 10, 600).astype(float)
+    cuts = [np.unique(x[:, f])[1:] for f in range(40)]
+    codes = boosting.coded(np.where(rng.random(x.shape) < 0.05, np.nan, x), cuts)
+
+    def fitted():  # noqa: ANN202
+        settings = boosting.Settings("softmax", 10, rounds=2, depth=4)
+        held = boosting.HeldRows(codes, y, np.zeros((600, 10)), np.ones(600), settings)
+        return boosting.grow(held, cuts, settings, 1)
+    made, used, count = [], [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda cell, weights=None, minlength=0: made.append(minlength) or used.append(
+        len(cell) * (weights is not None)) or count(cell, weights, minlength))
+    rounds = fitted()
+    nodes = sum(len(t.feature) for r in rounds for t in r)
+    assert sum(made) <= 2 * nodes * sum(len(c) + 2 for c in cuts)
+    assert sum(used) <= 2 * 2 * 600 * 40 * 10 * (1 + 3 / 2)
+    monkeypatch.setattr(boosting, "KEPT_BYTES", 0)
+    for r, s in zip(rounds, fitted(), strict=True):
+        for t, u in zip(r, s, strict=True):
+            assert (t.feature, t.code, t.null_left) == (u.feature, u.code, u.null_left)
+            assert np.allclose(t.value, u.value, atol=1e-12) and np.allclose(t.cover, u.cover)
