@@ -24,6 +24,7 @@ from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType, T
 
 from sparkprep.operators import metrics as M
 from sparkprep.operators.boosting import BoostedTrees
+from sparkprep.operators.cell_forest import CellForestRegressor
 from sparkprep.operators.table_encoder import TableIndexer
 
 MODEL_TABLE = {
@@ -134,7 +135,7 @@ def translate_params(model_type: str, params: dict | None, n_rows: int | None =
     return out
 
 
-def make_estimator(model_type: str, params: dict | None = None, n_classes: int = 2):  # noqa: ANN201
+def make_estimator(model_type: str, params: dict | None = None, n_classes: int = 2, forest: type | None = None):  # noqa: ANN201
     params = dict(params or {})
     seed = params.pop("seed", 42)
     common = {"featuresCol": FEATURES_COL, "labelCol": LABEL_COL}
@@ -142,7 +143,7 @@ def make_estimator(model_type: str, params: dict | None = None, n_classes: int =
         params.setdefault("regParam", 0.0)
         return LinearRegression(**common, **params)
     if model_type == "random_forest_regressor":
-        return RandomForestRegressor(**common, seed=seed, **params)
+        return (forest or RandomForestRegressor)(**common, seed=seed, **params)
     if model_type == "xgboost_regressor":
         return BoostedTrees(**common, objective="squared", seed=seed, **params)
     if model_type == "logistic_regression":
@@ -318,10 +319,14 @@ def missing_values(df: DataFrame, features: Sequence[str]) -> dict[str, int]:
 FOREST_ROWS = (1 << 14, 1 << 18)
 
 
-def deal_rows(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly to the tasks that grow a forest: its work is rows x trees x
+#: A regression forest of more rows grows from sums by cell, where its bins make few cells.
+CELL_ROWS = 1 << 22
+
+
+def deal_rows(df: DataFrame, n: int) -> DataFrame:
+    """``n`` rows dealt evenly to the tasks that grow a forest: its work is rows x trees x
     levels, and a scan has as many tasks as row groups, however few and uneven."""
-    n, (least, most) = df.count(), FOREST_ROWS
+    least, most = FOREST_ROWS
     tasks = max(-(-n // most), min(df.sparkSession.sparkContext.defaultParallelism, n // least))
     return df.repartition(tasks) if tasks > 1 else df
 
@@ -346,7 +351,11 @@ def fit_pipeline(df: DataFrame, target: str, model_type: str,
     stages, assembled = feature_stages(df, feats)
     est = make_estimator(model_type, sp, n_classes)
     if model_type.startswith("random_forest"):
-        data = deal_rows(data)
+        rows = data.count()
+        if model_type == "random_forest_regressor" and rows > CELL_ROWS:
+            est = make_estimator(model_type, sp, n_classes, CellForestRegressor).using(rows, lambda df: deal_rows(df, rows))
+        else:
+            data = deal_rows(data, rows)
     try:
         pipe = Pipeline(stages=stages + [est]).fit(data)
     except Exception as e:
